@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from windrow.llm import media_png, url_filter
+from windrow.llm import language_id, media_png, simhash, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op4_language_id": language_id.query,
+    "op5_simhash": simhash.query,
     "op9_media_columns": media_png.query,
 }
 
