@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from windrow.llm import language_id, media_png, mixing, simhash, url_filter
+from windrow.llm import decontamination, language_id, media_png, mixing, simhash, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op4_language_id": language_id.query,
     "op5_simhash": simhash.query,
+    "op6_decontamination": decontamination.query,
     "op8_mixing": mixing.query,
     "op9_media_columns": media_png.query,
 }
