@@ -147,7 +147,7 @@ def piece_counts(labelled: DataFrame, proto: bytes) -> DataFrame:
         flush()
         for lang, total in sums.items():
             seen = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": lang, "piece": np.where(seen == sp.get_piece_size(), -1, seen), "n": total[seen]})
+            yield pd.DataFrame({"lang": pd.Series([lang] * len(seen), dtype=object), "piece": np.where(seen == sp.get_piece_size(), -1, seen), "n": total[seen]})
 
     rows = labelled.select("text", "lang").mapInPandas(count, "lang string, piece long, n long")
     return rows.groupBy("lang", "piece").agg(F.sum("n").alias("n"))
@@ -213,7 +213,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                 best = int(total.argmax())
                 names.append(own.languages[best])
                 scores.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": scores})
 
     got = docs.withColumn("_guess", guess(F.col(text_col)))
     return got.select("*", "_guess.*").drop("_guess")
