@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from windrow.llm import decontamination, language_id, media_png, mixing, simhash, toxicity, url_filter
+from windrow.llm import decontamination, language_id, media_png, mixing, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_toxicity": toxicity.query,
+    "op3_quality": quality.query,
     "op4_language_id": language_id.query,
     "op5_simhash": simhash.query,
     "op6_decontamination": decontamination.query,
