@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from windrow.llm import decontamination, language_id, media_png, mixing, quality, simhash, toxicity, url_filter
+from windrow.llm import decontamination, language_id, lm_scoring, media_png, mixing, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_decontamination": decontamination.query,
     "op8_mixing": mixing.query,
     "op9_media_columns": media_png.query,
+    "op10_lm_scoring": lm_scoring.query,
 }
 
 ORACLES = {
