@@ -76,14 +76,15 @@ class Model:
             for part in _parts(w):
                 owner.append(i)
                 texts.append(part)
-        edges: list[tuple[int, int, int, int]] = []
-        starts = self._starts
+        edges: list[int] = []  # end, start, text and row of a piece, packed
+        starts, unknown = self._starts, self.unknown
         for t, text in enumerate(texts):
             n = len(text)
             for a in range(n):
+                base = a << 44 | t << 22
                 alone = starts.get(text[a])
                 if alone is None or alone < 0:
-                    edges.append((a + 1, a, t, self.unknown))
+                    edges.append((a + 1) << 52 | base | unknown)
                     if alone is None:
                         continue
                 for b in range(a + 1, n + 1):
@@ -91,24 +92,23 @@ class Model:
                     if row is None:
                         break
                     if row >= 0:
-                        edges.append((b, a, t, row))
+                        edges.append(b << 52 | base | row)
         if not texts:
             return np.zeros((len(words), len(self.languages)))
-        table_ = np.array(edges, np.int32)
-        table_ = table_[np.argsort(table_[:, 0], kind="stable")]
-        sizes = np.fromiter(map(len, texts), np.int32)
+        packed = np.sort(np.array(edges, np.int64))
+        end_of, start_of, text_of, row_of = packed >> 52, packed >> 44 & 255, packed >> 22 & 0x3FFFFF, packed & 0x3FFFFF
+        sizes = np.fromiter(map(len, texts), np.int64)
         alpha = np.zeros((int(sizes.max()) + 1, len(texts), len(self.languages)))
         alpha[0] = 1.0
-        cuts = np.searchsorted(table_[:, 0], np.arange(1, len(alpha) + 1))
+        cuts = np.searchsorted(end_of, np.arange(1, len(alpha) + 1))
         for end in range(1, len(alpha)):
-            part = table_[cuts[end - 1] : cuts[end]]
-            if len(part):
-                gain = alpha[part[:, 1], part[:, 2]] * self._p[part[:, 3]]
-                for k in range(gain.shape[1]):
-                    alpha[end, :, k] = np.bincount(part[:, 2], gain[:, k], len(texts))
+            part = slice(cuts[end - 1], cuts[end])
+            gain = alpha[start_of[part], text_of[part]] * self._p[row_of[part]]
+            for k in range(gain.shape[1]):
+                alpha[end, :, k] = np.bincount(text_of[part], gain[:, k], len(texts))
         done = np.log(alpha[sizes, np.arange(len(texts))])
-        out = np.zeros((len(words), len(self.languages)))
-        np.add.at(out, np.array(owner), done)
+        first = np.searchsorted(owner, np.arange(len(words)))
+        out = np.add.reduceat(done, first, axis=0)
         return out
 
 
