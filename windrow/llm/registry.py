@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from windrow.llm import decontamination, language_id, lm_scoring, media_png, mixing, quality, simhash, toxicity, url_filter
+from windrow.llm import decontamination, language_id, license_scan, lm_scoring, media_png, mixing, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": language_id.query,
     "op5_simhash": simhash.query,
     "op6_decontamination": decontamination.query,
+    "op7_license_scan": license_scan.query,
     "op8_mixing": mixing.query,
     "op9_media_columns": media_png.query,
     "op10_lm_scoring": lm_scoring.query,
@@ -18,4 +19,5 @@ QUERIES = {
 
 ORACLES = {
     "op1_url_filter": url_filter.SQL,
+    "op7_license_scan": license_scan.SQL,
 }
