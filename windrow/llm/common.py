@@ -28,13 +28,19 @@ def fold(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(n)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder, without the lineage that made them.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's checkpoint folder.
 
-    The folder is the session's; where none is set, spark.checkpoint.dir or (in tests) a fresh folder is set.
+    Where none is set, spark.checkpoint.dir is; where that is unset too (in tests), a folder of this machine.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         own = os.path.join(tempfile.gettempdir(), "checkpoints")
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or own)
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder, without the lineage that made them."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
