@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from windrow.plans.oracles import ORACLES
+from windrow.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
