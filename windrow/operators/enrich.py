@@ -104,8 +104,9 @@ def key_events(members: DataFrame, params: WindowParams) -> DataFrame:
     edge = (F.col("_at") == 1) | (F.col("_from_end") == 1)
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*KW).orderBy(F.when(edge, 0).otherwise(1), F.when(edge, F.lit(0)).otherwise(-F.col("payload_len")), "ts_us", "frame_number")))
     if params.max_events <= 2:
-        chosen = rows.where(F.col("rank") <= max(3, params.max_events)).withColumn("place", F.row_number().over(order))
-        return chosen.where(F.col("place") <= params.max_events).drop("_at", "_from_end")
+        largest = F.row_number().over(Window.partitionBy(*KW).orderBy(F.desc("payload_len"), "ts_us", "frame_number"))
+        chosen = rows.withColumn("_largest", largest).where(edge | (F.col("_largest") == 1)).withColumn("place", F.row_number().over(order))
+        return chosen.where(F.col("place") <= params.max_events).drop("_at", "_from_end", "_largest")
     return rows.where(F.col("rank") <= params.max_events).withColumn("place", F.row_number().over(order)).drop("_at", "_from_end")
 
 
