@@ -1,13 +1,14 @@
-"""Shared helpers: tables, folds, words and checkpoints."""
+"""Shared helpers: tables, folds and words."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrow.storage import checkpointed, shared_folder
+
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "checkpointed", "fold", "shared_folder", "table"]
+
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -26,21 +27,3 @@ def ascii_lower(col: Column) -> Column:
 def fold(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(n)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's checkpoint folder.
-
-    Where none is set, spark.checkpoint.dir is; where that is unset too (in tests), a folder of this machine.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        own = os.path.join(tempfile.gettempdir(), "checkpoints")
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder, without the lineage that made them."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
