@@ -170,6 +170,18 @@ def item_blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect() for k in range(n)]
 
 
+def _with_found(docs: DataFrame, benchmark: DataFrame, text_col: str) -> DataFrame:
+    """docs with _n (items found) and _top: struct(matched, last: minus the item's id, coverage)."""
+    kept = docs.columns
+    parts: list[Column] = []
+    for k, block in enumerate(item_blocks(benchmark)):
+        docs = docs.withColumn(f"_found{k}", _finder([tuple(x) for x in block])(F.col(text_col)))
+        parts.append(F.col(f"_found{k}"))
+    rank = [F.struct(p["matched"].alias("matched"), (-p["item_id"]).alias("last"), p["coverage"].alias("coverage")) for p in parts]
+    n = sum((p["n_items"] for p in parts[1:]), parts[0]["n_items"])
+    return docs.select(*kept, n.alias("_n"), (F.greatest(*rank) if len(rank) > 1 else rank[0]).alias("_top"))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with contaminated, n_items, item_id, matched and coverage.
 
@@ -178,21 +190,11 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataF
     ones and those compared with an empty benchmark get false, 0, null, 0 and 0. An item_id that repeats is several
     items. Columns of docs that bear one of the names are replaced. Every row is judged by itself, with no shuffle.
     """
-    names = ["contaminated", "n_items", "item_id", "matched", "coverage"]
-    docs = docs.drop(*names)
-    kept = docs.columns
-    parts: list[Column] = []
-    for k, block in enumerate(item_blocks(benchmark)):
-        docs = docs.withColumn(f"_found{k}", _finder([tuple(x) for x in block])(F.col(text_col)))
-        parts.append(F.col(f"_found{k}"))
-    rank = [F.struct(p["matched"].alias("matched"), (-p["item_id"]).alias("last"), p["coverage"].alias("coverage")) for p in parts]
-    top = F.greatest(*rank) if len(rank) > 1 else rank[0]
-    n = sum((p["n_items"] for p in parts[1:]), parts[0]["n_items"])
-    got = docs.withColumn("_n", n).withColumn("_top", top)
-    return got.select(
-        *kept, (F.col("_n") > 0).alias("contaminated"), F.col("_n").alias("n_items"), (-F.col("_top.last")).alias("item_id"),
-        F.col("_top.matched").alias("matched"), F.col("_top.coverage").alias("coverage"),
-    )
+    docs = docs.drop("contaminated", "n_items", "item_id", "matched", "coverage")
+    top = F.col("_top")
+    return _with_found(docs, benchmark, text_col).select(
+        *docs.columns, (F.col("_n") > 0).alias("contaminated"), F.col("_n").alias("n_items"), (-top["last"]).alias("item_id"), top["matched"].alias("matched"), top["coverage"].alias("coverage")
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,5 +203,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item is found, with their own columns."""
-    found = find(docs.select(F.struct("*").alias("_row"), F.col("text").alias("text")), benchmark)
-    return found.where(~F.col("contaminated")).select("_row.*")
+    return _with_found(docs, benchmark, "text").where("_n = 0").select(*docs.columns)

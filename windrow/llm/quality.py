@@ -31,6 +31,7 @@ MAX_EVIDENCE = 8.0
 KEEP_AT = 0.5
 SYMBOLS = re.compile(r"[^\w\s|]{2,}(?=\s|$)")
 N_FEATURES = 8
+NAMES = ("evidence", "host_rate", "path_rate", "score", "keep")
 
 
 def form(text: str | None) -> tuple[float, ...]:
@@ -143,8 +144,7 @@ def posterior(docs: DataFrame, labels: DataFrame, host_col: str = "source", path
     groups of their own. Null and empty texts have the form of an empty text. Without labels of both classes evidence
     is 0, and the score is the prior. Rows stay as many as they are; columns of docs with these names are replaced.
     """
-    names = ["evidence", "host_rate", "path_rate", "score", "keep"]
-    docs = docs.drop(*names)
+    docs = docs.drop(*NAMES)
     model, rate = fit(docs, labels)
     scored = with_evidence(docs, model)
     sites, mean, k_host, k_path = site_rates(scored.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), "evidence"), rate)
@@ -156,7 +156,7 @@ def posterior(docs: DataFrame, labels: DataFrame, host_col: str = "source", path
     bounded = lambda c: F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), c))
     found = scored.join(sites, here).withColumn("host_rate", bounded(host_rate)).withColumn("path_rate", bounded(path_rate))
     found = found.withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_rate"))))))
-    return found.withColumn("keep", F.col("score") >= KEEP_AT).select(*docs.columns, *names)
+    return found.withColumn("keep", F.col("score") >= KEEP_AT).select(*docs.columns, *NAMES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,4 +166,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose posterior is at least KEEP_AT, with their own columns."""
-    return posterior(docs, labels).where("keep").select(*docs.columns)
+    own = {c: f"_own_{c}" for c in docs.columns if c in NAMES}
+    found = posterior(docs.withColumnsRenamed(own), labels).where("keep").drop(*NAMES)
+    return found.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
