@@ -32,6 +32,8 @@ UNKNOWN = 1e-6
 SMOOTHING = 0.05
 #: Distinct words whose likelihoods or counts a task holds at once; beyond it the store is emptied, results stay.
 HELD_WORDS = 400_000
+#: Words whose lists a task holds at once.
+RUN_WORDS = 300_000
 #: The model has vocabulary x languages numbers; more languages than this are refused.
 MAX_LANGUAGES = 400
 UNDETERMINED = "und"
@@ -178,45 +180,65 @@ def fit(labelled: DataFrame, vocabulary: str = VOCABULARY) -> Model | None:
     return Model(languages, np.log(docs / docs.sum()), {real[i]: k for k, i in enumerate(ids)}, grid / grid.sum(axis=0))
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score: the likeliest language (ties: the first in order) and its posterior probability.
-
-    Null texts and texts without a letter get `und` and 0, as do all texts where there was nothing to learn from.
-    Columns of docs that bear one of the two names are replaced.
-    """
-    docs = docs.drop("lang_pred", "score")
+def _with_guess(docs: DataFrame, model: Model | None, text_col: str) -> DataFrame:
+    """docs with _guess: struct(lang_pred, score)."""
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+        return docs.withColumn("_guess", F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score")))
     parts = (model.languages, model.log_prior, model.pieces, model.probability)
 
     @F.pandas_udf("lang_pred string, score double")
     def guess(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Model(*parts)
         known: dict[str, int] = {}
-        store = np.zeros((0, len(own.languages)))
+        store = np.zeros((HELD_WORDS, len(own.languages)))
         for batch in texts:
-            found = [words_of(x) for x in batch]
-            fresh = list({w for ws in found for w in ws} - known.keys())
-            if len(known) + len(fresh) > HELD_WORDS:
-                known, store = {}, store[:0]
-                fresh = list({w for ws in found for w in ws})
-            got = [own.likelihoods(fresh[i : i + 20_000]) for i in range(0, len(fresh), 20_000)]
-            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-            store = np.vstack([store, *got])
-            names, scores = [], []
-            for ws in found:
-                if not ws:
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                total = own.log_prior + store[[known[w] for w in ws]].sum(axis=0)
-                best = int(total.argmax())
-                names.append(own.languages[best])
-                scores.append(float(1 / np.exp(total - total[best]).sum()))
+            names: list[str] = []
+            scores: list[float] = []
+            for found in _runs(map(words_of, batch)):
+                fresh = list({w for ws in found for w in ws} - known.keys())
+                if len(known) + len(fresh) > len(store):
+                    known = {}
+                    fresh = list({w for ws in found for w in ws})
+                    store = store if len(fresh) <= len(store) else np.zeros((len(fresh), len(own.languages)))
+                for i in range(0, len(fresh), 20_000):
+                    block = fresh[i : i + 20_000]
+                    store[len(known) : len(known) + len(block)] = own.likelihoods(block)
+                    known.update(zip(block, range(len(known), len(known) + len(block)), strict=True))
+                for ws in found:
+                    if not ws:
+                        names.append(UNDETERMINED)
+                        scores.append(0.0)
+                        continue
+                    total = own.log_prior + store[[known[w] for w in ws]].sum(axis=0)
+                    best = int(total.argmax())
+                    names.append(own.languages[best])
+                    scores.append(float(1 / np.exp(total - total[best]).sum()))
             yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": scores})
 
-    got = docs.withColumn("_guess", guess(F.col(text_col)))
-    return got.select("*", "_guess.*").drop("_guess")
+    return docs.withColumn("_guess", guess(F.col(text_col)))
+
+
+def _runs(texts: Iterator[list[str]]) -> Iterator[list[list[str]]]:
+    """Texts' words in runs of about RUN_WORDS, so that few word lists are held at once."""
+    part: list[list[str]] = []
+    n = 0
+    for words in texts:
+        part.append(words)
+        n += len(words)
+        if n >= RUN_WORDS:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score: the likeliest language (ties: the first in order) and its posterior probability.
+
+    Null texts and texts without a letter get `und` and 0, as do all texts where there was nothing to learn from.
+    Columns of docs that bear one of the two names are replaced.
+    """
+    return _with_guess(docs.drop("lang_pred", "score"), model, text_col).select("*", "_guess.*").drop("_guess")
 
 
 HELD_OUT = 1
@@ -241,5 +263,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
     """The rows of docs whose language is determined with a posterior of at least `least`, with their own columns."""
-    found = predict(docs.select(F.struct("*").alias("_row"), F.col("text").alias("text")), model)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("_row.*")
+    found = _with_guess(docs, model, "text")
+    return found.where((F.col("_guess.lang_pred") != UNDETERMINED) & (F.col("_guess.score") >= least)).drop("_guess")
