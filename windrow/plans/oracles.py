@@ -134,6 +134,12 @@ regexp_replace(regexp_replace(decode(unhex(h[1:{2 * WINDOWS.head_bytes}])), '[\\
 regexp_replace(regexp_replace(decode(unhex(right(h, {2 * WINDOWS.tail_bytes}))), '[\\x09-\\x0D]', ' ', 'g'), '[^\\x20-\\x7E]', '.', 'g') AS rich_payload_tail_ascii FROM j""",
     "protocol_tokens": f"""{MEMBERS_RICH}, x AS (SELECT DISTINCT {KCOLS}, win, trim(unnest(string_split(coalesce(rich_frame_protocols, ''), '>'))) AS t FROM m)
 SELECT {KCOLS}, win, coalesce(string_agg(t, ',' ORDER BY t) FILTER (t <> ''), '') AS rich_protocols FROM x GROUP BY ALL""",
+    "normalise_packets": """SELECT event_id AS frame_number, 6 AS proto, concat('10.0.0.', user_id % 20) AS src_ip, '192.168.1.1' AS dst_ip, CASE WHEN event_id % 2 = 0 THEN 53 ELSE user_id + 1000 END AS src_port,
+CASE WHEN event_id % 3 = 0 THEN 0 ELSE 443 END AS dst_port, CAST(floor(value * 20) AS INT) AS pkt_len, CASE WHEN event_id % 5 IN (0, 3) THEN 1 ELSE 0 END AS tcp_syn, 1 AS tcp_ack, 0 AS tcp_fin, 0 AS tcp_rst, 0 AS tcp_psh, 0 AS tcp_window,
+CASE WHEN event_id % 2 = 0 THEN '' ELSE 'aabb0c' END AS payload_hex FROM events WHERE event_id % 17 <> 0 AND event_id % 19 <> 0 AND event_id % 23 <> 0 AND event_id % 29 <> 0""",
+    "normalise_payload": """SELECT event_id AS frame_number, h AS rich_payload_hex, CAST(length(h) // 2 AS INT) AS rich_payload_len, 'eth>ip>tcp' AS rich_frame_protocols,
+concat_ws(';', CASE WHEN event_id % 4 = 0 THEN '1.1.1.1;2.2.2.2' END, CASE WHEN event_id % 6 = 0 THEN '::1' END) AS rich_dns_answers, event_type AS rich_http_host
+FROM (SELECT *, CASE WHEN event_id % 2 = 1 THEN 'aabb0c' WHEN event_id % 3 = 0 THEN 'dead' ELSE '010203' END AS h FROM events WHERE event_id % 17 <> 0)""",
     "label_clean": f"{MEMBERS}, {WINS}, {TRUTH_CTE} SELECT label_row, label, priority, dur_us FROM t",
     "label_offsets": f"{MEMBERS}, {WINS}, {TRUTH_CTE} SELECT {K5}, coalesce(first_window - first_label, 0) AS offset_us, first_window IS NOT NULL AS matched FROM off",
     "label_align": f"{LABELLED} SELECT capture_id, tuple5, win_start_us, label, round(label_iou, 9) AS label_iou, label_priority, label_is_unknown, n_candidates FROM lab",
