@@ -32,6 +32,8 @@ UNKNOWN = 1e-6
 SMOOTHING = 0.05
 #: Distinct words whose likelihoods or counts a task holds at once; beyond it the store is emptied, results stay.
 HELD_WORDS = 400_000
+#: Bits of a slot's number in the table of the trie's edges.
+SLOT_BITS = 20
 #: Words whose lists a task holds at once.
 RUN_WORDS = 300_000
 #: The model has vocabulary x languages numbers; more languages than this are refused.
@@ -60,13 +62,65 @@ class Model:
     probability: np.ndarray
 
     def __post_init__(self) -> None:
-        self._starts: dict[str, int] = {}
+        """A trie of the pieces as one table of (node, letter) to child, found by hash slot, and each node's piece."""
         self.unknown = len(self.pieces)
         self._p = np.vstack([self.probability, np.full((1, len(self.languages)), UNKNOWN)])
+        children: dict[int, int] = {}
+        rows = [-1]
         for piece, row in self.pieces.items():
-            for n in range(1, len(piece)):
-                self._starts.setdefault(piece[:n], -1)
-            self._starts[piece] = row
+            node = 0
+            for letter in piece:
+                node = children.setdefault(node << 21 | ord(letter), len(rows))
+                if node == len(rows):
+                    rows.append(-1)
+            rows[node] = row
+        self._row = np.array(rows)
+        self._keys = np.array(sorted(children), np.int64)
+        self._child = np.array([children[k] for k in self._keys.tolist()], np.int64)
+        self._slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        self._slots[self._slot(self._keys)] = np.arange(len(self._keys))
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+
+    def _step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Children of the nodes by the letters, -1 where there is none."""
+        keys = node << 21 | letter
+        at = self._slots[self._slot(keys)]
+        out = np.full(len(keys), -1, np.int64)
+        if not len(self._keys):
+            return out
+        same = (at >= 0) & (self._keys[at] == keys)
+        out[same] = self._child[at[same]]
+        other = np.flatnonzero((at >= 0) & ~same)  # another key has the slot
+        found = np.minimum(np.searchsorted(self._keys, keys[other]), len(self._keys) - 1)
+        hit = self._keys[found] == keys[other]
+        out[other[hit]] = self._child[found[hit]]
+        return out
+
+    def _edges(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(end, start, text, row) of every piece at every place, by end. A letter that is no piece itself is unknown."""
+        letters = np.frombuffer("".join(t + "\0" for t in texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, texts), np.int64)
+        text_of = np.repeat(np.arange(len(texts)), sizes)
+        start = np.arange(len(text_of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        first = np.arange(len(text_of)) + text_of  # place in letters, with a zero after each text
+        node = self._step(np.zeros(len(first), np.int64), letters[first])
+        row = np.where(node >= 0, self._row[node], -1)
+        found = [(start + 1, start, text_of, np.where(row >= 0, row, self.unknown))]
+        length = 1
+        live = node >= 0
+        while live.any():
+            node, first, start, text_of = node[live], first[live], start[live], text_of[live]
+            node = self._step(node, letters[first + length])
+            length += 1
+            live = node >= 0
+            ends = live & (self._row[node] >= 0)
+            found.append((start[ends] + length, start[ends], text_of[ends], self._row[node[ends]]))
+        end, start, text_of, row = (np.concatenate([f[i] for f in found]) for i in range(4))
+        order = np.argsort(end, kind="stable")
+        return end[order], start[order], text_of[order], row[order]
 
     def likelihoods(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word in each language (words x languages): the forward algorithm over all words.
@@ -78,27 +132,9 @@ class Model:
             for part in _parts(w):
                 owner.append(i)
                 texts.append(part)
-        edges: list[int] = []  # end, start, text and row of a piece, packed
-        starts, unknown = self._starts, self.unknown
-        for t, text in enumerate(texts):
-            n = len(text)
-            for a in range(n):
-                base = a << 44 | t << 22
-                alone = starts.get(text[a])
-                if alone is None or alone < 0:
-                    edges.append((a + 1) << 52 | base | unknown)
-                    if alone is None:
-                        continue
-                for b in range(a + 1, n + 1):
-                    row = starts.get(text[a:b])
-                    if row is None:
-                        break
-                    if row >= 0:
-                        edges.append(b << 52 | base | row)
         if not texts:
             return np.zeros((len(words), len(self.languages)))
-        packed = np.sort(np.array(edges, np.int64))
-        end_of, start_of, text_of, row_of = packed >> 52, packed >> 44 & 255, packed >> 22 & 0x3FFFFF, packed & 0x3FFFFF
+        end_of, start_of, text_of, row_of = self._edges(texts)
         sizes = np.fromiter(map(len, texts), np.int64)
         alpha = np.zeros((int(sizes.max()) + 1, len(texts), len(self.languages)))
         alpha[0] = 1.0
