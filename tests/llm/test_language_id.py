@@ -50,3 +50,19 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = L.predict(L.held_out(docs), L.train(docs)).where("held_out")
     assert found.where("lang_pred = lang").count() >= 0.98 * found.count()
+
+
+def test_long_runs_are_summed_whole_and_never_underflow():
+    pieces = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4, "aba": 5, "漢": 6, "字": 7}
+    counts = np.array([[1e8, 2e8], [3e8, 1e8], [1e8, 1e8], [2e8, 1e8], [1e7, 1e7], [4e8, 1e8], [0, 0], [0, 0]]) + L.SMOOTHING
+    grid = counts / counts.sum(axis=0)
+    model = L.Model(["x", "y"], np.log([0.5, 0.5]), pieces, grid)
+    words = ["ab" * 60 + "aab", "漢字" * 400, "a", "ab" * 20 + "漢字" * 30 + "aba" * 50]
+    got = model.likelihoods(words)
+    for i, w in enumerate(words):
+        for k in range(2):
+            text, sums = "▁" + w, [0.0]
+            for end in range(1, len(text) + 1):
+                last = [sums[end - n] + math.log(grid[pieces[text[end - n : end]], k]) for n in range(1, min(3, end) + 1) if text[end - n : end] in pieces]
+                sums.append(float(np.logaddexp.reduce(last)))
+            assert abs(got[i, k] - sums[-1]) < 1e-9 * abs(sums[-1])

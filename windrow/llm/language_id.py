@@ -24,8 +24,10 @@ from windrow.llm.common import fold, table
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
-#: A longer run of letters is scored in parts of this many, so that probabilities stay above the smallest double.
-LONGEST = 40
+#: Places of all words that the forward algorithm works through at once, with the last ones carried over to the next.
+SLICE = 40
+#: After so many places the forward sums are scaled to a largest one of 1, the factor kept as a logarithm.
+RESCALE = 4
 #: Probability of a letter that is no piece, in each language.
 UNKNOWN = 1e-6
 #: Added to each piece's count.
@@ -45,13 +47,6 @@ def words_of(text: str | None) -> list[str]:
     return LETTERS.findall((text or "").lower())
 
 
-def _parts(word: str) -> list[str]:
-    """The marked word, cut if it is very long; only the first part bears the mark."""
-    if len(word) <= LONGEST:
-        return [MARK + word]
-    return [MARK * (i == 0) + word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
-
-
 @dataclass
 class Model:
     """languages, sorted; log_prior by language; pieces to rows of `probability` (pieces x languages)."""
@@ -75,6 +70,7 @@ class Model:
                     rows.append(-1)
             rows[node] = row
         self._row = np.array(rows)
+        self._longest = max(map(len, self.pieces), default=1)
         self._keys = np.array(sorted(children), np.int64)
         self._child = np.array([children[k] for k in self._keys.tolist()], np.int64)
         self._slots = np.full(1 << SLOT_BITS, -1, np.int32)
@@ -127,26 +123,35 @@ class Model:
 
         A letter that no piece covers alone counts as an unknown piece, so every word has a segmentation.
         """
-        owner, texts = [], []
-        for i, w in enumerate(words):
-            for part in _parts(w):
-                owner.append(i)
-                texts.append(part)
-        if not texts:
-            return np.zeros((len(words), len(self.languages)))
-        end_of, start_of, text_of, row_of = self._edges(texts)
+        out = np.zeros((len(words), len(self.languages)))
+        if not words:
+            return out
+        order = np.argsort([-len(w) for w in words], kind="stable")  # longest first: those that go on come before those at their end
+        texts = [MARK + words[i] for i in order]
         sizes = np.fromiter(map(len, texts), np.int64)
-        alpha = np.zeros((int(sizes.max()) + 1, len(texts), len(self.languages)))
+        ring = self._longest + 1
+        alpha = np.zeros((ring, len(texts), len(self.languages)))
         alpha[0] = 1.0
-        cuts = np.searchsorted(end_of, np.arange(1, len(alpha) + 1))
-        for end in range(1, len(alpha)):
-            part = slice(cuts[end - 1], cuts[end])
-            gain = alpha[start_of[part], text_of[part]] * self._p[row_of[part]]
-            for k in range(gain.shape[1]):
-                alpha[end, :, k] = np.bincount(text_of[part], gain[:, k], len(texts))
-        done = np.log(alpha[sizes, np.arange(len(texts))])
-        first = np.searchsorted(owner, np.arange(len(words)))
-        out = np.add.reduceat(done, first, axis=0)
+        scale = np.zeros(alpha.shape[1:])
+        for done in range(0, int(sizes[0]), SLICE):
+            back = max(0, done - self._longest + 1)
+            live = texts[: np.searchsorted(-sizes, -done)]
+            end_of, start_of, text_of, row_of = self._edges([t[back : done + SLICE] for t in live])
+            end_of, start_of = end_of + back, start_of + back
+            ends = np.arange(done + 1, min(done + SLICE, int(sizes[0])) + 1)
+            cuts = np.searchsorted(end_of, np.append(ends, ends[-1] + 1))
+            for k, end in enumerate(ends.tolist()):
+                part = slice(cuts[k], cuts[k + 1])
+                n, on = np.searchsorted(-sizes, -end, "right"), np.searchsorted(-sizes, -end)
+                gain = alpha[start_of[part] % ring, text_of[part]] * self._p[row_of[part]]
+                now = alpha[end % ring]
+                for c in range(gain.shape[1]):
+                    now[:n, c] = np.bincount(text_of[part], gain[:, c], n)
+                out[order[on:n]] = np.log(now[on:n]) + scale[on:n]
+                if on and end % RESCALE == 0:
+                    top = alpha[:, :on].max(axis=0)
+                    alpha[:, :on] /= top
+                    scale[:on] += np.log(top)
         return out
 
 
