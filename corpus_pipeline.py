@@ -38,8 +38,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the mix takes, with size, source_size, target, copies and taken (copies x size)."""
-    found = mixing.mix(docs).where("copies > 0").withColumnRenamed("doc_id", "_id").drop("source")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    key = F.struct("doc_id", F.xxhash64("text", F.col("text").isNull()).alias("text"))  # ids may repeat or be null; not with one text
+    found = mixing.mix(docs.withColumn("doc_id", key)).where("copies > 0").withColumnRenamed("doc_id", "_key").drop("source")
+    return docs.withColumn("_own", key).join(found, F.col("_own") == F.col("_key")).drop("_own", "_key")
 
 
 STAGES = [

@@ -75,3 +75,10 @@ def test_null_rows(spark, tmp_path):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     got = {(r.doc_id, r.source) for r in P.run(spark, str(tmp_path)).collect()}
     assert (2, "a") in got and (3, None) not in got and not {(0, None), (1, "a")} & got
+
+
+def test_mixing_keeps_rows_with_null_and_repeated_ids_apart(spark):
+    rows = [(d, f"words of text number {i} in the corpus", "en", "a", 1) for i, d in enumerate([None, None, None, 4, 4, 5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.text for r in P.mixed(spark, docs, D).collect()]
+    assert len(got) == len(set(got)) > 0

@@ -75,3 +75,13 @@ def test_keep_first(spark):
     docs = spark.createDataFrame([(3, "a b c d", "x"), (2, "a b c d", "y"), (5, "other words here now", "z")], "doc_id long, text string, source string")
     got = S.keep_first(docs)
     assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == {2, 5}
+
+
+def test_keep_first_takes_one_row_of_each_component(spark):
+    rows = [(None, "a b c d", "x"), (None, "other words here now", "x"), (None, "third text of five words", "x"), (None, "third text of five words", "y")]
+    rows += [(7, "one id and this text", "x"), (7, "same id but another sentence", "x"), (9, "has an id of its own", "x"), (None, "has an id of its own", "x")]
+    rows += [(12, "the very same row twice", "x")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r.doc_id, r.text) for r in S.keep_first(docs).collect()]
+    want = {(d, t) for d, t, _ in rows} - {(None, "has an id of its own")}
+    assert set(got) == want and len(got) == len(want)

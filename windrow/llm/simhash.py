@@ -121,6 +121,12 @@ def components(pairs: DataFrame) -> DataFrame:
         before = now
 
 
+def _rooted(classes: DataFrame) -> DataFrame:
+    """Rows of classes, which has distinct values of column fp, with root: the same for all that the links connect."""
+    joined = components(links(classes.select("fp")))
+    return classes.join(joined, classes["fp"] == joined["node"], "left").select(*classes.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) for each row of docs.
 
@@ -129,19 +135,21 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Repeated rows stay; an empty table gives an empty one.
     """
     rows = checkpointed(docs.select(F.col(id_col).alias("_id"), fingerprints(F.col(text_col)).alias("fp")))
-    classes = checkpointed(rows.groupBy("fp").agg(F.min("_id").alias("least")))
-    joined = components(links(classes.select("fp")))
-    rooted = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(checkpointed(rows.groupBy("fp").agg(F.min("_id").alias("least"))))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     final = rooted.join(best, "root").select("fp", "component_id")
     return rows.join(final, "fp").select(F.col("_id").alias(id_col), hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one row for each component: that of the smallest doc_id (null ids stay where no other has one)."""
-    found = classify(docs).select(F.col("doc_id").alias("_d"), "component_id").distinct()
-    keep = found.where(F.col("_d").eqNullSafe(F.col("component_id"))).select("_d")
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").dropDuplicates(["doc_id"])
+    """docs with exactly one row for each component: that of the smallest doc_id, null ids last, ties by a hash of the row."""
+    whole = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])  # hashes skip nulls
+    rows = checkpointed(docs.select("doc_id", whole.alias("_hash"), fingerprints(F.col("text")).alias("fp")))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("_d"), F.col("_hash").alias("_h"))
+    rooted = _rooted(checkpointed(rows.groupBy("fp").agg(F.min(rank).alias("first"))))
+    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("root").alias("_root"), "first._d", "first._h")
+    found = docs.withColumn("_hash", whole).join(keep, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")))
+    return found.dropDuplicates(["_root"]).select(*docs.columns)  # rows of one root are the same in all columns
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
