@@ -102,3 +102,17 @@ def test_nothing_to_learn_and_bounded_trie(spark):
 def test_beats_the_base_on_held_out_text(spark):
     got = L.query(spark, "/root/testdata/sf0.01").where("held_out").groupBy().sum("score", "base_score").first()
     assert got[0] > got[1]
+
+
+def test_scores_stay_the_same_where_the_trie_is_too_large_to_share(spark):
+    texts = corpus()[:-1]
+    train = spark.createDataFrame([(t,) for t in texts[:40]], "text string")
+    docs = spark.createDataFrame([*enumerate(texts), (None, "abra")], "doc_id long, text string")
+    counts = slow_counts([L.lowered(t) for t in texts[:40]], 3)
+    for leaves in (1, 40, 70):
+        assert L.shared_tables(L.order_counts(train, 3), leaves)[1] is not None
+        got = L.score(docs, train, order=3, leaves=leaves).collect()
+        assert len(got) == len(texts) + 1
+        for r in got:
+            text = "abra" if r.doc_id is None else texts[r.doc_id]
+            assert abs(r.score - slow_ppm(L.lowered(text), counts, 3)) < 1e-9

@@ -9,16 +9,17 @@ exclusion takes from the suffix's counts is one number for each context, so scor
 
 Texts are lower-cased (A-Z), taken as UTF-8 and closed by one end symbol, a byte that UTF-8 never has.
 
-Counting takes grouped sums over the whole corpus. The trie goes to all tasks: it has at most LEAVES entries for each
-order, as rarer entries of an order are left out if there are more (shorter contexts then predict those bytes). Unigram
-counts grow with the corpus: the HEAD most frequent tokens go to all tasks, and each text's other tokens are joined
+Counting takes grouped sums over the whole corpus. The trie goes to all tasks while each order has at most LEAVES
+entries. Where orders have more, the tasks get the other orders and the probabilities of the highest order's most
+frequent grams; the distinct grams that are none of these are joined with the counts of the large orders by shuffles, so
+every gram is scored from the whole trie. Unigram counts grow with the corpus: the HEAD most frequent tokens go to all tasks, and each text's other tokens are joined
 with the counts by a shuffle, so every token gets its exact count.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -136,6 +137,61 @@ class Order:
     taken: np.ndarray
 
 
+class Head:
+    """Grams of the highest order with their log10 probabilities, and a table that finds most of them at once."""
+
+    BITS = 22
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self._slots = np.zeros(1 << self.BITS, np.int32)
+        self._slots[self._slot(self.keys)] = np.arange(len(keys))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
+
+    def quick(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, hit) of each gram; some of those that are there are no hits."""
+        at = self._slots[self._slot(keys)]
+        return at, self.keys[at] == keys
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, hit) of each gram."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at, hit = self.quick(keys)
+        rest = np.flatnonzero(~hit)
+        at[rest] = np.minimum(np.searchsorted(self.keys, keys[rest]), len(self.keys) - 1)
+        hit[rest] = self.keys[at[rest]] == keys[rest]
+        return at, hit
+
+
+def descend(keys: np.ndarray, top: int, look: Callable) -> np.ndarray:
+    """log10 probability of each gram of order `top`.
+
+    look(order, places, grams) gives for the grams, cut to the order, whether their context is known, its total,
+    followers and taken (anything where it isn't), and the gram's own count (0 if it was never seen).
+    """
+    out = np.zeros(len(keys))
+    rest, left = np.arange(len(keys)), keys
+    excluded = np.zeros(len(rest))  # counts that the last known context takes from this order
+    gone = np.zeros(len(rest))  # and its number of followers
+    for k in range(top, -1, -1):
+        left = left & ((1 << 8 * (k + 1)) - 1)
+        known, total, followers, taken, count = look(k, rest, left)
+        space = np.where(known, total - excluded, 0.0)
+        found = count > 0
+        out[rest[found]] += np.log10((count[found] - DISCOUNT) / space[found])
+        escape = known & ~found & (space > 0)
+        out[rest[escape]] += np.log10(DISCOUNT * (followers[escape] - gone[escape]) / space[escape])
+        excluded = np.where(known, taken, excluded)[~found]
+        gone = np.where(known, followers, gone)[~found]
+        rest, left = rest[~found], left[~found]
+    out[rest] -= np.log10(np.maximum(1, SYMBOLS - gone))
+    return out
+
+
 class Trie:
     """PPM tables of orders 0 to len(tables) - 1, from (keys, counts) of each order."""
 
@@ -152,47 +208,25 @@ class Trie:
                 at = np.searchsorted(below.keys, keys & ((1 << 8 * k) - 1))
                 taken = np.bincount(node_of, below.count[at], len(contexts))
             self.orders.append(Order(keys, n, node_of, contexts, total, followers, taken))
-        self._quick()
-
-    def _quick(self) -> None:
-        """For the highest order: log10 probability of each entry, and a table that finds most entries at once."""
         top = self.orders[-1]
-        self._top = np.log10((top.count - DISCOUNT) / top.total[top.node_of]) if len(top.keys) else np.zeros(0)
-        self._bits = 22
-        self._slots = np.zeros(1 << self._bits, np.int32)
-        self._slots[self._slot(top.keys)] = np.arange(len(top.keys))
+        self._head = Head(top.keys, np.log10((top.count - DISCOUNT) / top.total[top.node_of]) if len(top.keys) else np.zeros(0))
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)
+    def look(self, k: int, left: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What descend() asks of order k."""
+        own = self.orders[k]
+        node = np.minimum(np.searchsorted(own.contexts, left >> 8), len(own.contexts) - 1)
+        entry = np.minimum(np.searchsorted(own.keys, left), len(own.keys) - 1)
+        count = np.where(own.keys[entry] == left, own.count[entry], 0.0)
+        return own.contexts[node] == left >> 8, own.total[node], own.followers[node], own.taken[node], count
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each gram of the highest order."""
         out = np.zeros(len(keys))
-        top = self.orders[-1]
-        if not len(top.keys):
+        if not len(self._head.keys):
             return out - np.log10(SYMBOLS)
-        at = self._slots[self._slot(keys)]
-        hit = top.keys[at] == keys
-        out[hit] = self._top[at[hit]]
-        rest = np.flatnonzero(~hit)
-        left = keys[rest]
-        excluded = np.zeros(len(rest))  # counts that the last known context takes from this order
-        gone = np.zeros(len(rest))  # and its number of followers
-        for k in range(len(self.orders) - 1, -1, -1):
-            own = self.orders[k]
-            left = left & ((1 << 8 * (k + 1)) - 1)
-            node = np.minimum(np.searchsorted(own.contexts, left >> 8), len(own.contexts) - 1)
-            known = own.contexts[node] == left >> 8
-            space = np.where(known, own.total[node] - excluded, 0.0)
-            entry = np.minimum(np.searchsorted(own.keys, left), len(own.keys) - 1)
-            found = own.keys[entry] == left
-            out[rest[found]] += np.log10((own.count[entry[found]] - DISCOUNT) / space[found])
-            escape = known & ~found & (space > 0)
-            out[rest[escape]] += np.log10(DISCOUNT * (own.followers[node[escape]] - gone[escape]) / space[escape])
-            excluded = np.where(known, own.taken[node], excluded)[~found]
-            gone = np.where(known, own.followers[node], gone)[~found]
-            rest, left = rest[~found], left[~found]
-        out[rest] -= np.log10(np.maximum(1, SYMBOLS - gone))
+        at, hit = self._head.quick(keys)
+        out[hit] = self._head.values[at[hit]]
+        out[~hit] = descend(keys[~hit], self.order, lambda k, _, left: self.look(k, left))
         return out
 
     @property
@@ -205,29 +239,100 @@ class Trie:
         return np.bincount(owner, self.log10(keys), len(texts))
 
 
-def trie_tables(texts: DataFrame, order: int = ORDER, leaves: int = LEAVES) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(keys, counts) of each order over all rows of (text), for Trie. Of an order with more than `leaves` entries, those stay whose count is at least
-    the smallest power of two that leaves so few; contexts of the other orders keep their whole counts."""
+def order_counts(texts: DataFrame, order: int = ORDER) -> list[DataFrame]:
+    """(key, n) of each order from 0 on, over all rows of (text)."""
     counts = checkpointed(gram_counts(texts, order))
+    return [counts.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")) for k in range(order + 1)]
+
+
+def least_count(own: DataFrame, leaves: int) -> int:
+    """1 if the order has at most `leaves` entries, else the smallest power of two that so few entries' counts reach."""
+    sizes = own.groupBy(F.floor(F.log2("n")).alias("e")).count().collect()  # 63 rows at most
+    least = 1
+    while sum(r["count"] for r in sizes if 2 ** r["e"] >= least) > leaves:
+        least *= 2
+    return least
+
+
+def _fetched(own: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    got = own.where(F.col("n") >= least).toArrow()  # `leaves` rows at most
+    return got["key"].to_numpy(), got["n"].to_numpy()
+
+
+def trie_tables(texts: DataFrame, order: int = ORDER, leaves: int = LEAVES) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(keys, counts) of each order's most frequent entries, `leaves` of an order at most, for a Trie without the others."""
+    return [_fetched(own, least_count(own, leaves)) for own in order_counts(texts, order)]
+
+
+def shared_tables(orders: list[DataFrame], leaves: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray] | None]:
+    """(keys, counts) of the orders up to the first with over `leaves` entries (order 0 has 256), and where there is one,
+    (keys, log10 probabilities) of the most frequent grams of the highest order."""
     tables = []
-    for k in range(order + 1):
-        own = counts.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        least = 1
-        if k == order or 256 ** (k + 1) > leaves:
-            sizes = own.groupBy(F.floor(F.log2("n")).alias("e")).count().collect()  # 63 rows at most
-            while sum(r["count"] for r in sizes if 2 ** r["e"] >= least) > leaves:
-                least *= 2
-        got = own.where(F.col("n") >= least).toArrow()  # `leaves` rows at most
-        tables.append((got["key"].to_numpy(), got["n"].to_numpy()))
-    return tables
+    for k, own in enumerate(orders):
+        # no order has fewer entries than the one below, so all from here on are large
+        if k and 256 ** (k + 1) > leaves and least_count(own, leaves) > 1:
+            top = orders[-1]
+            context = F.shiftrightunsigned("key", 8).alias("context")
+            totals = top.groupBy(context).agg(F.sum("n").alias("total"))
+            frequent = top.where(F.col("n") >= least_count(top, leaves)).select("key", "n", context)
+            got = frequent.join(totals, "context").select("key", F.log10((F.col("n") - DISCOUNT) / F.col("total")).alias("p")).toArrow()
+            return tables, (got["key"].to_numpy(), got["p"].to_numpy())
+        tables.append(_fetched(own, 1))
+    return tables, None
+
+
+def gram_scores(grams: DataFrame, orders: list[DataFrame], small: int, trie: Callable[[], Trie]) -> DataFrame:
+    """(key, p): the log10 probability of each row of (key). Orders from `small` on are joined; trie() has the others."""
+    highest = len(orders) - 1
+    for k in range(small, highest + 1):
+        cut = F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+        below = orders[k - 1].select(F.col("key").alias("_below"), F.col("n").alias("_m"))
+        own = orders[k].join(below, F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1)) == F.col("_below"))
+        nodes = own.groupBy(F.shiftrightunsigned("key", 8).alias("_context")).agg(
+            F.sum("n").alias(f"total{k}"), F.count("*").alias(f"followers{k}"), F.sum("_m").alias(f"taken{k}")
+        )
+        entries = orders[k].select(F.col("key").alias("_key"), F.col("n").alias(f"count{k}"))
+        grams = grams.join(nodes, F.shiftrightunsigned(cut, 8) == F.col("_context"), "left").drop("_context")
+        grams = grams.join(entries, cut == F.col("_key"), "left").drop("_key")
+    columns = [c for c in grams.columns if c != "key"]
+    grams = grams.select("key", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low = trie()
+        for batch in batches:
+            at = {c: batch[c].to_numpy() for c in batch.columns}
+
+            def look(k: int, rest: np.ndarray, left: np.ndarray, at: dict[str, np.ndarray] = at) -> tuple[np.ndarray, ...]:
+                if k < small:
+                    return low.look(k, left)
+                total, followers, taken, count = (at[f"{c}{k}"][rest] for c in ("total", "followers", "taken", "count"))
+                return total > 0, total, followers, taken, count
+
+            yield pd.DataFrame({"key": at["key"], "p": descend(at["key"], highest, look)})
+
+    return grams.mapInPandas(scored, "key long, p double")
 
 
 SCORED = T.StructType([
     T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()),
     T.StructField("tail", T.ArrayType(T.StructType().add("token", "string").add("times", "long"))),
+    T.StructField("grams", T.ArrayType(T.StructType().add("key", "long").add("times", "long"))),
 ])
 
 
+def _head_scores(texts: list[bytes], order: int, head: Head) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """Of each text: the sum over its grams in head, and the others as (key, times)."""
+    keys, owner = grams(texts, order)
+    at, hit = head.find(keys)
+    rest: list[list[tuple[int, int]]] = [[] for _ in texts]
+    missed, of = keys[~hit], owner[~hit]
+    for i, (a, b) in enumerate(zip(np.searchsorted(of, np.arange(len(texts))), np.searchsorted(of, np.arange(len(texts)), "right"), strict=True)):
+        if a < b:
+            found, times = np.unique(missed[a:b], return_counts=True)
+            rest[i] = list(zip(found.tolist(), times.tolist(), strict=True))
+    return np.bincount(owner[hit], head.values[at[hit]], len(texts)), rest
+
+
 def score(docs: DataFrame, train: DataFrame, order: int = ORDER, leaves: int = LEAVES, head: int = HEAD) -> DataFrame:
     """docs without text, with n_tokens, n_known, train_tokens, base_score and score; train is (text).
 
@@ -236,24 +341,32 @@ def score(docs: DataFrame, train: DataFrame, order: int = ORDER, leaves: int = L
     """
     docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
     spark = docs.sparkSession
-    tables = trie_tables(train, order, leaves)
+    orders = order_counts(train, order)
+    tables, frequent = shared_tables(orders, leaves)
     counts = checkpointed(token_counts(train))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     first = counts.orderBy(F.desc("n"), "token").limit(head).toArrow()  # HEAD rows at most
     space = total + ADDED * (distinct + 1)
     logs = np.log10((first["n"].to_numpy() + ADDED) / space).tolist()
     known = {t.encode("utf-8", "surrogatepass"): p for t, p in zip(first["token"].to_pylist(), logs, strict=True)}
-    shared = spark.sparkContext.broadcast({"tables": tables, "known": known})
+    shared = spark.sparkContext.broadcast({"tables": tables, "frequent": frequent, "known": known})
+
+    def trie() -> Trie:
+        model = shared.value
+        model["trie"] = model.get("trie") or Trie(model["tables"])  # kept for the worker's next tasks
+        return model["trie"]
 
     @F.pandas_udf(SCORED)
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        own = model.setdefault("trie", None) or Trie(model["tables"])  # kept for the worker's next tasks
-        model["trie"], known = own, model["known"]
+        known = model["known"]
+        if model["frequent"]:
+            model["head"] = model.get("head") or Head(*model["frequent"])
         for batch in texts:
             rows = []
             for part in _chunks(list(batch)):
-                for text, ppm in zip(part, own.score(part).tolist(), strict=True):
+                sums, missed = _head_scores(part, order, model["head"]) if model["frequent"] else (trie().score(part), [[]] * len(part))
+                for text, ppm, more in zip(part, sums.tolist(), missed, strict=True):
                     words = text.split()
                     words.append(b"")
                     base, n, tail = 0.0, 0, []
@@ -264,7 +377,7 @@ def score(docs: DataFrame, train: DataFrame, order: int = ORDER, leaves: int = L
                         else:
                             base += p * times
                             n += times
-                    rows.append((len(words), n, base, ppm, tail))
+                    rows.append((len(words), n, base, ppm, tail, more))
             yield pd.DataFrame(rows, columns=SCORED.names)
 
     kept = [c for c in docs.columns if c != "text"]
@@ -275,9 +388,15 @@ def score(docs: DataFrame, train: DataFrame, order: int = ORDER, leaves: int = L
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("_known"),
         F.sum(F.col("times") * F.log10((F.col("n") + ADDED) / space)).alias("_base"),
     )
+    ppm = F.col("_s.score")
+    if frequent:
+        missed = rows.select("_row", F.explode("_s.grams").alias("g")).select("_row", "g.*")
+        found = missed.join(gram_scores(missed.select("key").distinct(), orders, len(tables), trie), "key")
+        rest = rest.join(found.groupBy("_row").agg(F.sum(F.col("times") * F.col("p")).alias("_ppm")), "_row", "full")
+        ppm = ppm + F.coalesce("_ppm", F.lit(0.0))
     return rows.join(rest, "_row", "left").select(
         *kept, F.col("_s.n_tokens").alias("n_tokens"), (F.col("_s.n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("_s.base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"), F.col("_s.score").alias("score"),
+        (F.col("_s.base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"), ppm.alias("score"),
     )
 
 
