@@ -59,3 +59,25 @@ def test_finds_against_brute_force(spark):
 
 def test_empty(spark):
     assert S.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_containment_counts_all_shingles_of_the_template(spark, monkeypatch):
+    templates = S.TEMPLATES | {"seven": "n0 n1 n2 n3 n4 n5 n6 n7 n8 n9 n10"}
+    texts = ["n0 n1 n2 n3 n4 n5 n6 and n4 n5 n6 n7 n8 n9 n10"]
+    for at in range(29):
+        w = words(S.TEMPLATES["GPL-notice"])
+        w[at] = "changed"
+        texts.append("before it " + " ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {}
+    for i, text in enumerate(texts):
+        for name, template in templates.items():
+            t = set(grams(words(template)))
+            if len(t & set(grams(words(text)))) >= 0.8 * len(t):
+                want[i, name] = len(t & set(grams(words(text)))) / len(t)
+    assert len(want) == 30
+    for most in (S.MAX_KEYS, 3):  # with the index in the plan, and joined by a shuffle
+        monkeypatch.setattr(S, "MAX_KEYS", most)
+        got = S.scan(docs, templates).collect()
+        assert {(r.doc_id, r.license): r.containment for r in got} == want and len(got) == len(want)
+        assert next((r.n_windows, r.first_word) for r in got if r.license == "seven") == (0, 0)

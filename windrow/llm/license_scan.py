@@ -5,8 +5,10 @@ shingles (shorter ones stay whole), and texts into all overlapping windows of th
 share a band if the least of their shingle hashes under the band's own order is the same, which has the probability of
 their Jaccard similarity. A part is held if a window has at least CONTAINED of its shingles; each size takes as many
 bands, of one row each, as bring the chance that all of them miss such a window under MISS. With PART shingles or
-fewer, a held part is there whole, so its window is like it, and one band meets for sure. Everything is DataFrame
-expressions: windows without a band in common with any template are dropped inside the scan, before any shuffle.
+fewer, a held part is there whole, so its window is like it, and one band meets for sure. Windows say where and how often
+a license stands; whether it is there is the share of all its distinct shingles that the text has anywhere, counted
+exactly. Everything is DataFrame expressions: windows without a band in common with any template and shingles of no
+template are dropped inside the scan, before any shuffle.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ SHINGLE = 5
 PART = 4
 CONTAINED = 0.8
 MISS = 1e-3
-#: Band values of all templates go into the plan; templates with more are refused.
+#: Up to so many band values and shingles of all templates go into the plan; more are joined by a shuffle.
 MAX_KEYS = 50_000
 
 #: Wording of license notices.
@@ -117,8 +119,8 @@ def parts(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return made.drop("words")
 
 
-def _candidates(hashes: Column, tier: Tier, keys: list[int]) -> Column:
-    """The windows of a text that share a band with any part: array of struct(tier, at, hashes, values)."""
+def _candidates(hashes: Column, tier: Tier, keys: list[int] | None) -> Column:
+    """The windows of a text that share a band with any part (None: all): array of struct(tier, at, hashes, values)."""
     n = F.size(hashes) - (tier.size - 1)
     at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
@@ -129,40 +131,58 @@ def _candidates(hashes: Column, tier: Tier, keys: list[int]) -> Column:
         return first
 
     own = lambda j: F.slice(hashes, j + 1, F.lit(tier.size))
-    return F.transform(F.filter(at, shared), lambda j: F.struct(F.lit(tier.size).alias("tier"), j.alias("at"), own(j).alias("own"), F.array(*tier.values(hashes, j)).alias("values")))
+    return F.transform(at if keys is None else F.filter(at, shared), lambda j: F.struct(F.lit(tier.size).alias("tier"), j.alias("at"), own(j).alias("own"), F.array(*tier.values(hashes, j)).alias("values")))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, license, containment, n_windows, first_word), a row for each license found in a row of docs.
 
-    A window holds a part if it has at least CONTAINED of its distinct shingles. A license is found if the parts held
-    have together at least CONTAINED of the template's distinct shingles: containment is that share, n_windows counts
-    pairs of window and part, first_word is the number of the first such window's first word. Texts without a find,
-    null texts and texts of fewer than five words have no row; rows that repeat an id with the same text are one.
+    A license is found if the text has at least CONTAINED of the template's distinct shingles: containment is that share.
+    A window holds a part if it has at least CONTAINED of its distinct shingles: n_windows counts pairs of window and
+    part, first_word is the number of the first such window's first word (where no window holds a part, of the first
+    shingle that is the template's). Texts without a find, null texts and texts of fewer than five words have no row;
+    rows that repeat an id with the same text are one.
     """
     spark = docs.sparkSession
     made = parts(spark, templates)
     keys: dict[int, set[int]] = {t.size: set() for t in TIERS}
-    for r in made.select("tier", "values").collect():  # the templates are the caller's own list
+    grams: set[int] = set()
+    for r in made.select("tier", "hashes", "values").collect():  # the templates are the caller's own list
         keys[r["tier"]] |= set(r["values"])
-    if sum(map(len, keys.values())) > MAX_KEYS:
-        raise ValueError(f"the templates have more than {MAX_KEYS} band values")
+        grams |= set(r["hashes"])
+    few = max(sum(map(len, keys.values())), len(grams)) <= MAX_KEYS
+    small = F.broadcast if few else lambda df: df  # at most MAX_KEYS rows
     hashed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), words_of(F.col(text_col)).alias("words"))
     hashed = hashed.select("_id", "_text", shingles(F.col("words")).alias("hashes"))
-    found = F.concat(*[_candidates(F.col("hashes"), t, sorted(keys[t.size])) for t in TIERS if keys[t.size]])
-    windows = hashed.select("_id", "_text", F.explode(found).alias("w")).select("_id", "_text", "w.*")
-    banded = windows.select("_id", "_text", "tier", "at", "own", F.posexplode("values").alias("band", "value"))
-    index = made.select("license", "total", "tier", "part", "hashes", F.posexplode("values").alias("band", "value"))
-    pairs = banded.join(F.broadcast(index), ["tier", "band", "value"])  # at most MAX_KEYS rows
-    common = F.array_intersect("hashes", "own")
-    held = pairs.withColumn("common", common).where(F.size("common") >= CONTAINED * F.size("hashes"))
-    once = held.dropDuplicates(["_id", "_text", "license", "part", "at"])
-    each = once.select("_id", "_text", "license", "total", "part", "at", F.explode("common").alias("hash"))
-    sums = each.groupBy("_id", "_text", "license", "total").agg(
-        F.countDistinct("hash").alias("n"), F.countDistinct("part", "at").alias("n_windows"), F.min("at").cast("long").alias("first_word")
+
+    places = F.transform("hashes", lambda h, i: F.struct(h.alias("hash"), i.alias("place")))
+    own = F.filter(places, lambda x: x["hash"].isin(sorted(grams))) if few else places
+    found = F.concat(*[_candidates(F.col("hashes"), t, sorted(keys[t.size]) if few else None) for t in TIERS if keys[t.size]])
+    # a row has either a shingle or a window; the plan reads the texts once for each
+    shape = "array<struct<gram:struct<hash:bigint,place:int>,w:struct<tier:int,at:int,own:array<bigint>,values:array<bigint>>>>"
+    either = F.concat(
+        F.transform(own, lambda g: F.struct(g.alias("gram"), F.lit(None).alias("w"))).cast(shape),
+        F.transform(found, lambda w: F.struct(F.lit(None).alias("gram"), w.alias("w"))).cast(shape),
     )
+    rows = hashed.select("_id", "_text", F.explode(either).alias("e")).select("_id", "_text", "e.*")
+
+    index = made.select("license", "total", F.explode("hashes").alias("hash")).distinct()
+    hits = rows.where(F.col("gram").isNotNull()).select("_id", "_text", "gram.*").join(small(index), "hash")
+    sums = hits.groupBy("_id", "_text", "license", "total").agg(F.countDistinct("hash").alias("n"), F.min("place").alias("place"))
     kept = sums.where(F.col("n") >= CONTAINED * F.col("total"))
-    return kept.select(F.col("_id").alias(id_col), "license", (F.col("n") / F.col("total")).alias("containment"), "n_windows", "first_word")
+
+    banded = rows.where(F.col("w").isNotNull()).select("_id", "_text", "w.*")
+    banded = banded.select("_id", "_text", "tier", "at", "own", F.posexplode("values").alias("band", "value"))
+    bands = made.select("license", "tier", "part", "hashes", F.posexplode("values").alias("band", "value"))
+    pairs = banded.join(small(bands), ["tier", "band", "value"])
+    held = pairs.where(F.size(F.array_intersect("hashes", "own")) >= CONTAINED * F.size("hashes"))
+    windows = held.groupBy(F.col("_id").alias("_d"), F.col("_text").alias("_t"), F.col("license").alias("_l")).agg(
+        F.countDistinct("part", "at").alias("n_windows"), F.min("at").alias("at")
+    )
+    same = F.col("_id").eqNullSafe(F.col("_d")) & F.col("_text").eqNullSafe(F.col("_t")) & (F.col("license") == F.col("_l"))
+    return kept.join(windows, same, "left").select(
+        F.col("_id").alias(id_col), "license", (F.col("n") / F.col("total")).alias("containment"), F.coalesce("n_windows", F.lit(0)).alias("n_windows"), F.coalesce("at", "place").cast("long").alias("first_word")
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
