@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder.
+    """The session's checkpoint folder, or where it has none the one that spark.checkpoint.dir names.
 
-    Where none is set, spark.checkpoint.dir is; where that is unset too (in tests), a folder of this machine.
+    Where that is unset too, a folder of this machine will do if the whole of Spark runs in this process; else ValueError.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        own = os.path.join(tempfile.gettempdir(), "checkpoints")
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if own is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(own or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return sc.getCheckpointDir()
 
 
@@ -24,3 +27,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder, without the lineage that made them."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder as Parquet and read again: for wide or many rows, as checkpoints are not compressed."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
