@@ -46,22 +46,37 @@ def corpus():
     return [*texts, None, "", "q", "zzz abra ÿ\x00", "new words here", "abra " * 20_000]
 
 
-def test_trie_against_brute_force():
+def test_gram_scores_against_brute_force(spark):
     texts = [L.lowered(t) for t in corpus()]
     train, order = texts[:40], 3
     counts = slow_counts(train, order)
-    tables = []
-    for k in range(order + 1):
+    orders = L.trie(spark.createDataFrame([(t,) for t in corpus()[:40]], "text string"), order)
+    for k, own in enumerate(orders):
         flat = {int.from_bytes(c + bytes([b]), "big"): n for c, f in counts[k].items() for b, n in f.items()}
-        tables.append((np.array(list(flat)), np.array(list(flat.values()))))
-    trie = L.Trie(tables)
-    got = trie.score(texts[:-1])
-    for t, s in zip(texts[:-1], got, strict=True):
+        assert {r["key"]: r["count"] for r in own.entries.collect()} == flat
+    keys, owner = L.grams(texts, order)
+    # besides the texts' own grams, all bytes after some contexts: their probabilities sum to one
+    befores = [int.from_bytes(c, "big") << 8 for c in (b"abr", b"zzz", b"a b", b"\xff\xff\xff", b"q\xc3a")]
+    asked = np.unique(np.concatenate([keys, *[b + np.arange(256) for b in befores]]))
+    rows = L.gram_scores(spark.createDataFrame([(int(k),) for k in asked], "key long"), orders).collect()
+    p = {r["key"]: r["p"] for r in rows}
+    assert len(rows) == len(asked)
+    for b in befores:
+        assert abs(sum(10 ** p[b + i] for i in range(256)) - 1) < 1e-9
+    got = np.bincount(owner, [p[int(k)] for k in keys])
+    for t, s in zip(texts[:-1], got, strict=False):
         assert abs(s - slow_ppm(t, counts, order)) < 1e-9
-    # the probabilities of all bytes after a context sum to one
-    for before in (b"abr", b"zzz", b"a b", b"\xff\xff\xff", b"q\xc3a"):
-        base = int.from_bytes(before, "big") << 8
-        assert abs((10 ** trie.log10(base + np.arange(256))).sum() - 1) < 1e-9
+
+
+def test_head_finds_its_grams():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 48, 300_000))
+    rng.shuffle(keys)
+    head = L.Head(keys[:200_000], keys[:200_000] / 7)
+    at, hit = head.find(keys)
+    assert hit[:200_000].all() and not hit[200_000:].any()
+    assert (head.values[at[:200_000]] == keys[:200_000] / 7).all()
+    assert not L.Head(keys[:0], keys[:0] / 7).find(keys[:5])[1].any()
 
 
 def test_query_columns_against_definitions(spark):
@@ -87,16 +102,11 @@ def test_query_columns_against_definitions(spark):
                 assert abs(r.score - slow_ppm(L.lowered(t), counts, 3)) < 1e-9
 
 
-def test_nothing_to_learn_and_bounded_trie(spark):
+def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in L.score(docs, docs.limit(0)).collect()}
     assert got[1].base_score == 0.0 and abs(got[1].score + 3 * math.log10(256)) < 1e-9 and got[2].n_tokens == 1
     assert L.score(docs.limit(0), docs).count() == 0
-    texts = spark.createDataFrame([(t,) for t in corpus()], "text string")
-    tables = L.trie_tables(texts, order=3, leaves=40)
-    assert all(len(k) <= 40 for k, _ in tables[1:])
-    trie = L.Trie(tables)
-    assert abs((10 ** trie.log10((int.from_bytes(b"abr", "big") << 8) + np.arange(256))).sum() - 1) < 1e-9
 
 
 def test_beats_the_base_on_held_out_text(spark):
@@ -104,14 +114,19 @@ def test_beats_the_base_on_held_out_text(spark):
     assert got[0] > got[1]
 
 
-def test_scores_stay_the_same_where_the_trie_is_too_large_to_share(spark):
+def test_scores_do_not_depend_on_what_is_shared(spark):
     texts = corpus()[:-1]
     train = spark.createDataFrame([(t,) for t in texts[:40]], "text string")
     docs = spark.createDataFrame([*enumerate(texts), (None, "abra")], "doc_id long, text string")
     counts = slow_counts([L.lowered(t) for t in texts[:40]], 3)
-    for leaves in (1, 40, 70):
-        assert L.shared_tables(L.order_counts(train, 3), leaves)[1] is not None
-        got = L.score(docs, train, order=3, leaves=leaves).collect()
+    top = L.trie(train, 3)[-1]
+    sizes = Counter(n for f in counts[3].values() for n in f.values())
+    for most in (0, 1, 40, 70, 10_000):
+        keys, _ = L.head_grams(top, most)
+        least = L.least_count(top.entries, most)
+        assert len(keys) <= most and len(keys) == sum(m for n, m in sizes.items() if n >= least)
+    for most in (0, 40, 10_000):
+        got = L.score(docs, train, order=3, head_size=most).collect()
         assert len(got) == len(texts) + 1
         for r in got:
             text = "abra" if r.doc_id is None else texts[r.doc_id]

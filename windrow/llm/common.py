@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.storage import checkpointed, shared_folder
+from windrow.storage import checkpointed, shared_folder, stored
 
-__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "checkpointed", "fold", "shared_folder", "table"]
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "checkpointed", "fold", "shared_folder", "stored", "table"]
 
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"

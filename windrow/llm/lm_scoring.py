@@ -9,17 +9,18 @@ exclusion takes from the suffix's counts is one number for each context, so scor
 
 Texts are lower-cased (A-Z), taken as UTF-8 and closed by one end symbol, a byte that UTF-8 never has.
 
-Counting takes grouped sums over the whole corpus. The trie goes to all tasks while each order has at most LEAVES
-entries. Where orders have more, the tasks get the other orders and the probabilities of the highest order's most
-frequent grams; the distinct grams that are none of these are joined with the counts of the large orders by shuffles, so
-every gram is scored from the whole trie. Unigram counts grow with the corpus: the HEAD most frequent tokens go to all tasks, and each text's other tokens are joined
-with the counts by a shuffle, so every token gets its exact count.
+The trie is a set of tables, one of entries and one of contexts for each order, made by grouped sums over the whole
+corpus; no task and no driver ever holds it. Every gram is scored from the whole trie: the probabilities of up to
+HEAD_GRAMS most frequent grams of the highest order go to all tasks, and each text's other grams are joined with the
+tables by shuffles. Unigram counts work alike: up to HEAD most frequent tokens go to all tasks, and each text's other
+tokens are joined with the counts. The two limits bound what is shared; they change no score.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,17 +29,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windrow.llm.common import checkpointed, fold, table
+from windrow.llm.common import fold, stored, table
 
 ORDER = 5
 DISCOUNT = 0.35
 END = 255
 SYMBOLS = 256
-LEAVES = 4_000_000
+#: Most frequent grams and tokens that all tasks get; the others are joined. They move work, not results.
+HEAD_GRAMS = 1 << 20
 HEAD = 100_000
 #: Bytes that a task turns into contexts at once; distinct tokens and contexts it counts before handing them on.
-CHUNK_BYTES = 4_000_000
-HELD = 400_000
+CHUNK_BYTES = 1_000_000
+HELD = 200_000
+HELD_GRAMS = 400_000
+#: Tables of the lowest orders have 256 ^ (order + 1) rows at most; up to this order they are broadcast.
+SMALL_ORDER = 1
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Added to each token's count in the base score. The end of a text is a token, written as the empty word.
 ADDED = 0.1
@@ -65,7 +70,7 @@ def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, owner
 
 
-def _chunks(texts: list[str | None]) -> Iterator[list[bytes]]:
+def _chunks(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
     part: list[bytes] = []
     n = 0
     for t in map(lowered, texts):
@@ -90,11 +95,11 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for chunk in _chunks(list(batch["text"])):
+            for chunk in _chunks(batch["text"]):
                 parts.append(np.unique(grams(chunk, order)[0], return_counts=True))
-                if len(parts) > 1 and sum(len(k) for k, _ in parts) > 4 * HELD:
+                if len(parts) > 1 and sum(len(k) for k, _ in parts) > 4 * HELD_GRAMS:
                     parts = [merged(parts)]
-                    if len(parts[0][0]) > 2 * HELD:
+                    if len(parts[0][0]) > 2 * HELD_GRAMS:
                         yield pd.DataFrame({"key": parts[0][0], "n": parts[0][1]})
                         parts = []
         if parts:
@@ -123,24 +128,10 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Order:
-    """One order's tables, sorted by key. Entries: key, count, node. Nodes: context, sum of counts, number of followers."""
-
-    keys: np.ndarray
-    count: np.ndarray
-    node_of: np.ndarray
-    contexts: np.ndarray
-    total: np.ndarray
-    followers: np.ndarray
-    #: For each node: the counts that its followers have at its suffix.
-    taken: np.ndarray
-
-
 class Head:
-    """Grams of the highest order with their log10 probabilities, and a table that finds most of them at once."""
+    """Grams with their log10 probabilities, and a table that finds most of them at once."""
 
-    BITS = 22
+    BITS = 21
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         order = np.argsort(keys)
@@ -151,189 +142,111 @@ class Head:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
 
-    def quick(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, hit) of each gram; some of those that are there are no hits."""
-        at = self._slots[self._slot(keys)]
-        return at, self.keys[at] == keys
-
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, hit) of each gram."""
         if not len(self.keys):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at, hit = self.quick(keys)
+        at = self._slots[self._slot(keys)]
+        hit = self.keys[at] == keys
         rest = np.flatnonzero(~hit)
         at[rest] = np.minimum(np.searchsorted(self.keys, keys[rest]), len(self.keys) - 1)
         hit[rest] = self.keys[at[rest]] == keys[rest]
         return at, hit
 
 
-def descend(keys: np.ndarray, top: int, look: Callable) -> np.ndarray:
-    """log10 probability of each gram of order `top`.
+@dataclass
+class Order:
+    """One order of the trie. entries: (key, count), what followed which context; nodes: (context, total, followers, taken).
 
-    look(order, places, grams) gives for the grams, cut to the order, whether their context is known, its total,
-    followers and taken (anything where it isn't), and the gram's own count (0 if it was never seen).
+    total and followers sum up a context's entries; taken is the sum of the counts that its followers have at its suffix.
     """
-    out = np.zeros(len(keys))
-    rest, left = np.arange(len(keys)), keys
-    excluded = np.zeros(len(rest))  # counts that the last known context takes from this order
-    gone = np.zeros(len(rest))  # and its number of followers
-    for k in range(top, -1, -1):
-        left = left & ((1 << 8 * (k + 1)) - 1)
-        known, total, followers, taken, count = look(k, rest, left)
-        space = np.where(known, total - excluded, 0.0)
-        found = count > 0
-        out[rest[found]] += np.log10((count[found] - DISCOUNT) / space[found])
-        escape = known & ~found & (space > 0)
-        out[rest[escape]] += np.log10(DISCOUNT * (followers[escape] - gone[escape]) / space[escape])
-        excluded = np.where(known, taken, excluded)[~found]
-        gone = np.where(known, followers, gone)[~found]
-        rest, left = rest[~found], left[~found]
-    out[rest] -= np.log10(np.maximum(1, SYMBOLS - gone))
-    return out
 
+    entries: DataFrame
+    nodes: DataFrame
 
-class Trie:
-    """PPM tables of orders 0 to len(tables) - 1, from (keys, counts) of each order."""
-
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.orders: list[Order] = []
-        for k, (keys, n) in enumerate(tables):
-            order = np.argsort(keys)
-            keys, n = keys[order], n[order].astype(np.float64)
-            contexts, node_of = np.unique(keys >> 8, return_inverse=True)
-            total, followers = np.bincount(node_of, n, len(contexts)), np.bincount(node_of, minlength=len(contexts)).astype(float)
-            taken = np.zeros(len(contexts))
-            if k and len(keys):
-                below = self.orders[k - 1]
-                at = np.searchsorted(below.keys, keys & ((1 << 8 * k) - 1))
-                taken = np.bincount(node_of, below.count[at], len(contexts))
-            self.orders.append(Order(keys, n, node_of, contexts, total, followers, taken))
-        top = self.orders[-1]
-        self._head = Head(top.keys, np.log10((top.count - DISCOUNT) / top.total[top.node_of]) if len(top.keys) else np.zeros(0))
-
-    def look(self, k: int, left: np.ndarray) -> tuple[np.ndarray, ...]:
-        """What descend() asks of order k."""
-        own = self.orders[k]
-        node = np.minimum(np.searchsorted(own.contexts, left >> 8), len(own.contexts) - 1)
-        entry = np.minimum(np.searchsorted(own.keys, left), len(own.keys) - 1)
-        count = np.where(own.keys[entry] == left, own.count[entry], 0.0)
-        return own.contexts[node] == left >> 8, own.total[node], own.followers[node], own.taken[node], count
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram of the highest order."""
-        out = np.zeros(len(keys))
-        if not len(self._head.keys):
-            return out - np.log10(SYMBOLS)
-        at, hit = self._head.quick(keys)
-        out[hit] = self._head.values[at[hit]]
-        out[~hit] = descend(keys[~hit], self.order, lambda k, _, left: self.look(k, left))
-        return out
-
-    @property
-    def order(self) -> int:
-        return len(self.orders) - 1
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text with its end."""
-        keys, owner = grams(texts, self.order)
-        return np.bincount(owner, self.log10(keys), len(texts))
-
-
-def order_counts(texts: DataFrame, order: int = ORDER) -> list[DataFrame]:
-    """(key, n) of each order from 0 on, over all rows of (text)."""
-    counts = checkpointed(gram_counts(texts, order))
-    return [counts.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")) for k in range(order + 1)]
-
-
-def least_count(own: DataFrame, leaves: int) -> int:
-    """1 if the order has at most `leaves` entries, else the smallest power of two that so few entries' counts reach."""
-    sizes = own.groupBy(F.floor(F.log2("n")).alias("e")).count().collect()  # 63 rows at most
-    least = 1
-    while sum(r["count"] for r in sizes if 2 ** r["e"] >= least) > leaves:
-        least *= 2
-    return least
-
-
-def _fetched(own: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    got = own.where(F.col("n") >= least).toArrow()  # `leaves` rows at most
-    return got["key"].to_numpy(), got["n"].to_numpy()
-
-
-def trie_tables(texts: DataFrame, order: int = ORDER, leaves: int = LEAVES) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(keys, counts) of each order's most frequent entries, `leaves` of an order at most, for a Trie without the others."""
-    return [_fetched(own, least_count(own, leaves)) for own in order_counts(texts, order)]
-
-
-def shared_tables(orders: list[DataFrame], leaves: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray] | None]:
-    """(keys, counts) of the orders up to the first with over `leaves` entries (order 0 has 256), and where there is one,
-    (keys, log10 probabilities) of the most frequent grams of the highest order."""
-    tables = []
-    for k, own in enumerate(orders):
-        # no order has fewer entries than the one below, so all from here on are large
-        if k and 256 ** (k + 1) > leaves and least_count(own, leaves) > 1:
-            top = orders[-1]
-            context = F.shiftrightunsigned("key", 8).alias("context")
-            totals = top.groupBy(context).agg(F.sum("n").alias("total"))
-            frequent = top.where(F.col("n") >= least_count(top, leaves)).select("key", "n", context)
-            got = frequent.join(totals, "context").select("key", F.log10((F.col("n") - DISCOUNT) / F.col("total")).alias("p")).toArrow()
-            return tables, (got["key"].to_numpy(), got["p"].to_numpy())
-        tables.append(_fetched(own, 1))
-    return tables, None
-
-
-def gram_scores(grams: DataFrame, orders: list[DataFrame], small: int, trie: Callable[[], Trie]) -> DataFrame:
-    """(key, p): the log10 probability of each row of (key). Orders from `small` on are joined; trie() has the others."""
-    highest = len(orders) - 1
-    for k in range(small, highest + 1):
+
+def trie(texts: DataFrame, order: int = ORDER) -> list[Order]:
+    """The orders from 0 on, counted over all rows of (text)."""
+    entries = [stored(gram_counts(texts, order).withColumnRenamed("n", "count"))]
+    for k in range(order - 1, -1, -1):
         cut = F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
-        below = orders[k - 1].select(F.col("key").alias("_below"), F.col("n").alias("_m"))
-        own = orders[k].join(below, F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1)) == F.col("_below"))
-        nodes = own.groupBy(F.shiftrightunsigned("key", 8).alias("_context")).agg(
-            F.sum("n").alias(f"total{k}"), F.count("*").alias(f"followers{k}"), F.sum("_m").alias(f"taken{k}")
-        )
-        entries = orders[k].select(F.col("key").alias("_key"), F.col("n").alias(f"count{k}"))
-        grams = grams.join(nodes, F.shiftrightunsigned(cut, 8) == F.col("_context"), "left").drop("_context")
-        grams = grams.join(entries, cut == F.col("_key"), "left").drop("_key")
-    columns = [c for c in grams.columns if c != "key"]
-    grams = grams.select("key", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        low = trie()
-        for batch in batches:
-            at = {c: batch[c].to_numpy() for c in batch.columns}
+        entries.insert(0, stored(entries[0].groupBy(cut.alias("key")).agg(F.sum("count").alias("count"))))
+    out = []
+    for k, own in enumerate(entries):
+        rows = own.withColumn("_at_suffix", F.lit(0).cast("long"))
+        if k:
+            suffix = F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1))
+            below = entries[k - 1].select(F.col("key").alias("_below"), F.col("count").alias("_at_suffix"))
+            rows = own.join(_shared(below, k - 1), suffix == F.col("_below"))
+        context = F.shiftrightunsigned("key", 8).alias("context")
+        nodes = rows.groupBy(context).agg(F.sum("count").alias("total"), F.count("*").alias("followers"), F.sum("_at_suffix").alias("taken"))
+        out.append(Order(own, stored(nodes)))
+    return out
+
 
-            def look(k: int, rest: np.ndarray, left: np.ndarray, at: dict[str, np.ndarray] = at) -> tuple[np.ndarray, ...]:
-                if k < small:
-                    return low.look(k, left)
-                total, followers, taken, count = (at[f"{c}{k}"][rest] for c in ("total", "followers", "taken", "count"))
-                return total > 0, total, followers, taken, count
+def _shared(df: DataFrame, k: int) -> DataFrame:
+    """A table of order k, broadcast where its order bounds it to 65,536 rows."""
+    return F.broadcast(df) if k <= SMALL_ORDER else df
 
-            yield pd.DataFrame({"key": at["key"], "p": descend(at["key"], highest, look)})
 
-    return grams.mapInPandas(scored, "key long, p double")
+def gram_scores(grams: DataFrame, orders: list[Order]) -> DataFrame:
+    """(key, p): the log10 probability of each row of (key), a gram of the highest order."""
+    rows = grams.select("key", F.lit(0.0).alias("p"), F.lit(False).alias("_done"), F.lit(0).cast("long").alias("_excluded"), F.lit(0).cast("long").alias("_gone"))
+    for k in range(len(orders) - 1, -1, -1):
+        cut = F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+        nodes = orders[k].nodes.withColumnRenamed("context", "_context")
+        entries = orders[k].entries.select(F.col("key").alias("_key"), "count")
+        rows = rows.join(_shared(nodes, k), F.shiftrightunsigned(cut, 8) == F.col("_context"), "left").join(_shared(entries, k), cut == F.col("_key"), "left")
+        known = F.col("total").isNotNull() & ~F.col("_done")
+        space = F.col("total") - F.col("_excluded")
+        found = known & F.col("count").isNotNull()
+        step = F.when(found, F.log10((F.col("count") - DISCOUNT) / space)).when(known & (space > 0), F.log10(DISCOUNT * (F.col("followers") - F.col("_gone")) / space))
+        rows = rows.select(
+            "key", (F.col("p") + F.coalesce(step, F.lit(0.0))).alias("p"), (F.col("_done") | found).alias("_done"),
+            F.when(known, F.col("taken")).otherwise(F.col("_excluded")).alias("_excluded"), F.when(known, F.col("followers")).otherwise(F.col("_gone")).alias("_gone"),
+        )
+    unseen = F.log10(F.greatest(F.lit(1), SYMBOLS - F.col("_gone")))
+    return rows.select("key", (F.col("p") - F.when(F.col("_done"), 0.0).otherwise(unseen)).alias("p"))
+
+
+def least_count(entries: DataFrame, most: int) -> float:
+    """A bound of count that at most `most` entries reach: 0, or a power of the eighth root of two."""
+    sizes = entries.groupBy(F.floor(8 * F.log2("count")).alias("e")).agg(F.count("*").alias("n")).collect()  # 504 rows at most
+    total = 0
+    for r in sorted(sizes, key=lambda r: -r["e"]):
+        total += r["n"]
+        if total > most:
+            return 2.0 ** ((r["e"] + 1) / 8)
+    return 0.0
+
+
+def head_grams(top: Order, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, log10 probabilities) of the most frequent grams of the highest order, at most `most`."""
+    # a count on the very edge of a bound may fall on either side of it, so the edge is set a little above
+    frequent = top.entries.where(F.col("count") >= least_count(top.entries, most) * (1 + 1e-12)).withColumn("context", F.shiftrightunsigned("key", 8))
+    got = frequent.join(top.nodes, "context").select("key", F.log10((F.col("count") - DISCOUNT) / F.col("total")).alias("p")).toArrow()
+    return got["key"].to_numpy(), got["p"].to_numpy()
 
 
 SCORED = T.StructType([
     T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()),
-    T.StructField("tail", T.ArrayType(T.StructType().add("token", "string").add("times", "long"))),
-    T.StructField("grams", T.ArrayType(T.StructType().add("key", "long").add("times", "long"))),
+    T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("token_times", T.ArrayType(T.IntegerType())),
+    T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("gram_times", T.ArrayType(T.IntegerType())),
 ])
 
 
-def _head_scores(texts: list[bytes], order: int, head: Head) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-    """Of each text: the sum over its grams in head, and the others as (key, times)."""
+def _head_scores(texts: list[bytes], order: int, head: Head) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Of each text: the sum over its grams in head, and the others as (keys, times)."""
     keys, owner = grams(texts, order)
     at, hit = head.find(keys)
-    rest: list[list[tuple[int, int]]] = [[] for _ in texts]
     missed, of = keys[~hit], owner[~hit]
-    for i, (a, b) in enumerate(zip(np.searchsorted(of, np.arange(len(texts))), np.searchsorted(of, np.arange(len(texts)), "right"), strict=True)):
-        if a < b:
-            found, times = np.unique(missed[a:b], return_counts=True)
-            rest[i] = list(zip(found.tolist(), times.tolist(), strict=True))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    edges = np.searchsorted(of, np.arange(len(texts) + 1))
+    rest = [np.unique(missed[a:b], return_counts=True) if a < b else none for a, b in itertools.pairwise(edges.tolist())]
     return np.bincount(owner[hit], head.values[at[hit]], len(texts)), rest
 
 
-def score(docs: DataFrame, train: DataFrame, order: int = ORDER, leaves: int = LEAVES, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, order: int = ORDER, head_size: int = HEAD_GRAMS, head: int = HEAD) -> DataFrame:
     """docs without text, with n_tokens, n_known, train_tokens, base_score and score; train is (text).
 
     Null texts count as empty ones: they have the end token alone. Every row is scored by itself, so repeated rows and
@@ -341,62 +254,52 @@ def score(docs: DataFrame, train: DataFrame, order: int = ORDER, leaves: int = L
     """
     docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
     spark = docs.sparkSession
-    orders = order_counts(train, order)
-    tables, frequent = shared_tables(orders, leaves)
-    counts = checkpointed(token_counts(train))
+    orders = trie(train, order)
+    counts = stored(token_counts(train))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     first = counts.orderBy(F.desc("n"), "token").limit(head).toArrow()  # HEAD rows at most
     space = total + ADDED * (distinct + 1)
     logs = np.log10((first["n"].to_numpy() + ADDED) / space).tolist()
     known = {t.encode("utf-8", "surrogatepass"): p for t, p in zip(first["token"].to_pylist(), logs, strict=True)}
-    shared = spark.sparkContext.broadcast({"tables": tables, "frequent": frequent, "known": known})
-
-    def trie() -> Trie:
-        model = shared.value
-        model["trie"] = model.get("trie") or Trie(model["tables"])  # kept for the worker's next tasks
-        return model["trie"]
+    shared = spark.sparkContext.broadcast((head_grams(orders[-1], head_size), known))  # HEAD_GRAMS and HEAD entries at most
 
     @F.pandas_udf(SCORED)
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        known = model["known"]
-        if model["frequent"]:
-            model["head"] = model.get("head") or Head(*model["frequent"])
+        top, known = shared.value
+        most = Head(*top)
         for batch in texts:
             rows = []
-            for part in _chunks(list(batch)):
-                sums, missed = _head_scores(part, order, model["head"]) if model["frequent"] else (trie().score(part), [[]] * len(part))
+            for part in _chunks(batch):
+                sums, missed = _head_scores(part, order, most)
                 for text, ppm, more in zip(part, sums.tolist(), missed, strict=True):
                     words = text.split()
                     words.append(b"")
-                    base, n, tail = 0.0, 0, []
+                    base, n, tail, times_of = 0.0, 0, [], []
                     for w, times in Counter(words).items():
                         p = known.get(w)
                         if p is None:
-                            tail.append((w.decode("utf-8", "surrogatepass"), times))
+                            tail.append(w.decode("utf-8", "surrogatepass"))
+                            times_of.append(times)
                         else:
                             base += p * times
                             n += times
-                    rows.append((len(words), n, base, ppm, tail, more))
+                    rows.append((len(words), n, base, ppm, tail, times_of, *more))
             yield pd.DataFrame(rows, columns=SCORED.names)
 
     kept = [c for c in docs.columns if c != "text"]
-    rows = checkpointed(docs.select(*kept, scored(F.col("text")).alias("_s"))).withColumn("_row", F.monotonically_increasing_id())
-    tail = rows.select("_row", F.explode("_s.tail").alias("t")).select("_row", "t.*")
-    joined = tail.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rest = joined.groupBy("_row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("_known"),
-        F.sum(F.col("times") * F.log10((F.col("n") + ADDED) / space)).alias("_base"),
-    )
-    ppm = F.col("_s.score")
-    if frequent:
-        missed = rows.select("_row", F.explode("_s.grams").alias("g")).select("_row", "g.*")
-        found = missed.join(gram_scores(missed.select("key").distinct(), orders, len(tables), trie), "key")
-        rest = rest.join(found.groupBy("_row").agg(F.sum(F.col("times") * F.col("p")).alias("_ppm")), "_row", "full")
-        ppm = ppm + F.coalesce("_ppm", F.lit(0.0))
+    rows = stored(docs.select(*kept, scored(F.col("text")).alias("_s"), F.monotonically_increasing_id().alias("_row")))
+    pairs = lambda a, b, name: rows.select("_row", F.inline(F.arrays_zip(F.col(f"_s.{a}").alias(name), F.col(f"_s.{b}").alias("times"))))
+    tokens = pairs("tokens", "token_times", "token").join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    nothing = F.lit(None).cast("double")
+    base = tokens.select("_row", F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("known"), (F.col("times") * F.log10((F.col("n") + ADDED) / space)).alias("base"), nothing.alias("ppm"))
+    missed = pairs("grams", "gram_times", "key")
+    found = missed.join(gram_scores(missed.select("key").distinct(), orders), "key")
+    ppm = found.select("_row", F.lit(0).alias("known"), nothing.alias("base"), (F.col("times") * F.col("p")).alias("ppm"))
+    rest = base.unionByName(ppm).groupBy("_row").agg(F.sum("known").alias("_known"), F.sum("base").alias("_base"), F.sum("ppm").alias("_ppm"))
+    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return rows.join(rest, "_row", "left").select(
-        *kept, F.col("_s.n_tokens").alias("n_tokens"), (F.col("_s.n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("_s.base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"), ppm.alias("score"),
+        *kept, F.col("_s.n_tokens").alias("n_tokens"), plus("_s.n_known", "_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        plus("_s.base", "_base").alias("base_score"), plus("_s.score", "_ppm").alias("score"),
     )
 
 
