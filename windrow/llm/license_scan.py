@@ -1,32 +1,31 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies.
 
-Words are runs of letters and digits, A-Z lower-cased; shingles are five words. Templates are cut into all runs of PART
-shingles (shorter ones stay whole), and texts into all overlapping windows of the sizes that occur. A window and a part
-share a band if the least of their shingle hashes under the band's own order is the same, which has the probability of
-their Jaccard similarity. A part is held if a window has at least CONTAINED of its shingles; each size takes as many
-bands, of one row each, as bring the chance that all of them miss such a window under MISS. With PART shingles or
-fewer, a held part is there whole, so its window is like it, and one band meets for sure. Windows say where and how often
-a license stands; whether it is there is the share of all its distinct shingles that the text has anywhere, counted
-exactly. Everything is DataFrame expressions: windows without a band in common with any template and shingles of no
-template are dropped inside the scan, before any shuffle.
+Words are runs of letters and digits, A-Z lower-cased; shingles are five words. For each length of a template, texts
+are cut into windows that are a little longer than it and start at every fourth part of it, so a template of that
+length that stands in a text lies whole in some window. A window is retrieved for a template if all ROWS least hashes of
+one of its bands are the template's. A window that has CONTAINED of a template's distinct shingles has a known least
+Jaccard similarity with it; each length takes as many bands as bring the chance that none of them meets under MISS.
+Windows without a shingle of any template are like none of them and make no bands. A license that some window retrieved
+is found if the text has at least CONTAINED of its distinct shingles, counted exactly. Everything is DataFrame
+expressions; texts without any template's shingle are dropped inside the scan, before any shuffle.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import ascii_lower, table
+from windrow.llm.common import ascii_lower, stored, table
 
 SHINGLE = 5
-PART = 4
 CONTAINED = 0.8
-MISS = 1e-3
-#: Up to so many band values and shingles of all templates go into the plan; more are joined by a shuffle.
+#: Least hashes that make one band; chance that all bands of a window miss a template that it holds.
+ROWS = 2
+MISS = 1e-4
+#: Up to so many shingles of all templates go into the plan; more are joined by a shuffle.
 MAX_KEYS = 50_000
 
 #: Wording of license notices.
@@ -74,115 +73,98 @@ def shingles(words: Column) -> Column:
 
 @dataclass(frozen=True)
 class Tier:
-    """Windows and parts of one size."""
+    """Windows and bands for templates of `size` shingles, `distinct` of them different."""
 
     size: int
+    distinct: int
 
     @property
-    def similarity(self) -> float:
-        """Least Jaccard similarity of a part and a window of its size that holds it."""
-        common = math.ceil(CONTAINED * self.size)
-        return common / (2 * self.size - common)
+    def stride(self) -> int:
+        return math.ceil(self.size / 4)
 
     @property
-    def bands(self) -> int:
-        return 1 if self.similarity == 1 else math.ceil(math.log(MISS) / math.log(1 - self.similarity))
-
-    def orders(self) -> list[Column]:
-        """One number for each band; the least hash after XOR with it is the band's value."""
-        return [F.xxhash64(F.lit(self.size), F.lit(b)) for b in range(self.bands)]
-
-    def values(self, hashes: Column, at: Column) -> list[Column]:
-        """The band values of the window that starts at a place of hashes."""
-        own = [F.get(hashes, at + i) for i in range(self.size)]
-        return [own[0].bitwiseXOR(c) if self.size == 1 else F.least(*[x.bitwiseXOR(c) for x in own]) for c in self.orders()]
+    def window(self) -> int:
+        """Shingles of a window: any `size` neighbouring shingles lie in one."""
+        return self.size + self.stride - 1
 
+    @property
+    def similarity(self) -> float:
+        """Least Jaccard similarity of a template and a window that has CONTAINED of its shingles."""
+        common = math.ceil(CONTAINED * self.distinct)
+        return common / (self.window + self.distinct - common)
 
-TIERS = tuple(Tier(n) for n in range(1, PART + 1))
+    @property
+    def bands(self) -> int:
+        return 1 if self.similarity == 1 else math.ceil(math.log(MISS) / math.log(1 - self.similarity**ROWS))
 
 
-def parts(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """(license, total, tier, part, hashes, values) for each part of each template; total counts distinct shingles."""
-    rows = []
-    for name, text in sorted(templates.items()):
-        words = [w for w in re.split(r"[\W_]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)) if w]
-        n = len(words) - SHINGLE + 1
-        total = len({tuple(words[i : i + SHINGLE]) for i in range(n)})
-        for a in range(max(0, n - PART) + 1 if n > 0 else 0):
-            part = words[a : a + min(n, PART) + SHINGLE - 1]
-            rows.append((name, total, min(n, PART), a, part))
-    made = spark.createDataFrame(rows, "license string, total int, tier int, part int, words array<string>").withColumn("hashes", shingles(F.col("words")))
-    own = F.when(F.lit(False), F.array().cast("array<bigint>"))
-    for t in TIERS:
-        own = own.when(F.col("tier") == t.size, F.array(*t.values(F.col("hashes"), F.lit(0))))
-    made = made.withColumn("values", own)
-    return made.drop("words")
+def band_values(hashes: Column, bands: Column) -> Column:
+    """The band values of a set of shingle hashes: each one hashes ROWS least hashes under orders of its own."""
+    least = lambda k: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, k)))
+    return F.transform(F.sequence(F.lit(0), bands - 1), lambda b: F.xxhash64(*[least(b * ROWS + r) for r in range(ROWS)]))
 
 
-def _candidates(hashes: Column, tier: Tier, keys: list[int] | None) -> Column:
-    """The windows of a text that share a band with any part (None: all): array of struct(tier, at, hashes, values)."""
-    n = F.size(hashes) - (tier.size - 1)
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+def index_templates(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+    """(license, size, total, hashes, bands) of each template of at least one shingle; total counts distinct shingles."""
+    words = words_of(F.col("text"))
+    made = spark.createDataFrame(sorted(templates.items()), "license string, text string").select("license", shingles(words).alias("hashes")).where(F.size("hashes") > 0)
+    return made.select("license", F.size("hashes").alias("size"), F.size(F.array_distinct("hashes")).alias("total"), "hashes")
 
-    def shared(j: Column) -> Column:
-        first, *rest = [v.isin(keys) for v in tier.values(hashes, j)]
-        for more in rest:
-            first = first | more
-        return first
 
-    own = lambda j: F.slice(hashes, j + 1, F.lit(tier.size))
-    return F.transform(at if keys is None else F.filter(at, shared), lambda j: F.struct(F.lit(tier.size).alias("tier"), j.alias("at"), own(j).alias("own"), F.array(*tier.values(hashes, j)).alias("values")))
+def _windows(places: Column, tier: Column) -> Column:
+    """Numbers of the tier's windows that hold any of the places; window j starts at j times the stride."""
+    low = lambda p: F.greatest(F.lit(0), F.ceil((p - tier["window"] + 1) / tier["stride"])).cast("int")
+    return F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(low(p), F.floor(p / tier["stride"]).cast("int")))))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, license, containment, n_windows, first_word), a row for each license found in a row of docs.
+    """(id, license, containment, first_word), a row for each license found in a row of docs.
 
-    A license is found if the text has at least CONTAINED of the template's distinct shingles: containment is that share.
-    A window holds a part if it has at least CONTAINED of its distinct shingles: n_windows counts pairs of window and
-    part, first_word is the number of the first such window's first word (where no window holds a part, of the first
-    shingle that is the template's). Texts without a find, null texts and texts of fewer than five words have no row;
-    rows that repeat an id with the same text are one.
+    containment is the share of the template's distinct shingles that the text has; first_word is the number of the word
+    at which the first of them starts. Texts without a find, null texts and texts of fewer than five words have no row,
+    templates of fewer than five words are never found; rows that repeat an id with the same text are one.
     """
     spark = docs.sparkSession
-    made = parts(spark, templates)
-    keys: dict[int, set[int]] = {t.size: set() for t in TIERS}
-    grams: set[int] = set()
-    for r in made.select("tier", "hashes", "values").collect():  # the templates are the caller's own list
-        keys[r["tier"]] |= set(r["values"])
-        grams |= set(r["hashes"])
-    few = max(sum(map(len, keys.values())), len(grams)) <= MAX_KEYS
+    index = index_templates(spark, templates)
+    own = index.collect()  # the templates are the caller's own list
+    tiers = {(r["size"], r["total"]): Tier(r["size"], r["total"]) for r in own}
+    grams = sorted({h for r in own for h in r["hashes"]})
+    few = len(grams) <= MAX_KEYS
     small = F.broadcast if few else lambda df: df  # at most MAX_KEYS rows
-    hashed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), words_of(F.col(text_col)).alias("words"))
-    hashed = hashed.select("_id", "_text", shingles(F.col("words")).alias("hashes"))
-
-    places = F.transform("hashes", lambda h, i: F.struct(h.alias("hash"), i.alias("place")))
-    own = F.filter(places, lambda x: x["hash"].isin(sorted(grams))) if few else places
-    found = F.concat(*[_candidates(F.col("hashes"), t, sorted(keys[t.size]) if few else None) for t in TIERS if keys[t.size]])
-    # a row has either a shingle or a window; the plan reads the texts once for each
-    shape = "array<struct<gram:struct<hash:bigint,place:int>,w:struct<tier:int,at:int,own:array<bigint>,values:array<bigint>>>>"
-    either = F.concat(
-        F.transform(own, lambda g: F.struct(g.alias("gram"), F.lit(None).alias("w"))).cast(shape),
-        F.transform(found, lambda w: F.struct(F.lit(None).alias("gram"), w.alias("w"))).cast(shape),
-    )
-    rows = hashed.select("_id", "_text", F.explode(either).alias("e")).select("_id", "_text", "e.*")
-
-    index = made.select("license", "total", F.explode("hashes").alias("hash")).distinct()
-    hits = rows.where(F.col("gram").isNotNull()).select("_id", "_text", "gram.*").join(small(index), "hash")
-    sums = hits.groupBy("_id", "_text", "license", "total").agg(F.countDistinct("hash").alias("n"), F.min("place").alias("place"))
+    owned = index.select("license", "total", F.explode("hashes").alias("hash")).distinct()
+
+    # one value of a list of one, so that each step's result is worked out once for all that use it
+    words = F.transform(F.array(words_of(F.col(text_col))), shingles)
+    if few:
+        def with_places(hashes: Column) -> Column:
+            own = F.filter(F.transform(hashes, lambda h, i: F.struct(h.alias("hash"), i.alias("place"))), lambda x: x["hash"].isin(grams))
+            return F.struct(hashes.alias("hashes"), F.transform(own, lambda x: x["place"]).alias("places"))
+
+        held_by = F.filter(F.transform(words, with_places), lambda x: F.size(x["places"]) > 0)
+        found = stored(docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.inline(held_by)))
+    else:
+        rows = stored(docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.explode(words).alias("hashes"), F.monotonically_increasing_id().alias("_row")))
+        hits = rows.select("_row", F.posexplode("hashes").alias("place", "hash")).join(owned.select("hash").distinct(), "hash", "left_semi")
+        found = stored(rows.join(hits.groupBy("_row").agg(F.array_sort(F.collect_list("place")).alias("places")), "_row").drop("_row"))
+
+    shape = [F.struct(F.lit(t.size).alias("size"), F.lit(t.distinct).alias("total"), F.lit(t.window).alias("window"), F.lit(t.stride).alias("stride"), F.lit(t.bands).alias("bands")) for t in tiers.values()]
+    windows = found.select("_id", "_text", "hashes", "places", F.explode(F.array(*shape) if shape else F.array().cast(NO_TIERS)).alias("tier"))
+    windows = windows.select("_id", "_text", "hashes", "tier", F.explode(_windows(F.col("places"), F.col("tier"))).alias("j"))
+    banded = lambda df, hashes, bands, *keep: df.select(*keep, F.posexplode(band_values(hashes, bands)).alias("band", "value"))
+    text_bands = banded(windows, F.slice("hashes", F.col("j") * F.col("tier.stride") + 1, F.col("tier.window")), F.col("tier.bands"), "_id", "_text", F.col("tier.size").alias("size"), F.col("tier.total").alias("total"))
+    per_size = F.create_map(*[c for (n, d), t in tiers.items() for c in (F.lit(f"{n},{d}"), F.lit(t.bands))]) if tiers else F.create_map().cast("map<string,int>")
+    template_bands = banded(index, F.col("hashes"), per_size[F.concat_ws(",", "size", "total")], "license", "size", "total")
+    retrieved = text_bands.join(small(template_bands), ["size", "total", "band", "value"]).select("_id", "_text", "license").distinct()
+
+    held = found.select("_id", "_text", F.explode(F.transform("places", lambda p: F.struct(p.alias("place"), F.get("hashes", p).alias("hash")))).alias("g")).select("_id", "_text", "g.*")
+    sums = held.join(small(owned), "hash").groupBy("_id", "_text", "license", "total").agg(F.countDistinct("hash").alias("n"), F.min("place").alias("place"))
     kept = sums.where(F.col("n") >= CONTAINED * F.col("total"))
+    a, b = kept.alias("a"), retrieved.alias("b")
+    same = F.col("a._id").eqNullSafe(F.col("b._id")) & F.col("a._text").eqNullSafe(F.col("b._text")) & (F.col("a.license") == F.col("b.license"))
+    return a.join(b, same, "left_semi").select(F.col("_id").alias(id_col), "license", (F.col("n") / F.col("total")).alias("containment"), F.col("place").cast("long").alias("first_word"))
+
 
-    banded = rows.where(F.col("w").isNotNull()).select("_id", "_text", "w.*")
-    banded = banded.select("_id", "_text", "tier", "at", "own", F.posexplode("values").alias("band", "value"))
-    bands = made.select("license", "tier", "part", "hashes", F.posexplode("values").alias("band", "value"))
-    pairs = banded.join(small(bands), ["tier", "band", "value"])
-    held = pairs.where(F.size(F.array_intersect("hashes", "own")) >= CONTAINED * F.size("hashes"))
-    windows = held.groupBy(F.col("_id").alias("_d"), F.col("_text").alias("_t"), F.col("license").alias("_l")).agg(
-        F.countDistinct("part", "at").alias("n_windows"), F.min("at").alias("at")
-    )
-    same = F.col("_id").eqNullSafe(F.col("_d")) & F.col("_text").eqNullSafe(F.col("_t")) & (F.col("license") == F.col("_l"))
-    return kept.join(windows, same, "left").select(
-        F.col("_id").alias(id_col), "license", (F.col("n") / F.col("total")).alias("containment"), F.coalesce("n_windows", F.lit(0)).alias("n_windows"), F.coalesce("at", "place").cast("long").alias("first_word")
-    )
+NO_TIERS = "array<struct<size:int,total:int,window:int,stride:int,bands:int>>"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,32 +172,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same finds in DuckDB, by an equality join of all shingles."""
+    """Plain containment in DuckDB: every shingle of every text against every shingle of the templates."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({q(k)}, {q(v)})" for k, v in sorted(TEMPLATES.items()))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words = rf"regexp_extract_all(translate(text, '{upper}', '{lower}'), '[\p{{L}}\p{{N}}]+')"
+    shingled = f"array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS sh"
     return f"""
 WITH lists AS (SELECT doc_id, {words} AS w FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, i - 1 AS pos, len(w) - {SHINGLE - 1} AS n, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS sh
-  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {SHINGLE - 1})) AS i FROM lists)),
+s AS (SELECT doc_id, i - 1 AS place, {shingled} FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {SHINGLE - 1})) AS i FROM lists)),
 tl AS (SELECT license, {words} AS w FROM (VALUES {values}) t(license, text)),
-ts AS (SELECT license, i - 1 AS pos, len(w) - {SHINGLE - 1} AS n, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS sh
-  FROM (SELECT license, w, unnest(generate_series(1, len(w) - {SHINGLE - 1})) AS i FROM tl)),
-starts AS (SELECT DISTINCT license, n, a
-  FROM (SELECT license, n, unnest(generate_series(0, greatest(0, n - {PART}))) AS a FROM (SELECT DISTINCT license, n FROM ts))),
-p AS (SELECT *, size AS win, 1 AS stride FROM (
-  SELECT license, a, least(n, {PART}) AS size FROM starts WHERE n > 0)),
-ps AS (SELECT DISTINCT p.license, p.a, win, stride, sh FROM p JOIN ts ON p.license = ts.license AND pos >= p.a AND pos < p.a + {PART}),
-psize AS (SELECT license, a, count(*) AS d FROM ps GROUP BY ALL),
-total AS (SELECT license, count(DISTINCT sh) AS total FROM ts GROUP BY ALL),
-hit AS (SELECT DISTINCT doc_id, ps.license, a, j, s.sh, stride FROM (
-  SELECT doc_id, license, a, sh, stride, unnest(generate_series(greatest(0, (pos - win + stride) // stride), least(pos // stride, greatest(0, CAST(ceil((n - win) / stride) AS BIGINT))))) AS j, pos, win
-  FROM s JOIN ps USING (sh)) AS s JOIN (SELECT DISTINCT license, a FROM ps) AS ps USING (license, a) WHERE j * stride <= pos AND pos < j * stride + win),
-held AS (SELECT doc_id, license, a, j, any_value(stride) AS stride FROM hit JOIN psize USING (license, a) GROUP BY doc_id, license, a, j, d HAVING count(*) >= {CONTAINED} * d)
-SELECT doc_id, license, count(DISTINCT sh) / any_value(total)::DOUBLE AS containment, count(DISTINCT (a, j)) AS n_windows, min(j * held.stride) AS first_word
-FROM held JOIN hit USING (doc_id, license, a, j) JOIN total USING (license)
-GROUP BY doc_id, license HAVING count(DISTINCT sh) >= {CONTAINED} * any_value(total)"""
+ts AS (SELECT DISTINCT license, {shingled} FROM (SELECT license, w, unnest(generate_series(1, len(w) - {SHINGLE - 1})) AS i FROM tl)),
+total AS (SELECT license, count(*) AS total FROM ts GROUP BY license)
+SELECT doc_id, license, count(DISTINCT sh) / any_value(total)::DOUBLE AS containment, min(place) AS first_word
+FROM s JOIN ts USING (sh) JOIN total USING (license) GROUP BY doc_id, license HAVING count(DISTINCT sh) >= {CONTAINED} * any_value(total)"""
 
 
 SQL = _sql()
