@@ -20,7 +20,7 @@ def rows(spark):
 def test_posterior_against_the_definition(spark):
     docs, labels = rows(spark)
     got = Q.posterior(docs, labels).collect()
-    assert len(got) == docs.count() and [c for c in got[0].asDict()] == [*[c for c in docs.columns if c != "score"], "evidence", "host_rate", "path_rate", "score", "keep"]
+    assert len(got) == docs.count() and [c for c in got[0].asDict()] == [*[c for c in docs.columns if c not in ("score", "text")], "evidence", "host_rate", "path_rate", "score", "keep"]
     model, rate = Q.fit(docs, labels)
     off = math.log(rate / (1 - rate))
     p = [1 / (1 + math.exp(-(r.evidence + off))) for r in got]
@@ -60,3 +60,23 @@ def test_labels_of_the_tables(spark):
     d = "/root/testdata/sf0.01"
     got = Q.query(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
     assert sum(r.keep == bool(r.quality) for r in got) >= 0.95 * len(got)
+
+
+def test_evidence_of_held_out_rows(spark):
+    """Fitted on half of the labelled rows, the classifier tells the other half's good and bad texts apart."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "labels"))
+    model, _ = Q.fit(docs, labels.where("doc_id % 2 = 0"))
+    got = Q.with_evidence(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    for quality in (0, 1):
+        own = [r.evidence > 0 for r in got if r.quality == quality]
+        assert len(own) > 30 and sum(x == bool(quality) for x in own) >= 0.9 * len(own)
+
+
+def test_features_by_definition():
+    assert [Q.shape(w) for w in ("Plain", "plain", "ABC!!", "a1b22", "...", "Ünï##")] == ["Ta", "la", "Ua!", "la0a0", "l.", "Ta#"]
+    at, value = Q.Features()("one two\none two")
+    got = dict(zip(at.tolist(), value.tolist(), strict=True))
+    want = {"wone": 2, "wtwo": 2, "sla": 4, "pla la": 3, "words 3 5": 1, "lines 3 5": 1, "size 3": 1}
+    assert got == {Q.bucket(k): math.sqrt(v / 4) for k, v in want.items()}
+    assert len(Q.Features()(None)[0]) == 3 and not Q.Features()(None)[1].any()

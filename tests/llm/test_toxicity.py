@@ -75,3 +75,28 @@ def test_held_out_rows(spark):
     got = X.query(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
     false_alarms = sum(r.predicted and not r.toxic for r in got)
     assert false_alarms <= 0.02 * len(got) and sum(r.predicted and r.toxic for r in got) >= 0.55 * sum(r.toxic for r in got)
+
+
+def test_every_sentence_counts():
+    at = {"gay": 0, "straight": 1, "man": 2}
+    value = lambda c: {at[f]: float(np.log1p(n)) for f, n in c.items() if f in at}
+    text = "One gay man. " * 100 + "Then nothing! " + "The last gay? The last gay?"
+    got = X.changes(text, value, (("gay", "straight"),))
+    step = (0, float(np.log1p(102) - np.log1p(101))), (1, -float(np.log1p(1)))
+    assert list(got.values()) == [102] and np.allclose(list(got), [step])
+    assert not X.changes(None, value, (("gay", "straight"),))
+
+
+def test_fit_against_plain_descent():
+    rng = np.random.default_rng(5)
+    dense = (rng.random((60, 5)) < 0.4) * rng.random((60, 5))
+    y = (dense[:, 0] > dense[:, 1]).astype(float)
+    gaps = rng.normal(size=(4, 5))
+    times = np.array([1.0, 3.0, 1.0, 2.0])
+    sparse = lambda a: X.Sparse((a != 0).sum(axis=1), np.nonzero(a)[1], a[a != 0], 5)
+    w, b = X.fit_sparse(sparse(dense), y, sparse(gaps), times, 0.5, ridge=0.01, steps=3000, rate=0.02)
+    v, c = np.zeros(5), 0.0
+    for _ in range(20_000):
+        miss = 1 / (1 + np.exp(-(dense @ v + c))) - y
+        v, c = v - 0.5 * (dense.T @ miss / 60 + 0.02 * v + gaps.T @ (times * (gaps @ v)) / times.sum()), c - 0.5 * miss.mean()
+    assert np.allclose([*w, b], [*v, c], atol=5e-3)

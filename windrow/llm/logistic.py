@@ -3,47 +3,54 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit_dense(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """(weights, intercept) by Newton steps on the penalised likelihood."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(a.shape[1])
-    penalty = np.diag([ridge] * x.shape[1] + [1e-6])
-    for _ in range(50):
-        p = sigmoid(a @ w)
-        grad = a.T @ (p - y) + penalty @ w
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty, grad)
-        w -= step * min(1.0, 5 / max(1e-12, np.abs(step).max()))
-        if np.abs(step).max() < 1e-8:
-            break
-    return w[:-1], float(w[-1])
+class Sparse:
+    """Rows of (columns, values), one after the other; ends[i] is where row i ends."""
 
+    #: Entries that a product turns to wide numbers at once.
+    SLICE = 1 << 20
 
-class Sparse:
-    """Rows of (columns, values) as one list of entries."""
+    def __init__(self, sizes: np.ndarray, columns: np.ndarray, values: np.ndarray, n_columns: int) -> None:
+        self.shape = (len(sizes), n_columns)
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.col, self.val = columns.astype(np.int32), values.astype(np.float32)
+
+    @classmethod
+    def of(cls, columns: pa.ChunkedArray, values: pa.ChunkedArray, n_columns: int) -> Sparse:
+        """From two Arrow columns of lists."""
+        sizes = np.concatenate([np.zeros(0, np.int64), *[np.diff(c.offsets.to_numpy()) for c in columns.chunks]])
+        flat = lambda x: np.concatenate([np.zeros(0), *[c.flatten().to_numpy() for c in x.chunks]])
+        return cls(sizes, flat(columns), flat(values), n_columns)
 
-    def __init__(self, rows: list[tuple[list[int], list[float]]], n_cols: int) -> None:
-        self.shape = (len(rows), n_cols)
-        self.row = np.repeat(np.arange(len(rows)), [len(c) for c, _ in rows])
-        self.col = np.array([x for c, _ in rows for x in c], np.int64)
-        self.val = np.array([x for _, v in rows for x in v], np.float64)
+    def _slices(self) -> list[slice]:
+        return [slice(i, i + self.SLICE) for i in range(0, len(self.row), self.SLICE)]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.val * w[self.col], self.shape[0])
+        out = np.zeros(self.shape[0])
+        for s in self._slices():
+            out += np.bincount(self.row[s], self.val[s] * w[self.col[s]], self.shape[0])
+        return out
 
     def t_dot(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, self.val * r[self.row], self.shape[1])
+        out = np.zeros(self.shape[1])
+        for s in self._slices():
+            out += np.bincount(self.col[s], self.val[s] * r[self.row[s]], self.shape[1])
+        return out
 
 
-def fit_sparse(x: Sparse, y: np.ndarray, pairs: Sparse, pair_weight: float, ridge: float = 1e-4, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def fit_sparse(
+    x: Sparse, y: np.ndarray, pairs: Sparse | None = None, pair_times: np.ndarray | None = None, pair_weight: float = 0.0, ridge: float = 1e-4, steps: int = 400, rate: float = 0.1
+) -> tuple[np.ndarray, float]:
     """(weights, intercept) that minimise mean log loss + ridge |w|^2 + pair_weight * mean (pairs . w)^2.
 
-    Each row of pairs is the difference of two inputs whose scores should be the same. Adam steps over all rows.
+    Each row of pairs is the difference of two inputs whose scores should be the same; the mean counts it pair_times
+    times. Adam steps over all rows.
     """
     n, k = x.shape
     w, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
@@ -52,8 +59,8 @@ def fit_sparse(x: Sparse, y: np.ndarray, pairs: Sparse, pair_weight: float, ridg
     for t in range(1, steps + 1):
         miss = (sigmoid(x.dot(w[:-1]) + w[-1]) - y) / n
         grad = np.append(x.t_dot(miss) + 2 * ridge * w[:-1], miss.sum())
-        if pairs.shape[0]:
-            grad[:-1] += pairs.t_dot(pairs.dot(w[:-1])) * (2 * pair_weight / pairs.shape[0])
+        if pairs is not None and pairs.shape[0]:
+            grad[:-1] += pairs.t_dot(pair_times * pairs.dot(w[:-1])) * (2 * pair_weight / pair_times.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return w[:-1], float(w[-1])

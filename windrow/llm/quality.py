@@ -1,18 +1,20 @@
 """Quality classifier with hierarchical empirical Bayes over hosts and paths.
 
-A text's own evidence is the log likelihood ratio of a logistic classifier over its form (symbols, tables, capitals,
-repeats). Grouped sums of the classifier's probabilities give each host and each path of a host a rate of good texts.
-A host's rate is shrunk toward the global one, a path's toward its host's, each by a prior strength that the spread of
-the rates between groups sets (method of moments): sparse sites stay near their parent. A document's posterior joins
-its evidence with its path's rate, from which its own part is taken out first.
+A text's own evidence is the log likelihood ratio of a logistic classifier over hashed features of its words: the words,
+their shapes (letters, digits and symbols), pairs of neighbouring shapes, and how often words and lines repeat. Grouped
+sums of the classifier's probabilities give each host and each path of a host a rate of good texts. A host's rate is
+shrunk toward the global one, a path's toward its host's, each by a prior strength that the spread of the rates between
+groups sets (method of moments): sparse sites stay near their parent. A document's posterior joins its evidence with its
+path's rate, from which its own part is taken out first. Evidence is worked out once for each row and written down.
 
 Documents bear no URL here: the source stands for the host, and the language under it for the path.
 """
 
 from __future__ import annotations
 
-import operator
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,51 +23,83 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import checkpointed, table
-from windrow.llm.logistic import fit_dense
+from windrow.llm.common import stored, table
+from windrow.llm.logistic import Sparse, fit_sparse
 
 #: Labelled rows of the fit at most, about; bounds of a prior's strength in documents; bound of a text's evidence.
 MAX_LABELLED = 20_000
 STRENGTH = (2.0, 10_000.0)
 MAX_EVIDENCE = 8.0
 KEEP_AT = 0.5
-SYMBOLS = re.compile(r"[^\w\s|]{2,}(?=\s|$)")
-N_FEATURES = 8
+#: Hashed features; words whose features a task keeps at hand.
+WIDTH = 1 << 15
+HELD_WORDS = 200_000
+RIDGE = 3e-5
+LETTERS, DIGITS, AGAIN = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+", re.DOTALL)
 NAMES = ("evidence", "host_rate", "path_rate", "score", "keep")
 
 
-def form(text: str | None) -> tuple[float, ...]:
-    """Shares of words with trailing symbol runs, of bars, capitals, neighbours alike, of repeated words and lines; word length, size."""
-    text = text or ""
-    words = text.split()
-    n = len(words)
-    if not n:
-        return (0.0,) * N_FEATURES
-    lines = [x for x in text.split("\n") if x]
-    size = float(np.log1p(n))
-    return (
-        len(SYMBOLS.findall(text)) / n, words.count("|") / n, sum(map(str.isupper, words)) / n,
-        sum(map(operator.eq, words, words[1:])) / n, 1 - len(set(words)) / n, 1 - len(set(lines)) / max(1, len(lines)),
-        min(50.0, len(text) / n), size,
-    )
+def shape(word: str) -> str:
+    """The case of a word, and the order of its letters, digits and symbols, each run as one."""
+    case = "U" if word.isupper() else "T" if word[:1].isupper() else "l"
+    return case + AGAIN.sub(r"\1", DIGITS.sub("0", LETTERS.sub("a", word)))
+
+
+def bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % WIDTH
+
+
+class Features:
+    """Hashed features of texts, as (bucket, value): the root of a feature's share of the text's words."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[int, str]] = {}
+        self.pairs: dict[tuple[str, str], int] = {}
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        words = (text or "").split()
+        n = len(words)
+        if len(self.known) > HELD_WORDS:
+            self.known, self.pairs = {}, {}
+        known, pairs = self.known, self.pairs
+        counts = Counter(words)
+        for w in counts.keys() - known.keys():
+            known[w] = (bucket("w" + w.lower()), shape(w))
+        shapes = [known[w][1] for w in words]
+        sums: Counter = Counter()
+        for w, m in counts.items():
+            sums[known[w][0]] += m
+        for s, m in Counter(shapes).items():
+            sums[bucket("s" + s)] += m
+        for p, m in Counter(zip(shapes, shapes[1:], strict=False)).items():
+            at = pairs.get(p)
+            if at is None:
+                at = pairs[p] = bucket(f"p{p[0]} {p[1]}")
+            sums[at] += m
+        lines = [x for x in (text or "").split("\n") if x]
+        size = n.bit_length()
+        for kind, part, whole in (("words", len(counts), n), ("lines", len(set(lines)), len(lines))):
+            sums[bucket(f"{kind} {size} {10 * part // max(1, whole)}")] += n / 4
+        sums[bucket(f"size {size}")] += n / 4
+        return np.fromiter(sums.keys(), np.int32, len(sums)), np.sqrt(np.fromiter(sums.values(), np.float64, len(sums)) / max(1, n))
 
 
 @dataclass
 class Evidence:
-    """A linear model over standardised form features; log_odds_of gives evidence relative to the training rate."""
+    """Weights of the buckets and an offset; the sum over a text's features is its log likelihood ratio good : bad."""
 
-    mean: np.ndarray
-    scale: np.ndarray
     weights: np.ndarray
     offset: float
 
-    def log_ratio(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([form(t) for t in texts]).reshape(-1, N_FEATURES)
-        z = ((x - self.mean) / self.scale) @ self.weights + self.offset
-        return np.clip(z, -MAX_EVIDENCE, MAX_EVIDENCE)
+    def log_ratio(self, texts: pd.Series, features: Features) -> np.ndarray:
+        out = np.full(len(texts), self.offset)
+        for i, text in enumerate(texts):
+            at, value = features(text)
+            out[i] += self.weights[at] @ value
+        return np.clip(out, -MAX_EVIDENCE, MAX_EVIDENCE)
 
 
-NEUTRAL = Evidence(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0)
+NEUTRAL = Evidence(np.zeros(WIDTH), 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Evidence, float]:
@@ -80,29 +114,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Evidence, float]:
     labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most about MAX_LABELLED ids
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        features = Features()
         for batch in batches:
-            yield pd.DataFrame({"quality": batch["quality"], "x": [list(form(t)) for t in batch["text"]]})
+            got = [features(t) for t in batch["text"]]
+            yield pd.DataFrame({"quality": batch["quality"], "at": [a for a, _ in got], "x": [v for _, v in got]})
 
-    got = labelled.select("quality", "text").mapInPandas(rows, "quality int, x array<double>").toPandas()
-    y = got["quality"].to_numpy(float)
+    got = labelled.select("quality", "text").mapInPandas(rows, "quality int, at array<int>, x array<float>").toArrow()
+    y = got["quality"].to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return NEUTRAL, (y.sum() + 1) / (len(y) + 2)
-    x = np.array(got["x"].tolist())
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    weights, intercept = fit_dense((x - mean) / scale, y)
+    weights, intercept = fit_sparse(Sparse.of(got["at"], got["x"], WIDTH), y, ridge=RIDGE, steps=200)
     rate = y.mean()
-    return Evidence(mean, scale, weights, float(intercept - np.log(rate / (1 - rate)))), float(rate)
+    return Evidence(weights, float(intercept - np.log(rate / (1 - rate)))), float(rate)
 
 
-def with_evidence(docs: DataFrame, model: Evidence, text_col: str = "text") -> DataFrame:
-    """docs with evidence: the log likelihood ratio good : bad of the text's form."""
+def with_evidence(docs: DataFrame, model: Evidence, text_col: str = "text", out: str = "evidence") -> DataFrame:
+    """docs with a column more: the log likelihood ratio good : bad of the text."""
+    weights, offset = model.weights.astype(np.float32), model.offset
 
     @F.pandas_udf("double")
     def ratio(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own, features = Evidence(weights, offset), Features()
         for batch in texts:
-            yield pd.Series(model.log_ratio(list(batch)))
+            yield pd.Series(own.log_ratio(batch, features))
 
-    return docs.withColumn("evidence", ratio(F.col(text_col)))
+    return docs.withColumn(out, ratio.asNondeterministic()(F.col(text_col)))  # or else a filter would work it out again
 
 
 def _logit(p: Column) -> Column:
@@ -126,7 +162,7 @@ def site_rates(scored: DataFrame, rate: float) -> tuple[DataFrame, float, float,
     s sums the probabilities of good texts. Grouping is by partial sums; the second level groups the first one's rows.
     """
     p = 1 / (1 + F.exp(-(F.col("evidence") + float(np.log(rate / (1 - rate))))))
-    paths = checkpointed(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")))
+    paths = stored(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = float(np.clip(total["s"] / total["n"], 1e-4, 1 - 1e-4)) if total["n"] else rate
@@ -137,35 +173,41 @@ def site_rates(scored: DataFrame, rate: float) -> tuple[DataFrame, float, float,
     return joined, mean, k_host, k_path
 
 
+def _joined(scored: DataFrame, rate: float, host_col: str, path_col: str) -> DataFrame:
+    """scored, which has _evidence, with _host_rate, _path_rate and _score."""
+    own = 1 / (1 + F.exp(-(F.col("_evidence") + float(np.log(rate / (1 - rate))))))
+    sites, mean, k_host, k_path = site_rates(scored.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col("_evidence").alias("evidence")), rate)
+    sites = sites.select(*[F.col(c).alias(f"_{c}") for c in sites.columns])
+    here = F.col(host_col).eqNullSafe(F.col("_host")) & F.col(path_col).eqNullSafe(F.col("_path"))
+    host_rate = (k_host * mean + F.col("_host_s") - own) / (k_host + F.col("_host_n") - 1)
+    path_rate = (k_path * F.col("_host_rate") + F.col("_s") - own) / (k_path + F.col("_n") - 1)
+    bounded = lambda c: F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), c))
+    found = scored.join(sites, here).withColumn("_host_rate", bounded(host_rate)).withColumn("_path_rate", bounded(path_rate))
+    return found.withColumn("_score", 1 / (1 + F.exp(-(F.col("_evidence") + _logit(F.col("_path_rate"))))))
+
+
 def posterior(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """docs with evidence, host_rate, path_rate, score and keep.
+    """docs without text, with evidence, host_rate, path_rate, score and keep.
 
     score is the posterior probability that the text is good; keep is score >= KEEP_AT. Null hosts and null paths are
-    groups of their own. Null and empty texts have the form of an empty text. Without labels of both classes evidence
-    is 0, and the score is the prior. Rows stay as many as they are; columns of docs with these names are replaced.
+    groups of their own. Null and empty texts have no words' features. Without labels of both classes evidence is 0, and
+    the score is the prior. Rows stay as many as they are; columns of docs with these names are replaced.
     """
     docs = docs.drop(*NAMES)
     model, rate = fit(docs, labels)
-    scored = with_evidence(docs, model)
-    sites, mean, k_host, k_path = site_rates(scored.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), "evidence"), rate)
-    sites = sites.select(*[F.col(c).alias(f"_{c}") for c in sites.columns])
-    here = F.col(host_col).eqNullSafe(F.col("_host")) & F.col(path_col).eqNullSafe(F.col("_path"))
-    own = 1 / (1 + F.exp(-(F.col("evidence") + float(np.log(rate / (1 - rate))))))
-    host_rate = (k_host * mean + F.col("_host_s") - own) / (k_host + F.col("_host_n") - 1)
-    path_rate = (k_path * F.col("host_rate") + F.col("_s") - own) / (k_path + F.col("_n") - 1)
-    bounded = lambda c: F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), c))
-    found = scored.join(sites, here).withColumn("host_rate", bounded(host_rate)).withColumn("path_rate", bounded(path_rate))
-    found = found.withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_rate"))))))
-    return found.withColumn("keep", F.col("score") >= KEEP_AT).select(*docs.columns, *NAMES)
+    scored = stored(with_evidence(docs, model, out="_evidence").drop("text"))
+    found = _joined(scored, rate, host_col, path_col)
+    own = [F.col(f"_{c}").alias(c) for c in NAMES[:-1]]
+    return found.select(*[c for c in docs.columns if c != "text"], *own, (F.col("_score") >= KEEP_AT).alias("keep"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return posterior(docs, table(spark, sf_dir, "labels")).drop("text")
+    return posterior(docs, table(spark, sf_dir, "labels"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose posterior is at least KEEP_AT, with their own columns."""
-    own = {c: f"_own_{c}" for c in docs.columns if c in NAMES}
-    found = posterior(docs.withColumnsRenamed(own), labels).where("keep").drop(*NAMES)
-    return found.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
+    model, rate = fit(docs, labels)
+    scored = stored(with_evidence(docs, model, out="_evidence"))
+    return _joined(scored, rate, "source", "lang").where(F.col("_score") >= KEEP_AT).select(*docs.columns)

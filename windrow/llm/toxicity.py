@@ -5,19 +5,22 @@ squared change of score that a swap makes. So a term that is frequent in toxic t
 mention toxic; the weight goes to the words that do.
 
 Labelled rows are sampled by a hash of doc_id down to MAX_LABELLED (a documented bound of the fit); features are
-counted over the sample by grouped sums, the most telling ones are kept, and the fit itself runs on the driver over the
-sample's few kept features per text. Scoring runs in Arrow batches over all texts.
+counted over the sample by grouped sums, those that tell the classes apart are kept, and the fit itself runs on the
+driver over the sample's few kept features per text. All sentences of a text are swapped; swaps that make the same change
+to its input are one row with a number of times. Scoring runs in Arrow batches over all texts.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +42,8 @@ IDENTITY_GROUPS = (
     ("disabled", "deaf", "blind", "autistic"),
     ("old", "young", "elderly"),
 )
-#: Bounds of the fit: labelled rows, features, swaps of one text.
+#: Labelled rows of the fit at most, about.
 MAX_LABELLED = 20_000
-MAX_FEATURES = 4_096
-MAX_SWAPS = 64
 #: Least chi-square and number of texts of a feature.
 LEAST_CHI2 = 20.0
 LEAST_TEXTS = 4
@@ -122,19 +123,35 @@ def feature_counts(texts: DataFrame) -> DataFrame:
 
 
 def choose_features(counts: DataFrame, toxic: int, clean: int, terms: list[str]) -> list[str]:
-    """The features with the largest chi-square, and the identity terms that occur."""
+    """The features of at least LEAST_TEXTS texts whose chi-square is LEAST_CHI2 or more, and the identity terms that occur."""
     a, b = F.col("toxic_texts"), F.col("clean_texts")
     n = float(toxic + clean)
     det = (a * clean - b * toxic).cast("double")
     chi2 = n * det * det / ((a + b) * (n - a - b + 0.5) * float(max(1, toxic)) * float(max(1, clean)))
     ranked = counts.where(a + b >= LEAST_TEXTS).withColumn("chi2", chi2)
-    best = ranked.where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "feature").limit(MAX_FEATURES).select("feature")
-    named = ranked.where(F.col("feature").isin(terms)).select("feature")
-    return sorted(r["feature"] for r in best.union(named).distinct().collect())
+    kept = ranked.where((F.col("chi2") >= LEAST_CHI2) | F.col("feature").isin(terms)).select("feature")
+    return sorted(r["feature"] for r in kept.collect())  # some of the bounded sample's words
 
 
-def inputs(texts: DataFrame, features: list[str], groups: tuple[tuple[str, ...], ...]) -> pd.DataFrame:
-    """Per row: label, and [columns, values] of the text and of the change that each swap makes to it."""
+def changes(text: str | None, value: Callable[[Counter], dict[int, float]], groups: tuple[tuple[str, ...], ...]) -> Counter:
+    """How often each change of the input, as sorted (column, difference) pairs, comes from a swap in one of the sentences."""
+    counts = features_of(words_of(text))
+    own = value(counts)
+    out: Counter = Counter()
+    for old, times in Counter(tuple(words_of(s)) for s in SENTENCE.split(text or "")).items():
+        for new in swapped(list(old), groups):
+            moved = counts.copy()
+            moved.subtract(features_of(list(old)))
+            moved.update(features_of(new))
+            other = value(moved)
+            change = {c: own.get(c, 0.0) - other.get(c, 0.0) for c in own.keys() | other.keys()}
+            out[tuple(sorted((c, v) for c, v in change.items() if v))] += times
+    out.pop((), None)
+    return out
+
+
+def inputs(texts: DataFrame, features: list[str], groups: tuple[tuple[str, ...], ...]) -> pa.Table:
+    """(toxic, times, columns, values): the input of each row, with times 0, and each change of it, with its number of times."""
     at = {f: i for i, f in enumerate(features)}
 
     def value(counts: Counter) -> dict[int, float]:
@@ -142,24 +159,14 @@ def inputs(texts: DataFrame, features: list[str], groups: tuple[tuple[str, ...],
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: list[tuple[int, bool, list[int], list[float]]] = []
+            out: list[tuple[int, int, list[int], list[float]]] = []
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                counts = features_of(words_of(text))
-                own = value(counts)
-                out.append((int(toxic), False, list(own), list(own.values())))
-                pairs = ((words_of(s), x) for s in SENTENCE.split(text or "") for x in swapped(words_of(s), groups))
-                for (old, new), _ in zip(pairs, range(MAX_SWAPS), strict=False):
-                    moved = counts.copy()
-                    moved.subtract(features_of(old))
-                    moved.update(features_of(new))
-                    other = value(moved)
-                    change = {c: own.get(c, 0.0) - other.get(c, 0.0) for c in own.keys() | other.keys()}
-                    change = {c: v for c, v in change.items() if v}
-                    if change:
-                        out.append((int(toxic), True, list(change), list(change.values())))
-            yield pd.DataFrame(out, columns=["toxic", "is_pair", "columns", "values"])
-
-    return texts.select("text", "toxic").mapInPandas(rows, "toxic int, is_pair boolean, columns array<int>, values array<double>").toPandas()
+                own = value(features_of(words_of(text)))
+                out.append((int(toxic), 0, list(own), list(own.values())))
+                out += [(int(toxic), n, [c for c, _ in x], [v for _, v in x]) for x, n in changes(text, value, groups).items()]
+            yield pd.DataFrame(out, columns=["toxic", "times", "columns", "values"])
+
+    return texts.select("text", "toxic").mapInPandas(rows, "toxic int, times int, columns array<int>, values array<double>").toArrow()
 
 
 def fit(docs: DataFrame, labels: DataFrame, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, pair_weight: float = PAIR_WEIGHT) -> Model:
@@ -171,9 +178,10 @@ def fit(docs: DataFrame, labels: DataFrame, groups: tuple[tuple[str, ...], ...]
         return Model({}, 4.0 if toxic else -4.0)
     features = choose_features(feature_counts(labelled), toxic, clean, sorted({t for g in groups for t in g}))
     got = inputs(labelled, features, groups)
-    own, pairs = got[~got["is_pair"]], got[got["is_pair"]]
-    as_rows = lambda part: Sparse(list(zip(part["columns"], part["values"], strict=True)), len(features))
-    weights, intercept = fit_sparse(as_rows(own), own["toxic"].to_numpy(float), as_rows(pairs), pair_weight)
+    is_pair = pc.greater(got["times"], 0)
+    own, pairs = got.filter(pc.invert(is_pair)), got.filter(is_pair)
+    as_rows = lambda part: Sparse.of(part["columns"], part["values"], len(features))
+    weights, intercept = fit_sparse(as_rows(own), own["toxic"].to_numpy().astype(float), as_rows(pairs), pairs["times"].to_numpy().astype(float), pair_weight)
     return Model({f: float(w) for f, w in zip(features, weights, strict=True) if w}, intercept)
 
 
