@@ -6,7 +6,7 @@ all variants, equal keys are joined and the pairs verified. Where a key holds ma
 grow with its square: its fingerprints are joined by two-wildcard variants of the whole instead (2,016 each, and at
 most four fingerprints share one), which finds the same links in work that grows with their number.
 
-Links are closed to components by large-star and small-star steps over DataFrames, checkpointed each round.
+Links are closed to components by large-star and small-star steps over DataFrames, written down each round.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windrow.llm.common import checkpointed, table
+from windrow.llm.common import stored, table
 
 SHINGLE = 3
 SEED = 42
@@ -62,41 +62,49 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _masks(bits: range, wild: int) -> list[int]:
-    """Signed masks that clear `wild` of the given bits and keep those of all 64."""
-    full = (1 << 64) - 1
-    out = [full & ~sum(1 << b for b in c) for c in combinations(bits, wild)]
-    return [m - (1 << 64) if m >> 63 else m for m in out]
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-#: For each half: the masks that keep this half but for one bit, and nothing of the other half.
-HALF_MASKS = [_m for low in (0, 32) for _m in (m & (((1 << 32) - 1) << low) for m in _masks(range(low, low + 32), 1))]
-HALF_MASKS = [m - (1 << 64) if m >> 63 and m > 0 else m for m in HALF_MASKS]
+FULL = (1 << 64) - 1
+LOW = (1 << 32) - 1
 
 
-def _variants(fps: DataFrame, masks: list[int]) -> DataFrame:
-    """A row (fp, mask number, masked value) for each mask."""
-    every = F.array(*[F.lit(m).cast("long") for m in masks])
-    out = fps.select("fp", F.posexplode(every).alias("slot", "mask"))
-    return out.select("fp", "slot", F.col("fp").bitwiseAND(F.col("mask")).alias("part"))
+def _half_keys(fp: Column) -> Column:
+    """Keys of the one-wildcard variants: a half without one of its bits below, the number of half and bit above.
+
+    The number takes 6 bits and the half 32, so a key is a positive long, and equal only for equal variants.
+    """
+    halves = (fp.bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(fp, 32))
+    return F.array(*[half.bitwiseAND(F.lit(LOW & ~(1 << k))).bitwiseOR(F.lit((32 * i + k) << 32)) for i, half in enumerate(halves) for k in range(32)])
+
+
+def _whole_keys(fp: Column) -> Column:
+    """Keys of the two-wildcard variants: the number of the two bits, and the fingerprint without them."""
+    masks = F.array(*[F.lit(_signed(FULL & ~(1 << a | 1 << b))).cast("long") for a, b in combinations(range(64), MAX_BITS)])
+    return F.transform(masks, lambda m, i: F.struct(i.alias("slot"), m.bitwiseAND(fp).alias("part")))
+
+
+def _variants(fps: DataFrame, keys: Column) -> DataFrame:
+    """A row (fp, key) for each key. Fingerprints are dealt out first, as each becomes as many rows as it has keys."""
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return fps.repartition(n, "fp").select("fp", F.explode(keys).alias("key"))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
     """Verified pairs a < b of fingerprints that share a key."""
-    a = rows.select("slot", "part", F.col("fp").alias("a"))
-    b = rows.select("slot", "part", F.col("fp").alias("b"))
+    a, b = rows.select("key", F.col("fp").alias("a")), rows.select("key", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
-    return a.join(b, ["slot", "part"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    return a.join(b, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 def links(fps: DataFrame) -> DataFrame:
     """All pairs (a, b), a < b, of the distinct values of column fp that differ in one or two bits."""
-    rows = _variants(fps, HALF_MASKS)
-    keys = rows.groupBy("slot", "part").agg(F.count("*").alias("n")).where("n > 1")
-    shared = checkpointed(rows.join(keys, ["slot", "part"]))
+    n = F.count("*").over(Window.partitionBy("key"))
+    shared = stored(_variants(fps, _half_keys(F.col("fp"))).withColumn("n", n).where("n > 1"))
     found = _pairs(shared.where(F.col("n") <= CROWDED))
     crowded = shared.where(F.col("n") > CROWDED).select("fp").distinct()
-    return found.unionByName(_pairs(_variants(crowded, _masks(range(64), MAX_BITS)))).distinct()
+    return found.unionByName(_pairs(_variants(crowded, _whole_keys(F.col("fp"))))).distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -105,7 +113,7 @@ def components(pairs: DataFrame) -> DataFrame:
     Each round hangs a node's larger neighbours on its smallest one (large star), then all of its smaller neighbours
     (small star), until nothing changes; the number of rounds grows with the logarithm of the longest chain.
     """
-    edges = checkpointed(pairs.select(F.col("a").alias("lo"), F.col("b").alias("hi")))
+    edges = stored(pairs.select(F.col("a").alias("lo"), F.col("b").alias("hi")))
     state = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi"))).first())
     before = state(edges)
     while True:
@@ -114,7 +122,7 @@ def components(pairs: DataFrame) -> DataFrame:
         large = both.where("hi > lo").join(least, "lo").select(F.col("m").alias("lo"), "hi").distinct()
         small_least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(small_least, "hi").select("m", F.explode(F.array("hi", "lo")).alias("n"))
-        edges = checkpointed(small.where("m <> n").select(F.col("m").alias("lo"), F.col("n").alias("hi")).distinct())
+        edges = stored(small.where("m <> n").select(F.col("m").alias("lo"), F.col("n").alias("hi")).distinct())
         now = state(edges)
         if now == before:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(edges.select("lo", "lo").distinct())
@@ -134,8 +142,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     all of them have a null id. Null, empty and blank texts have fingerprint zero, which links like any other.
     Repeated rows stay; an empty table gives an empty one.
     """
-    rows = checkpointed(docs.select(F.col(id_col).alias("_id"), fingerprints(F.col(text_col)).alias("fp")))
-    rooted = _rooted(checkpointed(rows.groupBy("fp").agg(F.min("_id").alias("least"))))
+    rows = stored(docs.select(F.col(id_col).alias("_id"), fingerprints(F.col(text_col)).alias("fp")))
+    rooted = _rooted(stored(rows.groupBy("fp").agg(F.min("_id").alias("least"))))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     final = rooted.join(best, "root").select("fp", "component_id")
     return rows.join(final, "fp").select(F.col("_id").alias(id_col), hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -144,12 +152,12 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs with exactly one row for each component: that of the smallest doc_id, null ids last, ties by a hash of the row."""
     whole = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])  # hashes skip nulls
-    rows = checkpointed(docs.select("doc_id", whole.alias("_hash"), fingerprints(F.col("text")).alias("fp")))
+    rows = stored(docs.select("doc_id", whole.alias("_hash"), fingerprints(F.col("text")).alias("fp")))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("_d"), F.col("_hash").alias("_h"))
-    rooted = _rooted(checkpointed(rows.groupBy("fp").agg(F.min(rank).alias("first"))))
-    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("root").alias("_root"), "first._d", "first._h")
-    found = docs.withColumn("_hash", whole).join(keep, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")))
-    return found.dropDuplicates(["_root"]).select(*docs.columns)  # rows of one root are the same in all columns
+    rooted = _rooted(stored(rows.groupBy("fp").agg(F.min(rank).alias("first"))))
+    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first._d", "first._h")
+    found = docs.withColumn("_hash", whole).join(keep, (F.col("_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    return found.dropDuplicates(["_hash", "doc_id"]).select(*docs.columns)  # rows alike in both are alike in all columns
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
