@@ -121,12 +121,13 @@ def test_scores_do_not_depend_on_what_is_shared(spark):
     counts = slow_counts([L.lowered(t) for t in texts[:40]], 3)
     top = L.trie(train, 3)[-1]
     sizes = Counter(n for f in counts[3].values() for n in f.values())
-    for most in (0, 1, 40, 70, 10_000):
-        keys, _ = L.head_grams(top, most)
-        least = L.least_count(top.entries, most)
-        assert len(keys) <= most and len(keys) == sum(m for n, m in sizes.items() if n >= least)
-    for most in (0, 40, 10_000):
-        got = L.score(docs, train, order=3, head_size=most).collect()
+    every = sum(n * m for n, m in sizes.items())
+    for share, most in ((0, 0), (0, 1), (0, 40), (0, 70), (0, 10_000), (1e-3, 10_000), (0.02, 10_000), (1e-3, 20)):
+        least = L.least_count(top, share, most)
+        keys, _ = L.head_grams(top, least)
+        assert len(keys) <= most and len(keys) == sum(m for n, m in sizes.items() if n >= least) and least >= share * every
+    for share, most in ((0, 0), (0, 40), (1e-3, 10_000), (0, 10_000)):
+        got = L.score(docs, train, order=3, share=share, most=most).collect()
         assert len(got) == len(texts) + 1
         for r in got:
             text = "abra" if r.doc_id is None else texts[r.doc_id]

@@ -10,9 +10,9 @@ exclusion takes from the suffix's counts is one number for each context, so scor
 Texts are lower-cased (A-Z), taken as UTF-8 and closed by one end symbol, a byte that UTF-8 never has.
 
 The trie is a set of tables, one of entries and one of contexts for each order, made by grouped sums over the whole
-corpus; no task and no driver ever holds it. Every gram is scored from the whole trie: the probabilities of up to
-HEAD_GRAMS most frequent grams of the highest order go to all tasks, and each text's other grams are joined with the
-tables by shuffles. Unigram counts work alike: up to HEAD most frequent tokens go to all tasks, and each text's other
+corpus; no task and no driver ever holds it. Every gram is scored from the whole trie: the probabilities of the grams of
+the highest order that make up a share of SHARED or more of all go to all tasks (up to HEAD_GRAMS of them), and each
+text's other grams are joined with the tables by shuffles. The share is of the corpus, so what is shared hardly grows with it. Unigram counts work alike: up to HEAD most frequent tokens go to all tasks, and each text's other
 tokens are joined with the counts. The two limits bound what is shared; they change no score.
 """
 
@@ -36,6 +36,7 @@ DISCOUNT = 0.35
 END = 255
 SYMBOLS = 256
 #: Most frequent grams and tokens that all tasks get; the others are joined. They move work, not results.
+SHARED = 2.0**-23
 HEAD_GRAMS = 1 << 20
 HEAD = 100_000
 #: Bytes that a task turns into contexts at once; distinct tokens and contexts it counts before handing them on.
@@ -209,21 +210,21 @@ def gram_scores(grams: DataFrame, orders: list[Order]) -> DataFrame:
     return rows.select("key", (F.col("p") - F.when(F.col("_done"), 0.0).otherwise(unseen)).alias("p"))
 
 
-def least_count(entries: DataFrame, most: int) -> float:
-    """A bound of count that at most `most` entries reach: 0, or a power of the eighth root of two."""
-    sizes = entries.groupBy(F.floor(8 * F.log2("count")).alias("e")).agg(F.count("*").alias("n")).collect()  # 504 rows at most
-    total = 0
+def least_count(top: Order, share: float, most: int) -> float:
+    """A bound of count that at most `most` entries of the order reach, and all make up a share of `share` or more."""
+    sizes = top.entries.groupBy(F.floor(8 * F.log2("count")).alias("e")).agg(F.count("*").alias("n"), F.sum("count").alias("c")).collect()  # 504 rows at most
+    least, total = share * sum(r["c"] for r in sizes), 0
     for r in sorted(sizes, key=lambda r: -r["e"]):
         total += r["n"]
         if total > most:
-            return 2.0 ** ((r["e"] + 1) / 8)
-    return 0.0
+            # a count on the very edge may fall on either side of it, so the edge is set a little above
+            return max(least, 2.0 ** ((r["e"] + 1) / 8) * (1 + 1e-12))
+    return least
 
 
-def head_grams(top: Order, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, log10 probabilities) of the most frequent grams of the highest order, at most `most`."""
-    # a count on the very edge of a bound may fall on either side of it, so the edge is set a little above
-    frequent = top.entries.where(F.col("count") >= least_count(top.entries, most) * (1 + 1e-12)).withColumn("context", F.shiftrightunsigned("key", 8))
+def head_grams(top: Order, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, log10 probabilities) of the grams of the highest order whose count is at least `least`."""
+    frequent = top.entries.where(F.col("count") >= least).withColumn("context", F.shiftrightunsigned("key", 8))
     got = frequent.join(top.nodes, "context").select("key", F.log10((F.col("count") - DISCOUNT) / F.col("total")).alias("p")).toArrow()
     return got["key"].to_numpy(), got["p"].to_numpy()
 
@@ -246,7 +247,7 @@ def _head_scores(texts: list[bytes], order: int, head: Head) -> tuple[np.ndarray
     return np.bincount(owner[hit], head.values[at[hit]], len(texts)), rest
 
 
-def score(docs: DataFrame, train: DataFrame, order: int = ORDER, head_size: int = HEAD_GRAMS, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, order: int = ORDER, share: float = SHARED, most: int = HEAD_GRAMS, head: int = HEAD) -> DataFrame:
     """docs without text, with n_tokens, n_known, train_tokens, base_score and score; train is (text).
 
     Null texts count as empty ones: they have the end token alone. Every row is scored by itself, so repeated rows and
@@ -261,7 +262,7 @@ def score(docs: DataFrame, train: DataFrame, order: int = ORDER, head_size: int
     space = total + ADDED * (distinct + 1)
     logs = np.log10((first["n"].to_numpy() + ADDED) / space).tolist()
     known = {t.encode("utf-8", "surrogatepass"): p for t, p in zip(first["token"].to_pylist(), logs, strict=True)}
-    shared = spark.sparkContext.broadcast((head_grams(orders[-1], head_size), known))  # HEAD_GRAMS and HEAD entries at most
+    shared = spark.sparkContext.broadcast((head_grams(orders[-1], least_count(orders[-1], share, most)), known))  # HEAD_GRAMS and HEAD entries at most
 
     @F.pandas_udf(SCORED)
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
