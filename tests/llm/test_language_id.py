@@ -66,3 +66,16 @@ def test_long_runs_are_summed_whole_and_never_underflow():
                 last = [sums[end - n] + math.log(grid[pieces[text[end - n : end]], k]) for n in range(1, min(3, end) + 1) if text[end - n : end] in pieces]
                 sums.append(float(np.logaddexp.reduce(last)))
             assert abs(got[i, k] - sums[-1]) < 1e-9 * abs(sums[-1])
+
+
+def test_many_languages_in_small_blocks(spark, monkeypatch):
+    rows = [(i, f"k{'abcdefghij'[i % 300 // 30]}x wort{'abcdefghijklmnopqrstuvwxyzäöüß'[i % 30]} und " * 3, f"l{i % 300:03d}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    assert len(model.languages) == 300
+    want = {r.doc_id: (r.lang_pred, r.score) for r in L.predict(docs, model).collect()}
+    monkeypatch.setattr(L, "BLOCK_NUMBERS", 100)
+    monkeypatch.setattr(L, "HELD_NUMBERS", 3_000)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.predict(docs, model).collect()}
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and math.isclose(got[i][1], want[i][1]) for i in got)
+    assert sum(want[i][0] == lang for i, _, lang in rows) > 0.9 * len(rows)

@@ -32,12 +32,16 @@ RESCALE = 4
 UNKNOWN = 1e-6
 #: Added to each piece's count.
 SMOOTHING = 0.05
-#: Distinct words whose likelihoods or counts a task holds at once; beyond it the store is emptied, results stay.
-HELD_WORDS = 400_000
+#: Distinct words whose counts a task holds at once, and numbers (words x languages) whose likelihoods it holds; beyond
+#: that the store is emptied, results stay.
+HELD_WORDS = 200_000
+HELD_NUMBERS = 1_600_000
+#: Numbers (words x languages) that the forward algorithm works on at once.
+BLOCK_NUMBERS = 80_000
 #: Bits of a slot's number in the table of the trie's edges.
 SLOT_BITS = 20
 #: Words whose lists a task holds at once.
-RUN_WORDS = 300_000
+RUN_WORDS = 100_000
 #: The model has vocabulary x languages numbers; more languages than this are refused.
 MAX_LANGUAGES = 400
 UNDETERMINED = "und"
@@ -49,7 +53,10 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass
 class Model:
-    """languages, sorted; log_prior by language; pieces to rows of `probability` (pieces x languages)."""
+    """languages, sorted; log_prior by language; pieces to rows of `probability` (pieces x languages).
+
+    The unknown piece's row is put after them.
+    """
 
     languages: list[str]
     log_prior: np.ndarray
@@ -59,7 +66,8 @@ class Model:
     def __post_init__(self) -> None:
         """A trie of the pieces as one table of (node, letter) to child, found by hash slot, and each node's piece."""
         self.unknown = len(self.pieces)
-        self._p = np.vstack([self.probability, np.full((1, len(self.languages)), UNKNOWN)])
+        if len(self.probability) == self.unknown:
+            self.probability = np.vstack([self.probability, np.full((1, len(self.languages)), UNKNOWN)])
         children: dict[int, int] = {}
         rows = [-1]
         for piece, row in self.pieces.items():
@@ -143,7 +151,7 @@ class Model:
             for k, end in enumerate(ends.tolist()):
                 part = slice(cuts[k], cuts[k + 1])
                 n, on = np.searchsorted(-sizes, -end, "right"), np.searchsorted(-sizes, -end)
-                gain = alpha[start_of[part] % ring, text_of[part]] * self._p[row_of[part]]
+                gain = alpha[start_of[part] % ring, text_of[part]] * self.probability[row_of[part]]
                 now = alpha[end % ring]
                 for c in range(gain.shape[1]):
                     now[:n, c] = np.bincount(text_of[part], gain[:, c], n)
@@ -231,7 +239,9 @@ def _with_guess(docs: DataFrame, model: Model | None, text_col: str) -> DataFram
     def guess(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Model(*parts)
         known: dict[str, int] = {}
-        store = np.zeros((HELD_WORDS, len(own.languages)))
+        n = len(own.languages)
+        store = np.zeros((HELD_NUMBERS // n, n))
+        step = max(1, BLOCK_NUMBERS // n)
         for batch in texts:
             names: list[str] = []
             scores: list[float] = []
@@ -240,9 +250,9 @@ def _with_guess(docs: DataFrame, model: Model | None, text_col: str) -> DataFram
                 if len(known) + len(fresh) > len(store):
                     known = {}
                     fresh = list({w for ws in found for w in ws})
-                    store = store if len(fresh) <= len(store) else np.zeros((len(fresh), len(own.languages)))
-                for i in range(0, len(fresh), 20_000):
-                    block = fresh[i : i + 20_000]
+                    store = store if len(fresh) <= len(store) else np.zeros((len(fresh), n))
+                for i in range(0, len(fresh), step):
+                    block = fresh[i : i + step]
                     store[len(known) : len(known) + len(block)] = own.likelihoods(block)
                     known.update(zip(block, range(len(known), len(known) + len(block)), strict=True))
                 for ws in found:
@@ -256,7 +266,7 @@ def _with_guess(docs: DataFrame, model: Model | None, text_col: str) -> DataFram
                     scores.append(float(1 / np.exp(total - total[best]).sum()))
             yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": scores})
 
-    return docs.withColumn("_guess", guess(F.col(text_col)))
+    return docs.withColumn("_guess", guess.asNondeterministic()(F.col(text_col)))  # or else a filter would work it out again
 
 
 def _runs(texts: Iterator[list[str]]) -> Iterator[list[list[str]]]:
