@@ -1,5 +1,6 @@
 import re
 
+from windrow.llm import url_filter
 from windrow.llm.url_filter import PATTERN_RULES, SITE_RULES, Rule, judge
 
 URLS = [
@@ -7,6 +8,7 @@ URLS = [
     "http://example.org/en/2?x=/es/", "http://example.org", "http://example.org?q=/", "http://notexample.org/es/",
     "http://x.com/fr/1", "http://x.com/de/1#top", "http://x.net/de/", "http://spam-farm.x.net/a", "http://my-spam-farm.net/a",
     "http://x.net/casino/", "http://x.net/a?u=http://y.org/", "http://x.net/WP-login.php?x", "http://x.net/" + "a" * 5000,
+    "http://www.cheap-pills.net/a", "http://cheap-pills.net/b/leaflet/c", "http://x.net/crack/1/keygen", "http://x.net/a?affiliate_id=3", "http://casino-museum.net/a", "http://x.net/feed/?a",
     "http://x.org:80/a", "http://x.net/a/casino/b", "://x.org/z", "http://É.org/é",
 ]
 
@@ -42,3 +44,17 @@ def test_rule_without_literal_token_and_empty_table(spark):
     assert Rule("block", host="example.org", path="/en/1").tokens == ["en", "example", "org"]
     assert Rule("block", pattern="||spam-farm.").tokens == ["farm", "spam"]
     assert judge(spark.createDataFrame([], "page_id int, url string"), list(SITE_RULES)).count() == 0
+
+
+def test_more_rules_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST_RULES", 5)
+    rules = [*SITE_RULES, *PATTERN_RULES, *(Rule("block", pattern=f"/made-up-{i}/") for i in range(300)), Rule("block", pattern="*q=*")]
+    rows = list(enumerate([*URLS, "http://x.net/made-up-77/"]))
+    got = judge(spark.createDataFrame(rows, "page_id int, url string"), rules).collect()
+    assert {(r.page_id, r.host, r.path, r.rule, r.pattern, r.verdict) for r in got} == {(i, *expected(u, rules)) for i, u in rows} and len(got) == len(rows)
+
+
+def test_pattern_rules_decide_some_of_the_pages(spark):
+    got = url_filter.query(spark, "/root/testdata/sf0.1").groupBy("pattern").count().where("pattern is not null").collect()
+    assert len(got) >= 5 and sum(r["count"] for r in got) >= 50
+    assert len([r for r in PATTERN_RULES if not r.tokens]) == 0

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from windrow.llm import decontamination, language_id, license_scan, lm_scoring, media_png, mixing, quality, simhash, toxicity, url_filter
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_url_filter": url_filter.query,
     "op2_toxicity": toxicity.query,
     "op3_quality": quality.query,

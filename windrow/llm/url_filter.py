@@ -59,11 +59,18 @@ SITE_RULES = (
     Rule("allow", host="com", path="/fr/"),
     Rule("block", host="com", path="/de/"),
 )
-#: Pattern rules of the production query, for URLs that no host/path rule fits.
+#: Pattern rules of the production query, for URLs that no host/path rule fits: advertising and tracking hosts and paths,
+#: gambling, pharmacy, adult and malware sites, and pages that hold no text of their own.
 PATTERN_RULES = tuple(
     Rule("block", pattern=p)
-    for p in ("||spam-farm.", "||ads.", "||adserver.", "||tracker.", "/adclick^", "/doubleclick/", "/casino/", "/porn/", "/phishing/", "/malware/", "||xxx.", "*/wp-login.php^")
-)
+    for p in (
+        "||ads.", "||ads-", "||ad.", "||adserver.", "||tracker.", "||tracking.", "||metrics.", "||banner.", "/adclick^", "/ads/", "/banners/*.gif^", "^affiliate_id=", "/doubleclick/", "/pixel.gif^",
+        "||casino.", "||casino-", "-casino.", "/casino/", "||free-bets.", "||bet-", "-bets.", "||poker-", "/poker/", "/slots/",
+        "||cheap-pills.", "-pills.", "-pharmacy.", "/viagra^", "||xxx.", "||porn.", "||porn-", "/porn/", "/xxx/", "||adult-",
+        "||spam-", "/phishing/", "/malware/", "||warez.", "/warez/", "/crack/*/keygen^", "||win-prize.", "-prize.", "||earn-money.", "/get-rich/",
+        "*/wp-login.php^", "/wp-admin/", "/xmlrpc.php^", "/cgi-bin/", "/login^", "/signin^", "/cart/*/checkout^", "^sessionid=", "^replytocom=", "/feed/^", "/search^q=",
+    )
+) + tuple(Rule("allow", pattern=p) for p in ("||casino-museum.", "/login/help/*/article^", "-pills.*/leaflet/"))
 #: More rules than this are joined by a shuffle.
 MAX_BROADCAST_RULES = 50_000
 
