@@ -58,14 +58,15 @@ class LabelParams:
     capture_id: str = "capture_id"
     flow_id: str = "flow_id"
     timezone: str = "UTC"
-    time_format: str = "d/M/y H:m:s"
+    #: Day first; a text is read by the first format that fits.
+    time_formats: tuple[str, ...] = ("d/M/y H:m:s.SSSSSS", "d/M/y H:m:s.SSS", "d/M/y H:m:s", "d/M/y H:m", "d/M/y h:m:s a", "d/M/y h:m a", "d-M-y H:m:s", "d.M.y H:m:s", "y-M-d H:m:s.SSSSSS", "y-M-d H:m:s", "y-M-d'T'H:m:s", "y-M-d H:m", "M/d/y H:m:s", "M/d/y H:m")
     default_offset_sec: float = 0.0
     extra_offsets_sec: tuple[float, ...] = ()
 
 
 DATASETS = {
     "CICIDS2017": LabelParams(extra_offsets_sec=(10_800.0, 54_000.0)),
-    "UNSWNB15": LabelParams(benign="Normal", start="start_time", end="end_time", time_format="y-M-d H:m:s"),
+    "UNSWNB15": LabelParams(benign="Normal", start="start_time", end="end_time"),
 }
 
 

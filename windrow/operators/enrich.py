@@ -13,7 +13,10 @@ from pyspark.sql import types as T
 from windrow.config import WindowParams
 from windrow.functions.columns import display_text, human_bytes, proto_name
 from windrow.schemas import KW
+from windrow.storage import stored
 
+#: Parts of a window that are sorted by themselves first.
+PARTS = 32
 BYTE_COUNTS = T.ArrayType(T.StructType().add("byte", "integer").add("n", "long"))
 
 
@@ -49,19 +52,28 @@ def payload_ends(members: DataFrame, params: WindowParams) -> DataFrame:
     """(window key, rich_payload_{head,tail}_{hex,ascii}, rich_payload_truncated).
 
     Running lengths choose the packets that reach into the first or last bytes; only these are collected and joined.
+    Lengths run over PARTS parts of a window first, a row each, so that only packets of one part are sorted together,
+    and of the parts only those that reach into an end.
     """
-    order = Window.partitionBy(*KW).orderBy("ts_us", "frame_number")
-    size = F.expr("length(payload_hex) div 2")
-    rows = members.select(*KW, "ts_us", "frame_number", "payload_hex", size.alias("n"))
-    rows = rows.withColumns({"upto": F.sum("n").over(order), "total": F.sum("n").over(Window.partitionBy(*KW))})
+    size = F.expr("length(payload_hex) div 2").cast("long")
+    part = F.floor((F.col("ts_us") - F.col("win") * params.stride_us) * PARTS / params.window_us)
+    rows = members.select(*KW, "ts_us", "frame_number", "payload_hex", size.alias("n"), part.alias("part"))
+    whole = Window.partitionBy(*KW)
+    parts = rows.groupBy(*KW, "part").agg(F.sum("n").alias("part_n"))
+    parts = parts.withColumns({"before": F.sum("part_n").over(whole.orderBy("part")) - F.col("part_n"), "total": F.sum("part_n").over(whole)})
+    near = (F.col("before") < params.head_bytes) | (F.col("total") - F.col("before") - F.col("part_n") < params.tail_bytes)
+    order = Window.partitionBy(*KW, "part").orderBy("ts_us", "frame_number")
+    rows = rows.where("n > 0").join(parts.where(near).drop("part_n", "total"), [*KW, "part"]).withColumn("upto", F.col("before") + F.sum("n").over(order))
     item = F.struct("ts_us", "frame_number", "payload_hex")
+    total = parts.groupBy(*KW).agg(F.max("total").alias("total"))
+    rows = rows.join(total, list(KW))
     head = F.col("upto") - F.col("n") < params.head_bytes
     tail = F.col("total") - F.col("upto") < params.tail_bytes
     joined = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x["payload_hex"]), "")
-    some = F.col("n") > 0
-    got = rows.groupBy(*KW).agg(F.collect_list(F.when(head & some, item)).alias("h"), F.collect_list(F.when(tail & some, item)).alias("t"), F.max("total").alias("total"))
-    got = got.select(
-        *KW, F.substring(joined("h"), 1, 2 * params.head_bytes).alias("rich_payload_head_hex"), F.right(joined("t"), F.lit(2 * params.tail_bytes)).alias("rich_payload_tail_hex"),
+    ends = rows.groupBy(*KW).agg(F.collect_list(F.when(head, item)).alias("h"), F.collect_list(F.when(tail, item)).alias("t"))  # as many packets as have so many bytes
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    got = total.join(ends, list(KW), "left").select(
+        *KW, empty(F.substring(joined("h"), 1, 2 * params.head_bytes)).alias("rich_payload_head_hex"), empty(F.right(joined("t"), F.lit(2 * params.tail_bytes))).alias("rich_payload_tail_hex"),
         (F.col("total") > params.head_bytes + params.tail_bytes).alias("rich_payload_truncated"),
     )
     return got.withColumns({f"rich_payload_{e}_ascii": display_text(F.col(f"rich_payload_{e}_hex")) for e in ("head", "tail")})
@@ -92,6 +104,20 @@ def application_text(col=F.col) -> Column:
     return F.concat_ws(" | ", http, dns, tls)
 
 
+def _may_be_chosen(members: DataFrame, params: WindowParams) -> DataFrame:
+    """The packets that are first, last or among the largest of one of the PARTS parts of their window.
+
+    Parts are by frame number, so that a window with most packets is many tasks; what is chosen of the whole is chosen here.
+    """
+    part = Window.partitionBy(*KW, "_part")
+    rows = members.withColumn("_part", F.pmod("frame_number", F.lit(PARTS)))
+    rows = rows.withColumns({
+        "_a": F.row_number().over(part.orderBy("ts_us", "frame_number")), "_b": F.row_number().over(part.orderBy(F.desc("ts_us"), F.desc("frame_number"))),
+        "_c": F.row_number().over(part.orderBy(F.desc("payload_len"), "ts_us", "frame_number")),
+    })
+    return rows.where((F.col("_a") == 1) | (F.col("_b") == 1) | (F.col("_c") <= params.max_events + 2)).drop("_part", "_a", "_b", "_c")
+
+
 def key_events(members: DataFrame, params: WindowParams) -> DataFrame:
     """The chosen packets of each window, with rank (order of choice) and place (order in time), at most max_events.
 
@@ -100,7 +126,7 @@ def key_events(members: DataFrame, params: WindowParams) -> DataFrame:
     """
     order = Window.partitionBy(*KW).orderBy("ts_us", "frame_number")
     back = Window.partitionBy(*KW).orderBy(F.desc("ts_us"), F.desc("frame_number"))
-    rows = members.withColumns({"_at": F.row_number().over(order), "_from_end": F.row_number().over(back)})
+    rows = _may_be_chosen(members, params).withColumns({"_at": F.row_number().over(order), "_from_end": F.row_number().over(back)})
     edge = (F.col("_at") == 1) | (F.col("_from_end") == 1)
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*KW).orderBy(F.when(edge, 0).otherwise(1), F.when(edge, F.lit(0)).otherwise(-F.col("payload_len")), "ts_us", "frame_number")))
     if params.max_events <= 2:
@@ -157,6 +183,7 @@ def with_rich(windows: DataFrame, members: DataFrame, params: WindowParams) -> D
         zero = {"payload_entropy": F.lit(0.0), "payload_ascii_ratio": F.lit(0.0), "rich_event_count": F.lit(0), "rich_events": F.lit("[]"), "rich_payload_truncated": F.lit(False)}
         empty = {c: F.lit("") for c in ("rich_payload_head_hex", "rich_payload_head_ascii", "rich_payload_tail_hex", "rich_payload_tail_ascii", "rich_protocols", "rich_context_summary")}
         return windows.withColumns(zero | empty)
+    members = stored(members)  # four groupings go over them
     out = windows
     for part in (payload_stats(members), payload_ends(members, params), protocol_tokens(members), window_events(members, params)):
         out = out.join(part, list(KW), "left")

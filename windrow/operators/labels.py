@@ -11,14 +11,25 @@ from windrow.functions.columns import clean_label
 #: Label matching ignores the capture, as one label table may serve several captures of the same hosts.
 K5 = ("src_ip", "src_port", "dst_ip", "dst_port", "proto")
 TOLERANCE = 1e-9
-BUCKET_US = 86_400_000_000
+#: Bucket of the interval join: an hour holds many windows of seconds, and a label of a day meets 24 buckets.
+BUCKET_US = 3_600_000_000
+DAY_US = 24 * BUCKET_US
 
 
 def label_times(df: DataFrame, params: LabelParams) -> DataFrame:
-    """Adds start_us and end_us from text times in the data set's zone; rows with a time that can't be read go."""
+    """Adds start_us and end_us from text times in the data set's zone; rows with a time that can't be read go.
+
+    The first of the data set's formats that reads a text counts. Local times that a clock change skips or repeats are
+    no times either: they are those that two instants, or none, show on the zone's clock.
+    """
 
     def micros(name: str) -> Column:
-        return F.unix_micros(F.to_utc_timestamp(F.try_to_timestamp(F.col(name), F.lit(params.time_format)), params.timezone))
+        local = F.coalesce(*[F.try_to_timestamp(F.trim(F.col(name)), F.lit(f)) for f in params.time_formats])
+        shown = lambda instant: F.from_utc_timestamp(instant, params.timezone)
+        at = F.to_utc_timestamp(local, params.timezone)
+        hour = F.expr("INTERVAL 1 HOUR")
+        once = (shown(at) == local) & (shown(at + hour) != local) & (shown(at - hour) != local)
+        return F.unix_micros(F.when(once, at))
 
     got = df.withColumns({"start_us": micros(params.start), "end_us": micros(params.end)})
     return got.where(F.col("start_us").isNotNull() & F.col("end_us").isNotNull()).withColumn("end_us", F.greatest("start_us", "end_us"))
@@ -74,16 +85,17 @@ def _best(entries: Column) -> Column:
     return F.aggregate(F.array_sort(entries), start, lambda acc, e: F.when(wins(acc, e), item(e)).otherwise(acc))
 
 
-def align(windows: DataFrame, entries: DataFrame, key: list[str], benign: str = "BENIGN") -> DataFrame:
+def align(windows: DataFrame, entries: DataFrame, key: list[str], benign: str = "BENIGN", bucket_us: int = BUCKET_US) -> DataFrame:
     """Windows with label, label_iou, label_capture_id, label_flow_id, label_priority, label_is_unknown, n_candidates.
 
     entries are prepared labels, shifted, with label_row. A window without overlap is benign if all entries of its
-    flow are (with the ids of the earliest), else `unknown`. `key` names the columns that make a window unique.
+    flow are (with the ids of the earliest), else `unknown`. `key` names the columns that make a window unique;
+    `bucket_us` should be a few times longer than windows and most labels.
     """
     for c in ("label_capture_id", "label_flow_id"):
         if c not in entries.columns:
             entries = entries.withColumn(c, F.lit(""))
-    found = candidates(windows.select(*key, *[c for c in (*K5, "win_start_us", "win_end_us") if c not in key]), entries)
+    found = candidates(windows.select(*key, *[c for c in (*K5, "win_start_us", "win_end_us") if c not in key]), entries, bucket_us)
     entry = F.struct(
         F.col("l_start_us").alias("start"), F.col("l_label_row").alias("row"), F.col("l_offset_no").alias("no"), "iou", F.col("l_priority").alias("priority"), F.col("l_label").alias("label"),
         F.col("l_label_capture_id").alias("capture_id"), F.col("l_label_flow_id").alias("flow_id"),
@@ -102,10 +114,13 @@ def align(windows: DataFrame, entries: DataFrame, key: list[str], benign: str =
 
 
 def alignment_stats(labelled: DataFrame, benign: str = "BENIGN") -> DataFrame:
-    """One row: windows, unknown ones and their share, windows with several candidates, benign label."""
-    return labelled.agg(
-        F.count("*").alias("total"), F.count(F.when(F.col("label_is_unknown"), 1)).alias("unknown_count"), F.coalesce(F.avg(F.col("label_is_unknown").cast("int")), F.lit(0.0)).alias("unknown_ratio"),
-        F.count(F.when(F.col("n_candidates") > 1, 1)).alias("multi_candidate"), F.lit(benign).alias("benign_label"),
+    """One row: windows, unknown ones and their share, windows with several candidates, benign label, counts by label as JSON in label order."""
+    per = labelled.groupBy("label").agg(F.count("*").alias("n"), F.count(F.when(F.col("label_is_unknown"), 1)).alias("unknown"), F.count(F.when(F.col("n_candidates") > 1, 1)).alias("multi"))
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counts = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))))  # one entry for each label
+    return per.agg(
+        whole("n").alias("total"), whole("unknown").alias("unknown_count"), F.coalesce(F.sum("unknown") / F.sum("n"), F.lit(0.0)).alias("unknown_ratio"),
+        whole("multi").alias("multi_candidate"), F.lit(benign).alias("benign_label"), counts.alias("label_counts"),
     )
 
 

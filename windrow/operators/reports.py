@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from windrow.functions.columns import pair_display, proto_display
 from windrow.operators.packets import ip_pair
+from windrow.operators.splits import sequential_ids
+from windrow.storage import stored
 
 NO_ATTACK = ("BENIGN", "unknown")
 
@@ -74,6 +76,8 @@ def markdown(df: DataFrame) -> str:
         ("Splits", describe_splits(df).orderBy("split"), ["split", "windows", "tuple5s", "captures", "unknown_ratio"]),
         ("Labels", label_distribution(df).orderBy("split", "label"), ["split", "label", "count", "share"]),
         ("Protocols", protocol_breakdown(df).orderBy("proto"), ["proto_display", "windows", "window_share", "tuple5s", "attack_windows", "attack_share"]),
+        ("Protocols by split", protocol_distribution(df).where("scope = 'all'").orderBy("split", "proto"), ["split", "proto", "count", "share"]),
+        ("Protocols of attacks by split", protocol_distribution(df).where("scope = 'attack'").orderBy("split", "proto"), ["split", "proto", "count", "share"]),
     ):
         lines += [f"## {title}", "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
         for row in frame.select(*columns).collect():
@@ -114,10 +118,13 @@ def top_pairs(purity: DataFrame, k: int = 10) -> DataFrame:
     return top.withColumn("pair", pair_display(F.col("ip_low"), F.col("ip_high")))
 
 
-def pair_mix(pairs: DataFrame, purity: DataFrame, labels: list[str], k: int = 10) -> DataFrame:
-    """Counts of the given labels for each top pair, wide, 0 where there is none."""
+def pair_mix(pairs: DataFrame, purity: DataFrame, k: int = 10, labels: list[str] | None = None) -> DataFrame:
+    """Counts of labels for each top pair, wide, 0 where there is none: of the given labels, or of all that these pairs have."""
     top = top_pairs(purity, k).select("ip_low", "ip_high", "pair")
-    return pairs.join(top, ["ip_low", "ip_high"]).groupBy("pair").pivot("label", labels).sum("cnt").na.fill(0)
+    rows = pairs.join(top, ["ip_low", "ip_high"])
+    if labels is None:
+        labels = [r["label"] for r in rows.select("label").distinct().orderBy("label").collect()]  # a column each
+    return rows.groupBy("pair").pivot("label", labels).sum("cnt").na.fill(0)
 
 
 def histogram(df: DataFrame, value: str, bins: int, low: float | None = None, high: float | None = None) -> DataFrame:
@@ -131,18 +138,19 @@ def histogram(df: DataFrame, value: str, bins: int, low: float | None = None, hi
     return got.select("bin", (F.lit(low) + F.col("bin") * width).alias("low"), (F.lit(low) + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
+#: Pairs of one running sum.
+COVERAGE_ROWS = 100_000
+
+
 def coverage(purity: DataFrame) -> DataFrame:
-    """(pairs, total, covered): pairs by volume, and the share of rows that they and all larger ones cover.
+    """(ip_low, ip_high, rank, total, covered): pairs by volume, and the share of rows that they and all larger ones cover.
 
-    Running sums go over one row for each distinct volume, not for each pair; a pair's place within its volume follows.
+    Pairs are sorted by range; running sums go over a partition's own rows and over one row for each partition.
     """
-    volumes = purity.groupBy("total").agg(F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("total"))
-    volumes = volumes.withColumns({
-        "_before": F.sum("n").over(down) - F.col("n"), "_rows": F.sum(F.col("n") * F.col("total")).over(down) - F.col("n") * F.col("total"),
-        "_all": F.sum(F.col("n") * F.col("total")).over(Window.partitionBy(F.lit(0))),
-    })
-    place = F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))
-    return volumes.select("total", "_before", "_rows", "_all", place.alias("i")).select(
-        (F.col("_before") + F.col("i")).alias("rank"), "total", ((F.col("_rows") + F.col("i") * F.col("total")) / F.col("_all")).alias("covered")
-    )
+    numbered = sequential_ids(purity.select("ip_low", "ip_high", "total", (-F.col("total")).alias("_down")), ["_down", "ip_low", "ip_high"], "rank")
+    rows = stored(numbered.withColumn("_part", F.floor((F.col("rank") - 1) / COVERAGE_ROWS)))
+    sums = rows.groupBy("_part").agg(F.sum("total").alias("_sum"))
+    before = F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")
+    sums = sums.select("_part", before.alias("_before"), F.sum("_sum").over(Window.partitionBy(F.lit(0))).alias("_all"))
+    upto = F.col("_before") + F.sum("total").over(Window.partitionBy("_part").orderBy("rank"))
+    return rows.join(sums, "_part").select("ip_low", "ip_high", "rank", "total", (upto / F.col("_all")).alias("covered"))

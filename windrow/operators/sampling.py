@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from windrow.config import SampleParams
 from windrow.functions.columns import hash01, hash_key
+from windrow.operators.splits import ranked_by_hash
 
 
 def label_counts(df: DataFrame, missing: str = "UNKNOWN") -> DataFrame:
@@ -59,15 +60,16 @@ def balanced_sample(df: DataFrame, key: list[str], params: SampleParams = Sample
 
 
 def validation_sample(df: DataFrame, key: list[str], n_train: int, benign_rate: float, params: SampleParams = SampleParams(), least: int = 1000) -> DataFrame:
-    """Benign rows at the training sample's rate, other labels up to an equal part of the target each; then the target at most."""
+    """Benign rows at the training sample's rate, other labels up to an equal part of the target each; then the target at most.
+
+    All labels are ranked in one pass, each in hash order.
+    """
     target = max(least, n_train // 10)
-    counts = {r["label"]: r["count"] for r in df.groupBy(F.coalesce("label", F.lit("UNKNOWN")).alias("label")).count().collect()}
-    others = max(1, len(counts) - 1)
-    quota = {x: min(n, int(n * benign_rate) if x == params.benign else target // others) for x, n in counts.items()}
-    out = df.limit(0)
-    for name, n in sorted(quota.items()):
-        out = out.unionByName(sample_n(df.where(F.coalesce("label", F.lit("UNKNOWN")) == name), n, key, params.seed, counts[name]))
-    return sample_n(out, target, key, params.seed, sum(quota.values())) if sum(quota.values()) > target else out
+    named = df.withColumn("_label", F.coalesce("label", F.lit("UNKNOWN")))
+    n_labels = named.select("_label").distinct().count()
+    quota = F.when(F.col("_label") == params.benign, F.floor(F.col("_total") * F.lit(benign_rate))).otherwise(F.lit(target // max(1, n_labels - 1)))
+    kept = ranked_by_hash(named, ["_label"], key, hash_key(params.seed, *map(F.col, key))).where(F.col("_rank") <= quota).select(*df.columns)
+    return sample_n(kept, target, key, params.seed)
 
 
 def natural_sample(df: DataFrame, key: list[str], params: SampleParams = SampleParams()) -> DataFrame:

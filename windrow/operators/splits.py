@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.config import SplitParams
 from windrow.functions.columns import hash_key
 from windrow.operators.labels import duplicate_keys
-from windrow.storage import checkpointed
+from windrow.storage import stored
 
 
 def group_column(df: DataFrame, override: str | None = None) -> str:
@@ -24,22 +24,25 @@ def group_column(df: DataFrame, override: str | None = None) -> str:
     raise ValueError("no column to group by")
 
 
-BINS = 4096
-
-
-def stratified_split(df: DataFrame, key: list[str], group: str, label: str = "label", params: SplitParams = SplitParams()) -> DataFrame:
-    """df with split: within (group, label), rows in hash order are cut at floor(n r), the rest one each to the first splits.
+def ranked_by_hash(df: DataFrame, strata: list[str], key: list[str], hashed: Column) -> DataFrame:
+    """df with _rank, the place of a row in its stratum in the order of the hash (hex text) and key, and _total, the stratum's rows.
 
     A rank over a whole stratum would sort it in one task. Rows get a bin from their hash's first three digits; bins
     are counted and their running sums give each bin's first rank, so that only rows within a bin are sorted.
     """
-    ordered = df.withColumn("_h", hash_key(params.seed, F.col(group), F.col(label), *map(F.col, key))).withColumn("_bin", F.substring("_h", 1, 3))
-    stratum = [F.col(group).eqNullSafe(F.col("_g")), F.col(label).eqNullSafe(F.col("_l"))]
-    bins = ordered.groupBy(F.col(group).alias("_g"), F.col(label).alias("_l"), F.col("_bin").alias("_b")).agg(F.count("*").alias("_n"))
-    over = Window.partitionBy("_g", "_l")
+    ordered = df.withColumn("_h", hashed).withColumn("_bin", F.substring("_h", 1, 3))
+    names = [f"_s{i}" for i in range(len(strata))]
+    bins = ordered.groupBy(*[F.col(c).alias(n) for c, n in zip(strata, names, strict=True)], F.col("_bin").alias("_b")).agg(F.count("*").alias("_n"))
+    over = Window.partitionBy(*names)
     bins = bins.withColumns({"_total": F.sum("_n").over(over), "_before": F.sum("_n").over(over.orderBy("_b")) - F.col("_n")})
-    rank = F.row_number().over(Window.partitionBy(group, label, "_bin").orderBy("_h", *key)) + F.col("_before")
-    ranked = ordered.join(bins, [*stratum, F.col("_bin") == F.col("_b")]).withColumn("_rank", rank)
+    rank = F.row_number().over(Window.partitionBy(*strata, "_bin").orderBy("_h", *key)) + F.col("_before")
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(strata, names, strict=True)]
+    return ordered.join(bins, [*same, F.col("_bin") == F.col("_b")]).withColumn("_rank", rank).select(*df.columns, "_rank", "_total")
+
+
+def stratified_split(df: DataFrame, key: list[str], group: str, label: str = "label", params: SplitParams = SplitParams()) -> DataFrame:
+    """df with split: within (group, label), rows in hash order are cut at floor(n r), the rest one each to the first splits."""
+    ranked = ranked_by_hash(df, [group, label], key, hash_key(params.seed, *map(F.col, [group, label, *key])))
     whole = [F.floor(F.col("_total") * F.lit(r)) for r in params.ratios]
     rest = F.col("_total") - sum(whole[1:], whole[0])
     upto, split = None, None
@@ -88,7 +91,7 @@ def sequential_ids(df: DataFrame, order: list[str], name: str = "flow_id", parti
     written once, as a second sort could cut its ranges elsewhere.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = checkpointed(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    rows = stored(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part = lambda c: F.shiftright(c, 33)
     counts = rows.groupBy(part(F.col("_at")).alias("_p")).agg(F.count("*").alias("_n"))
     starts = counts.withColumn("_start", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_start")

@@ -1,7 +1,7 @@
 """Sliding windows per flow and their features.
 
-One hash shuffle by the flow key serves the lag, the explosion to windows, the grouping by window and the rolling
-context sums, as a window's key holds the flow's. Integer microseconds throughout; doubles only in results.
+Packets are shuffled once by flow and time bucket for the lag, and their partial sums by flow and window. No task gets
+a flow whole. Integer microseconds throughout; doubles only in results.
 """
 
 from __future__ import annotations
@@ -15,18 +15,35 @@ from windrow.operators.packets import tuple5
 from windrow.schemas import KW, K
 
 
+#: Windows (or strides, if longer) of one time bucket of a flow.
+BUCKET_WINDOWS = 16
+
+
 def _div(c: Column, n: int) -> Column:
     """Floor division, for negative times too."""
     return ((c - F.pmod(c, F.lit(n))) / n).cast("long")
 
 
+def _with_neighbours(packets: DataFrame, bucket_us: int) -> DataFrame:
+    """packets with prev_us and first_us: the time of the flow's packet before, and of its first.
+
+    Only packets of one flow and time bucket are sorted together, so a flow with most packets is many tasks. What a
+    bucket's first packet has before it comes from a row for each bucket.
+    """
+    rows = packets.withColumn("_bucket", _div(F.col("ts_us"), bucket_us))
+    edges = rows.groupBy(*K, "_bucket").agg(F.min("ts_us").alias("_first"), F.max("ts_us").alias("_last"))
+    flow = Window.partitionBy(*K)
+    edges = edges.select(*K, "_bucket", F.lag("_last").over(flow.orderBy("_bucket")).alias("_before"), F.min("_first").over(flow).alias("first_us"))
+    here = Window.partitionBy(*K, "_bucket").orderBy("ts_us", "frame_number")
+    return rows.join(edges, [*K, "_bucket"]).withColumn("prev_us", F.coalesce(F.lag("ts_us").over(here), "_before")).drop("_bucket", "_before")
+
+
 def memberships(packets: DataFrame, params: WindowParams) -> DataFrame:
     """A row for each window that a packet is in, with win (the window's number), prev_us and first_us.
 
     Windows start at multiples of the stride, from the one at or before the flow's first packet.
     """
-    flow = Window.partitionBy(*K)
-    rows = packets.withColumns({"prev_us": F.lag("ts_us").over(flow.orderBy("ts_us", "frame_number")), "first_us": F.min("ts_us").over(flow)})
+    rows = _with_neighbours(packets, BUCKET_WINDOWS * max(params.window_us, params.stride_us))
     low = F.greatest(_div(F.col("ts_us") - params.window_us, params.stride_us) + 1, _div(F.col("first_us"), params.stride_us))
     rows = rows.withColumns({"_lo": low, "_hi": _div(F.col("ts_us"), params.stride_us)}).where("_lo <= _hi")
     return rows.withColumn("win", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
@@ -53,7 +70,8 @@ def window_features(members: DataFrame, params: WindowParams) -> DataFrame:
     """One row per flow and window with all numeric features; members needs payload_len."""
     fwd, bwd = F.col("direction") > 0, F.col("direction") < 0
     start = F.col("win") * params.stride_us
-    gap = F.when(F.col("prev_us") >= start, (F.col("ts_us") - F.col("prev_us")) / 1000.0)
+    gap_us = F.when(F.col("prev_us") >= start, F.col("ts_us") - F.col("prev_us"))  # whole numbers add up alike in any order
+    gap = gap_us / 1000.0
     when = lambda cond, c: F.sum(F.when(cond, c).otherwise(0))
     on = lambda name: F.col(name) == 1
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -65,7 +83,7 @@ def window_features(members: DataFrame, params: WindowParams) -> DataFrame:
         F.least(F.count(F.when(fwd & on("tcp_syn"), 1)), F.count(F.when(bwd & on("tcp_syn") & on("tcp_ack"), 1)), F.count(F.when(fwd & on("tcp_ack"), 1))).alias("tcp_handshake_score"),
         F.avg("tcp_window").alias("tcp_window_mean"), F.max("tcp_window").alias("tcp_window_max"),
         F.avg(size).alias("pkt_len_mean"), F.stddev_pop(size).alias("pkt_len_std"), F.min(size).alias("pkt_len_min"), F.max(size).alias("pkt_len_max"),
-        zero(F.avg(gap)).alias("iat_mean_ms"), zero(F.stddev_pop(gap)).alias("iat_std_ms"), zero(F.min(gap)).alias("iat_min_ms"), zero(F.max(gap)).alias("iat_max_ms"),
+        zero(F.avg(gap_us) / 1000.0).alias("iat_mean_ms"), zero(F.stddev_pop(gap_us) / 1000.0).alias("iat_std_ms"), zero(F.min(gap)).alias("iat_min_ms"), zero(F.max(gap)).alias("iat_max_ms"),
         F.sum("payload_len").alias("payload_total_len"),
         *_histogram(size, params.size_edges, "pkt_size_hist"), *_histogram(gap, params.iat_edges_ms, "iat_hist"),
     )

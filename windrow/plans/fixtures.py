@@ -1,6 +1,7 @@
 """Views over the given tables: packets, payload rows, label intervals, predictions, responses, runs.
 
-One SQL text for both engines; only the time expression differs.
+One SQL text for both engines; only the time expression differs. Every event is a packet and a payload row, and every
+error event a label interval; keys that find no partner are planted by shifted values.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from windrow.config import LabelParams, SampleParams, SplitParams, WindowParams
 from windrow.operators import labels as L
 from windrow.operators.packets import canonicalize, clean_packets, merge_payload
 from windrow.operators.windows import flow_windows, memberships
+from windrow.storage import stored
 
 SPARK_US = "unix_micros(CAST(ts AS TIMESTAMP))"
 DUCK_US = "epoch_us(ts)"
@@ -42,19 +44,19 @@ TRUTH = f"""
 SELECT event_id AS label_row, {{TS_US}} AS start_us, {{TS_US}} + CAST(floor(value * 600) AS BIGINT) * 1000000 AS end_us,
  CASE WHEN user_id % 4 = 3 THEN 'BENIGN' WHEN event_id % 16 = 0 THEN 'Infiltration' WHEN event_id % 16 = 4 THEN 'Web Attack – XSS' ELSE ' BENIGN ' END AS label,
  concat('10.0.0.', CAST(user_id % 20 AS STRING)) AS src_ip, concat('192.168.1.', CAST(user_id % 4 AS STRING)) AS dst_ip,
- 40000 + CAST(user_id % 20 AS INT) AS src_port, 443 AS dst_port, {PROTO} AS proto FROM {{events}} WHERE event_type = 'error' AND event_id % 4 = 0 AND user_id % 20 <> 7"""
+ CASE WHEN user_id % 20 = 7 THEN 50000 ELSE 40000 END + CAST(user_id % 20 AS INT) AS src_port, 443 AS dst_port, {PROTO} AS proto FROM {{events}} WHERE event_type = 'error'"""
 PREDS = """
 SELECT doc_id, CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS reference_label,
  CASE WHEN doc_id % 11 = 0 THEN '' WHEN toxic = 1 THEN 'bad' ELSE 'good' END AS predicted_label, CASE WHEN doc_id % 2 = 0 THEN 'base' ELSE 'tuned' END AS run FROM {labels}"""
 PAYLOAD = """
-SELECT concat('cap', CAST(user_id % 3 AS STRING)) AS capture_id, event_id AS frame_number, CASE WHEN event_id % 5 = 0 THEN '' ELSE lower(hex(concat(event_type, ' ', props))) END AS rich_payload_hex,
+SELECT concat('cap', CAST(user_id % 3 AS STRING)) AS capture_id, CASE WHEN event_id % 4 = 1 THEN -event_id ELSE event_id END AS frame_number, CASE WHEN event_id % 5 = 0 THEN '' ELSE lower(hex(concat(event_type, ' ', props))) END AS rich_payload_hex,
  CASE WHEN event_id % 6 = 0 THEN CAST(event_id % 90 AS INT) ELSE 0 END AS rich_payload_len,
  CASE event_type WHEN 'click' THEN 'eth>ip>tcp>http' WHEN 'view' THEN 'eth>ip>udp> dns ' WHEN 'error' THEN 'eth>ip>tcp>tls' ELSE '' END AS rich_frame_protocols,
  CASE WHEN event_type = 'click' THEN 'GET' ELSE '' END AS rich_http_method, CASE WHEN event_type = 'click' AND event_id % 2 = 0 THEN concat('/', event_type) ELSE '' END AS rich_http_uri,
  CASE WHEN event_type = 'click' THEN 'a.example' ELSE '' END AS rich_http_host, '' AS rich_http_user_agent, CASE WHEN event_type = 'purchase' THEN '200' ELSE '' END AS rich_http_status_code,
  CASE WHEN event_type = 'purchase' THEN 'OK' ELSE '' END AS rich_http_status_phrase, CASE WHEN event_type = 'view' THEN 'b.example' ELSE '' END AS rich_dns_query, '' AS rich_dns_qtype,
  CASE WHEN event_type = 'view' AND event_id % 3 = 0 THEN '10.0.0.1' ELSE '' END AS rich_dns_answers, CASE WHEN event_type = 'error' THEN 'c.example' ELSE '' END AS rich_tls_server_name,
- CASE WHEN event_type = 'error' THEN '1' ELSE '' END AS rich_tls_handshake_type, '' AS rich_tls_content_type, '' AS rich_tls_version FROM {events} WHERE event_id % 4 <> 1"""
+ CASE WHEN event_type = 'error' THEN '1' ELSE '' END AS rich_tls_handshake_type, '' AS rich_tls_content_type, '' AS rich_tls_version FROM {events}"""
 RESPONSES = """
 SELECT doc_id, CASE doc_id % 6
  WHEN 0 THEN concat('Answer: {"label": "', lab, '", "explanation": "doc ', CAST(doc_id AS STRING), '"} done')
@@ -66,15 +68,11 @@ FROM (SELECT doc_id, CASE WHEN quality = 1 THEN 'BENIGN' ELSE 'PortScan' END AS
 
 
 def _sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
-    names = {}
-    for name, df in tables.items():
-        view = f"fixture_{name}_{abs(hash(id(df)))}"
-        df.createOrReplaceTempView(view)
-        names[name] = view
-    text = text.replace("{TS_US}", SPARK_US)
-    for name, view in names.items():
-        text = text.replace("{" + name + "}", view)
-    return spark.sql(text)
+    """The text over the tables whose names stand in braces; other braces are text."""
+    text = text.replace("{TS_US}", SPARK_US).replace("{", "{{").replace("}", "}}")
+    for name in tables:
+        text = text.replace("{{" + name + "}}", "{" + name + "}")
+    return spark.sql(text, **tables)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,8 +109,9 @@ def entries(spark: SparkSession, sf_dir: str, wins: DataFrame) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written down once, as splits and reports go over it several times."""
     wins = windows(spark, sf_dir)
-    return L.align(wins, entries(spark, sf_dir, wins), KEY, LABELS.benign)
+    return stored(L.align(wins, entries(spark, sf_dir, wins), KEY, LABELS.benign, bucket_us=L.DAY_US))
 
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:

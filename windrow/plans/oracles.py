@@ -39,6 +39,7 @@ m AS (SELECT *, unnest(generate_series(greatest((ts_us - {W}) // {S} + 1, first_
 MEMBERS = f"WITH {CANON}, {_members('k', ', length(payload_hex) // 2 AS payload_len')}"
 MEMBERS_RICH = f"WITH {CANON}, {RICH}, {_members('k3')}"
 BY = f"GROUP BY {KCOLS}, win"
+GAP_US = f"CASE WHEN prev_us >= win * {S} THEN ts_us - prev_us END"
 GAP = f"CASE WHEN prev_us >= win * {S} THEN (ts_us - prev_us) / 1000.0 END"
 
 
@@ -111,7 +112,7 @@ ORACLES = {
     + ", ".join(f"{_ratio(SUM('tcp_' + x), '(CASE WHEN proto = 6 THEN count(*) ELSE 0 END)')} AS tcp_{x}_ratio" for x in ("syn", "fin", "rst", "ack", "psh"))
     + f", round(avg(tcp_window), 6) AS tcp_window_mean, least(count(*) FILTER (direction > 0 AND tcp_syn = 1), count(*) FILTER (direction < 0 AND tcp_syn = 1 AND tcp_ack = 1), count(*) FILTER (direction > 0 AND tcp_ack = 1)) AS tcp_handshake_score, {SUM('tcp_rst')} AS tcp_rst_count, {SUM('tcp_psh')} AS tcp_psh_count, max(tcp_window) AS tcp_window_max FROM m {BY}",
     "flow_window_stats": f"{MEMBERS} SELECT {ID}, round(avg(pkt_len), 6) AS pkt_len_mean, round(stddev_pop(pkt_len), 6) AS pkt_len_std, min(pkt_len) AS pkt_len_min, max(pkt_len) AS pkt_len_max, {SUM('payload_len')} AS payload_total_len FROM m {BY}",
-    "flow_window_iat": f"{MEMBERS} SELECT {ID}, round(coalesce(avg({GAP}), 0), 4) AS iat_mean_ms, round(coalesce(stddev_pop({GAP}), 0), 4) AS iat_std_ms, round(coalesce(min({GAP}), 0), 4) AS iat_min_ms, round(coalesce(max({GAP}), 0), 4) AS iat_max_ms FROM m {BY}",
+    "flow_window_iat": f"{MEMBERS} SELECT {ID}, round(coalesce(avg({GAP_US}) / 1000.0, 0), 4) AS iat_mean_ms, round(coalesce(stddev_pop({GAP_US}) / 1000.0, 0), 4) AS iat_std_ms, round(coalesce(min({GAP}), 0), 4) AS iat_min_ms, round(coalesce(max({GAP}), 0), 4) AS iat_max_ms FROM m {BY}",
     "flow_window_hist": f"{MEMBERS}, gaps AS (SELECT *, {GAP} AS gap FROM m), c AS (SELECT {KCOLS}, win, {_size}, {_iat} FROM gaps {BY}) SELECT {ID}, {_size_out}, {_iat_out} FROM c",
     "flow_context": f"{MEMBERS}, {WINS} SELECT capture_id, tuple5, win_start_us, "
     + ", ".join(
@@ -143,7 +144,8 @@ FROM (SELECT *, CASE WHEN event_id % 2 = 1 THEN 'aabb0c' WHEN event_id % 3 = 0 T
     "label_clean": f"{MEMBERS}, {WINS}, {TRUTH_CTE} SELECT label_row, label, priority, dur_us FROM t",
     "label_offsets": f"{MEMBERS}, {WINS}, {TRUTH_CTE} SELECT {K5}, coalesce(first_window - first_label, 0) AS offset_us, first_window IS NOT NULL AS matched FROM off",
     "label_align": f"{LABELLED} SELECT capture_id, tuple5, win_start_us, label, round(label_iou, 9) AS label_iou, label_priority, label_is_unknown, n_candidates FROM lab",
-    "label_stats": f"{LABELLED} SELECT count(*) AS total, count(*) FILTER (label_is_unknown) AS unknown_count, round(avg(label_is_unknown::INT), 9) AS unknown_ratio, count(*) FILTER (n_candidates > 1) AS multi_candidate, 'BENIGN' AS benign_label FROM lab",
+    "label_stats": f"""{LABELLED} SELECT count(*) AS total, count(*) FILTER (label_is_unknown) AS unknown_count, round(avg(label_is_unknown::INT), 9) AS unknown_ratio, count(*) FILTER (n_candidates > 1) AS multi_candidate, 'BENIGN' AS benign_label,
+(SELECT '{{' || string_agg('"' || label || '":' || n, ',' ORDER BY label) || '}}' FROM (SELECT label, count(*) AS n FROM lab GROUP BY label)) AS label_counts FROM lab""",
     "label_propagate": f"{LABELLED} SELECT capture_id, tuple5, win_start_us, label, label_is_unknown FROM lab",
     "duplicate_keys": f"WITH {CANON} SELECT capture_id, src_ip, dst_port, pkt_len, count(*) AS n FROM packets GROUP BY ALL HAVING count(*) > 1",
     "stratified_split": f"{SPLIT} SELECT capture_id, tuple5, win_start_us, label, split FROM split",
@@ -166,9 +168,10 @@ SELECT scope, split, proto, count, round(count / sum(count) OVER (PARTITION BY s
     "pair_purity": f"{PAIRS} SELECT ip_low, ip_high, total, dominant, top, round(purity, 6) AS purity FROM pure",
     "purity_summary": f"{PAIRS} SELECT count(*) AS pairs, CAST(sum(total) AS BIGINT) AS rows, round(sum(top)::DOUBLE / sum(total), 9) AS weighted_purity, count(*) FILTER (purity >= 0.9) AS pure_pairs FROM pure",
     "pair_top": f"{PAIRS} SELECT ip_low || '↔' || ip_high AS pair, total, dominant FROM pure ORDER BY total DESC, ip_low, ip_high LIMIT 5",
-    "pair_mix": f"""{PAIRS}, top AS (SELECT ip_low, ip_high, ip_low || '↔' || ip_high AS pair FROM pure ORDER BY total DESC, ip_low, ip_high LIMIT 5)
-SELECT pair, CAST(coalesce(sum(cnt) FILTER (label = 'BENIGN'), 0) AS BIGINT) AS "BENIGN", CAST(coalesce(sum(cnt) FILTER (label = 'Infiltration'), 0) AS BIGINT) AS "Infiltration" FROM top JOIN pairs USING (ip_low, ip_high) GROUP BY pair""",
-    "pair_coverage": f"{PAIRS} SELECT row_number() OVER w AS rank, total, round(sum(total) OVER w / sum(total) OVER (), 6)::DOUBLE AS covered FROM pure WINDOW w AS (ORDER BY total DESC, ip_low, ip_high ROWS UNBOUNDED PRECEDING)",
+    "pair_mix": f"""{PAIRS}, top AS (SELECT ip_low, ip_high, ip_low || '↔' || ip_high AS pair FROM pure ORDER BY total DESC, ip_low, ip_high LIMIT 5),
+tp AS (SELECT pair, label, cnt FROM top JOIN pairs USING (ip_low, ip_high)), names AS (SELECT DISTINCT label FROM tp)
+SELECT top.pair, names.label, coalesce(tp.cnt, 0) AS cnt FROM top CROSS JOIN names LEFT JOIN tp ON tp.pair = top.pair AND tp.label = names.label""",
+    "pair_coverage": f"{PAIRS} SELECT ip_low, ip_high, row_number() OVER w AS rank, total, round(sum(total) OVER w / sum(total) OVER (), 6)::DOUBLE AS covered FROM pure WINDOW w AS (ORDER BY total DESC, ip_low, ip_high ROWS UNBOUNDED PRECEDING)",
     "purity_hist": f"{PAIRS} SELECT CAST(least(9, floor(purity / 0.1::DOUBLE)) AS INT) AS bin, count(*) AS n, round(CAST(least(9, floor(purity / 0.1::DOUBLE)) AS INT) * 0.1, 6)::DOUBLE AS low, round((CAST(least(9, floor(purity / 0.1::DOUBLE)) AS INT) + 1) * 0.1, 6)::DOUBLE AS high FROM pure GROUP BY ALL",
     "label_counts": f"{LABELLED} SELECT label, count(*) AS count, round(count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS share FROM lab GROUP BY label",
     "balanced_sample": f"{LABELLED}, c AS (SELECT count(*) FILTER (label <> 'BENIGN') AS a, count(*) FILTER (label = 'BENIGN') AS b FROM lab), q AS (SELECT greatest(0, least(CASE WHEN a + a * 3 > {SAMPLES.target} THEN {SAMPLES.target} - a ELSE a * 3 END, b)) AS n FROM c) SELECT {SIMPLE} FROM lab WHERE label <> 'BENIGN' UNION ALL ("

@@ -262,12 +262,13 @@ def pair_top(spark: SparkSession, d: str) -> DataFrame:
 @query
 def pair_mix(spark: SparkSession, d: str) -> DataFrame:
     pairs = _pairs(spark, d)
-    return Q.pair_mix(pairs, Q.pair_purity(pairs), ["BENIGN", "Infiltration"], 5)
+    mixed = Q.pair_mix(pairs, Q.pair_purity(pairs), 5)
+    return mixed.unpivot("pair", None, "label", "cnt")
 
 
 @query
 def pair_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return Q.coverage(Q.pair_purity(_pairs(spark, d))).select("rank", "total", *r6("covered"))
+    return Q.coverage(Q.pair_purity(_pairs(spark, d))).select("ip_low", "ip_high", "rank", "total", *r6("covered"))
 
 
 @query

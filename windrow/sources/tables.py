@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -10,6 +10,7 @@ from windrow.config import LabelParams
 from windrow.functions.columns import flag, safe_int
 from windrow.operators.packets import clean_packets
 from windrow.schemas import ENRICHED_RECORD, PACKET, PAYLOAD, RECORD, RICH_TEXT
+from windrow.storage import stored
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
@@ -93,9 +94,17 @@ def read_records(spark: SparkSession, path: str, enriched: bool = False, toleran
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value) of text files, numbered by file from 1."""
-    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("p", "value"))
-    return df.select("file", (F.col("p") + 1).alias("line"), "value")
+    """(file, line, value) of text files, numbered by file from 1.
+
+    Files are read in blocks, many tasks to a file. A block's lines are in order, so a line's number is its place in the
+    block and the number of lines in the blocks before it.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    rows = stored(read)
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    numbered = rows.join(blocks.withColumn("before", before).drop("n"), ["file", "block"])
+    return numbered.select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
 
 
 def read_splits(spark: SparkSession, folder: str, names: tuple[str, ...] = ("train", "val", "test"), enriched: bool = False) -> DataFrame:
