@@ -112,7 +112,9 @@ ORACLES = {
     + ", ".join(f"{_ratio(SUM('tcp_' + x), '(CASE WHEN proto = 6 THEN count(*) ELSE 0 END)')} AS tcp_{x}_ratio" for x in ("syn", "fin", "rst", "ack", "psh"))
     + f", round(avg(tcp_window), 6) AS tcp_window_mean, least(count(*) FILTER (direction > 0 AND tcp_syn = 1), count(*) FILTER (direction < 0 AND tcp_syn = 1 AND tcp_ack = 1), count(*) FILTER (direction > 0 AND tcp_ack = 1)) AS tcp_handshake_score, {SUM('tcp_rst')} AS tcp_rst_count, {SUM('tcp_psh')} AS tcp_psh_count, max(tcp_window) AS tcp_window_max FROM m {BY}",
     "flow_window_stats": f"{MEMBERS} SELECT {ID}, round(avg(pkt_len), 6) AS pkt_len_mean, round(stddev_pop(pkt_len), 6) AS pkt_len_std, min(pkt_len) AS pkt_len_min, max(pkt_len) AS pkt_len_max, {SUM('payload_len')} AS payload_total_len FROM m {BY}",
-    "flow_window_iat": f"{MEMBERS} SELECT {ID}, round(coalesce(avg({GAP_US}) / 1000.0, 0), 4) AS iat_mean_ms, round(coalesce(stddev_pop({GAP_US}) / 1000.0, 0), 4) AS iat_std_ms, round(coalesce(min({GAP}), 0), 4) AS iat_min_ms, round(coalesce(max({GAP}), 0), 4) AS iat_max_ms FROM m {BY}",
+    "flow_window_iat": f"{MEMBERS} SELECT {ID}, "
+    + ", ".join(f"round(coalesce({f}({GAP_US}) / 1000.0, 0) + 1e-7, 4) AS iat_{n}_ms" for f, n in (("avg", "mean"), ("stddev_pop", "std"), ("min", "min"), ("max", "max")))
+    + f" FROM m {BY}",
     "flow_window_hist": f"{MEMBERS}, gaps AS (SELECT *, {GAP} AS gap FROM m), c AS (SELECT {KCOLS}, win, {_size}, {_iat} FROM gaps {BY}) SELECT {ID}, {_size_out}, {_iat_out} FROM c",
     "flow_context": f"{MEMBERS}, {WINS} SELECT capture_id, tuple5, win_start_us, "
     + ", ".join(
