@@ -59,8 +59,9 @@ class Hasher:
         if len(self.known) > HELD_TOKENS:
             self.known = {}
         known = self.known
-        for t in set(tokens) - known.keys():
-            known[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
+        for t in set(tokens):
+            if t not in known:
+                known[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
         return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
 
 

@@ -63,8 +63,9 @@ class Features:
             self.known, self.pairs = {}, {}
         known, pairs = self.known, self.pairs
         counts = Counter(words)
-        for w in counts.keys() - known.keys():
-            known[w] = (bucket("w" + w.lower()), shape(w))
+        for w in counts:
+            if w not in known:
+                known[w] = (bucket("w" + w.lower()), shape(w))
         shapes = [known[w][1] for w in words]
         sums: Counter = Counter()
         for w, m in counts.items():
@@ -170,7 +171,7 @@ def site_rates(scored: DataFrame, rate: float) -> tuple[DataFrame, float, float,
     parents = hosts.select(F.col("host").alias("_h"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
     joined = paths.join(parents, F.col("host").eqNullSafe(F.col("_h"))).drop("_h")
     k_path = _strength(joined, (k_host * mean + F.col("host_s")) / (k_host + F.col("host_n")))
-    return joined, mean, k_host, k_path
+    return stored(joined), mean, k_host, k_path
 
 
 def _joined(scored: DataFrame, rate: float, host_col: str, path_col: str) -> DataFrame:
