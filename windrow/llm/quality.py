@@ -12,11 +12,12 @@ Documents bear no URL here: the source stands for the host, and the language und
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,8 @@ NAMES = ("evidence", "host_rate", "path_rate", "score", "keep")
 def shape(word: str) -> str:
     """The case of a word, and the order of its letters, digits and symbols, each run as one."""
     case = "U" if word.isupper() else "T" if word[:1].isupper() else "l"
+    if word.isalpha():
+        return case + "a"
     return case + AGAIN.sub(r"\1", DIGITS.sub("0", LETTERS.sub("a", word)))
 
 
@@ -49,40 +52,58 @@ def bucket(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % WIDTH
 
 
+class Numbers(dict):
+    """Numbers of keys from 0 on, in the order of their first use, with a bucket each."""
+
+    def __init__(self, name: Callable[[Any], str]) -> None:
+        super().__init__()
+        self.name, self.buckets = name, np.zeros(1024, np.int32)
+
+    def __missing__(self, key: Any) -> int:
+        n = self[key] = len(self)
+        if n == len(self.buckets):
+            self.buckets = np.concatenate([self.buckets, np.zeros_like(self.buckets)])
+        self.buckets[n] = bucket(self.name(key))
+        return n
+
+
 class Features:
     """Hashed features of texts, as (bucket, value): the root of a feature's share of the text's words."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, str]] = {}
-        self.pairs: dict[tuple[str, str], int] = {}
+        self.words = Numbers(lambda w: "w" + w.lower())
+        self.shapes = Numbers(lambda s: "s" + s)
+        self.pairs = Numbers(lambda p: f"p{p[0]} {p[1]}")
+        self.shape_of = np.zeros(1024, np.int32)
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.words) > HELD_WORDS or len(self.pairs) > HELD_WORDS:
+            self.__init__()
+        before = len(self.words)
+        out = np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
+        if len(self.words) > len(self.shape_of):
+            self.shape_of = np.concatenate([self.shape_of, np.zeros(len(self.words), np.int32)])
+        fresh = itertools.islice(reversed(self.words), len(self.words) - before)
+        for i, w in zip(range(len(self.words) - 1, before - 1, -1), fresh, strict=True):
+            self.shape_of[i] = self.shapes[shape(w)]
+        return out
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = (text or "").split()
         n = len(words)
-        if len(self.known) > HELD_WORDS:
-            self.known, self.pairs = {}, {}
-        known, pairs = self.known, self.pairs
-        counts = Counter(words)
-        for w in counts:
-            if w not in known:
-                known[w] = (bucket("w" + w.lower()), shape(w))
-        shapes = [known[w][1] for w in words]
-        sums: Counter = Counter()
-        for w, m in counts.items():
-            sums[known[w][0]] += m
-        for s, m in Counter(shapes).items():
-            sums[bucket("s" + s)] += m
-        for p, m in Counter(zip(shapes, shapes[1:], strict=False)).items():
-            at = pairs.get(p)
-            if at is None:
-                at = pairs[p] = bucket(f"p{p[0]} {p[1]}")
-            sums[at] += m
+        at = self._numbers(words)
+        shapes = self.shape_of[at]
+        names = list(self.shapes)
+        pairs, times = np.unique(shapes[:-1].astype(np.int64) << 32 | shapes[1:], return_counts=True) if n else (np.zeros(0, np.int64), np.zeros(0))
+        pair_of = [self.pairs[names[p >> 32], names[p & 0xFFFFFFFF]] for p in pairs.tolist()]
         lines = [x for x in (text or "").split("\n") if x]
         size = n.bit_length()
-        for kind, part, whole in (("words", len(counts), n), ("lines", len(set(lines)), len(lines))):
-            sums[bucket(f"{kind} {size} {10 * part // max(1, whole)}")] += n / 4
-        sums[bucket(f"size {size}")] += n / 4
-        return np.fromiter(sums.keys(), np.int32, len(sums)), np.sqrt(np.fromiter(sums.values(), np.float64, len(sums)) / max(1, n))
+        whole = [f"{kind} {size} {10 * part // max(1, every)}" for kind, part, every in (("words", len(np.unique(at)), n), ("lines", len(set(lines)), len(lines)))]
+        whole = [bucket(x) for x in (*whole, f"size {size}")]
+        every = np.concatenate([self.words.buckets[at], self.shapes.buckets[shapes], self.pairs.buckets[pair_of], whole])
+        sums = np.bincount(every.astype(np.int64), np.concatenate([np.ones(2 * n), times, np.full(len(whole), n / 4)]), WIDTH)
+        held = np.flatnonzero(sums)
+        return held.astype(np.int32), np.sqrt(sums[held] / max(1, n))
 
 
 @dataclass
