@@ -1,5 +1,6 @@
 """Operators on small literal tables, against hand-written answers and independent walks."""
 
+import datetime
 import json
 import math
 import random
@@ -332,3 +333,75 @@ def test_masks_and_prompts(spark):
     assert abs(got[0] - 0.3) < 0.04 and abs(got[1] - 0.09) < 0.03
     assert P.mask_ips(df, 0.0) is df
     assert "  - Bot\n  - DoS" in P.system_prompt(["DoS", "Bot", "DoS"])
+
+
+def test_label_times_in_several_forms_and_odd_hours(spark):
+    forms = ["07/03/2017 08:05:09", "7/3/2017 8:05", "7/3/2017 08:05:09 PM", "2017-03-07 08:05:09", "7/14/2017 8:05", "soon", "", None, "26/3/2017 2:30:00", "29/10/2017 2:30:00"]
+    params = LabelParams(timezone="Europe/Berlin")
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(forms)], "i int, ts_start string, ts_end string")
+    got = {r.i: r.start_us // 1_000_000 for r in L.label_times(df, params).collect()}
+    at = lambda *x: int(datetime.datetime(*x, tzinfo=datetime.UTC).timestamp())
+    want = {0: at(2017, 3, 7, 7, 5, 9), 1: at(2017, 3, 7, 7, 5), 2: at(2017, 3, 7, 19, 5, 9), 3: at(2017, 3, 7, 7, 5, 9), 4: at(2017, 7, 14, 6, 5)}
+    assert got == want  # the last two are skipped and shown twice by the clock
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    for name, n in (("a", 3000), ("b", 1), ("c", 500)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" if i % 5 else "\n" for i in range(1, n + 1)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = sorted((r.file[-5], r.line, r.value) for r in T.read_lines(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(name, i, f"{name}{i}" if i % 5 else "") for name, n in (("a", 3000), ("b", 1), ("c", 500)) for i in range(1, n + 1)]
+
+
+def test_window_tables_by_switches(spark):
+    packets = canonicalize(merge_payload(clean_packets(spark.createDataFrame(packet_rows(2, 40, 5_000_000), SCHEMA))))
+    packets = packets.withColumns({c: F.lit("") for c in ("rich_frame_protocols", "rich_http_method", "rich_http_uri", "rich_http_host", "rich_http_status_code", "rich_http_status_phrase", "rich_dns_query", "rich_dns_qtype", "rich_dns_answers", "rich_tls_server_name", "rich_tls_handshake_type", "rich_tls_content_type", "rich_tls_version")})
+    tables = E.window_tables(packets, WindowParams(compute_standard=False))
+    assert list(tables) == ["rich"] and set(E.RICH_OUTPUT) <= set(tables["rich"].columns)
+    tables = E.window_tables(packets, WindowParams(compute_rich=False))
+    assert list(tables) == ["standard"] and not any(c.startswith("rich_") for c in tables["standard"].columns)
+    with pytest.raises(ValueError):
+        WindowParams(compute_standard=False, compute_rich=False)
+
+
+def test_raw_prompt_hides_times_and_label(spark):
+    rows = [tuple([*FLOW, 0, "t", "TCP", 100.0, 102.0, *[1.0] * len(R.ESSENTIAL), "Bot", 1, "[]", "", 0.5, "TCP window 100.000-102.000s: 1 pkts"])]
+    names = [*K, "win", "tuple5", "proto_name", "win_start_ts", "win_end_ts", *R.ESSENTIAL, "label", "flow_id", "rich_events", "rich_protocols", "payload_entropy", "rich_context_summary"]
+    df = spark.createDataFrame(rows, names).withColumns({c: F.lit("") for c in ("rich_payload_head_ascii", "rich_payload_head_hex", "rich_payload_tail_ascii", "rich_payload_tail_hex")})
+    df = df.withColumns({"payload_total_len": F.lit(3), "payload_ascii_ratio": F.lit(0.5), "rich_event_count": F.lit(0), "rich_payload_truncated": F.lit(False)})
+    for rich in (False, True):
+        text = df.select(P.raw_prompt(df, ["Bot"], with_enriched=rich)).first()[0]
+        assert text.startswith(P.system_prompt(["Bot"]) + "\n")
+        record = json.loads(text[len(P.system_prompt(["Bot"])) + 1 :])
+        assert record["windows_length"] == 2.0 and "window" not in record and "label" not in record
+        assert not rich or record["enriched"]["context_summary"] == "TCP window 0.000-2.000s: 1 pkts"
+
+
+def test_values_of_other_kinds_break_rules(spark):
+    good = {"flow_id": 1, "tuple5": ["a", "b", 1, 2, 6], "window": [0.5, 2], "features": {n: 1 for n in R.ESSENTIAL} | {"iat_hist": [0, 0.5], "other": None, "name": "x", "on": True}, "label": "Bot"}
+    event = {"offset_ms": 0.5, "direction": "FWD", "proto": "TCP", "len": 1, "payload_len": 0, "flags": ["SYN"]}
+    payload = {"total_len": 0, "entropy": 0, "ascii_ratio": 1, "head_ascii": "", "head_hex": "", "tail_ascii": "", "tail_hex": "", "truncated": False}
+    rich = good | {"enriched": {"context_summary": "", "events": [event, event | {"tcp_window": 5, "text": "t"}], "event_count": 2, "payload": payload, "protocols": ["a"], "proto_name": "TCP"}}
+
+    def broken(record, enriched=False):
+        lines = spark.createDataFrame([("f", 1, json.dumps(record))], "file string, line int, value string")
+        return {(r.path, r.message) for r in R.validate(lines, enriched).collect()}
+
+    assert broken(good) == broken(rich, True) == set()
+    plain = good | {"flow_id": "1", "tuple5": [1, "b", 1, 2, 6], "window": ["0", 1], "label": 3, "features": good["features"] | {"iat_hist": ["x"], "deep": {"a": 1}, "pkt_cnt_fwd": "1"}}
+    assert {p for p, _ in broken(plain)} == {"flow_id", "tuple5", "window", "label", "features.iat_hist", "features", "features.pkt_cnt_fwd"}
+    assert broken(rich | {"enriched": rich["enriched"] | {"events": [event] * 11}}, True) == {("enriched.events", "at most 10")}
+    odd = rich["enriched"] | {"events": [event | {"len": -1, "flags": "SYN", "tcp_window": 1.5}], "protocols": [1], "payload": {k: v for k, v in payload.items() if k != "truncated"} | {"entropy": -1, "x": 1}}
+    assert {p for p, _ in broken(rich | {"enriched": odd}, True)} == {
+        "enriched.events.len", "enriched.events.flags", "enriched.events.tcp_window", "enriched.protocols", "enriched.payload.truncated", "enriched.payload.entropy", "enriched.payload",
+    }
+
+
+def test_pair_mix_has_all_labels(spark):
+    pairs = spark.createDataFrame([("a", "b", x, n, 6, 0.5) for x, n in (("BENIGN", 3), ("Web Attack - XSS", 2), ("DoS", 1))] + [("c", "d", "Bot", 1, 1, 1.0)], "ip_low string, ip_high string, label string, cnt long, total long, fraction double")
+    row = Q.pair_mix(pairs, Q.pair_purity(pairs), 1).collect()
+    assert [r.asDict() for r in row] == [{"pair": "a↔b", "BENIGN": 3, "DoS": 1, "Web Attack - XSS": 2}]

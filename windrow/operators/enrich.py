@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from windrow.config import WindowParams
 from windrow.functions.columns import display_text, human_bytes, proto_name
+from windrow.operators.windows import flow_windows, in_order, memberships, structured, with_context
 from windrow.schemas import KW
 from windrow.storage import stored
 
@@ -177,6 +178,12 @@ def context_summary(params: WindowParams) -> Column:
     return F.concat_ws(" | ", base, *rolling, events, protocols, F.format_string("payload_ascii_ratio=%.2f", "payload_ascii_ratio"))
 
 
+RICH_OUTPUT = (
+    "payload_entropy", "payload_ascii_ratio", "rich_payload_head_hex", "rich_payload_head_ascii", "rich_payload_tail_hex", "rich_payload_tail_ascii", "rich_payload_truncated",
+    "rich_event_count", "rich_events", "rich_protocols", "rich_context_summary",
+)
+
+
 def with_rich(windows: DataFrame, members: DataFrame, params: WindowParams) -> DataFrame:
     """Windows with context sums joined with all rich columns; with compute_rich off, zeros and empty texts."""
     if not params.compute_rich:
@@ -188,3 +195,14 @@ def with_rich(windows: DataFrame, members: DataFrame, params: WindowParams) -> D
     for part in (payload_stats(members), payload_ends(members, params), protocol_tokens(members), window_events(members, params)):
         out = out.join(part, list(KW), "left")
     return out.withColumn("rich_context_summary", context_summary(params))
+
+
+def window_tables(packets: DataFrame, params: WindowParams) -> dict[str, DataFrame]:
+    """The tables that the switches ask for: `standard` with the structured columns, `rich` with all; both in order."""
+    windows = with_context(flow_windows(packets, params), params)
+    out = {}
+    if params.compute_standard:
+        out["standard"] = in_order(structured(windows))
+    if params.compute_rich:
+        out["rich"] = in_order(with_rich(windows, memberships(packets, params), params))
+    return out

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrow.schemas import EVENT
 
+#: Columns that are no features, and features that records must have.
 META = (
     "tuple5", "capture_id", "src_ip", "dst_ip", "src_port", "dst_port", "proto", "proto_name", "win", "win_start_us", "win_end_us", "win_start_ts", "win_end_ts", "dataset", "split", "flow_id",
     "label", "label_iou", "label_capture_id", "label_flow_id", "label_priority", "label_is_unknown", "n_candidates",
@@ -52,8 +54,9 @@ def struct_json(df: DataFrame) -> Column:
     return F.concat(F.lit('{"flow_id":'), F.col("flow_id").cast("string"), F.lit(',"tuple5":'), _mixed_tuple5(), F.lit(","), F.substring(rest, 2, 2**31 - 1))
 
 
-def enriched_json(df: DataFrame) -> Column:
-    """The record with its enriched part: events that can't be read become an empty list, numbers that aren't finite 0."""
+def enriched_part(summary: Column | None = None) -> Column:
+    """The enriched part of a record: events that can't be read become an empty list, numbers that aren't finite 0."""
+    summary = F.col("rich_context_summary") if summary is None else summary
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c.removeprefix("rich_payload_"))
     number = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))
     payload = F.struct(
@@ -62,55 +65,119 @@ def enriched_json(df: DataFrame) -> Column:
     )
     events = F.coalesce(F.from_json("rich_events", f"array<struct<{EVENT}>>"), F.array().cast(f"array<struct<{EVENT}>>"))
     protocols = F.filter(F.split(F.coalesce("rich_protocols", F.lit("")), ","), lambda x: x != "")
-    enriched = F.struct(
-        F.coalesce("rich_context_summary", F.lit("")).alias("context_summary"), events.alias("events"), F.coalesce("rich_event_count", F.size(events)).alias("event_count"),
+    return F.struct(
+        F.coalesce(summary, F.lit("")).alias("context_summary"), events.alias("events"), F.coalesce("rich_event_count", F.size(events)).alias("event_count"),
         payload.alias("payload"), protocols.alias("protocols"), "proto_name",
     )
+
+
+def enriched_json(df: DataFrame) -> Column:
+    """The record with its enriched part."""
     base = struct_json(df)
-    return F.concat(F.substring(base, F.lit(1), F.length(base) - 1), F.lit(',"enriched":'), F.to_json(enriched), F.lit("}"))
+    return F.concat(F.substring(base, F.lit(1), F.length(base) - 1), F.lit(',"enriched":'), F.to_json(enriched_part()), F.lit("}"))
 
 
+def prompt_json(df: DataFrame, summary: Column | None = None) -> Column:
+    """The record for a prompt: no label, and the window's length at the end in place of its times; enriched if a summary is given."""
+    length = (F.col("win_end_ts") - F.col("win_start_ts")).alias("windows_length")
+    rest = F.to_json(F.struct(features(df).alias("features"), *([] if summary is None else [enriched_part(summary).alias("enriched")]), length))
+    return F.concat(F.lit('{"flow_id":'), F.col("flow_id").cast("string"), F.lit(',"tuple5":'), _mixed_tuple5(), F.lit(","), F.substring(rest, 2, 2**31 - 1))
+
+
+#: The keys of records and their kinds.
 RECORD_KEYS = ("flow_id", "tuple5", "window", "features", "label")
-ENRICHED_KEYS = ("context_summary", "events", "event_count", "payload", "protocols", "proto_name")
+ENRICHED_KINDS = {"context_summary": "text", "events": "list", "event_count": "count", "payload": "object", "protocols": "texts", "proto_name": "text"}
+PAYLOAD_KINDS = {
+    "total_len": "count", "entropy": "amount", "ascii_ratio": "share", "head_ascii": "text", "head_hex": "text", "tail_ascii": "text", "tail_hex": "text", "truncated": "flag",
+}
+EVENT_KINDS = {"offset_ms": "number", "direction": "side", "proto": "text", "len": "count", "payload_len": "count", "flags": "texts"}
+EVENT_EXTRAS = {"tcp_window": "count", "preview": "text", "application": "text", "text": "text"}
+MESSAGES = {
+    "text": "a text", "list": "a list", "object": "an object", "count": "an integer of at least 0", "amount": "a number of at least 0", "share": "within 0 and 1", "flag": "true or false",
+    "number": "a number", "texts": "a list of texts", "side": "FWD or BWD", "numbers": "a list of numbers",
+}
+INTEGERS, NUMBERS = r"^(BIGINT|DECIMAL\(\d+,0\))$", r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
+
+
+def _is(kind: str, x: Column) -> Column:
+    """Whether a variant is of a kind; false for null."""
+    name = F.schema_of_variant(x)
+    value = F.try_variant_get(x, "$", "double")
+    every = lambda test: F.forall(F.try_variant_get(x, "$", "array<variant>"), lambda y: F.coalesce(test(F.schema_of_variant(y)), F.lit(False)))
+    test = {
+        "text": lambda: name == "STRING", "flag": lambda: name == "BOOLEAN", "object": lambda: name.startswith("OBJECT"), "list": lambda: name.startswith("ARRAY"),
+        "number": lambda: name.rlike(NUMBERS), "integer": lambda: name.rlike(INTEGERS), "count": lambda: name.rlike(INTEGERS) & (value >= 0), "amount": lambda: name.rlike(NUMBERS) & (value >= 0),
+        "share": lambda: name.rlike(NUMBERS) & value.between(0, 1), "side": lambda: F.try_variant_get(x, "$", "string").isin("FWD", "BWD"),
+        "texts": lambda: name.startswith("ARRAY") & every(lambda n: n == "STRING"), "numbers": lambda: name.startswith("ARRAY") & every(lambda n: n.rlike(NUMBERS)),
+    }[kind]()
+    return F.coalesce(test, F.lit(False))
+
+
+def _event_tests(name: str, kind: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """Whether an event lacks a field, and whether it has one of another kind."""
+    own = lambda x: F.try_variant_get(x, f"$.{name}", "variant")
+    return lambda x: _is("object", x) & own(x).isNull(), lambda x: own(x).isNotNull() & ~_is(kind, own(x))
 
 
 def validate(lines: DataFrame, enriched: bool = False, limit: int | None = None) -> DataFrame:
     """(file, line, path, message) for each rule that a line of (file, line, value) breaks.
 
     Blank lines are skipped, though they count in `line`. With a limit, only each file's first lines are read. Rules:
-    readable JSON object; required and no other keys; types; flow_id >= 1; lengths of tuple5 and window; required
-    numeric features; for enriched records also event directions, at most ten events, and ratios within 0 and 1.
+    readable JSON object; required and no other keys; kinds of all values; flow_id >= 1; lengths of tuple5 and window;
+    required numeric features and no nested ones, histograms of numbers; for enriched records also the keys and kinds of
+    events and payload, at most ten events, and no negative numbers. A rule on events names their common path once.
     """
     rows = lines.where(F.trim("value") != "")
     if limit is not None:
         rows = rows.where(F.col("line") <= limit)
-    rows = rows.withColumn("m", F.from_json("value", "map<string,string>"))
+    rows = rows.withColumns({"m": F.from_json("value", "map<string,string>"), "v": F.try_parse_json("value")})
     keys = [*RECORD_KEYS, *(["enriched"] if enriched else [])]
-    part = lambda k, schema: F.from_json(F.col("m")[k], schema)
     bad: list[tuple[Column, Column, Column]] = []
     rule = lambda cond, path, message: bad.append((cond, F.lit(path), message if isinstance(message, Column) else F.lit(message)))
-    there = lambda k: F.col("m")[k].isNotNull()
+    at = lambda path: F.try_variant_get("v", f"$.{path}", "variant")
+    there = lambda path: at(path).isNotNull()
+    typed = lambda path, kind: rule(there(path) & ~_is(kind, at(path)), path, MESSAGES[kind])
+
+    def keyed(names: Column, required: list[str], allowed: list[str], path: str, held: Column) -> None:
+        for k in required:
+            rule(held & ~F.array_contains(names, k), f"{path}.{k}".lstrip("."), "required")
+        extra = F.array_except(names, F.array(*map(F.lit, allowed)))
+        rule(held & (F.size(extra) > 0), path, F.concat(F.lit("not allowed: "), F.array_join(F.array_sort(extra), ",")))
+
+    inside = lambda path: F.map_keys(F.try_variant_get("v", f"$.{path}", "map<string,variant>"))
     rule(F.col("m").isNull(), "", "not a JSON object")
-    for k in keys:
-        rule(F.col("m").isNotNull() & ~F.array_contains(F.map_keys("m"), k), k, "required")
-    extra = F.array_except(F.map_keys("m"), F.array(*map(F.lit, keys)))
-    rule(F.size(extra) > 0, "", F.concat(F.lit("not allowed: "), F.array_join(F.array_sort(extra), ",")))
-    rule(there("flow_id") & (F.coalesce(F.col("m")["flow_id"].try_cast("bigint"), F.lit(0)) < 1), "flow_id", "an integer of at least 1")
-    t5, numbers = part("tuple5", "array<string>"), F.transform(F.slice(part("tuple5", "array<string>"), 3, 3), lambda x: x.try_cast("bigint"))
-    rule(there("tuple5") & ((F.coalesce(F.size(t5), F.lit(-1)) != 5) | F.exists(numbers, lambda x: x.isNull())), "tuple5", "two texts and three integers")
-    window = part("window", "array<string>")
-    rule(there("window") & ((F.coalesce(F.size(window), F.lit(-1)) != 2) | F.exists(window, lambda x: x.try_cast("double").isNull())), "window", "two numbers")
-    got = part("features", "map<string,string>")
+    keyed(F.map_keys("m"), keys, keys, "", F.col("m").isNotNull())
+    rule(there("flow_id") & ~(_is("integer", at("flow_id")) & (F.try_variant_get("v", "$.flow_id", "double") >= 1)), "flow_id", "an integer of at least 1")
+    five = [_is("text" if i < 2 else "integer", at(f"tuple5[{i}]")) for i in range(5)]
+    whole = lambda path, n: F.coalesce(F.size(F.try_variant_get("v", f"$.{path}", "array<variant>")), F.lit(-1)) == n
+    rule(there("tuple5") & ~(whole("tuple5", 5) & five[0] & five[1] & five[2] & five[3] & five[4]), "tuple5", "two texts and three integers")
+    rule(there("window") & ~(whole("window", 2) & _is("numbers", at("window"))), "window", "two numbers")
+    typed("label", "text")
+    typed("features", "object")
     for name in ESSENTIAL:
-        rule(there("features") & got[name].try_cast("double").isNull(), f"features.{name}", "a required number")
+        rule(there("features") & ~_is("number", at(f"features.{name}")), f"features.{name}", "a required number")
+    for name in ("pkt_size_hist", "iat_hist"):
+        typed(f"features.{name}", "numbers")
+    nested = F.exists(F.map_values(F.try_variant_get("v", "$.features", "map<string,variant>")), lambda x: _is("object", x))
+    rule(F.coalesce(nested, F.lit(False)), "features", "no nested objects")
     if enriched:
-        e = part("enriched", "map<string,string>")
-        for k in ENRICHED_KEYS:
-            rule(there("enriched") & e[k].isNull(), f"enriched.{k}", "required")
-        events = F.from_json(e["events"], f"array<struct<{EVENT}>>")
+        typed("enriched", "object")
+        keyed(inside("enriched"), [*ENRICHED_KINDS], [*ENRICHED_KINDS], "enriched", _is("object", at("enriched")))
+        keyed(inside("enriched.payload"), [*PAYLOAD_KINDS], [*PAYLOAD_KINDS], "enriched.payload", _is("object", at("enriched.payload")))
+        for path, kinds in (("enriched", ENRICHED_KINDS), ("enriched.payload", PAYLOAD_KINDS)):
+            for name, kind in kinds.items():
+                typed(f"{path}.{name}", kind)
+        events = F.try_variant_get("v", "$.enriched.events", "array<variant>")
+        some = lambda test, path, message: rule(F.coalesce(F.exists(events, test), F.lit(False)), path, message)
         rule(F.size(events) > 10, "enriched.events", "at most 10")
-        rule(F.exists(events, lambda x: ~F.coalesce(x["direction"], F.lit("")).isin("FWD", "BWD")), "enriched.events.direction", "FWD or BWD")
-        payload = F.from_json(e["payload"], "map<string,string>")
-        rule(~payload["ascii_ratio"].try_cast("double").between(0, 1), "enriched.payload.ascii_ratio", "within 0 and 1")
+        some(lambda x: ~_is("object", x), "enriched.events", "objects")
+        names_of = lambda x: F.map_keys(F.try_variant_get(x, "$", "map<string,variant>"))
+        allowed = F.array(*map(F.lit, EVENT_KINDS | EVENT_EXTRAS))
+        some(lambda x: F.size(F.array_except(names_of(x), allowed)) > 0, "enriched.events", "keys that are not allowed")
+        for name, kind in (EVENT_KINDS | EVENT_EXTRAS).items():
+            lacks, differs = _event_tests(name, kind)
+            if name in EVENT_KINDS:
+                some(lacks, f"enriched.events.{name}", "required")
+            some(differs, f"enriched.events.{name}", MESSAGES[kind])
     found = F.array_compact(F.array(*[F.when(c, F.struct(p.alias("path"), msg.alias("message"))) for c, p, msg in bad]))
     return rows.select("file", "line", F.explode(found).alias("e")).select("file", "line", "e.path", "e.message")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from windrow.config import SampleParams
 from windrow.functions.columns import hash01, hash_key
-from windrow.operators.splits import ranked_by_hash
+from windrow.operators.splits import ranked_by_hash, sequential_ids
 
 
 def label_counts(df: DataFrame, missing: str = "UNKNOWN") -> DataFrame:
@@ -42,6 +42,11 @@ def shuffled(df: DataFrame, key: list[str], seed: int) -> DataFrame:
     return df.orderBy(hash_key(seed, *map(F.col, key)), *key)
 
 
+def shuffled_places(df: DataFrame, key: list[str], seed: int) -> DataFrame:
+    """df with place, a row's number from 1 in the shuffled order."""
+    return sequential_ids(df.withColumn("_h", hash_key(seed, *map(F.col, key))), ["_h", *key], "place").drop("_h")
+
+
 def balanced_sizes(attack: int, benign: int, params: SampleParams) -> int:
     """Benign rows of the balanced sample: by ratio, within the target and what there is, never negative."""
     wanted = int(attack * params.benign_ratio / (1 - params.benign_ratio))

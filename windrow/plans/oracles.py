@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from windrow.operators.prompts import FALLBACK_LABELS, SYSTEM_PROMPT
 from windrow.plans.fixtures import DUCK_US, PACKETS, PAYLOAD, PREDS, SAMPLES, TRUTH, WINDOWS
 
 
@@ -102,6 +103,88 @@ SIMPLE = "capture_id, tuple5, win_start_us, win, label"
 RUNS = f"{P}, runs AS (SELECT run, round(avg((reference_label = predicted_label)::INT), 4) AS a FROM p GROUP BY run)"
 
 
+# Numbers as text with two decimals, halves up: from hundredths, from microseconds as milliseconds, from a double, and sizes in bytes.
+CENTS = lambda h: f"printf('%d.%02d', ({h}) // 100, ({h}) % 100)"
+MS = lambda us: CENTS(f"(({us}) + 5) // 10")
+TWO = lambda x: CENTS(f"CAST(floor(({x}) * 100 + 0.5 + 1e-9) AS BIGINT)")
+
+
+def _size(c: str) -> str:
+    unit = lambda n, name: f"{CENTS(f'(({c}) * 200 + {n}) // {2 * n}')} || ' {name}'"
+    return f"CASE WHEN {c} >= {1 << 30} THEN {unit(1 << 30, 'GiB')} WHEN {c} >= {1 << 20} THEN {unit(1 << 20, 'MiB')} WHEN {c} >= 1024 THEN {unit(1024, 'KiB')} ELSE ({c}) || ' B' END"
+
+
+def _shown(hexes: str) -> str:
+    """Bytes in hex as text: white space as a blank, what is not printable as a dot."""
+    return f"regexp_replace(regexp_replace(decode(unhex({hexes})), '[\\x09-\\x0D]', ' ', 'g'), '[^\\x20-\\x7E]', '.', 'g')"
+
+
+def _application() -> str:
+    col = lambda n: f"coalesce(rich_{n}, '')"
+    plus = lambda n, before: f"CASE WHEN {col(n)} <> '' THEN '{before}' || {col(n)} ELSE '' END"
+    http = f"""CASE WHEN {col('http_method')} <> '' THEN 'HTTP ' || {col('http_method')} || ' ' || CASE WHEN {col('http_uri')} <> '' THEN {col('http_uri')} ELSE '/' END || {plus('http_host', ' host=')}
+WHEN {col('http_status_code')} <> '' THEN 'HTTP ' || {col('http_status_code')} || {plus('http_status_phrase', ' ')} END"""
+    dns = f"CASE WHEN {col('dns_query')} <> '' THEN 'DNS ' || CASE WHEN {col('dns_qtype')} <> '' THEN {col('dns_qtype')} ELSE 'Q' END || ' ' || {col('dns_query')} || {plus('dns_answers', ' ans=')} END"
+    tls = f"""CASE WHEN {col('tls_server_name')} <> '' THEN 'TLS SNI=' || {col('tls_server_name')} || {plus('tls_handshake_type', ' type=')} || {plus('tls_version', ' ver=')}
+WHEN {col('tls_content_type')} <> '' THEN 'TLS content=' || {col('tls_content_type')} WHEN {col('frame_protocols')} <> '' THEN 'Protocols=' || {col('frame_protocols')} END"""
+    return f"concat_ws(' | ', {http}, {dns}, {tls})"
+
+
+FLAGS = "concat_ws('|', " + ", ".join(f"CASE WHEN tcp_{x.lower()} = 1 THEN '{x}' END" for x in ("SYN", "ACK", "FIN", "RST", "PSH")) + ")"
+PLACES = f"""a AS (SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY {KCOLS}, win) AS n FROM m WINDOW w AS (PARTITION BY {KCOLS}, win ORDER BY ts_us, frame_number)),
+b AS (SELECT *, row_number() OVER (PARTITION BY {KCOLS}, win ORDER BY CASE WHEN pos = 1 OR pos = n THEN 0 ELSE 1 END, CASE WHEN pos = 1 OR pos = n THEN 0 ELSE -payload_len END, pos) AS rank FROM a)"""
+EVENTS = f"""{PLACES}, shown AS (SELECT *, ts_us - win * {S} AS off, {FLAGS} AS flags, CASE WHEN tcp_window > 0 THEN tcp_window END AS shown_window, nullif({_shown('payload_hex[1:64]')}, '') AS preview,
+  nullif({_application()}, '') AS application, CASE WHEN direction > 0 THEN 'FWD' ELSE 'BWD' END AS side, {NAME} AS event_proto FROM b WHERE rank <= {WINDOWS.max_events}),
+ev AS (SELECT {KCOLS}, win, count(*) OVER (PARTITION BY {KCOLS}, win)::INT AS rich_event_count, row_number() OVER (PARTITION BY {KCOLS}, win ORDER BY pos) AS place, off / 1000.0 AS offset_ms, side AS direction, event_proto,
+  pkt_len AS len, CAST(payload_len AS INT) AS payload_len, flags, shown_window AS tcp_window, preview, application,
+  concat_ws(' ', '[+' || {MS('off')} || 'ms]', side, event_proto, 'len=' || pkt_len, 'payload=' || payload_len, 'flags=' || coalesce(nullif(flags, ''), '-'), 'win=' || shown_window, application, 'preview="' || preview || '"') AS text FROM shown)"""
+_PS = f"""xb AS (SELECT {KCOLS}, win, unnest(regexp_extract_all(payload_hex, '..')) AS b FROM m), cb AS (SELECT {KCOLS}, win, b, count(*) AS n FROM xb GROUP BY ALL),
+st0 AS (SELECT {KCOLS}, win, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS ent, sum(CASE WHEN b BETWEEN '20' AND '7e' OR b BETWEEN '09' AND '0d' THEN n ELSE 0 END) / sum(n) AS asc_ratio FROM cb GROUP BY ALL),
+st AS (SELECT {KCOLS}, win, greatest(0, coalesce(ent, 0)) AS ent, coalesce(asc_ratio, 0)::DOUBLE AS asc_ratio FROM (SELECT DISTINCT {KCOLS}, win FROM m) LEFT JOIN st0 USING ({KCOLS}, win))"""
+_ENDS = f"""j AS (SELECT {KCOLS}, win, coalesce(string_agg(payload_hex, '' ORDER BY ts_us, frame_number), '') AS h FROM m GROUP BY ALL),
+ends AS (SELECT {KCOLS}, win, h[1:{2 * WINDOWS.head_bytes}] AS head_hex, right(h, {2 * WINDOWS.tail_bytes}) AS tail_hex, length(h) // 2 > {WINDOWS.head_bytes + WINDOWS.tail_bytes} AS truncated FROM j)"""
+_TOKENS = f"""xt AS (SELECT DISTINCT {KCOLS}, win, trim(unnest(string_split(coalesce(rich_frame_protocols, ''), '>'))) AS t FROM m),
+tok AS (SELECT {KCOLS}, win, coalesce(string_agg(t, ',' ORDER BY t) FILTER (t <> ''), '') AS protocols FROM xt GROUP BY ALL)"""
+_SEC = lambda us: f"printf('%d.%03d', ({us}) // 1000000, ({us}) % 1000000 // 1000)"
+_ROLL = lambda c, n: f"CAST(sum({c}) OVER (PARTITION BY {KCOLS} ORDER BY win ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS BIGINT)"
+_SHORT, _LONG = WINDOWS.context_rows
+_RATIOS = ", ".join(f"CASE WHEN proto = 6 THEN {SUM('tcp_' + x)}::DOUBLE / count(*) ELSE {SUM('tcp_' + x)}::DOUBLE END AS {x}_ratio" for x in ("syn", "ack", "psh", "fin", "rst"))
+RICHW = f"""{MEMBERS_RICH}, {EVENTS}, {_PS}, {_ENDS}, {_TOKENS},
+w0 AS (SELECT {ID}, {KCOLS}, win, {NAME} AS proto_name, count(*) AS packet_count, {SUM('pkt_len')} AS byte_count, {FWD} AS pkt_cnt_fwd, {BWD} AS pkt_cnt_bwd, {BFWD} AS byte_cnt_fwd, {BBWD} AS byte_cnt_bwd,
+  {SUM('payload_len')} AS payload_total_len, max(ts_us) - min(ts_us) AS dur_us, {_RATIOS} FROM m {BY}),
+w1 AS (SELECT *, {_ROLL('packet_count', _SHORT)} AS p10, {_ROLL('byte_count', _SHORT)} AS b10, {_ROLL('packet_count', _LONG)} AS p60, {_ROLL('byte_count', _LONG)} AS b60 FROM w0),
+first_ev AS (SELECT {KCOLS}, win, any_value(rich_event_count) AS rich_event_count, any_value(text) FILTER (place = 1) AS first_event FROM ev GROUP BY {KCOLS}, win),
+rw AS (SELECT * FROM w1 LEFT JOIN st USING ({KCOLS}, win) LEFT JOIN ends USING ({KCOLS}, win) LEFT JOIN tok USING ({KCOLS}, win) LEFT JOIN first_ev USING ({KCOLS}, win)),
+rich AS (SELECT *, concat_ws(' | ', proto_name || ' window {{span}}: ' || packet_count || ' pkts (' || {_size('byte_count')} || ') fwd/bwd bytes=' || {_size('byte_cnt_fwd')} || '/' || {_size('byte_cnt_bwd')} || ' summarized entropy=' || {TWO('ent')} || ' bits',
+  'last {int(WINDOWS.context_sec[0])}s: ' || p10 || ' pkts / ' || {_size('b10')}, 'last {int(WINDOWS.context_sec[1])}s: ' || p60 || ' pkts / ' || {_size('b60')},
+  CASE WHEN rich_event_count > 0 THEN rich_event_count || ' key events captured' END, CASE WHEN protocols <> '' THEN 'protocols=' || protocols END, 'payload_ascii_ratio=' || {TWO('asc_ratio')}) AS summary FROM rw)""".replace(
+    f"{ID}, {KCOLS}", f"{ID}, {KCOLS}".replace("capture_id, concat", "concat", 1)
+)
+ABSOLUTE = f"' || {_SEC('win_start_us')} || '-' || {_SEC(f'win_start_us + {W}')} || 's"
+RELATIVE = f"0.000-{W / 1e6:.3f}s"
+RICH_ABS = RICHW.replace("{span}", ABSOLUTE)
+RICH_REL = RICHW.replace("{span}", RELATIVE).replace("proto_name || ' window", "proto_name || ' window")
+_LABELS = "(SELECT string_agg('  - ' || label, chr(10) ORDER BY label) FROM (SELECT DISTINCT label FROM lab WHERE label <> ''))"
+_BEFORE, _AFTER = (x.replace("{{", "{").replace("}}", "}").replace("'", "''") for x in SYSTEM_PROMPT.split("{labels}"))
+_SYSTEM = f"('{_BEFORE}' || {_LABELS} || '{_AFTER}')"
+_LABELLED_TAIL = f"{WINS}, {LAB}"
+
+
+def _line(*parts: str) -> str:
+    return " || ".join(parts)
+
+
+_PROMPT = "concat_ws(chr(10), " + ", ".join([
+    "'Connection: ' || src_ip || ':' || src_port || ' -> ' || dst_ip || ':' || dst_port || ' (proto=' || proto || ')'",
+    "'Packets: ' || packet_count || ' total (fwd=' || pkt_cnt_fwd || ', bwd=' || pkt_cnt_bwd || ')'", "'Bytes: ' || byte_count || ' total (fwd=' || byte_cnt_fwd || ', bwd=' || byte_cnt_bwd || ')'",
+    f"'Flow duration: ' || {MS('dur_us')} || 'ms'",
+    "'TCP flags: ' || nullif(concat_ws(', ', " + ", ".join(f"CASE WHEN {x}_ratio > 0 THEN '{x.upper()}=' || {TWO(x + '_ratio')} END" for x in ("syn", "ack", "psh", "fin", "rst")) + "), '')",
+    f"CASE WHEN payload_total_len > 0 THEN 'Payload: ' || payload_total_len || ' bytes, entropy=' || {TWO('ent')} || ', ASCII ratio=' || {TWO('asc_ratio')} END",
+    "CASE WHEN protocols <> '' THEN 'Protocols: ' || array_to_string(string_split(protocols, ',')[1:5], ', ') END", "'Context: ' || summary[1:150]",
+]) + ")"
+MASKED = lambda c: f"CASE WHEN CAST(CONCAT('0x', left(md5(concat_ws('|', '42', flow_id, '{c}')), 12)) AS BIGINT) / 281474976710656.0 < 0.2 THEN 'REDACTED' ELSE {c} END"
+
+
 def _first(n: str, where: str) -> str:
     return f"SELECT {SIMPLE} FROM (SELECT *, row_number() OVER (ORDER BY {HASH(*KEY)}, capture_id, tuple5, win) AS r FROM lab WHERE {where}) WHERE r <= {n}"
 
@@ -204,4 +287,42 @@ UNION ALL SELECT doc_id, 'SOMETHING', 'it is classified as something' FROM label
     "label_sides": f"{P} SELECT 'reference' AS side, reference_label AS label, count(*) AS n FROM p GROUP BY ALL UNION ALL SELECT 'prediction', predicted_label, count(*) FROM p GROUP BY ALL",
     "run_ranking": f"{RUNS} SELECT run, row_number() OVER (ORDER BY a DESC, run) AS place, round(a, 3) AS eval_accuracy FROM runs",
     "run_delta": f"{RUNS} SELECT round(max(a) FILTER (run = 'base'), 3) AS baseline, round(max(a) FILTER (run = 'tuned'), 3) AS checkpoint, round(max(a) FILTER (run = 'tuned') - max(a) FILTER (run = 'base'), 3) AS delta FROM runs",
+    "window_events": f"{MEMBERS_RICH}, {EVENTS} SELECT * FROM ev",
+    "application_text": f"WITH payload AS ({_fill(PAYLOAD)}) SELECT frame_number, {_application()} AS application, {_size('(frame_number * 4099)')} AS size FROM payload",
+    "context_summary": f"{RICH_ABS} SELECT capture_id, tuple5, win_start_us, summary AS rich_context_summary, rich_event_count, truncated AS rich_payload_truncated FROM rich",
+    "window_tables": f"""{MEMBERS}, c AS (SELECT count(*) AS n FROM (SELECT DISTINCT {KCOLS}, win FROM m))
+SELECT standard, rich, name, rich_columns, n FROM c, (VALUES (true, true, 'standard', 0), (true, true, 'rich', 9), (true, false, 'standard', 0), (false, true, 'rich', 9)) v(standard, rich, name, rich_columns)""",
+    "prompt_summary": f"{RICH_ABS}, {_LABELLED_TAIL} SELECT capture_id, tuple5, win, {_SYSTEM} || chr(10) || {_PROMPT} AS prompt FROM rich",
+    "system_prompts": f"""{LABELLED} SELECT 'data' AS kind, {_SYSTEM} AS prompt, (SELECT string_agg(label, ',' ORDER BY label) FROM (SELECT DISTINCT label FROM lab WHERE label <> '')) AS labels
+UNION ALL SELECT 'listed', '{_BEFORE}' || '{chr(10).join('  - ' + x for x in sorted(FALLBACK_LABELS))}' || '{_AFTER}', '{','.join(sorted(FALLBACK_LABELS))}'""",
+    "prompt_raw": f"""{RICH_REL}, {_LABELLED_TAIL}, num AS (SELECT *, row_number() OVER (ORDER BY win_start_us, tuple5, capture_id) AS flow_id FROM lab)
+SELECT md5({_SYSTEM}) AS system_md5, flow_id, concat_ws(',', {MASKED('num.src_ip')}, {MASKED('num.dst_ip')}, num.src_port, num.dst_port, num.proto) AS tuple5, NULL::VARCHAR AS window, NULL::VARCHAR AS label, {W} / 1e6 AS windows_length,
+rich.packet_count, summary AS context_summary, rich_event_count AS event_count, protocols FROM num JOIN rich ON num.capture_id = rich.capture_id AND num.tuple5 = rich.tuple5 AND num.win = rich.win""".replace("'num.", "'"),
+    "packet_files": f"WITH {CANON} SELECT * FROM packets",
+    "payload_files": f"WITH payload AS ({_fill(PAYLOAD)}) SELECT * FROM payload",
+    "label_files": f"""{MEMBERS}, {WINS}, {TRUTH_CTE}, f AS (SELECT *, CASE WHEN label_row % 4 = 1 THEN 60000000 ELSE 1000000 END AS step FROM t WHERE label_row % 13 <> 0)
+SELECT CAST(label_row AS VARCHAR) AS label_flow_id, '' AS label_capture_id, src_ip, src_port, proto, start_us // step * step AS start_us, end_us // step * step AS end_us FROM f""",
+    "record_files": f"{NUMBERED} SELECT flow_id, tuple5, win_end_us // 1000000 AS end, label FROM num WHERE flow_id % 7 > 1",
+    "enriched_jsonl": f"""{RICH_ABS} SELECT row_number() OVER (ORDER BY win_start_us, tuple5, capture_id) AS flow_id, summary AS context_summary, rich_event_count AS event_count, rich_event_count AS n_events, first_event, protocols, proto_name,
+payload_total_len AS total_len, round(ent, 5) AS entropy, round(asc_ratio, 5) AS ascii_ratio, head_hex, {_shown('tail_hex')} AS tail_ascii, truncated, pkt_cnt_fwd FROM rich""",
+    "validate_enriched": f"""{RICH_ABS}, num AS (SELECT *, row_number() OVER (ORDER BY win_start_us, tuple5, capture_id) AS flow_id FROM rich) SELECT path, message, count(*) AS n FROM (SELECT flow_id % 12 AS i FROM num) JOIN (VALUES (0, 'enriched.event_count', 'an integer of at least 0'),
+(1, 'enriched.payload.entropy', 'a number of at least 0'), (2, 'enriched.events.direction', 'FWD or BWD'), (3, 'enriched.payload.truncated', 'true or false'), (4, 'enriched.payload.head_hex', 'required'), (5, 'enriched.events.payload_len', 'required'),
+(6, 'enriched', 'not allowed: more'), (9, 'enriched.events', 'keys that are not allowed'), (7, 'label', 'a text'), (8, 'features.pkt_size_hist', 'a list of numbers')) v(i, path, message) USING (i) GROUP BY ALL""",
+    "validate_first_lines": f"{NUMBERED}, p AS (SELECT (flow_id - 1) // 100 AS part, count(*) AS n FROM num GROUP BY ALL) SELECT part, least(40, n) AS n, least(40, n) AS last FROM p",
+    "split_files": f"{SPLIT} SELECT capture_id, tuple5, win_start_us, label, split FROM split",
+    "sample_lines": f"{NUMBERED} SELECT flow_id, label FROM (SELECT *, row_number() OVER (ORDER BY {HASH(*KEY)}, capture_id, tuple5, win) AS r FROM num) WHERE r <= {SAMPLES.natural}",
+    "prediction_files": f"{P} SELECT reference_label, predicted_label, run, count(*) AS n FROM p GROUP BY ALL",
+    "log_files": f"{RUNS} SELECT run, row_number() OVER (ORDER BY a DESC, run) AS place, round(a, 3) AS eval_accuracy FROM runs",
+    "label_extra_offsets": f"""{MEMBERS}, {WINS}, {TRUTH_CTE}, o AS (SELECT t.*, coalesce(first_window - first_label, 0) AS own FROM t JOIN off USING ({K5})),
+u AS (SELECT *, CASE own WHEN 3600000000 THEN [own, -7200000000] WHEN -7200000000 THEN [own, 3600000000] ELSE [own, 3600000000, -7200000000] END AS l FROM o),
+n AS (SELECT *, unnest(range(len(l))) AS i FROM u)
+SELECT label_row, CAST(i AS INT) AS offset_no, l[i + 1] AS used_us, start_us + l[i + 1] AS start_us, start_us + l[i + 1] + dur_us AS end_us FROM n""",
+    "split_by_default_group": SPLIT.replace("PARTITION BY capture_id, label", "PARTITION BY label").replace(HASH("capture_id", "label", *KEY), HASH("''", "label", *KEY)) + " SELECT capture_id, tuple5, win_start_us, label, split FROM split",
+    "label_list": f"{LABELLED} SELECT CAST(row_number() OVER (ORDER BY label) AS INT) AS place, label FROM (SELECT DISTINCT label FROM lab)",
+    "shuffled_order": f"{MEMBERS}, {WINS} SELECT capture_id, tuple5, win_start_us, row_number() OVER (ORDER BY {HASH(*KEY)}, capture_id, tuple5, win) AS place FROM wins",
+    "pair_volume_hist": f"""{PAIRS}, b AS (SELECT min(total)::DOUBLE AS lo, max(total)::DOUBLE AS hi FROM pure), g AS (SELECT lo, CASE WHEN hi > lo THEN (hi - lo) / 8 ELSE 1 END AS width FROM b),
+h AS (SELECT CAST(least(7, floor((total - lo) / width)) AS INT) AS bin, lo, width FROM pure, g) SELECT bin, count(*) AS n, round(any_value(lo + bin * width), 6) AS low, round(any_value(lo + (bin + 1) * width), 6) AS high FROM h GROUP BY bin""",
+    "report_text": f"""{SPLIT}, c AS (SELECT 'all' AS scope, split, proto, count(*) AS count FROM split GROUP BY ALL UNION ALL SELECT 'attack', split, proto, count(*) FROM split WHERE {ATTACK} GROUP BY ALL)
+SELECT scope, split, proto, count, printf('%.2f%%', 100 * count::DOUBLE / sum(count) OVER (PARTITION BY scope, split)) AS share FROM c""",
 }
+ORACLES["stats_files"] = ORACLES["label_stats"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +20,9 @@ from windrow.operators import splits as X
 from windrow.operators import windows as W
 from windrow.operators.responses import parse_responses
 from windrow.plans import fixtures as V
+from windrow.schemas import ENRICHED, EVENT, KW, PACKET
 from windrow.sources import tables as T
+from windrow.storage import shared_folder
 
 QUERIES = {}
 
@@ -79,7 +84,13 @@ def key_events(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def window_events(spark: SparkSession, d: str) -> DataFrame:
-    return E.window_events(V.members(spark, d, rich=True), V.WINDOWS)
+    """Events as they are read back from their JSON text."""
+    got = E.window_events(V.members(spark, d, rich=True), V.WINDOWS)
+    rows = got.select(*KW, "rich_event_count", F.posexplode(F.from_json("rich_events", f"array<struct<{EVENT}>>")).alias("i", "e"))
+    return rows.select(
+        *KW, "rich_event_count", (F.col("i") + 1).alias("place"), "e.offset_ms", "e.direction", F.col("e.proto").alias("event_proto"), "e.len", "e.payload_len",
+        F.array_join("e.flags", "|").alias("flags"), "e.tcp_window", "e.preview", "e.application", "e.text",
+    )
 
 
 @query
@@ -108,11 +119,27 @@ def application_text(spark: SparkSession, d: str) -> DataFrame:
     return V.payload(spark, d).select("frame_number", E.application_text().alias("application"), C.human_bytes(F.col("frame_number") * 4099).alias("size"))
 
 
+def _rich(spark: SparkSession, d: str) -> DataFrame:
+    packets = V.canonical(spark, d, rich=True)
+    return E.with_rich(W.with_context(W.flow_windows(packets, V.WINDOWS), V.WINDOWS), W.memberships(packets, V.WINDOWS), V.WINDOWS)
+
+
 @query
 def context_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _rich(spark, d).select(*ID, "rich_context_summary", "rich_event_count", "rich_payload_truncated")
+
+
+@query
+def window_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and rich columns of the tables that each setting of the switches gives."""
     packets = V.canonical(spark, d, rich=True)
-    wins = W.with_context(W.flow_windows(packets, V.WINDOWS), V.WINDOWS)
-    return E.with_rich(wins, W.memberships(packets, V.WINDOWS), V.WINDOWS).select(*ID, "rich_context_summary", "rich_event_count", "rich_payload_truncated")
+    out = None
+    for standard, rich in ((True, True), (True, False), (False, True)):
+        for name, df in E.window_tables(packets, replace(V.WINDOWS, compute_standard=standard, compute_rich=rich)).items():
+            n_rich = len([c for c in df.columns if c.startswith("rich_")])
+            one = df.agg(F.count("*").alias("n")).select(F.lit(standard).alias("standard"), F.lit(rich).alias("rich"), F.lit(name).alias("name"), F.lit(n_rich).alias("rich_columns"), "n")
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query
@@ -316,14 +343,32 @@ def relative_time(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def prompt_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.windows(spark, d)
-    return rows.select("capture_id", "tuple5", "win", P.summary_prompt(rows, with_system=False).alias("prompt"))
+    rows = _rich(spark, d)
+    return rows.select("capture_id", "tuple5", "win", P.summary_prompt(rows, S.label_options(V.labelled(spark, d))).alias("prompt"))
+
+
+@query
+def system_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The instruction text with the data's labels and with the listed ones, and the labels."""
+    labels = S.label_options(V.labelled(spark, d))
+    rows = [("data", P.system_prompt(labels), ",".join(labels)), ("listed", P.system_prompt(), ",".join(sorted(P.FALLBACK_LABELS)))]
+    return spark.createDataFrame(rows, "kind string, prompt string, labels string")
 
 
 @query
 def prompt_raw(spark: SparkSession, d: str) -> DataFrame:
-    rows = P.mask_ips(_numbered(spark, d), 0.2)
-    return rows.select("flow_id", P.raw_prompt(R.struct_json(rows), S.label_options(rows)).alias("prompt"))
+    """Prompts of whole records, taken apart: the instruction, and the record read back from the rest."""
+    rich = _rich(spark, d).select(*V.KEY, *[c for c in E.RICH_OUTPUT])
+    rows = P.mask_ips(X.combine_rich(_numbered(spark, d), rich, V.KEY).join(rich.select(*V.KEY, "payload_entropy", "payload_ascii_ratio"), V.KEY), 0.2)
+    labels = S.label_options(rows)
+    system = len(P.system_prompt(labels))
+    prompts = rows.select(P.raw_prompt(rows, labels, with_enriched=True).alias("prompt"))
+    schema = f"flow_id bigint, tuple5 array<string>, window string, label string, windows_length double, features map<string,string>, enriched struct<{ENRICHED}>"
+    back = prompts.select(F.md5(F.substring("prompt", 1, system).cast("binary")).alias("system_md5"), F.from_json(F.substring("prompt", system + 2, 2**31 - 1), schema).alias("r"))
+    return back.select(
+        "system_md5", "r.flow_id", F.array_join("r.tuple5", ",").alias("tuple5"), "r.window", "r.label", "r.windows_length", F.col("r.features")["packet_count"].cast("bigint").alias("packet_count"),
+        F.col("r.enriched.context_summary").alias("context_summary"), F.col("r.enriched.event_count").alias("event_count"), F.array_join("r.enriched.protocols", ",").alias("protocols"),
+    )
 
 
 @query
@@ -378,3 +423,177 @@ def run_ranking(spark: SparkSession, d: str) -> DataFrame:
 @query
 def run_delta(spark: SparkSession, d: str) -> DataFrame:
     return M.run_delta(_runs(spark, d), "eval_accuracy", "base", "tuned").select(*[F.round(c, 3).alias(c) for c in ("baseline", "checkpoint", "delta")])
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"
+
+
+@query
+def packet_files(spark: SparkSession, d: str) -> DataFrame:
+    """Packets written as a file of the packet format, and read again."""
+    path = _folder(spark)
+    columns = [x.split(" ")[0] for x in PACKET.split(", ")]
+    T.write_tables({"packets": V.packets(spark, d).withColumn("ts", F.col("ts_us") / 1e6).select(*columns)}, path)
+    return T.read_packets(spark, f"{path}/packets.parquet").drop("ts")
+
+
+@query
+def payload_files(spark: SparkSession, d: str) -> DataFrame:
+    """Payload rows written as CSV, and read again."""
+    path = f"{_folder(spark)}/payload.csv"
+    V.payload(spark, d).write.option("header", True).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return T.read_payload(spark, path)
+
+
+@query
+def label_files(spark: SparkSession, d: str) -> DataFrame:
+    """Label intervals written as CSV with times in several forms, and read again; some times can't be read."""
+    path = f"{_folder(spark)}/labels.csv"
+    at = lambda c: F.timestamp_micros(c)
+    forms = ("dd/MM/yyyy HH:mm:ss", "d/M/yyyy H:mm", "dd/MM/yyyy hh:mm:ss a", "yyyy-MM-dd HH:mm:ss")
+    text = lambda c: F.when(F.col("label_row") % 13 == 0, "soon").otherwise(
+        F.element_at(F.array(*[F.date_format(at(F.col(c)), f) for f in forms]), (F.col("label_row") % 4 + 1).cast("int"))
+    )
+    rows = V.truth(spark, d).select("label", text("start_us").alias("ts_start"), text("end_us").alias("ts_end"), "src_ip", "dst_ip", "src_port", "dst_port", F.col("proto").cast("double").alias("protocol"), F.col("label_row").alias("flow_id"))
+    rows.write.option("header", True).csv(path)
+    got = L.label_times(T.read_labels(spark, path, V.LABELS), V.LABELS)
+    return got.select("label_flow_id", "label_capture_id", "src_ip", "src_port", "proto", "start_us", "end_us")
+
+
+@query
+def record_files(spark: SparkSession, d: str) -> DataFrame:
+    """Records written as lines, some cut off and some without a label, and read by the tolerant reader."""
+    path = _folder(spark)
+    rows = _numbered(spark, d)
+    value = R.struct_json(rows)
+    cut = F.when(F.col("flow_id") % 7 == 0, F.substring(value, 1, 50)).when(F.col("flow_id") % 7 == 1, F.regexp_replace(value, r',"label":"[^"]*"', "")).otherwise(value)
+    T.write_lines(rows, cut, path)
+    return T.read_records(spark, path).select("flow_id", F.array_join("tuple5", ",").alias("tuple5"), F.element_at("window", 2).cast("bigint").alias("end"), "label")
+
+
+@query
+def enriched_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """Enriched records written as lines, and read again."""
+    path = _folder(spark)
+    rich = _rich(spark, d)
+    rows = X.sequential_ids(rich.withColumn("label", F.lit("BENIGN")), ["win_start_us", "tuple5", "capture_id"])
+    T.write_lines(rows, R.enriched_json(rows), path)
+    back = T.read_records(spark, path, enriched=True)
+    p = "enriched.payload"
+    return back.select(
+        "flow_id", F.col("enriched.context_summary").alias("context_summary"), F.col("enriched.event_count").alias("event_count"), F.size("enriched.events").alias("n_events"),
+        F.element_at("enriched.events", 1)["text"].alias("first_event"), F.array_join("enriched.protocols", ",").alias("protocols"), F.col("enriched.proto_name").alias("proto_name"),
+        F.col(f"{p}.total_len").alias("total_len"), F.round(f"{p}.entropy", 5).alias("entropy"), F.round(f"{p}.ascii_ratio", 5).alias("ascii_ratio"), F.col(f"{p}.head_hex").alias("head_hex"),
+        F.col(f"{p}.tail_ascii").alias("tail_ascii"), F.col(f"{p}.truncated").alias("truncated"), F.col("features")["pkt_cnt_fwd"].cast("bigint").alias("pkt_cnt_fwd"),
+    )
+
+
+@query
+def validate_enriched(spark: SparkSession, d: str) -> DataFrame:
+    """Faults planted by flow_id in enriched records, and the rules that they break."""
+    rich = _rich(spark, d)
+    rows = X.sequential_ids(rich.withColumn("label", F.lit("BENIGN")), ["win_start_us", "tuple5", "capture_id"])
+    faults = (
+        ('"event_count":\\d+', '"event_count":-1'), ('"entropy":[^,]+', '"entropy":"much"'), ('"direction":"(FWD|BWD)"', '"direction":"UP"'), ('"truncated":(true|false)', '"truncated":0'),
+        ('"head_hex":"[^"]*",', ""), ('"payload_len":\\d+,', ""), ('"proto_name":"', '"more":1,"proto_name":"'), ('"label":"BENIGN"', '"label":5'), ('"pkt_size_hist":\\[', '"pkt_size_hist":["x",'), ('"offset_ms":', '"odd":1,"offset_ms":'),
+    )
+    value = R.enriched_json(rows)
+    faulty = F.when(F.col("flow_id") % 12 > 9, value)
+    for i, (old, new) in enumerate(faults):
+        faulty = faulty.when(F.col("flow_id") % 12 == i, F.regexp_replace(value, old, new))
+    return R.validate(rows.select(F.lit("f").alias("file"), F.col("flow_id").alias("line"), faulty.alias("value")), enriched=True).groupBy("path", "message").agg(F.count("*").alias("n"))
+
+
+@query
+def validate_first_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Files of a hundred cut-off records each, checked up to line 40."""
+    path = _folder(spark)
+    rows = _numbered(spark, d)
+    text = rows.select(F.floor((F.col("flow_id") - 1) / 100).alias("part"), "flow_id", F.substring(R.struct_json(rows), 1, 30).alias("value"))
+    one = text.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("flow_id", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    one.write.partitionBy("part").text(path)
+    got = R.validate(T.read_lines(spark, f"{path}/*/*.txt"), limit=40)
+    return got.groupBy(F.regexp_extract("file", r"part=(\d+)", 1).cast("bigint").alias("part")).agg(F.count("*").alias("n"), F.max("line").alias("last"))
+
+
+@query
+def split_files(spark: SparkSession, d: str) -> DataFrame:
+    """Splits written as a table each, and read again as one."""
+    path = _folder(spark)
+    T.write_splits(_split(spark, d), path)
+    return T.read_splits(spark, path).select(*ID, "label", "split")
+
+
+@query
+def sample_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A sample's records written as lines, and read again with the lines' numbers left out."""
+    path = _folder(spark)
+    rows = S.natural_sample(_numbered(spark, d), V.KEY, V.SAMPLES)
+    T.write_lines(rows, R.struct_json(rows), path)
+    return T.read_lines(spark, path).select(F.get_json_object("value", "$.flow_id").cast("bigint").alias("flow_id"), F.get_json_object("value", "$.label").alias("label"))
+
+
+@query
+def stats_files(spark: SparkSession, d: str) -> DataFrame:
+    """Alignment figures written as one JSON object, and read again."""
+    path = _folder(spark)
+    T.write_stats(L.alignment_stats(V.labelled(spark, d)), path)
+    schema = "total bigint, unknown_count bigint, unknown_ratio double, multi_candidate bigint, benign_label string, label_counts string"
+    return spark.read.schema(schema).json(path).withColumn("unknown_ratio", F.round("unknown_ratio", 9))
+
+
+@query
+def prediction_files(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions written as lines in the order of their index, and read again."""
+    path = _folder(spark)
+    T.write_predictions(V.preds(spark, d).withColumnRenamed("doc_id", "index"), path)
+    return spark.read.schema("reference_label string, predicted_label string, run string").json(path).groupBy("reference_label", "predicted_label", "run").agg(F.count("*").alias("n"))
+
+
+@query
+def log_files(spark: SparkSession, d: str) -> DataFrame:
+    """A log file for each run, read again for the runs' metrics."""
+    path = _folder(spark)
+    per = V.preds(spark, d).groupBy("run").agg(F.avg((F.col("reference_label") == F.col("predicted_label")).cast("int")).alias("a"))
+    per.select("run", F.format_string("step 1\neval_accuracy = %.4f", "a").alias("value")).write.partitionBy("run").text(path)
+    runs = M.metrics_from_logs(T.read_logs(spark, f"{path}/*/*.txt"), ["eval_accuracy"])
+    return M.rank_runs(runs.withColumn("run", F.regexp_replace("run", "^run=", "")), "eval_accuracy").select("run", "place", F.round("eval_accuracy", 3).alias("eval_accuracy"))
+
+
+EXTRA_US = (3_600_000_000, -7_200_000_000)
+
+
+@query
+def label_extra_offsets(spark: SparkSession, d: str) -> DataFrame:
+    prepared = L.prepare(V.truth(spark, d))
+    return L.shifted(prepared, L.offsets(prepared, V.windows(spark, d)), EXTRA_US).select("label_row", "offset_no", "used_us", "start_us", "end_us")
+
+
+@query
+def split_by_default_group(spark: SparkSession, d: str) -> DataFrame:
+    rows = V.labelled(spark, d)
+    return X.stratified_split(rows, V.KEY, X.group_column(rows), params=V.SPLITS).select(*ID, "label", "split")
+
+
+@query
+def label_list(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(i, x) for i, x in enumerate(S.label_options(V.labelled(spark, d)), 1)], "place int, label string")
+
+
+@query
+def shuffled_order(spark: SparkSession, d: str) -> DataFrame:
+    return S.shuffled_places(V.windows(spark, d).select(*ID, "win"), V.KEY, 42).select(*ID, "place")
+
+
+@query
+def pair_volume_hist(spark: SparkSession, d: str) -> DataFrame:
+    return Q.histogram(Q.pair_purity(_pairs(spark, d)), "total", 8).select("bin", "n", *r6("low", "high"))
+
+
+@query
+def report_text(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the report's tables of protocols by split, as fields."""
+    text = Q.markdown(_split(spark, d))
+    rows = [("attack" if "attacks" in part[:40] else "all", *[x.strip() for x in line.strip("|").split("|")]) for part in text.split("## ") if part.startswith("Protocols ") for line in part.split("\n")[4:] if line]
+    return spark.createDataFrame(rows, "scope string, split string, proto string, count string, share string").select("scope", "split", F.col("proto").cast("int"), F.replace("count", F.lit(","), F.lit("")).cast("bigint").alias("count"), "share")

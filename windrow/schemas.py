@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+#: Column and field names of the file formats.
 PACKET = (
     "capture_id string, frame_number bigint, ts double, proto int, src_ip string, dst_ip string, src_port int, dst_port int, pkt_len int, "
     "tcp_syn int, tcp_ack int, tcp_fin int, tcp_rst int, tcp_psh int, tcp_window int, payload_hex string"

@@ -127,9 +127,14 @@ def read_logs(spark: SparkSession, pattern: str) -> DataFrame:
     return df.select(F.element_at(F.split("path", "/"), -2).alias("run"), "text")
 
 
+def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """Each table as {name}.parquet in the folder, over an old one."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+
+
 def write_splits(df: DataFrame, folder: str, names: tuple[str, ...] = ("train", "val", "test"), enriched: bool = False) -> None:
-    for name in names:
-        df.where(F.col("split") == name).drop("split").write.mode("overwrite").parquet(f"{folder}/features_{'enriched_' if enriched else ''}{name}.parquet")
+    write_tables({f"features_{'enriched_' if enriched else ''}{name}": df.where(F.col("split") == name).drop("split") for name in names}, folder)
 
 
 def write_lines(df: DataFrame, json_text: Column, path: str) -> None:
