@@ -67,3 +67,13 @@ def test_columns_of_a_table(spark):
         assert r.tail_crc32 == zlib.crc32(full[-64:]) and M.read_png(bytes(r.media)).tobytes() == full
     assert got[5].feature == got[6].feature and got[5].media == got[6].media
     assert M.media_features(M.with_media(docs.limit(0))).count() == 0
+
+
+def test_long_payloads_and_bad_headers():
+    data = np.random.default_rng(2).integers(0, 9, (3 * M.SLICE_ROWS + 5) * M.WIDTH, np.uint8).tobytes()
+    png = M.write_png(data)
+    assert M.read_png(png).tobytes() == data and len(png) < len(data)
+    header = png[16:29]
+    for bad in (header[:-1], header[:10] + b"\1" + header[11:], header[:11] + b"\1" + header[12:]):
+        with pytest.raises(ValueError):
+            M.read_png(png[:8] + M._chunk(b"IHDR", bad) + png[33:])

@@ -24,6 +24,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 NONE, SUB, UP, AVERAGE, PAETH = range(5)
 WIDTH = 64
 LEVEL = 4
+#: Rows that are filtered at once.
+SLICE_ROWS = 1 << 14
 #: Compressed bytes of one IDAT chunk.
 IDAT_BYTES = 1 << 16
 
@@ -32,12 +34,14 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def _choose_filters(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Filter type per row, and the filtered rows: the candidate with the smallest sum of magnitudes as signed bytes."""
+def _choose_filters(rows: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Filter type per row, and the filtered rows: the candidate with the smallest sum of magnitudes as signed bytes.
+
+    `before` is the row above the first.
+    """
     left = np.zeros_like(rows)
     left[:, 1:] = rows[:, :-1]
-    above = np.zeros_like(rows)
-    above[1:] = rows[:-1]
+    above = np.concatenate([before[None], rows[:-1]])
     forms = np.stack([rows, rows - left, rows - above])  # uint8: wraps modulo 256, as the format asks
     cost = np.abs(forms.view(np.int8).astype(np.int16)).sum(axis=2)
     best = cost.argmin(axis=0)
@@ -45,12 +49,20 @@ def _choose_filters(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def write_png(payload: bytes, width: int = WIDTH) -> bytes:
-    """A grey PNG, 8 bits a sample, `width` samples a row; the payload's length is a positive multiple of width."""
+    """A grey PNG, 8 bits a sample, `width` samples a row; the payload's length is a positive multiple of width.
+
+    Rows are filtered and compressed in slices, so a long payload takes little more than itself.
+    """
     rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
-    kinds, body = _choose_filters(rows)
-    packed = zlib.compress(np.concatenate([kinds[:, None], body], axis=1).tobytes(), LEVEL)
+    squeeze, packed, before = zlib.compressobj(LEVEL), [], np.zeros(width, np.uint8)
+    for i in range(0, len(rows), SLICE_ROWS):
+        part = rows[i : i + SLICE_ROWS]
+        kinds, body = _choose_filters(part, before)
+        packed.append(squeeze.compress(np.concatenate([kinds[:, None], body], axis=1).tobytes()))
+        before = part[-1]
+    whole = b"".join([*packed, squeeze.flush()])
     head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
-    data = b"".join(_chunk(b"IDAT", packed[i : i + IDAT_BYTES]) for i in range(0, len(packed), IDAT_BYTES))
+    data = b"".join(_chunk(b"IDAT", whole[i : i + IDAT_BYTES]) for i in range(0, len(whole), IDAT_BYTES))
     return SIGNATURE + _chunk(b"IHDR", head) + data + _chunk(b"IEND", b"")
 
 
@@ -97,11 +109,13 @@ def read_png(stored: bytes) -> np.ndarray:
         if at + 12 + n > len(stored) or struct.unpack_from(">I", stored, at + 8 + n)[0] != zlib.crc32(kind + body):
             raise ValueError(f"checksum of chunk {kind!r} is wrong")
         if kind == b"IHDR":
+            if len(body) != 13:
+                raise ValueError("a header of a wrong length")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             data.append(body)
         ended, at = kind == b"IEND", at + 12 + n
-    if head is None or not ended or head[2] != 8 or head[3] not in (0, 2, 4, 6) or head[6]:
+    if head is None or not ended or head[2] != 8 or head[3] not in (0, 2, 4, 6) or any(head[4:]):
         raise ValueError("not a whole 8-bit non-interlaced PNG without palette")
     step = {0: 1, 2: 3, 4: 2, 6: 4}[head[3]]
     width, height = head[0] * step, head[1]
@@ -138,7 +152,7 @@ def cosine_hash(samples: np.ndarray) -> str:
 
     A bit is 1 where the coefficient is above the median of all 64; row-major, highest bit first.
     """
-    grid = samples.astype(np.float64)
+    grid = samples
     for axis in (0, 1):
         n = grid.shape[axis]
         if n < SIDE:
@@ -146,7 +160,7 @@ def cosine_hash(samples: np.ndarray) -> str:
         elif n > SIDE:
             cuts = np.arange(SIDE) * n // SIDE
             sizes = np.diff([*cuts, n])
-            grid = np.add.reduceat(grid, cuts, axis=axis) / (sizes[:, None] if axis == 0 else sizes[None, :])
+            grid = np.add.reduceat(grid, cuts, axis=axis, dtype=np.float64) / (sizes[:, None] if axis == 0 else sizes[None, :])
     low = np.round(COSINES @ grid @ COSINES.T, 6).ravel()
     return np.packbits(low > np.median(low)).tobytes().hex()
 
