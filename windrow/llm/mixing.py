@@ -26,8 +26,8 @@ NEAR = 1e-9
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): size counts the words of text; null texts have none."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """(doc_id, source, size, mark): size counts the words of text; null texts have none. mark tells texts apart whose ids are alike."""
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("mark"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -114,12 +114,12 @@ def _fold(items: Column, id_type: str) -> Column:
 
 
 def round_copies(parts: DataFrame) -> DataFrame:
-    """(source, doc_id, size, take) for each row of (source, doc_id, size > 0, 0 < p < 1, n_docs): take is 0 or 1.
+    """(source, doc_id, size, take) for each row of (source, doc_id, size > 0, mark, 0 < p < 1, n_docs): take is 0 or 1.
 
     Documents go to bins of about BIN by a hash, and are numbered within a bin; every BLOCK numbers are one fold.
     """
     id_type = dict(parts.dtypes)["doc_id"]
-    mixed = F.xxhash64(F.lit(SEED), "doc_id", "size")
+    mixed = F.xxhash64(F.lit(SEED), "doc_id", "size", "mark")
     bins = F.ceil(F.col("n_docs") / BIN)
     rows = parts.withColumns({"h": mixed, "bin": F.pmod(mixed, bins)})
     number = F.row_number().over(Window.partitionBy("source", "bin").orderBy("h", "doc_id", "size")).cast("long") - 1
@@ -160,7 +160,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     same = F.col("source").eqNullSafe(F.col("_s"))
     rows = sized.join(rates.select("_s", "n_docs", "rate"), same).withColumn("p", F.col("rate") - F.floor("rate"))
     rounds = (F.col("size") > 0) & (F.col("p") >= NEAR) & (F.col("p") <= 1 - NEAR)
-    taken = round_copies(rows.where(rounds).select("source", "doc_id", "size", "p", "n_docs"))
+    taken = round_copies(rows.where(rounds).select("source", "doc_id", "size", "mark", "p", "n_docs"))
     whole = rows.where(~rounds).select("source", "doc_id", "size", F.when(F.col("size") > 0, F.round("p")).otherwise(0).cast("int").alias("take"))
     every = taken.unionByName(whole).join(rates, same)
     copies = F.when(F.col("size") > 0, F.floor("rate") + F.col("take")).otherwise(F.lit(0)).cast("long")
