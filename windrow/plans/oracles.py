@@ -109,7 +109,7 @@ MS = lambda us: CENTS(f"(({us}) + 5) // 10")
 TWO = lambda x: CENTS(f"CAST(floor(({x}) * 100 + 0.5 + 1e-9) AS BIGINT)")
 
 
-def _size(c: str) -> str:
+def _bytes(c: str) -> str:
     unit = lambda n, name: f"{CENTS(f'(({c}) * 200 + {n}) // {2 * n}')} || ' {name}'"
     return f"CASE WHEN {c} >= {1 << 30} THEN {unit(1 << 30, 'GiB')} WHEN {c} >= {1 << 20} THEN {unit(1 << 20, 'MiB')} WHEN {c} >= 1024 THEN {unit(1024, 'KiB')} ELSE ({c}) || ' B' END"
 
@@ -155,8 +155,8 @@ w0 AS (SELECT {ID}, {KCOLS}, win, {NAME} AS proto_name, count(*) AS packet_count
 w1 AS (SELECT *, {_ROLL('packet_count', _SHORT)} AS p10, {_ROLL('byte_count', _SHORT)} AS b10, {_ROLL('packet_count', _LONG)} AS p60, {_ROLL('byte_count', _LONG)} AS b60 FROM w0),
 first_ev AS (SELECT {KCOLS}, win, any_value(rich_event_count) AS rich_event_count, any_value(text) FILTER (place = 1) AS first_event FROM ev GROUP BY {KCOLS}, win),
 rw AS (SELECT * FROM w1 LEFT JOIN st USING ({KCOLS}, win) LEFT JOIN ends USING ({KCOLS}, win) LEFT JOIN tok USING ({KCOLS}, win) LEFT JOIN first_ev USING ({KCOLS}, win)),
-rich AS (SELECT *, concat_ws(' | ', proto_name || ' window {{span}}: ' || packet_count || ' pkts (' || {_size('byte_count')} || ') fwd/bwd bytes=' || {_size('byte_cnt_fwd')} || '/' || {_size('byte_cnt_bwd')} || ' summarized entropy=' || {TWO('ent')} || ' bits',
-  'last {int(WINDOWS.context_sec[0])}s: ' || p10 || ' pkts / ' || {_size('b10')}, 'last {int(WINDOWS.context_sec[1])}s: ' || p60 || ' pkts / ' || {_size('b60')},
+rich AS (SELECT *, concat_ws(' | ', proto_name || ' window {{span}}: ' || packet_count || ' pkts (' || {_bytes('byte_count')} || ') fwd/bwd bytes=' || {_bytes('byte_cnt_fwd')} || '/' || {_bytes('byte_cnt_bwd')} || ' summarized entropy=' || {TWO('ent')} || ' bits',
+  'last {int(WINDOWS.context_sec[0])}s: ' || p10 || ' pkts / ' || {_bytes('b10')}, 'last {int(WINDOWS.context_sec[1])}s: ' || p60 || ' pkts / ' || {_bytes('b60')},
   CASE WHEN rich_event_count > 0 THEN rich_event_count || ' key events captured' END, CASE WHEN protocols <> '' THEN 'protocols=' || protocols END, 'payload_ascii_ratio=' || {TWO('asc_ratio')}) AS summary FROM rw)""".replace(
     f"{ID}, {KCOLS}", f"{ID}, {KCOLS}".replace("capture_id, concat", "concat", 1)
 )
@@ -288,7 +288,7 @@ UNION ALL SELECT doc_id, 'SOMETHING', 'it is classified as something' FROM label
     "run_ranking": f"{RUNS} SELECT run, row_number() OVER (ORDER BY a DESC, run) AS place, round(a, 3) AS eval_accuracy FROM runs",
     "run_delta": f"{RUNS} SELECT round(max(a) FILTER (run = 'base'), 3) AS baseline, round(max(a) FILTER (run = 'tuned'), 3) AS checkpoint, round(max(a) FILTER (run = 'tuned') - max(a) FILTER (run = 'base'), 3) AS delta FROM runs",
     "window_events": f"{MEMBERS_RICH}, {EVENTS} SELECT * FROM ev",
-    "application_text": f"WITH payload AS ({_fill(PAYLOAD)}) SELECT frame_number, {_application()} AS application, {_size('(frame_number * 4099)')} AS size FROM payload",
+    "application_text": f"WITH payload AS ({_fill(PAYLOAD)}) SELECT frame_number, {_application()} AS application, {_bytes('(frame_number * 4099)')} AS size FROM payload",
     "context_summary": f"{RICH_ABS} SELECT capture_id, tuple5, win_start_us, summary AS rich_context_summary, rich_event_count, truncated AS rich_payload_truncated FROM rich",
     "window_tables": f"""{MEMBERS}, c AS (SELECT count(*) AS n FROM (SELECT DISTINCT {KCOLS}, win FROM m))
 SELECT standard, rich, name, rich_columns, n FROM c, (VALUES (true, true, 'standard', 0), (true, true, 'rich', 9), (true, false, 'standard', 0), (false, true, 'rich', 9)) v(standard, rich, name, rich_columns)""",
