@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -23,14 +24,22 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder, without the lineage that made them."""
+#: Rows of one file where the number of rows is bounded: small tables are written in few files, whatever the number of shuffle partitions.
+ROWS_OF_FILE = 250_000
+
+
+def _in_few_files(df: DataFrame, most_rows: int | None) -> DataFrame:
+    return df if most_rows is None else df.coalesce(max(1, math.ceil(most_rows / ROWS_OF_FILE)))
+
+
+def checkpointed(df: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """The rows, written to the shared folder, without the lineage that made them. most_rows: a bound of their number, if known."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _in_few_files(df, most_rows).checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     """The rows, written to the shared folder as Parquet and read again: for wide or many rows, as checkpoints are not compressed."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _in_few_files(df, most_rows).write.parquet(path)
     return df.sparkSession.read.parquet(path)
