@@ -257,5 +257,5 @@ def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item is found, with their own columns."""
     _, seeds = item_seeds(benchmark)
     rows = stored(with_hits(docs, *bit_map(seeds), "text").withColumn("_row", F.monotonically_increasing_id()))
-    found = stored(found_items(rows, seeds).select(F.col("row").alias("_row")).distinct())
+    found = stored(found_items(rows, seeds).select(F.col("row").alias("_row")).distinct(), rows.count())
     return rows.join(found, "_row", "left_anti").select(*docs.columns)

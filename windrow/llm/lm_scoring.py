@@ -171,7 +171,7 @@ def trie(texts: DataFrame, order: int = ORDER) -> list[Order]:
     entries = [stored(gram_counts(texts, order).withColumnRenamed("n", "count"))]
     for k in range(order - 1, -1, -1):
         cut = F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
-        entries.insert(0, stored(entries[0].groupBy(cut.alias("key")).agg(F.sum("count").alias("count"))))
+        entries.insert(0, stored(entries[0].groupBy(cut.alias("key")).agg(F.sum("count").alias("count")), min(256 ** (k + 1), entries[0].count())))
     out = []
     for k, own in enumerate(entries):
         rows = own.withColumn("_at_suffix", F.lit(0).cast("long"))
@@ -181,7 +181,7 @@ def trie(texts: DataFrame, order: int = ORDER) -> list[Order]:
             rows = own.join(_shared(below, k - 1), suffix == F.col("_below"))
         context = F.shiftrightunsigned("key", 8).alias("context")
         nodes = rows.groupBy(context).agg(F.sum("count").alias("total"), F.count("*").alias("followers"), F.sum("_at_suffix").alias("taken"))
-        out.append(Order(own, stored(nodes)))
+        out.append(Order(own, stored(nodes, min(256**k, own.count()))))
     return out
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from windrow.llm.common import WORD, checkpointed, table
+from windrow.llm.common import WORD, checkpointed, stored, table
 
 #: Weights of the sources in order, repeating; share of all words that the mix takes; most copies of a document.
 WEIGHTS = (5, 2, 1)
@@ -129,7 +129,7 @@ def round_copies(parts: DataFrame) -> DataFrame:
     out = []
     while True:
         folded = level.groupBy("source", "top", "block").agg(F.collect_list("item").alias("items"))
-        folded = checkpointed(folded.select("source", "top", "block", _fold(F.col("items"), id_type).alias("f")))
+        folded = stored(folded.select("source", "top", "block", _fold(F.col("items"), id_type).alias("f")))
         out.append(folded.select("source", F.explode("f.done").alias("d")).select("source", "d.*"))
         block, top = folded.agg(F.coalesce(F.max("block"), F.lit(0)), F.coalesce(F.max("top"), F.lit(0))).first()
         if not block and not top:
@@ -154,7 +154,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     are rounded one by one. The same rows give the same result, however they are dealt. An empty table gives no row.
     """
     sized = checkpointed(sizes(docs))
-    goals = checkpointed(targets(sized, weights, share, most))
+    goals = checkpointed(targets(sized, weights, share, most), sized.count())
     share_of = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rates = goals.select(F.col("source").alias("_s"), "n_docs", "source_size", "target", share_of.alias("rate"))
     same = F.col("source").eqNullSafe(F.col("_s"))

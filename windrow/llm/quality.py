@@ -184,7 +184,7 @@ def site_rates(scored: DataFrame, rate: float) -> tuple[DataFrame, float, float,
     s sums the probabilities of good texts. Grouping is by partial sums; the second level groups the first one's rows.
     """
     p = 1 / (1 + F.exp(-(F.col("evidence") + float(np.log(rate / (1 - rate))))))
-    paths = stored(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")))
+    paths = stored(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")), scored.count())
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = float(np.clip(total["s"] / total["n"], 1e-4, 1 - 1e-4)) if total["n"] else rate
@@ -192,7 +192,7 @@ def site_rates(scored: DataFrame, rate: float) -> tuple[DataFrame, float, float,
     parents = hosts.select(F.col("host").alias("_h"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
     joined = paths.join(parents, F.col("host").eqNullSafe(F.col("_h"))).drop("_h")
     k_path = _strength(joined, (k_host * mean + F.col("host_s")) / (k_host + F.col("host_n")))
-    return stored(joined), mean, k_host, k_path
+    return stored(joined, paths.count()), mean, k_host, k_path
 
 
 def _joined(scored: DataFrame, rate: float, host_col: str, path_col: str) -> DataFrame:

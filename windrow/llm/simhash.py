@@ -101,7 +101,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """All pairs (a, b), a < b, of the distinct values of column fp that differ in one or two bits."""
     n = F.count("*").over(Window.partitionBy("key"))
-    shared = stored(_variants(fps, _half_keys(F.col("fp"))).withColumn("n", n).where("n > 1"))
+    shared = stored(_variants(fps, _half_keys(F.col("fp"))).withColumn("n", n).where("n > 1"), 64 * fps.count())
     found = _pairs(shared.where(F.col("n") <= CROWDED))
     crowded = shared.where(F.col("n") > CROWDED).select("fp").distinct()
     return found.unionByName(_pairs(_variants(crowded, _whole_keys(F.col("fp"))))).distinct()
@@ -119,10 +119,10 @@ def components(pairs: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
         least = both.groupBy("lo").agg(F.min("hi").alias("m")).select("lo", F.least("lo", "m").alias("m"))
-        large = both.where("hi > lo").join(least, "lo").select(F.col("m").alias("lo"), "hi").distinct()
+        large = both.where("hi > lo").join(least.hint("merge"), "lo").select(F.col("m").alias("lo"), "hi").distinct()
         small_least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(small_least, "hi").select("m", F.explode(F.array("hi", "lo")).alias("n"))
-        edges = stored(small.where("m <> n").select(F.col("m").alias("lo"), F.col("n").alias("hi")).distinct())
+        small = large.join(small_least.hint("merge"), "hi").select("m", F.explode(F.array("hi", "lo")).alias("n"))
+        edges = stored(small.where("m <> n").select(F.col("m").alias("lo"), F.col("n").alias("hi")).distinct(), 2 * before[0])
         now = state(edges)
         if now == before:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(edges.select("lo", "lo").distinct())
@@ -131,7 +131,7 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def _rooted(classes: DataFrame) -> DataFrame:
     """Rows of classes, which has distinct values of column fp, with root: the same for all that the links connect."""
-    joined = components(links(classes.select("fp")))
+    joined = components(links(classes.select("fp"))).hint("merge")  # grows with the corpus, so it is never broadcast
     return classes.join(joined, classes["fp"] == joined["node"], "left").select(*classes.columns, F.coalesce("root", "fp").alias("root"))
 
 
@@ -143,10 +143,10 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Repeated rows stay; an empty table gives an empty one.
     """
     rows = stored(docs.select(F.col(id_col).alias("_id"), fingerprints(F.col(text_col)).alias("fp")))
-    rooted = _rooted(stored(rows.groupBy("fp").agg(F.min("_id").alias("least"))))
+    rooted = _rooted(stored(rows.groupBy("fp").agg(F.min("_id").alias("least")), rows.count()))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = rooted.join(best, "root").select("fp", "component_id")
-    return rows.join(final, "fp").select(F.col("_id").alias(id_col), hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+    final = rooted.join(best.hint("merge"), "root").select("fp", "component_id")
+    return rows.join(final.hint("merge"), "fp").select(F.col("_id").alias(id_col), hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -154,9 +154,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     whole = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])  # hashes skip nulls
     rows = stored(docs.select("doc_id", whole.alias("_hash"), fingerprints(F.col("text")).alias("fp")))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("_d"), F.col("_hash").alias("_h"))
-    rooted = _rooted(stored(rows.groupBy("fp").agg(F.min(rank).alias("first"))))
+    rooted = _rooted(stored(rows.groupBy("fp").agg(F.min(rank).alias("first")), rows.count()))
     keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first._d", "first._h")
-    found = docs.withColumn("_hash", whole).join(keep, (F.col("_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    found = docs.withColumn("_hash", whole).join(keep.hint("merge"), (F.col("_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
     return found.dropDuplicates(["_hash", "doc_id"]).select(*docs.columns)  # rows alike in both are alike in all columns
 
 
