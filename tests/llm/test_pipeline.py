@@ -84,3 +84,14 @@ def test_mixing_keeps_rows_with_null_and_repeated_ids_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = [r.text for r in P.mixed(spark, docs, D).collect()]
     assert len(got) == len(set(got)) > 0
+
+
+def test_run_with_repeated_and_null_ids(spark, tmp_path):
+    texts = ["first words of some text here", "second text with other words", "a third one that is not alike", "numbers four and five of it", "yet another sentence of words", "the last of these texts is here"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[5]), (9, texts[5]), (8, texts[5]), (None, texts[5])]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = [(r.doc_id, r.text) for r in P.run(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted([*rows[:5], (8, texts[5])], key=repr)
