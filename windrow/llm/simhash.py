@@ -95,7 +95,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
     """Verified pairs a < b of fingerprints that share a key."""
     a, b = rows.select("key", F.col("fp").alias("a")), rows.select("key", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
-    return a.join(b, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    return a.join(b.hint("merge"), "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 def links(fps: DataFrame) -> DataFrame:
