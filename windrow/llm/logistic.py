@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -19,14 +20,13 @@ class Sparse:
     def __init__(self, sizes: np.ndarray, columns: np.ndarray, values: np.ndarray, n_columns: int) -> None:
         self.shape = (len(sizes), n_columns)
         self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        self.col, self.val = columns.astype(np.int32), values.astype(np.float32)
+        self.col, self.val = columns.astype(np.int32, copy=False), values.astype(np.float32, copy=False)
 
     @classmethod
     def of(cls, columns: pa.ChunkedArray, values: pa.ChunkedArray, n_columns: int) -> Sparse:
         """From two Arrow columns of lists."""
-        sizes = np.concatenate([np.zeros(0, np.int64), *[np.diff(c.offsets.to_numpy()) for c in columns.chunks]])
-        flat = lambda x: np.concatenate([np.zeros(0), *[c.flatten().to_numpy() for c in x.chunks]])
-        return cls(sizes, flat(columns), flat(values), n_columns)
+        sizes = pc.list_value_length(columns).to_numpy()
+        return cls(sizes, pc.list_flatten(columns).to_numpy(), pc.list_flatten(values).to_numpy(), n_columns)
 
     def _slices(self) -> list[slice]:
         return [slice(i, i + self.SLICE) for i in range(0, len(self.row), self.SLICE)]

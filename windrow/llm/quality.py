@@ -145,7 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Evidence, float]:
     y = got["quality"].to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return NEUTRAL, (y.sum() + 1) / (len(y) + 2)
-    weights, intercept = fit_sparse(Sparse.of(got["at"], got["x"], WIDTH), y, ridge=RIDGE, steps=200)
+    x = Sparse.of(got["at"], got["x"], WIDTH)
+    del got
+    weights, intercept = fit_sparse(x, y, ridge=RIDGE, steps=200)
     rate = y.mean()
     return Evidence(weights, float(intercept - np.log(rate / (1 - rate)))), float(rate)
 
