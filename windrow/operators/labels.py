@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from windrow.config import LabelParams
 from windrow.functions.columns import clean_label
+from windrow.storage import stored
 
 #: Label matching ignores the capture, as one label table may serve several captures of the same hosts.
 K5 = ("src_ip", "src_port", "dst_ip", "dst_port", "proto")
@@ -135,13 +136,14 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
 def propagate(rich: DataFrame, labelled: DataFrame, key: list[str], columns: tuple[str, ...] = LABEL_COLUMNS, check: bool = True) -> DataFrame:
     """rich with the label columns of the labelled windows, one to one on the key; old label columns go first.
 
-    With check on, a key that repeats or stays without a partner raises ValueError.
+    With check on, a key that repeats or stays without a partner raises ValueError; the result is written down first, so
+    that the checks go over it and not over what made it.
     """
     out = rich.drop(*columns).join(labelled.select(*key, *columns), key, "left")
     if check:
-        for side in (rich, labelled):
-            if duplicate_keys(side, key).limit(1).count():
-                raise ValueError("a window key repeats")
+        out = stored(out)
+        if any(duplicate_keys(df, key).limit(1).count() for df in (out, labelled)):
+            raise ValueError("a window key repeats")
         if out.where(F.col(columns[0]).isNull()).limit(1).count():
             raise ValueError("a window has no label")
     return out

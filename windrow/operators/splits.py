@@ -64,8 +64,10 @@ def split_stats(df: DataFrame, group: str, label: str = "label") -> DataFrame:
 def attach(rich: DataFrame, split: DataFrame, key: list[str], check: bool = True) -> DataFrame:
     """rich with the split of the same window; with check on, an unmatched window or a repeated key raises ValueError."""
     out = rich.join(split.select(*key, "split"), key, "left")
-    if check and (out.where(F.col("split").isNull()).limit(1).count() or duplicate_keys(split, key).limit(1).count()):
-        raise ValueError("a window has no split, or a key repeats")
+    if check:
+        out = stored(out)  # the checks go over it, not over what made it
+        if out.where(F.col("split").isNull()).limit(1).count() or duplicate_keys(out, key).limit(1).count():
+            raise ValueError("a window has no split, or a key repeats")
     return out
 
 
@@ -73,8 +75,10 @@ def combine_rich(split: DataFrame, rich: DataFrame, key: list[str], check: bool
     """Split rows with only the rich_ columns of the enriched table; a row without partner raises ValueError."""
     names = [c for c in rich.columns if c.startswith("rich_")]
     out = split.join(rich.select(*key, *names, F.lit(True).alias("_there")), key, "left")
-    if check and out.where(F.col("_there").isNull()).limit(1).count():
-        raise ValueError("a split row has no enriched row")
+    if check:
+        out = stored(out)
+        if out.where(F.col("_there").isNull()).limit(1).count():
+            raise ValueError("a split row has no enriched row")
     return out.drop("_there")
 
 
