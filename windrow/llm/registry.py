@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from windrow.llm import decontamination, language_id, license_scan, lm_scoring, media_png, mixing, quality, simhash, toxicity, url_filter
+from windrow.llm import decontamination, language_id, license_scan, lm_scoring, media_png, mixing, prefix_trie, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_media_columns": media_png.query,
     "op10_lm_scoring": lm_scoring.query,
+    "op11_prefix_trie": prefix_trie.query,
 }
 
 ORACLES = {
