@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from windrow.llm import decontamination, language_id, license_scan, lm_scoring, media_png, mixing, prefix_trie, quality, simhash, toxicity, url_filter
+from windrow.llm import bpe_chunks, decontamination, language_id, license_scan, lm_scoring, media_png, mixing, prefix_trie, quality, simhash, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_media_columns": media_png.query,
     "op10_lm_scoring": lm_scoring.query,
     "op11_prefix_trie": prefix_trie.query,
+    "op12_bpe_chunks": bpe_chunks.query,
+    "op13_whitening": whitening.query,
 }
 
 ORACLES = {
