@@ -11,9 +11,9 @@ encoded again. The words on either side have to come out as they were; if they d
 for bytes, the text of a window is read from the tokens themselves, and no text is moved.
 
 Plan: one pass counts chunks by their hashes; those that repeat are put into a bit map of at most 2^MAX_BITS bits, which
-goes to all tasks. A second pass encodes what is not in the map and keeps a reference for the rest; texts without
-references are done. Referenced chunks are encoded once, joined with the references, and put together for each text. A
-full map sends more chunks to the join, and changes no result.
+goes to all tasks. Texts without a chunk in the map are encoded where they are read. Chunks in the map are gathered and
+encoded once; texts that have some keep references to them and the tokens of what lies between, are joined with the
+chunks' tokens, and put together. A full map sends more chunks to the join, and changes no result.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -103,35 +105,77 @@ def name_of(chunk: bytes) -> tuple[int, int]:
     return a, b
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """The two vocabulary files, and the special tokens as (id, text), which are read once on the driver."""
+
+    tokenizer: str
+    ranks: str
+    special: tuple[tuple[int, str], ...]
+
+    @classmethod
+    def of(cls, tokenizer: str = TOKENIZER, ranks: str = RANKS) -> Vocabulary:
+        added = _tokenizer(tokenizer).get_added_tokens_decoder()
+        return cls(tokenizer, ranks, tuple((i, t.content) for i, t in sorted(added.items())))
+
+
+def _found(path: str) -> str:
+    import public_tokenizers
+
+    return path if "/" in path else public_tokenizers.path(path)
+
+
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(_found(path))
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
 class Codec:
     """Encoder and decoder of one vocabulary.
 
     Texts of PLAIN characters without special tokens go through the ranks' encoder, which is faster; all others through
-    the tokenizer itself, as the two need not agree on what newer characters are.
+    the tokenizer itself, as the two need not agree on what newer characters are. Each is loaded when first needed.
     """
 
-    def __init__(self, tokenizer: str = TOKENIZER, ranks: str = RANKS) -> None:
-        import public_tokenizers
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        find = lambda p: p if "/" in p else public_tokenizers.path(p)
-        self.tokenizer = Tokenizer.from_file(find(tokenizer))
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        with open(find(ranks), "rb") as f:
-            merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.special = tuple(special.values())
-        self.bytes_of = [b""] * (1 + max(*merges.values(), *special))
-        for token, i in [*merges.items(), *((s.encode(), i) for i, s in special.items())]:
+    def __init__(self, vocabulary: Vocabulary | None = None) -> None:
+        self.vocabulary = vocabulary or Vocabulary.of()
+        self.special = tuple(t for _, t in self.vocabulary.special)
+        with open(_found(self.vocabulary.ranks), "rb") as f:
+            ranked = [(base64.b64decode(token), int(rank)) for token, rank in map(bytes.split, f)]
+        ranked += [(t.encode(), i) for i, t in self.vocabulary.special]
+        self.bytes_of = [b""] * (1 + max(i for _, i in ranked))
+        for token, i in ranked:
             self.bytes_of[i] = token
-        self.opens = np.array([t[:1] in (b" ", b"\n") for t in self.bytes_of])
-        self.solid = np.array([0x20 < t[-1] < 0x7F or t[-1] >= 0x80 and t[-1] not in BLANK_ENDS if t else False for t in self.bytes_of])
         self.dtype = np.dtype("<u2" if len(self.bytes_of) <= 1 << 16 else "<u4")
         self._windows: dict[bytes, np.ndarray] = {}
 
+    @cached_property
+    def tokenizer(self):
+        return _tokenizer(self.vocabulary.tokenizer)
+
+    @cached_property
+    def plain(self):
+        import public_tokenizers
+        import tiktoken
+
+        special = {i for i, _ in self.vocabulary.special}
+        merges = {token: i for i, token in enumerate(self.bytes_of) if token and i not in special}
+        return tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+
+    @cached_property
+    def opens(self) -> np.ndarray:
+        """Whether each token starts with white space."""
+        return np.array([t[:1] in (b" ", b"\n") for t in self.bytes_of])
+
+    @cached_property
+    def solid(self) -> np.ndarray:
+        """Whether each token surely ends with something else than white space."""
+        return np.array([bool(t) and (0x20 < t[-1] < 0x7F or t[-1] >= 0x80 and t[-1] not in BLANK_ENDS) for t in self.bytes_of])
+
     def encode(self, raw: bytes) -> np.ndarray:
         """Token ids of a text in UTF-8."""
         text = raw.decode("utf-8")
@@ -197,14 +241,14 @@ class Codec:
         return np.concatenate([*out, ids[done:]])
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[Vocabulary, Codec] = {}
 
 
-def codec(tokenizer: str, ranks: str) -> Codec:
+def codec(vocabulary: Vocabulary) -> Codec:
     """The process's own codec."""
-    if (tokenizer, ranks) not in _CODECS:
-        _CODECS[tokenizer, ranks] = Codec(tokenizer, ranks)
-    return _CODECS[tokenizer, ranks]
+    if vocabulary not in _CODECS:
+        _CODECS[vocabulary] = Codec(vocabulary)
+    return _CODECS[vocabulary]
 
 
 def repeated(docs: DataFrame, text_col: str) -> DataFrame:
@@ -236,48 +280,35 @@ def bit_map(names: DataFrame) -> tuple[int, np.ndarray]:
     return size, out
 
 
-PARTS = T.ArrayType(T.StructType().add("h1", "long").add("h2", "long").add("ids", "binary").add("chunk", "binary"))
+class Repeats:
+    """The bit map of repeated chunks, for tasks."""
 
+    def __init__(self, spark: SparkSession, names: DataFrame) -> None:
+        self.size, words = bit_map(names)
+        self.words = spark.sparkContext.broadcast(words)  # 2 ^ MAX_BITS bits at most
 
-def _parts_udf(size: int, words: np.ndarray, spark: SparkSession, tokenizer: str, ranks: str):
-    shared = spark.sparkContext.broadcast(words)  # 2 ^ MAX_BITS bits at most
+    def __contains__(self, name: tuple[int, int]) -> bool:
+        bits = [(h % (1 << 64)) >> (64 - self.size) for h in name]
+        return all(int(self.words.value[b >> 6]) >> (b & 63) & 1 for b in bits)
 
-    @F.pandas_udf(PARTS)
-    def parts(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        """Of each text: token ids of what lies between repeated chunks, and the names of these, with their bytes once a task."""
-        own, words = codec(tokenizer, ranks), shared.value
-        sent: set[tuple[int, int]] = set()
+    def split(self, text: str | None) -> list[tuple[tuple[int, int] | None, bytes]]:
+        """(name, bytes) of each repeated chunk, and (None, bytes) of what lies between."""
+        out: list[tuple[tuple[int, int] | None, bytes]] = []
+        between: list[bytes] = []
+        for chunk in chunks((text or "").encode()):
+            name = name_of(chunk)
+            if name in self:
+                if between:
+                    out.append((None, b"".join(between)))
+                    between = []
+                out.append((name, chunk))
+            else:
+                between.append(chunk)
+        return [*out, (None, b"".join(between))] if between else out
 
-        def known(name: tuple[int, int]) -> bool:
-            bits = [(h % (1 << 64)) >> (64 - size) for h in name]
-            return all(int(words[b >> 6]) >> (b & 63) & 1 for b in bits)
 
-        for batch in texts:
-            out = []
-            for text in batch:
-                row: list[dict] = []
-                between: list[bytes] = []
-
-                def close(row: list[dict] = row, between: list[bytes] = between) -> None:
-                    if between:
-                        row.append({"h1": None, "h2": None, "ids": own.encode(b"".join(between)).tobytes(), "chunk": None})
-                        between.clear()
-
-                for chunk in chunks((text or "").encode()):
-                    name = name_of(chunk)
-                    if not known(name):
-                        between.append(chunk)
-                        continue
-                    close()
-                    row.append({"h1": name[0], "h2": name[1], "ids": None, "chunk": None if name in sent else chunk})
-                    if len(sent) > HELD:
-                        sent.clear()
-                    sent.add(name)
-                close()
-                out.append(row)
-            yield pd.Series(out, dtype=object)
-
-    return parts.asNondeterministic()
+IDS = T.ArrayType(T.IntegerType())
+PARTS = T.ArrayType(T.StructType().add("h1", "long").add("h2", "long").add("ids", "binary"))
 
 
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", tokenizer: str = TOKENIZER, ranks: str = RANKS) -> DataFrame:
@@ -287,59 +318,76 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", tokeni
     stay, an empty table gives an empty one. Columns of the caller keep their names and values, whatever these are; one
     named ids_col is replaced. Special tokens that a text spells out are taken as such, as the tokenizer does by default.
     """
-    spark = docs.sparkSession
-    size, words = bit_map(stored(repeated(docs, text_col)))
-    kept = F.struct(*[F.col(c) for c in docs.columns if c not in (text_col, ids_col)] or [F.lit(None).alias("nothing")])
-    parts = _parts_udf(size, words, spark, tokenizer, ranks)(F.col(text_col))
-    rows = stored(docs.select(kept.alias("own"), parts.alias("parts"), F.monotonically_increasing_id().alias("row")))
-    whole = ~F.exists("parts", lambda p: p["h1"].isNotNull())
-    pieces = rows.where(~whole).select("row", F.posexplode("parts").alias("seq", "p")).select("row", "seq", "p.*")
+    spark, vocabulary = docs.sparkSession, Vocabulary.of(tokenizer, ranks)
+    repeats = Repeats(spark, stored(repeated(docs, text_col)))
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The repeated chunks, once a task."""
+        sent: set[tuple[int, int]] = set()
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                for name, chunk in repeats.split(text):
+                    if name is not None and name not in sent:
+                        sent.add(name)
+                        out.append((*name, chunk))
+                if len(sent) > HELD:
+                    sent.clear()
+            yield pd.DataFrame(out, columns=["h1", "h2", "chunk"])
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(tokenizer, ranks)
+        own = codec(vocabulary)
         for batch in batches:
             yield pd.DataFrame({"n1": batch["h1"], "n2": batch["h2"], "tokens": [own.encode(bytes(c)).tobytes() for c in batch["chunk"]]})
 
-    texts = pieces.where("chunk is not null").groupBy("h1", "h2").agg(F.first("chunk").alias("chunk"))
-    tokens = stored(texts.mapInPandas(encoded, "n1 bigint, n2 bigint, tokens binary"))
-    looked_up = pieces.where("h1 is not null").join(tokens.hint("merge"), (F.col("h1") == F.col("n1")) & (F.col("h2") == F.col("n2"))).select("row", "seq", F.col("tokens").alias("ids"))
-    every = looked_up.unionByName(pieces.where("h1 is null").select("row", "seq", "ids"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    @F.pandas_udf(IDS)
+    def alone(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        """Token ids of texts without repeated chunks; null for the others."""
+        own = codec(vocabulary)
+        for batch in texts:
+            split = map(repeats.split, batch)
+            yield pd.Series([None if any(n is not None for n, _ in parts) else own.encode(parts[0][1]).astype(np.int32) if parts else np.zeros(0, np.int32) for parts in split], dtype=object)
 
-    def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(tokenizer, ranks)
-        at, parts = None, []
-        for batch in batches:
+    @F.pandas_udf(PARTS)
+    def references(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        """Names of repeated chunks and token ids of what lies between; null for texts without repeated chunks."""
+        own = codec(vocabulary)
+        for batch in texts:
             out = []
-            for row, ids in zip(batch["row"].tolist(), batch["ids"], strict=True):
-                if row != at and at is not None:
-                    out.append((at, own.joined(parts).tobytes()))
-                    parts = []
-                at = row
-                parts.append(np.frombuffer(ids, own.dtype))
-            yield pd.DataFrame(out, columns=["_row", "all"])
-        if at is not None:
-            yield pd.DataFrame([(at, own.joined(parts).tobytes())], columns=["_row", "all"])
-
-    joined = every.repartition(n, "row").sortWithinPartitions("row", "seq").select("row", "ids").mapInPandas(put_together, "_row bigint, all binary")
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def unpacked(packed: pd.Series) -> pd.Series:
-        dtype = codec(tokenizer, ranks).dtype
-        return pd.Series([np.frombuffer(x, dtype).astype(np.int32) for x in packed], dtype=object)
-
-    done = rows.where(whole).select("own", F.coalesce(F.get("parts", F.lit(0))["ids"], F.lit(b"")).alias("all"))
-    rest = rows.where(~whole).select("own", "row").join(joined.hint("merge"), F.col("row") == F.col("_row")).select("own", "all")
-    own = [F.col("own")[c].alias(c) for c in docs.columns if c not in (text_col, ids_col)]
-    return done.unionByName(rest).select(*own, unpacked("all").alias(ids_col))
+            for parts in map(repeats.split, batch):
+                some = any(n is not None for n, _ in parts)
+                out.append([(*n, None) if n else (None, None, own.encode(raw).tobytes()) for n, raw in parts] if some else None)
+            yield pd.Series([x and [dict(zip(("h1", "h2", "ids"), p, strict=True)) for p in x] for x in out], dtype=object)
+
+    @F.pandas_udf(IDS)
+    def joined(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = codec(vocabulary)
+        for batch in parts:
+            yield pd.Series([own.joined([np.frombuffer(p, own.dtype) for p in row]).astype(np.int32) for row in batch], dtype=object)
+
+    texts = docs.select(F.col(text_col).alias("text")).mapInPandas(gather, "h1 bigint, h2 bigint, chunk binary").groupBy("h1", "h2").agg(F.first("chunk").alias("chunk"))
+    tokens = stored(texts.mapInPandas(encoded, "n1 bigint, n2 bigint, tokens binary"))
+    names = [c for c in docs.columns if c not in (text_col, ids_col)]
+    rows = docs.select(F.struct(*[F.col(c) for c in names] or [F.lit(None).alias("nothing")]).alias("own"), F.col(text_col).alias("text"))
+    done = rows.select("own", alone.asNondeterministic()("text").alias("ids")).where("ids is not null")  # or else the filter would work it out again
+    open_rows = rows.select("own", references.asNondeterministic()("text").alias("parts")).where("parts is not null")
+    open_rows = stored(open_rows.withColumn("row", F.monotonically_increasing_id()))
+    pieces = open_rows.select("row", "own", F.posexplode("parts").alias("seq", "p")).select("row", F.when(F.col("seq") == 0, F.col("own")).alias("own"), "seq", "p.*")
+    met = pieces.where("h1 is not null").join(tokens.hint("merge"), (F.col("h1") == F.col("n1")) & (F.col("h2") == F.col("n2"))).select("row", "own", "seq", F.col("tokens").alias("ids"))
+    every = met.unionByName(pieces.where("h1 is null").select("row", "own", "seq", "ids"))
+    whole = every.groupBy("row").agg(F.first("own", ignorenulls=True).alias("own"), F.sort_array(F.collect_list(F.struct("seq", "ids"))).alias("parts"))  # of one text
+    rest = whole.select("own", joined(F.col("parts.ids")).alias("ids"))
+    return done.unionByName(rest).select(*[F.col("own")[c].alias(c) for c in names], F.col("ids").alias(ids_col))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "text", tokenizer: str = TOKENIZER, ranks: str = RANKS) -> DataFrame:
     """df with text_col, the text of the token ids in ids_col, special tokens included; null ids give the empty text."""
 
+    vocabulary = Vocabulary.of(tokenizer, ranks)
+
     @F.pandas_udf(T.StringType())
     def decoded(ids: pd.Series) -> pd.Series:
-        own = codec(tokenizer, ranks)
+        own = codec(vocabulary)
         return pd.Series([own.decode(np.asarray(x, np.int64)) if x is not None else "" for x in ids], dtype=object)
 
     return df.withColumn(text_col, decoded(F.col(ids_col)))
