@@ -46,6 +46,8 @@ HELD = 200_000
 WINDOWS = 50_000
 #: Texts over this many characters are encoded in pieces that end at firm places.
 PIECE = 100_000
+#: Rows whose results a task hands on at once.
+ROWS = 200
 #: Vocabulary files: the tokenizer, and the same vocabulary as byte strings with their ranks.
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Characters that all regular expression engines class alike, whatever their Unicode version.
@@ -307,6 +309,13 @@ class Repeats:
         return [*out, (None, b"".join(between))] if between else out
 
 
+def _slices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The rows in small batches, so that results of few rows are held at once."""
+    for batch in batches:
+        for i in range(0, len(batch), ROWS):
+            yield batch.iloc[i : i + ROWS]
+
+
 IDS = T.ArrayType(T.IntegerType())
 PARTS = T.ArrayType(T.StructType().add("h1", "long").add("h2", "long").add("ids", "binary"))
 
@@ -344,7 +353,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", tokeni
     def alone(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         """Token ids of texts without repeated chunks; null for the others."""
         own = codec(vocabulary)
-        for batch in texts:
+        for batch in _slices(texts):
             split = map(repeats.split, batch)
             yield pd.Series([None if any(n is not None for n, _ in parts) else own.encode(parts[0][1]).astype(np.int32) if parts else np.zeros(0, np.int32) for parts in split], dtype=object)
 
@@ -352,7 +361,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", tokeni
     def references(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         """Names of repeated chunks and token ids of what lies between; null for texts without repeated chunks."""
         own = codec(vocabulary)
-        for batch in texts:
+        for batch in _slices(texts):
             out = []
             for parts in map(repeats.split, batch):
                 some = any(n is not None for n, _ in parts)
@@ -362,7 +371,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", tokeni
     @F.pandas_udf(IDS)
     def joined(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(vocabulary)
-        for batch in parts:
+        for batch in _slices(parts):
             yield pd.Series([own.joined([np.frombuffer(p, own.dtype) for p in row]).astype(np.int32) for row in batch], dtype=object)
 
     texts = docs.select(F.col(text_col).alias("text")).mapInPandas(gather, "h1 bigint, h2 bigint, chunk binary").groupBy("h1", "h2").agg(F.first("chunk").alias("chunk"))
@@ -386,9 +395,10 @@ def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "text", tokenize
     vocabulary = Vocabulary.of(tokenizer, ranks)
 
     @F.pandas_udf(T.StringType())
-    def decoded(ids: pd.Series) -> pd.Series:
+    def decoded(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(vocabulary)
-        return pd.Series([own.decode(np.asarray(x, np.int64)) if x is not None else "" for x in ids], dtype=object)
+        for batch in _slices(ids):
+            yield pd.Series([own.decode(x) if x is not None else "" for x in batch], dtype=object)
 
     return df.withColumn(text_col, decoded(F.col(ids_col)))
 
