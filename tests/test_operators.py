@@ -297,6 +297,16 @@ def test_records_round_trip_and_rules(spark, tmp_path):
     assert R.validate(T.read_lines(spark, path), limit=1).where("line > 1").count() == 0
 
 
+def test_records_of_any_address(spark):
+    odd = ['[fe80::1]', 'a"b', "back\\slash", "\x01\n\t", "é" * 20_000, "", None, "]}],["]
+    rows = [(i, a, b, 1, None, 6, 0.0, 1.0, 5, "x") for i, (a, b) in enumerate(zip(odd, reversed(odd), strict=True))]
+    df = spark.createDataFrame(rows, "flow_id long, src_ip string, dst_ip string, src_port int, dst_port int, proto int, win_start_ts double, win_end_ts double, pkt_cnt_fwd int, label string")
+    df = df.withColumn("proto_name", F.lit("TCP"))
+    for make in (R.struct_json, R.prompt_json):
+        for text, row in zip(df.select(make(df)).collect(), rows, strict=True):
+            assert json.loads(text[0])["tuple5"] == [row[1] or "", row[2] or "", 1, 0, 6]
+
+
 def test_sources(spark, tmp_path):
     head = "frame.number,frame.time_epoch,ip.src,ip.dst,ip.proto,tcp.srcport,udp.srcport,tcp.dstport,frame.len,tcp.flags.syn,data.data,tcp.payload,frame.protocols,dns.a,dns.aaaa"
     with open(tmp_path / "f.csv", "w") as f:

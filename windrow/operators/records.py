@@ -41,17 +41,24 @@ def features(df: DataFrame) -> Column:
     return F.struct(*fields)
 
 
-def _mixed_tuple5() -> Column:
-    """JSON text of [src_ip, dst_ip, src_port, dst_port, proto]: texts and numbers in one array."""
-    text = lambda c: F.substring_index(F.substring(F.to_json(F.array(F.coalesce(c, F.lit("")))), 2, 10_000), "]", 1)
-    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
-    return F.concat(F.lit("["), F.concat_ws(",", text("src_ip"), text("dst_ip"), number("src_port"), number("dst_port"), number("proto")), F.lit("]"))
+def _tuple5() -> Column:
+    """[src_ip, dst_ip, src_port, dst_port, proto]: texts and numbers in one array, so each is a variant."""
+    empty = {"src_ip": F.lit(""), "dst_ip": F.lit("")}
+    return F.array(*[F.coalesce(c, empty.get(c, F.lit(0))).cast("variant") for c in ("src_ip", "dst_ip", "src_port", "dst_port", "proto")]).alias("tuple5")
+
+
+def _record(*more: Column) -> Column:
+    """A record as JSON text: flow_id, tuple5, then what is given. Any text makes valid JSON, as none is put together by hand."""
+    return F.to_json(F.struct(F.col("flow_id"), _tuple5(), *more))
+
+
+def _struct_part(df: DataFrame) -> tuple[Column, ...]:
+    return F.array("win_start_ts", "win_end_ts").alias("window"), features(df).alias("features"), F.col("label")
 
 
 def struct_json(df: DataFrame) -> Column:
     """The record of a window as JSON text; flow_id and label must be there."""
-    rest = F.to_json(F.struct(F.array("win_start_ts", "win_end_ts").alias("window"), features(df).alias("features"), "label"))
-    return F.concat(F.lit('{"flow_id":'), F.col("flow_id").cast("string"), F.lit(',"tuple5":'), _mixed_tuple5(), F.lit(","), F.substring(rest, 2, 2**31 - 1))
+    return _record(*_struct_part(df))
 
 
 def enriched_part(summary: Column | None = None) -> Column:
@@ -73,15 +80,13 @@ def enriched_part(summary: Column | None = None) -> Column:
 
 def enriched_json(df: DataFrame) -> Column:
     """The record with its enriched part."""
-    base = struct_json(df)
-    return F.concat(F.substring(base, F.lit(1), F.length(base) - 1), F.lit(',"enriched":'), F.to_json(enriched_part()), F.lit("}"))
+    return _record(*_struct_part(df), enriched_part().alias("enriched"))
 
 
 def prompt_json(df: DataFrame, summary: Column | None = None) -> Column:
     """The record for a prompt: no label, and the window's length at the end in place of its times; enriched if a summary is given."""
     length = (F.col("win_end_ts") - F.col("win_start_ts")).alias("windows_length")
-    rest = F.to_json(F.struct(features(df).alias("features"), *([] if summary is None else [enriched_part(summary).alias("enriched")]), length))
-    return F.concat(F.lit('{"flow_id":'), F.col("flow_id").cast("string"), F.lit(',"tuple5":'), _mixed_tuple5(), F.lit(","), F.substring(rest, 2, 2**31 - 1))
+    return _record(features(df).alias("features"), *([] if summary is None else [enriched_part(summary).alias("enriched")]), length)
 
 
 #: The keys of records and their kinds.

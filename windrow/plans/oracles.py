@@ -239,6 +239,9 @@ SELECT split, CAST(sum(n) AS BIGINT) AS examples, '{{' || string_agg('"' || labe
     "split_attach": f"{SPLIT} SELECT split, count(*) AS n, min('n=' || packet_count) AS first_note FROM split GROUP BY split",
     "sequential_ids": f"{MEMBERS}, {WINS} SELECT capture_id, tuple5, win_start_us, row_number() OVER (ORDER BY win_start_us, tuple5, capture_id) AS flow_id FROM wins",
     "struct_jsonl": f"{NUMBERED} SELECT flow_id, tuple5, win_start_us // 1000000 AS start, packet_count, 7 AS size_bins, label FROM num",
+    "awkward_records": f"""{MEMBERS}, {WINS}, o AS (SELECT *, repeat('x', CAST(CASE WHEN packet_count % 7 = 0 THEN 20000 ELSE packet_count END AS INT)) AS tail FROM wins)
+SELECT win, '"' || capture_id AS label, md5(concat('[fe80::', src_ip, ']"\\,é' || chr(10), tail)) AS src_md5, md5(concat('[fe80::', dst_ip, ']"\\,é' || chr(10), tail)) AS dst_md5, length(concat('[fe80::', src_ip, ']"\\,é' || chr(10), tail)) AS length,
+src_port, dst_port, proto, 5 AS parts, win_start_us // 1000000 AS start, win_end_us // 1000000 AS "end", byte_count FROM o""",
     "validate_records": f"""{NUMBERED} SELECT path, message, count(*) AS n FROM (SELECT flow_id % 10 AS i FROM num) JOIN (VALUES (0, 'flow_id', 'an integer of at least 1'), (1, 'label', 'required'), (2, '', 'not a JSON object'), (3, '', 'not allowed: more'),
 (4, 'tuple5', 'two texts and three integers'), (5, 'features.pkt_cnt_fwd', 'a required number')) v(i, path, message) USING (i) GROUP BY ALL""",
     "qc_splits": f"{SPLIT} SELECT split, count(*) AS windows, count(DISTINCT tuple5) AS tuple5s, count(DISTINCT '') AS label_captures, count(DISTINCT capture_id) AS captures, round(avg(label_is_unknown::INT), 9) AS unknown_ratio FROM split GROUP BY split",

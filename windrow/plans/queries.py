@@ -20,7 +20,7 @@ from windrow.operators import splits as X
 from windrow.operators import windows as W
 from windrow.operators.responses import parse_responses
 from windrow.plans import fixtures as V
-from windrow.schemas import ENRICHED, EVENT, KW, PACKET
+from windrow.schemas import ENRICHED, EVENT, KW, PACKET, RECORD
 from windrow.sources import tables as T
 from windrow.storage import shared_folder
 
@@ -224,6 +224,20 @@ def struct_jsonl(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def awkward_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose addresses hold brackets, quotes, backslashes and up to 20,000 characters, read again."""
+    odd = lambda c: F.concat(F.lit("[fe80::"), F.col(c), F.lit(']"\\,é\n'), F.repeat(F.lit("x"), F.when(F.col("packet_count") % 7 == 0, 20_000).otherwise(F.col("packet_count")).cast("int")))
+    rows = V.windows(spark, d).withColumns({"flow_id": F.col("win"), "label": F.concat(F.lit('"'), F.col("capture_id")), "src_ip": odd("src_ip"), "dst_ip": odd("dst_ip")})
+    back = rows.select(R.struct_json(rows).alias("value")).select(F.from_json("value", RECORD).alias("r"))
+    part = lambda i: F.element_at("r.tuple5", i)
+    return back.select(
+        F.col("r.flow_id").alias("win"), F.col("r.label").alias("label"), F.md5(part(1)).alias("src_md5"), F.md5(part(2)).alias("dst_md5"), F.length(part(1)).alias("length"),
+        *[part(i).cast("int").alias(n) for i, n in ((3, "src_port"), (4, "dst_port"), (5, "proto"))], F.size("r.tuple5").alias("parts"),
+        *[F.element_at("r.window", i).cast("bigint").alias(n) for i, n in ((1, "start"), (2, "end"))], F.col("r.features")["byte_count"].cast("bigint").alias("byte_count"),
+    )
+
+
 @query
 def validate_records(spark: SparkSession, d: str) -> DataFrame:
     """Faults planted by flow_id, and the rules that they break."""
