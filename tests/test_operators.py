@@ -83,6 +83,24 @@ def test_windows_against_a_pointer_walk(spark, window, stride):
         assert abs(total - 1) < 1e-9 and abs(r.pkt_size_hist_0 - small / r.pkt_size_hist_sum) < 1e-9
 
 
+def test_context_sums_of_one_long_flow(spark, monkeypatch):
+    """Blocks of rows, with what sums reach back to: sums over rows, not times, across gaps of any length."""
+    monkeypatch.setattr(W, "BLOCK_ROWS", 16)
+    rng = random.Random(4)
+    params = WindowParams(context_sec=(2.0, 5.0))
+    wins = sorted(rng.sample(range(3_000), 700))
+    rows = [("a", "x", 1, "y", 2, 6, w, rng.randint(1, 99), 7, w) for w in wins] + [("b", "x", 1, "y", 2, 6, 5, 3, 1, 1)]
+    df = spark.createDataFrame(rows, "capture_id string, src_ip string, src_port int, dst_ip string, dst_port int, proto int, win long, packet_count long, byte_count long, payload_total_len long")
+    got = {(r.capture_id, r.win): r for r in W.with_context(df, params).collect()}
+    assert len(got) == len(rows)
+    for i, r in enumerate(rows[:-1]):
+        mine = got["a", r[6]]
+        for n, name in zip(params.context_rows, ("10s", "60s"), strict=True):
+            assert mine[f"packet_count_{name}"] == sum(x[7] for x in rows[max(0, i - n + 1) : i + 1])
+            assert mine[f"payload_total_len_{name}"] == sum(x[9] for x in rows[max(0, i - n + 1) : i + 1])
+    assert got["b", 5].byte_count_60s == 1
+
+
 def test_clean_packets_and_endpoint_order(spark):
     rows = [("a", 1, 5, 6, "10.0.0.1", "10.0.0.1", 443, 80, None, None, 1, 0, 0, 0, None, None), ("a", None, 5, 6, "x", "y", 1, 2, 3, 0, 0, 0, 0, 0, 0, ""), ("a", 3, 5, None, "x", "y", 1, 2, 3, 0, 0, 0, 0, 0, 0, "")]
     got = canonicalize(clean_packets(spark.createDataFrame(rows, SCHEMA))).collect()
@@ -98,8 +116,12 @@ def test_payload_merge(spark):
         merge_payload(packets, rich.drop("frame_number"))
 
 
+def placed(spark, rows):
+    return W.placed(canonicalize(merge_payload(clean_packets(spark.createDataFrame(rows, SCHEMA)))), WindowParams())
+
+
 def members(spark, rows):
-    return W.memberships(canonicalize(merge_payload(clean_packets(spark.createDataFrame(rows, SCHEMA)))), WindowParams())
+    return W.in_windows(placed(spark, rows))
 
 
 @pytest.mark.parametrize("most", [1, 2, 3, 5])
@@ -124,15 +146,16 @@ def test_key_events_by_definition(spark, most):
         assert [f for _, f in sorted(got[key])] == [p[1] for p in chosen]
 
 
-def test_payload_numbers_and_ends(spark):
+def test_payload_numbers_and_ends(spark, monkeypatch):
     rows = packet_rows(8, 60, 5_000_000)
     params = WindowParams(head_bytes=4, tail_bytes=5)
+    monkeypatch.setattr(E, "COUNTED", 7)  # windows come in many parts
     every = members(spark, rows)
     windows = {}
     for r in every.orderBy("ts_us", "frame_number").collect():
         windows.setdefault((*[r[k] for k in K], r.win), []).append(bytes.fromhex(r.payload_hex))
-    stats = {(*[r[k] for k in K], r.win): r for r in E.payload_stats(every).collect()}
-    ends = {(*[r[k] for k in K], r.win): r for r in E.payload_ends(every, params).collect()}
+    stats = {(*[r[k] for k in K], r.win): r for r in E.payload_stats(placed(spark, rows), params).collect()}
+    ends = {(*[r[k] for k in K], r.win): r for r in E.payload_ends(placed(spark, rows), params).collect()}
     assert stats.keys() == ends.keys() == windows.keys()
     for key, parts in windows.items():
         data = b"".join(parts)

@@ -2,82 +2,145 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from windrow.config import WindowParams
 from windrow.functions.columns import display_text, human_bytes, proto_name
-from windrow.operators.windows import flow_windows, in_order, memberships, structured, with_context
-from windrow.schemas import KW
+from windrow.operators.windows import flow_windows, in_order, in_windows, placed, structured, with_context
+from windrow.schemas import KW, K
 from windrow.storage import stored
 
 #: Parts of a window that are sorted by themselves first.
 PARTS = 32
-BYTE_COUNTS = T.ArrayType(T.StructType().add("byte", "integer").add("n", "long"))
+#: Packets that a task counts at once.
+COUNTED = 2048
+
+
+class Ends:
+    """The first and the last payload bytes of a window, as the packets that hold them: (time, frame, bytes), in order."""
+
+    @staticmethod
+    def cut(packets: list[tuple[int, int, bytes]], most: int, last: bool) -> list[tuple[int, int, bytes]]:
+        """As many packets of a list in order as hold `most` bytes, from its start or its end; no packet with more bytes than count."""
+        out, n = [], 0
+        for t, frame, data in reversed(packets) if last else packets:
+            if n >= most:
+                break
+            data = data[-(most - n) :] if last else data[: most - n]
+            out.append((t, frame, data))
+            n += len(data)
+        return out[::-1] if last else out
+
+    @staticmethod
+    def packed(packets: list[tuple[int, int, bytes]]) -> bytes:
+        return b"".join(struct.pack("<qqi", t, frame, len(data)) + data for t, frame, data in packets)
+
+    @staticmethod
+    def unpacked(raw: bytes) -> list[tuple[int, int, bytes]]:
+        out, at = [], 0
+        while at < len(raw):
+            t, frame, n = struct.unpack_from("<qqi", raw, at)
+            out.append((t, frame, raw[at + 20 : at + 20 + n]))
+            at += 20 + n
+        return out
+
+
+def _counted(part: pd.DataFrame, params: WindowParams) -> pd.DataFrame:
+    """A row for each window of some packets: total bytes, counts of the byte values seen, and both ends."""
+    flow = part.groupby(list(K), sort=False, dropna=False).ngroup().to_numpy()
+    first, last = part["first_win"].to_numpy(), part["last_win"].to_numpy()
+    ts, frame = part["ts_us"].to_numpy(), part["frame_number"].to_numpy()
+    payloads = [bytes.fromhex(h[: len(h) // 2 * 2]) if h else b"" for h in part["payload_hex"]]
+    sizes = np.fromiter(map(len, payloads), np.int64, len(payloads))
+    slots = np.repeat(np.arange(len(payloads)) * 256, sizes) + np.frombuffer(b"".join(payloads), np.uint8)
+    counts = np.bincount(slots, minlength=256 * len(payloads)).reshape(-1, 256)  # 256 slots for each packet, once
+    times = last - first + 1
+    packet = np.repeat(np.arange(len(part)), times)
+    win = first[packet] + np.arange(len(packet)) - np.repeat(np.cumsum(times) - times, times)
+    order = np.lexsort((frame[packet], ts[packet], win, flow[packet]))
+    packet, win = packet[order], win[order]
+    starts = np.flatnonzero(np.r_[True, (np.diff(win) != 0) | (np.diff(flow[packet]) != 0)])
+    total = np.add.reduceat(counts[packet], starts, axis=0)
+    rows = []
+    for a, b, n in zip(starts.tolist(), [*starts[1:].tolist(), len(packet)], total, strict=True):
+        own = [(int(ts[i]), int(frame[i]), payloads[i]) for i in packet[a:b] if payloads[i]]
+        seen = np.flatnonzero(n)
+        rows.append((int(n.sum()), seen.astype(np.uint8).tobytes(), n[seen].tobytes(), Ends.packed(Ends.cut(own, params.head_bytes, False)), Ends.packed(Ends.cut(own, params.tail_bytes, True))))
+    out = part[list(K)].iloc[packet[starts]].reset_index(drop=True)
+    out["win"] = win[starts]
+    out[["total", "seen", "times", "head", "tail"]] = pd.DataFrame(rows, dtype=object)
+    return out
+
+
+#: Byte values that count as text.
+TEXT_BYTES = np.array([32 <= b <= 126 or 9 <= b <= 13 for b in range(256)])
 
 
-@F.pandas_udf(BYTE_COUNTS)
-def byte_counts(hexes: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """How often each byte value occurs in a payload given in hex: 256 entries at most, however long it is."""
-    for batch in hexes:
-        out = []
-        for h in batch:
-            counts = np.bincount(np.frombuffer(bytes.fromhex(h or ""), np.uint8), minlength=256)
-            seen = np.flatnonzero(counts)
-            out.append([{"byte": int(b), "n": int(counts[b])} for b in seen])
-        yield pd.Series(out)
+def _described(counts: np.ndarray, head: list, tail: list, params: WindowParams) -> tuple:
+    total = int(counts.sum())
+    n = counts[counts > 0].astype(np.float64)
+    entropy = max(0.0, float(np.log2(total) - (n * np.log2(n)).sum() / total)) if total else 0.0
+    text = float(counts[TEXT_BYTES].sum() / total) if total else 0.0
+    ends = [b"".join(d for _, _, d in packets).hex() for packets in (head, tail)]
+    return entropy, text, *ends, total > params.head_bytes + params.tail_bytes
 
 
-def payload_stats(members: DataFrame) -> DataFrame:
-    """(window key, payload_entropy, payload_ascii_ratio): bits per byte, and share of 9-13 and 32-126.
+def payload_summary(rows: DataFrame, params: WindowParams) -> DataFrame:
+    """(window key, payload_entropy, payload_ascii_ratio, rich_payload_{head,tail}_{hex,ascii}, rich_payload_truncated).
 
-    Byte counts add up, so no payload is put together: packets are counted once, windows sum the counts.
+    rows are placed packets. Each payload is decoded once; a packet's byte counts are added to each of its windows, and
+    the first and last bytes kept, before anything is shuffled. The parts of a window are then merged as they come in:
+    a task holds one window's 256 counts and its ends.
     """
-    counted = members.select(*KW, F.explode_outer(byte_counts(F.col("payload_hex"))).alias("b")).select(*KW, "b.byte", "b.n")
-    per = counted.groupBy(*KW, "byte").agg(F.sum("n").alias("n"))
-    text = F.col("byte").between(32, 126) | F.col("byte").between(9, 13)
-    total = F.sum("n")
-    got = per.groupBy(*KW).agg(
-        F.coalesce(F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total, F.lit(0.0)).alias("payload_entropy"),
-        F.coalesce(F.sum(F.when(text, F.col("n")).otherwise(0)) / total, F.lit(0.0)).alias("payload_ascii_ratio"),
+    types = dict(rows.dtypes)
+    key = ", ".join(f"{c} {types[c]}" for c in K) + ", win bigint"
+    wanted = rows.select(*K, "first_win", "last_win", "ts_us", "frame_number", "payload_hex")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), COUNTED):
+                yield _counted(batch.iloc[i : i + COUNTED], params)
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, counts, head, tail = None, None, [], []
+        done = lambda: (*at, *_described(counts, head, tail, params))
+        names = [*KW, "payload_entropy", "payload_ascii_ratio", "rich_payload_head_hex", "rich_payload_tail_hex", "rich_payload_truncated"]
+        for batch in batches:
+            out = []
+            for *own, _, seen, times, first, last in batch.itertuples(index=False, name=None):
+                if own != at:
+                    if at is not None:
+                        out.append(done())
+                    at, counts, head, tail = own, np.zeros(256, np.int64), [], []
+                counts[np.frombuffer(seen, np.uint8)] += np.frombuffer(times, np.int64)
+                head = Ends.cut(sorted(head + Ends.unpacked(first)), params.head_bytes, False)
+                tail = Ends.cut(sorted(tail + Ends.unpacked(last)), params.tail_bytes, True)
+            yield pd.DataFrame(out, columns=names)
+        if at is not None:
+            yield pd.DataFrame([done()], columns=names)
+
+    parts = wanted.mapInPandas(count, f"{key}, total bigint, seen binary, times binary, head binary, tail binary")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    merged = parts.repartition(n, *KW).sortWithinPartitions(*KW).mapInPandas(
+        merge, f"{key}, payload_entropy double, payload_ascii_ratio double, rich_payload_head_hex string, rich_payload_tail_hex string, rich_payload_truncated boolean"
     )
-    return got.withColumn("payload_entropy", F.greatest("payload_entropy", F.lit(0.0)))
+    return merged.withColumns({f"rich_payload_{e}_ascii": display_text(F.col(f"rich_payload_{e}_hex")) for e in ("head", "tail")})
 
 
-def payload_ends(members: DataFrame, params: WindowParams) -> DataFrame:
-    """(window key, rich_payload_{head,tail}_{hex,ascii}, rich_payload_truncated).
+def payload_stats(rows: DataFrame, params: WindowParams) -> DataFrame:
+    """(window key, payload_entropy, payload_ascii_ratio): bits per byte, and share of 9-13 and 32-126."""
+    return payload_summary(rows, params).select(*KW, "payload_entropy", "payload_ascii_ratio")
 
-    Running lengths choose the packets that reach into the first or last bytes; only these are collected and joined.
-    Lengths run over PARTS parts of a window first, a row each, so that only packets of one part are sorted together,
-    and of the parts only those that reach into an end.
-    """
-    size = F.expr("length(payload_hex) div 2").cast("long")
-    part = F.floor((F.col("ts_us") - F.col("win") * params.stride_us) * PARTS / params.window_us)
-    rows = members.select(*KW, "ts_us", "frame_number", "payload_hex", size.alias("n"), part.alias("part"))
-    whole = Window.partitionBy(*KW)
-    parts = rows.groupBy(*KW, "part").agg(F.sum("n").alias("part_n"))
-    parts = parts.withColumns({"before": F.sum("part_n").over(whole.orderBy("part")) - F.col("part_n"), "total": F.sum("part_n").over(whole)})
-    near = (F.col("before") < params.head_bytes) | (F.col("total") - F.col("before") - F.col("part_n") < params.tail_bytes)
-    order = Window.partitionBy(*KW, "part").orderBy("ts_us", "frame_number")
-    rows = rows.where("n > 0").join(parts.where(near).drop("part_n", "total"), [*KW, "part"]).withColumn("upto", F.col("before") + F.sum("n").over(order))
-    item = F.struct("ts_us", "frame_number", "payload_hex")
-    total = parts.groupBy(*KW).agg(F.max("total").alias("total"))
-    rows = rows.join(total, list(KW))
-    head = F.col("upto") - F.col("n") < params.head_bytes
-    tail = F.col("total") - F.col("upto") < params.tail_bytes
-    joined = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x["payload_hex"]), "")
-    ends = rows.groupBy(*KW).agg(F.collect_list(F.when(head, item)).alias("h"), F.collect_list(F.when(tail, item)).alias("t"))  # as many packets as have so many bytes
-    empty = lambda c: F.coalesce(c, F.lit(""))
-    got = total.join(ends, list(KW), "left").select(
-        *KW, empty(F.substring(joined("h"), 1, 2 * params.head_bytes)).alias("rich_payload_head_hex"), empty(F.right(joined("t"), F.lit(2 * params.tail_bytes))).alias("rich_payload_tail_hex"),
-        (F.col("total") > params.head_bytes + params.tail_bytes).alias("rich_payload_truncated"),
-    )
-    return got.withColumns({f"rich_payload_{e}_ascii": display_text(F.col(f"rich_payload_{e}_hex")) for e in ("head", "tail")})
+
+def payload_ends(rows: DataFrame, params: WindowParams) -> DataFrame:
+    """(window key, rich_payload_{head,tail}_{hex,ascii}, rich_payload_truncated)."""
+    return payload_summary(rows, params).select(*KW, *[f"rich_payload_{e}_{k}" for k in ("hex", "ascii") for e in ("head", "tail")], "rich_payload_truncated")
 
 
 def protocol_tokens(members: DataFrame) -> DataFrame:
@@ -184,15 +247,16 @@ RICH_OUTPUT = (
 )
 
 
-def with_rich(windows: DataFrame, members: DataFrame, params: WindowParams) -> DataFrame:
-    """Windows with context sums joined with all rich columns; with compute_rich off, zeros and empty texts."""
+def with_rich(windows: DataFrame, rows: DataFrame, params: WindowParams) -> DataFrame:
+    """Windows with context sums joined with all rich columns, from placed packets; with compute_rich off, zeros and empty texts."""
     if not params.compute_rich:
         zero = {"payload_entropy": F.lit(0.0), "payload_ascii_ratio": F.lit(0.0), "rich_event_count": F.lit(0), "rich_events": F.lit("[]"), "rich_payload_truncated": F.lit(False)}
         empty = {c: F.lit("") for c in ("rich_payload_head_hex", "rich_payload_head_ascii", "rich_payload_tail_hex", "rich_payload_tail_ascii", "rich_protocols", "rich_context_summary")}
         return windows.withColumns(zero | empty)
-    members = stored(members)  # four groupings go over them
+    rows = stored(rows)  # three groupings go over them
+    members = in_windows(rows)
     out = windows
-    for part in (payload_stats(members), payload_ends(members, params), protocol_tokens(members), window_events(members, params)):
+    for part in (payload_summary(rows, params), protocol_tokens(members), window_events(members, params)):
         out = out.join(part, list(KW), "left")
     return out.withColumn("rich_context_summary", context_summary(params))
 
@@ -204,5 +268,5 @@ def window_tables(packets: DataFrame, params: WindowParams) -> dict[str, DataFra
     if params.compute_standard:
         out["standard"] = in_order(structured(windows))
     if params.compute_rich:
-        out["rich"] = in_order(with_rich(windows, memberships(packets, params), params))
+        out["rich"] = in_order(with_rich(windows, placed(packets, params), params))
     return out

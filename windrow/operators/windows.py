@@ -1,7 +1,8 @@
 """Sliding windows per flow and their features.
 
-Packets are shuffled once by flow and time bucket for the lag, and their partial sums by flow and window. No task gets
-a flow whole. Integer microseconds throughout; doubles only in results.
+Packets are shuffled once by flow and time bucket, each bucket with copies of the packets of the window before it, so that
+lags need nothing from other buckets; their partial sums are shuffled by flow and window. No task gets a flow whole.
+Integer microseconds throughout; doubles only in results.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from windrow.config import WindowParams
 from windrow.functions.columns import proto_name, safe_ratio
 from windrow.operators.packets import tuple5
 from windrow.schemas import KW, K
-
+from windrow.storage import stored
 
 #: Windows (or strides, if longer) of one time bucket of a flow.
 BUCKET_WINDOWS = 16
+#: Rows of a flow that rolling sums go over in one task at least.
+BLOCK_ROWS = 4096
 
 
 def _div(c: Column, n: int) -> Column:
@@ -24,29 +27,40 @@ def _div(c: Column, n: int) -> Column:
     return ((c - F.pmod(c, F.lit(n))) / n).cast("long")
 
 
-def _with_neighbours(packets: DataFrame, bucket_us: int) -> DataFrame:
-    """packets with prev_us and first_us: the time of the flow's packet before, and of its first.
+def _spread(at: Column, size: int, halo: int) -> Column:
+    """The block of `size` that a number is in, and the next one too if the number is among the last `halo` of its block."""
+    own = _div(at, size)
+    return F.explode(F.when(F.pmod(at, F.lit(size)) >= size - halo, F.array(own, own + 1)).otherwise(F.array(own)))
 
-    Only packets of one flow and time bucket are sorted together, so a flow with most packets is many tasks. What a
-    bucket's first packet has before it comes from a row for each bucket.
-    """
-    rows = packets.withColumn("_bucket", _div(F.col("ts_us"), bucket_us))
-    edges = rows.groupBy(*K, "_bucket").agg(F.min("ts_us").alias("_first"), F.max("ts_us").alias("_last"))
-    flow = Window.partitionBy(*K)
-    edges = edges.select(*K, "_bucket", F.lag("_last").over(flow.orderBy("_bucket")).alias("_before"), F.min("_first").over(flow).alias("first_us"))
-    here = Window.partitionBy(*K, "_bucket").orderBy("ts_us", "frame_number")
-    return rows.join(edges, [*K, "_bucket"]).withColumn("prev_us", F.coalesce(F.lag("ts_us").over(here), "_before")).drop("_bucket", "_before")
 
+def placed(packets: DataFrame, params: WindowParams) -> DataFrame:
+    """packets with first_win and last_win, the windows that each is in, and prev_us, the time of the flow's packet before.
 
-def memberships(packets: DataFrame, params: WindowParams) -> DataFrame:
-    """A row for each window that a packet is in, with win (the window's number), prev_us and first_us.
+    Windows start at multiples of the stride, from the one at or before the flow's first packet. prev_us may be null where
+    that packet is not in a window with this one. Packets in no window are left out.
 
-    Windows start at multiples of the stride, from the one at or before the flow's first packet.
+    Packets are dealt out by flow and time bucket, the last window of a bucket to the next one too. The flow's first time,
+    one row a flow, goes only to the buckets that hold packets of its first windows; it is a minimum of the key columns
+    and the time, summed up before its shuffle, which costs less than reading the packets' shuffle or a copy again.
     """
-    rows = _with_neighbours(packets, BUCKET_WINDOWS * max(params.window_us, params.stride_us))
-    low = F.greatest(_div(F.col("ts_us") - params.window_us, params.stride_us) + 1, _div(F.col("first_us"), params.stride_us))
-    rows = rows.withColumns({"_lo": low, "_hi": _div(F.col("ts_us"), params.stride_us)}).where("_lo <= _hi")
-    return rows.withColumn("win", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
+    size, halo = BUCKET_WINDOWS * max(params.window_us, params.stride_us), params.window_us
+    here = [*K, "_bucket"]
+    rows = packets.withColumn("_bucket", _spread(F.col("ts_us"), size, halo))
+    firsts = packets.groupBy(*K).agg(F.min("ts_us").alias("_first_us")).withColumn("_bucket", _spread(F.col("_first_us"), size, halo))
+    rows = rows.join(firsts, here, "left").withColumn("prev_us", F.lag("ts_us").over(Window.partitionBy(*here).orderBy("ts_us", "frame_number")))
+    low = F.greatest(_div(F.col("ts_us") - params.window_us, params.stride_us) + 1, _div(F.col("_first_us"), params.stride_us))  # skips null
+    rows = rows.where(F.col("_bucket") == _div(F.col("ts_us"), size)).withColumns({"first_win": low, "last_win": _div(F.col("ts_us"), params.stride_us)})
+    return rows.where("first_win <= last_win").drop("_bucket", "_first_us")
+
+
+def in_windows(rows: DataFrame) -> DataFrame:
+    """A row with win, the window's number, for each window that a placed packet is in."""
+    return rows.withColumn("win", F.explode(F.sequence("first_win", "last_win"))).drop("first_win", "last_win")
+
+
+def memberships(packets: DataFrame, params: WindowParams) -> DataFrame:
+    """A row for each window that a packet is in, with win (the window's number) and prev_us."""
+    return in_windows(placed(packets, params))
 
 
 def _histogram(value: Column, edges: tuple[float, ...], name: str) -> list[Column]:
@@ -105,12 +119,24 @@ def flow_windows(packets: DataFrame, params: WindowParams) -> DataFrame:
 
 
 def with_context(windows: DataFrame, params: WindowParams) -> DataFrame:
-    """Adds sums over the flow's last windows: as many rows as strides fit into 10 and 60 s, empty windows not counted."""
-    out = windows
-    for rows, name in zip(params.context_rows, ("10s", "60s"), strict=True):
-        frame = Window.partitionBy(*K).orderBy("win").rowsBetween(-(rows - 1), 0)
-        out = out.withColumns({f"{c}_{name}": F.sum(c).over(frame) for c in ("packet_count", "byte_count", "payload_total_len")})
-    return out
+    """Adds sums over the flow's last windows: as many rows as strides fit into 10 and 60 s, empty windows not counted.
+
+    The windows are written down and numbered within each flow, from counts of time blocks. Blocks of BLOCK_ROWS numbers,
+    each with copies of the rows before it that its sums reach back to, are summed side by side.
+    """
+    halo = max(params.context_rows) - 1
+    size = max(BLOCK_ROWS, 16 * halo)
+    rows = stored(windows).withColumn("_time", _div(F.col("win"), size))
+    time = [*K, "_time"]
+    counts = rows.groupBy(*time).agg(F.count("*").alias("_n"))
+    counts = counts.select(*time, (F.sum("_n").over(Window.partitionBy(*K).orderBy("_time")) - F.col("_n")).alias("_before"))  # a row for each block
+    number = F.col("_before") + F.row_number().over(Window.partitionBy(*time).orderBy("win")) - 1
+    rows = rows.join(counts, time).withColumn("_at", number).withColumn("_block", _spread(F.col("_at"), size, halo))
+    sums = {}
+    for n, name in zip(params.context_rows, ("10s", "60s"), strict=True):
+        frame = Window.partitionBy(*K, "_block").orderBy("_at").rowsBetween(-(n - 1), 0)
+        sums |= {f"{c}_{name}": F.sum(c).over(frame) for c in ("packet_count", "byte_count", "payload_total_len")}
+    return rows.withColumns(sums).where(F.col("_block") == _div(F.col("_at"), size)).drop("_time", "_before", "_at", "_block")
 
 
 def structured(windows: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from windrow.config import LabelParams, SampleParams, SplitParams, WindowParams
 from windrow.operators import labels as L
 from windrow.operators.packets import canonicalize, clean_packets, merge_payload
-from windrow.operators.windows import flow_windows, memberships
+from windrow.operators.windows import flow_windows, memberships, placed
 from windrow.storage import stored
 
 SPARK_US = "unix_micros(CAST(ts AS TIMESTAMP))"
@@ -91,6 +91,10 @@ def canonical(spark: SparkSession, sf_dir: str, rich: bool = False) -> DataFrame
     return canonicalize(merge_payload(packets(spark, sf_dir), payload(spark, sf_dir) if rich else None))
 
 
+def placed_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed(canonical(spark, sf_dir, rich=True), WINDOWS)
+
+
 def members(spark: SparkSession, sf_dir: str, rich: bool = False) -> DataFrame:
     return memberships(canonical(spark, sf_dir, rich), WINDOWS)
 

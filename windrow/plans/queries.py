@@ -100,13 +100,13 @@ def payload_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def payload_stats(spark: SparkSession, d: str) -> DataFrame:
-    got = E.payload_stats(V.members(spark, d, rich=True))
+    got = E.payload_stats(V.placed_packets(spark, d), V.WINDOWS)
     return got.select("capture_id", "src_ip", "src_port", "dst_ip", "dst_port", "proto", "win", *[F.round(c, 5).alias(c) for c in ("payload_entropy", "payload_ascii_ratio")])
 
 
 @query
 def payload_ends(spark: SparkSession, d: str) -> DataFrame:
-    return E.payload_ends(V.members(spark, d, rich=True), V.WINDOWS)
+    return E.payload_ends(V.placed_packets(spark, d), V.WINDOWS)
 
 
 @query
@@ -121,7 +121,7 @@ def application_text(spark: SparkSession, d: str) -> DataFrame:
 
 def _rich(spark: SparkSession, d: str) -> DataFrame:
     packets = V.canonical(spark, d, rich=True)
-    return E.with_rich(W.with_context(W.flow_windows(packets, V.WINDOWS), V.WINDOWS), W.memberships(packets, V.WINDOWS), V.WINDOWS)
+    return E.with_rich(W.with_context(W.flow_windows(packets, V.WINDOWS), V.WINDOWS), W.placed(packets, V.WINDOWS), V.WINDOWS)
 
 
 @query
