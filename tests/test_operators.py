@@ -368,6 +368,51 @@ def test_masks_and_prompts(spark):
     assert "  - Bot\n  - DoS" in P.system_prompt(["DoS", "Bot", "DoS"])
 
 
+def test_label_times_where_the_clock_changes_by_half_an_hour_or_a_day(spark):
+    cases = [
+        ("Australia/Lord_Howe", "07/04/2019 01:45", None), ("Australia/Lord_Howe", "07/04/2019 01:15", datetime.datetime(2019, 4, 6, 14, 15)), ("Australia/Lord_Howe", "07/04/2019 02:15", datetime.datetime(2019, 4, 6, 15, 45)),
+        ("Australia/Lord_Howe", "06/10/2019 02:10", None), ("Australia/Lord_Howe", "06/10/2019 02:40", datetime.datetime(2019, 10, 5, 15, 40)),
+        ("Pacific/Apia", "30/12/2011 12:00", None), ("Pacific/Apia", "29/12/2011 12:00", datetime.datetime(2011, 12, 29, 22, 0)), ("Pacific/Apia", "31/12/2011 12:00", datetime.datetime(2011, 12, 30, 22, 0)),
+        ("Antarctica/Troll", "27/10/2019 02:30", None), ("Antarctica/Troll", "27/10/2019 03:30", datetime.datetime(2019, 10, 27, 3, 30)), ("Asia/Kolkata", "01/02/2020 00:00", datetime.datetime(2020, 1, 31, 18, 30)),
+    ]
+    for zone, text, want in cases:
+        got = L.label_times(spark.createDataFrame([(text, text)], "ts_start string, ts_end string"), LabelParams(timezone=zone)).collect()
+        assert [r.start_us for r in got] == ([int(want.replace(tzinfo=datetime.UTC).timestamp()) * 1_000_000] if want else []), (zone, text)
+
+
+def test_candidates_of_any_length_against_all_pairs(spark):
+    """Labels from a second to a year, windows of two lengths, times before 1970 too."""
+    rng = random.Random(12)
+    year = 366 * 86_400_000_000
+    flow = ("x", 1, "y", 2, 6)
+    wins = [(i, *flow, s, s + rng.choice([2_000_000, 28_800_000_000])) for i in range(300) for s in [rng.randrange(-year, year)]]
+    wins += [(1000 + i, *flow, w[6], w[7]) for i, w in enumerate(wins[:5])] + [(2000, *flow, 5, 5)]
+    labels = [(i, *flow, s, s + int(math.exp(rng.uniform(0, math.log(year)))), 0) for i in range(300) for s in [rng.choice(wins)[6] + rng.randrange(-(10**9), 10**9)]] + [(900, *flow, 7, 7, 0)]
+    five = "src_ip string, src_port int, dst_ip string, dst_port int, proto int"
+    entries = spark.createDataFrame([(*x[:8], x[7] - x[6]) for x in labels], f"label_row long, {five}, start_us long, end_us long, dur_us long")
+    got = L.candidates(spark.createDataFrame(wins, f"win long, {five}, win_start_us long, win_end_us long"), entries).select("win", "l_label_row", "iou").collect()
+    want = {}
+    for w in wins:
+        for x in labels:
+            inter = min(w[7], x[7]) - max(w[6], x[6])
+            if inter > 0:
+                want[w[0], x[0]] = inter / (w[7] - w[6] + x[7] - x[6] - inter)
+    assert len(got) == len(want) > 300
+    assert all(abs(r.iou - want[r.win, r.l_label_row]) < 1e-12 for r in got)
+
+
+def test_best_entry_of_a_window_with_a_million_candidates(spark):
+    n = 1_000_000
+    found = spark.range(n).select(
+        F.lit("a").alias("capture_id"), F.when(F.col("id") < n - 2, 1).otherwise(2).cast("long").alias("win"), F.col("id").alias("l_start_us"), F.col("id").alias("l_label_row"), F.lit(0).alias("l_offset_no"),
+        F.when(F.col("id") == 654_321, 0.75).otherwise(F.col("id") % 1000 / 2000).alias("iou"), (F.col("id") % 2).cast("int").alias("l_priority"), F.concat(F.lit("L"), F.col("id")).alias("l_label"),
+        F.lit("").alias("l_label_capture_id"), F.lit("").alias("l_label_flow_id"),
+    )
+    got = {r.win: r for r in L.best_entries(found.repartition(6), ["capture_id", "win"]).collect()}
+    assert (got[1].best_label, got[1].best_iou, got[1].n_candidates) == ("L654321", 0.75, n - 2)
+    assert (got[2].best_label, got[2].n_candidates) == (f"L{n - 1}", 2)
+
+
 def test_label_times_in_several_forms_and_odd_hours(spark):
     forms = ["07/03/2017 08:05:09", "7/3/2017 8:05", "7/3/2017 08:05:09 PM", "2017-03-07 08:05:09", "7/14/2017 8:05", "soon", "", None, "26/3/2017 2:30:00", "29/10/2017 2:30:00"]
     params = LabelParams(timezone="Europe/Berlin")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,25 +15,36 @@ from windrow.storage import stored
 #: Label matching ignores the capture, as one label table may serve several captures of the same hosts.
 K5 = ("src_ip", "src_port", "dst_ip", "dst_port", "proto")
 TOLERANCE = 1e-9
-#: Bucket of the interval join: an hour holds many windows of seconds, and a label of a day meets 24 buckets.
-BUCKET_US = 3_600_000_000
-DAY_US = 24 * BUCKET_US
+#: An interval's level is the least even number k such that it is no longer than 2^k microseconds; longer ones don't fit into longs.
+LEVELS = range(2, 64, 2)
 
 
 def label_times(df: DataFrame, params: LabelParams) -> DataFrame:
     """Adds start_us and end_us from text times in the data set's zone; rows with a time that can't be read go.
 
     The first of the data set's formats that reads a text counts. Local times that a clock change skips or repeats are
-    no times either: they are those that two instants, or none, show on the zone's clock.
+    no times either: they are those that two instants, or none, show on the zone's clock. What the clock was ahead by a
+    day before and a day after gives the two instants that there can be, whatever the change is: an hour, half of one, or a day.
     """
 
+    shown = lambda us: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), params.timezone))
+    ahead = lambda us: shown(us) - us
+    day = 86_400_000_000
+
+    def each(value: Column, f: Callable[[Column], Column]) -> Column:
+        """f(value), with the value worked out once."""
+        return F.transform(F.array(value), f)[0]
+
+    def instant(c: Column) -> Column:
+        a, b = c["before"], c["after"]
+        return F.when(c["fits_before"] & (~c["fits_after"] | (a == b)), a).when(~c["fits_before"] & c["fits_after"], b)
+
     def micros(name: str) -> Column:
         local = F.coalesce(*[F.try_to_timestamp(F.trim(F.col(name)), F.lit(f)) for f in params.time_formats])
-        shown = lambda instant: F.from_utc_timestamp(instant, params.timezone)
-        at = F.to_utc_timestamp(local, params.timezone)
-        hour = F.expr("INTERVAL 1 HOUR")
-        once = (shown(at) == local) & (shown(at + hour) != local) & (shown(at - hour) != local)
-        return F.unix_micros(F.when(once, at))
+        times = each(local, lambda t: F.struct(F.unix_micros(t).alias("clock"), F.unix_micros(F.to_utc_timestamp(t, params.timezone)).alias("near")))
+        both = each(times, lambda t: F.struct(t["clock"].alias("clock"), (t["clock"] - ahead(t["near"] - day)).alias("before"), (t["clock"] - ahead(t["near"] + day)).alias("after")))
+        fits = each(both, lambda t: F.struct(t["before"].alias("before"), t["after"].alias("after"), (shown(t["before"]) == t["clock"]).alias("fits_before"), (shown(t["after"]) == t["clock"]).alias("fits_after")))
+        return each(fits, instant)
 
     got = df.withColumns({"start_us": micros(params.start), "end_us": micros(params.end)})
     return got.where(F.col("start_us").isNotNull() & F.col("end_us").isNotNull()).withColumn("end_us", F.greatest("start_us", "end_us"))
@@ -62,56 +76,105 @@ def shifted(labels: DataFrame, offset: DataFrame, extra_us: tuple[int, ...] = ()
     return got.withColumns({"start_us": F.col("start_us") + F.col("used_us"), "end_us": F.col("start_us") + F.col("used_us") + F.col("dur_us")})
 
 
-def candidates(windows: DataFrame, entries: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
+def _level(start: str, end: str) -> Column:
+    k = F.length(F.bin(F.col(end) - F.col(start) - 1))
+    return k + k % 2
+
+
+def _levels_of(df: DataFrame) -> list[int]:
+    return sorted(r[0] for r in df.select("_own").distinct().collect())  # of LEVELS
+
+
+def _in_cells(df: DataFrame, start: str, end: str, others: list[int]) -> DataFrame:
+    """df with a row for each cell (_level, _cell) of its own level and of the other side's higher ones: at most two a level."""
+    levels = F.concat(F.array("_own"), F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda k: k > F.col("_own")))
+    cell = lambda c: F.call_function("shiftright", c, F.col("_level"))
+    return df.withColumn("_level", F.explode(levels)).withColumn("_cell", F.explode(F.sequence(cell(F.col(start)), cell(F.col(end) - 1))))
+
+
+def candidates(windows: DataFrame, entries: DataFrame) -> DataFrame:
     """Windows joined with the label entries that they overlap by more than nothing, with iou.
 
-    Both sides are cut into time buckets, so a key with many windows and many labels meets only where times do; a pair
-    is kept in the bucket in which its overlap starts, which it shares once.
+    Time is cut into cells of 2^k microseconds. An interval lies in at most two cells of its own level, and is shorter
+    than the cells of all higher ones, so a pair is looked for at the higher of its two levels. Each side has rows at its
+    own level and at the levels that the other side has above: a second and a year alike make some ten rows, whatever the
+    lengths on the other side. A pair that shares two cells is kept in the one in which its overlap starts.
     """
-    span = lambda a, b: F.explode(F.sequence(F.expr(f"{a} div {bucket_us}"), F.expr(f"{b} div {bucket_us}")))
-    left = windows.withColumn("_bucket", span("win_start_us", "win_end_us"))
-    right = entries.select(*K5, *[F.col(c).alias(f"l_{c}") for c in entries.columns if c not in K5]).withColumn("_bucket", span("l_start_us", "l_end_us"))
-    both = left.join(right, [*K5, "_bucket"])
-    inter = F.least("win_end_us", "l_end_us") - F.greatest("win_start_us", "l_start_us")
-    both = both.withColumn("_inter", inter).where((F.col("_inter") > 0) & (F.col("_bucket") == F.expr(f"greatest(win_start_us, l_start_us) div {bucket_us}")))
+    left = windows.where("win_end_us > win_start_us").withColumn("_own", _level("win_start_us", "win_end_us"))
+    right = entries.select(*K5, *[F.col(c).alias(f"l_{c}") for c in entries.columns if c not in K5])
+    right = right.where("l_end_us > l_start_us").withColumn("_own", _level("l_start_us", "l_end_us"))
+    of_windows, of_entries = _levels_of(left), _levels_of(right)
+    left = _in_cells(left, "win_start_us", "win_end_us", of_entries).withColumnRenamed("_own", "_own_w")
+    right = _in_cells(right, "l_start_us", "l_end_us", of_windows).withColumnRenamed("_own", "_own_l")
+    both = left.join(right, [*K5, "_level", "_cell"]).where(F.col("_level") == F.greatest("_own_w", "_own_l"))
+    begin = F.greatest("win_start_us", "l_start_us")
+    both = both.withColumn("_inter", F.least("win_end_us", "l_end_us") - begin).where((F.col("_inter") > 0) & (F.col("_cell") == F.call_function("shiftright", begin, F.col("_level"))))
     union = (F.col("win_end_us") - F.col("win_start_us")) + F.col("l_dur_us") - F.col("_inter")
-    return both.withColumn("iou", F.when(union > 0, F.col("_inter") / union).otherwise(F.lit(0.0))).drop("_bucket", "_inter")
+    return both.withColumn("iou", F.when(union > 0, F.col("_inter") / union).otherwise(F.lit(0.0))).drop("_level", "_cell", "_own_w", "_own_l", "_inter")
 
 
-def _best(entries: Column) -> Column:
-    """Folds entries in start order: a larger IoU wins, within the tolerance the higher priority, else the earlier."""
-    start = F.struct(F.lit(0.0).alias("iou"), F.lit(-1).alias("priority"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("capture_id"), F.lit(None).cast("string").alias("flow_id"))
-    item = lambda e: F.struct(e["iou"].alias("iou"), e["priority"].alias("priority"), e["label"].alias("label"), e["capture_id"].alias("capture_id"), e["flow_id"].alias("flow_id"))
-    wins = lambda acc, e: (e["iou"] > acc["iou"] + TOLERANCE) | ((F.abs(e["iou"] - acc["iou"]) <= TOLERANCE) & (e["priority"] > acc["priority"]))
-    return F.aggregate(F.array_sort(entries), start, lambda acc, e: F.when(wins(acc, e), item(e)).otherwise(acc))
+#: What is known of the entry that a window takes.
+BEST = {"best_iou": "double", "best_priority": "int", "best_label": "string", "best_capture_id": "string", "best_flow_id": "string"}
 
 
-def align(windows: DataFrame, entries: DataFrame, key: list[str], benign: str = "BENIGN", bucket_us: int = BUCKET_US) -> DataFrame:
+def best_entries(found: DataFrame, key: list[str]) -> DataFrame:
+    """(key, *BEST, n_candidates) of candidates with iou: which entry each window takes.
+
+    Entries are gone through in start order: a larger IoU wins, within the tolerance the higher priority, else the
+    earlier. Candidates are sorted by window and start and read as they come, so a task holds one entry at a time,
+    however many a window has.
+    """
+    types = dict(found.dtypes)
+    order = ["l_start_us", "l_label_row", "l_offset_no", "iou", "l_priority"]
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = found.select(*key, *order, "l_label", "l_label_capture_id", "l_label_flow_id").repartition(n, *key).sortWithinPartitions(*key, *order, "l_label")
+    rows = rows.select(*key, "iou", "l_priority", "l_label", "l_label_capture_id", "l_label_flow_id")
+    width = len(key)
+    names = [*key, *BEST, "n_candidates"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, best, count = None, None, 0
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                own, (iou, priority, *rest) = row[:width], row[width:]
+                if own != at:
+                    if at is not None:
+                        out.append((*at, *best, count))
+                    at, best, count = own, (0.0, -1, None, None, None), 0
+                count += 1
+                if iou > best[0] + TOLERANCE or (abs(iou - best[0]) <= TOLERANCE and priority > best[1]):
+                    best = (iou, priority, *rest)
+            yield pd.DataFrame(out, columns=names)
+        if at is not None:
+            yield pd.DataFrame([(*at, *best, count)], columns=names)
+
+    return rows.mapInPandas(fold, ", ".join(f"`{k}` {types[k]}" for k in key) + ", " + ", ".join(f"{c} {t}" for c, t in BEST.items()) + ", n_candidates int")
+
+
+def align(windows: DataFrame, entries: DataFrame, key: list[str], benign: str = "BENIGN") -> DataFrame:
     """Windows with label, label_iou, label_capture_id, label_flow_id, label_priority, label_is_unknown, n_candidates.
 
-    entries are prepared labels, shifted, with label_row. A window without overlap is benign if all entries of its
-    flow are (with the ids of the earliest), else `unknown`. `key` names the columns that make a window unique;
-    `bucket_us` should be a few times longer than windows and most labels.
+    entries are prepared labels, shifted, with label_row; they are written down, as levels, overlaps and flows go over
+    them. A window without overlap is benign if all entries of its flow are (with the ids of the earliest), else
+    `unknown`. `key` names the columns that make a window unique; none of them is null. Windows are read several times,
+    so they should be a written table.
     """
     for c in ("label_capture_id", "label_flow_id"):
         if c not in entries.columns:
             entries = entries.withColumn(c, F.lit(""))
-    found = candidates(windows.select(*key, *[c for c in (*K5, "win_start_us", "win_end_us") if c not in key]), entries, bucket_us)
-    entry = F.struct(
-        F.col("l_start_us").alias("start"), F.col("l_label_row").alias("row"), F.col("l_offset_no").alias("no"), "iou", F.col("l_priority").alias("priority"), F.col("l_label").alias("label"),
-        F.col("l_label_capture_id").alias("capture_id"), F.col("l_label_flow_id").alias("flow_id"),
-    )
-    best = found.groupBy(*key).agg(F.collect_list(entry).alias("e")).select(*key, _best(F.col("e")).alias("best"), F.size("e").alias("n_candidates"))
+    entries = stored(entries)
+    found = candidates(windows.select(*key, *[c for c in (*K5, "win_start_us", "win_end_us") if c not in key]), entries)
     first = F.min(F.struct("start_us", "label_row", "label_capture_id", "label_flow_id"))
     flows = entries.groupBy(*K5).agg((F.max("priority") == 0).alias("all_benign"), first.alias("first"))
-    out = windows.join(best, key, "left").join(flows, list(K5), "left")
-    hit, calm = F.col("best.label").isNotNull(), F.coalesce("all_benign", F.lit(False))
-    pick = lambda name: F.when(hit, F.col(f"best.{name}")).when(calm, F.col(f"first.label_{name}")).otherwise("")
+    out = windows.join(best_entries(found, key), key, "left").join(flows, list(K5), "left")
+    hit, calm = F.col("best_label").isNotNull(), F.coalesce("all_benign", F.lit(False))
+    pick = lambda name: F.when(hit, F.col(f"best_{name}")).when(calm, F.col(f"first.label_{name}")).otherwise("")
     return out.withColumns({
-        "label": F.when(hit, F.col("best.label")).when(calm, benign).otherwise("unknown"), "label_iou": F.when(hit, F.col("best.iou")).otherwise(F.lit(0.0)),
-        "label_capture_id": pick("capture_id"), "label_flow_id": pick("flow_id"), "label_priority": F.when(hit, F.col("best.priority")).otherwise(0).cast("smallint"),
+        "label": F.when(hit, F.col("best_label")).when(calm, benign).otherwise("unknown"), "label_iou": F.when(hit, F.col("best_iou")).otherwise(F.lit(0.0)),
+        "label_capture_id": pick("capture_id"), "label_flow_id": pick("flow_id"), "label_priority": F.when(hit, F.col("best_priority")).otherwise(0).cast("smallint"),
         "label_is_unknown": ~hit & ~calm, "n_candidates": F.coalesce("n_candidates", F.lit(0)),
-    }).drop("best", "all_benign", "first")
+    }).drop(*BEST, "all_benign", "first")
 
 
 def alignment_stats(labelled: DataFrame, benign: str = "BENIGN") -> DataFrame:

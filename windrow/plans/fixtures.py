@@ -115,7 +115,7 @@ def entries(spark: SparkSession, sf_dir: str, wins: DataFrame) -> DataFrame:
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written down once, as splits and reports go over it several times."""
     wins = stored(windows(spark, sf_dir))  # offsets, overlaps and the result go over them
-    return stored(L.align(wins, entries(spark, sf_dir, wins), KEY, LABELS.benign, bucket_us=L.DAY_US))
+    return stored(L.align(wins, entries(spark, sf_dir, wins), KEY, LABELS.benign))
 
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
