@@ -19,7 +19,7 @@ from windrow.operators import reports as Q
 from windrow.operators import sampling as S
 from windrow.operators import splits as X
 from windrow.operators import windows as W
-from windrow.operators.packets import canonicalize, clean_packets, merge_payload
+from windrow.operators.packets import FRAME, canonicalize, clean_packets, clean_payload, merge_payload
 from windrow.operators.responses import parse_response
 from windrow.schemas import K
 from windrow.sources import tables as T
@@ -483,3 +483,62 @@ def test_pair_mix_has_all_labels(spark):
     pairs = spark.createDataFrame([("a", "b", x, n, 6, 0.5) for x, n in (("BENIGN", 3), ("Web Attack - XSS", 2), ("DoS", 1))] + [("c", "d", "Bot", 1, 1, 1.0)], "ip_low string, ip_high string, label string, cnt long, total long, fraction double")
     row = Q.pair_mix(pairs, Q.pair_purity(pairs), 1).collect()
     assert [r.asDict() for r in row] == [{"pair": "a↔b", "BENIGN": 3, "DoS": 1, "Web Attack - XSS": 2}]
+
+
+def test_splits_are_written_in_one_pass(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    df = spark.range(90).select(counted.asNondeterministic()("id").alias("id"), F.element_at(F.array(F.lit("train"), F.lit("test"), F.lit("left out")), (F.col("id") % 3 + 1).cast("int")).alias("split"))
+    for _ in range(2):  # the second time over old tables
+        T.write_splits(df, str(tmp_path))
+    assert calls.value <= 2 * 90
+    got = T.read_splits(spark, str(tmp_path))
+    assert {r.split: r["count"] for r in got.groupBy("split").count().collect()} == {"train": 30, "test": 30}
+    assert spark.read.parquet(f"{tmp_path}/features_val.parquet").columns == ["id"]
+    assert not list(tmp_path.glob("_splits-*"))
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    packets = spark.range(500).select(F.lit("a").alias("capture_id"), F.col("id").alias("frame_number"), F.lit("aabb").alias("payload_hex"))
+    rich = packets.where("frame_number % 3 = 0").select(*FRAME, F.lit("cc").alias("rich_payload_hex"), F.lit(None).cast("int").alias("rich_payload_len"))
+    tables = [T.write_bucketed(df, f"bucketed_{name}", FRAME, 4, str(tmp_path / name)) for name, df in (("packets", packets), ("payload", clean_payload(rich)))]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = merge_payload(*tables, cleaned=True)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.select("frame_number", "payload_hex", "payload_len").collect())) == sorted(map(tuple, merge_payload(packets, rich).select("frame_number", "payload_hex", "payload_len").collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("packets", "payload"):
+            spark.sql(f"DROP TABLE bucketed_{name}")
+
+
+def test_distinct_counts_exact_and_sketched(spark):
+    n = 60_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 4 == 0, "val").otherwise("train").alias("split"), F.concat(F.lit("t"), (F.col("id") * 7 % 20_011).cast("string")).alias("tuple5"), F.when(F.col("id") % 5 > 0, (F.col("id") % 3).cast("string")).alias("label_capture_id"),
+        F.lit("").alias("capture_id"), (F.col("id") % 10 == 0).alias("label_is_unknown"),
+    )
+    exact = Q.describe_splits(df)
+    want = {}
+    for r in df.collect():
+        w = want.setdefault(r.split, [0, set(), set(), set(), 0])
+        w[0] += 1
+        w[1].add(r.tuple5)
+        w[2] |= {r.label_capture_id} - {None}
+        w[3].add(r.capture_id)
+        w[4] += r.label_is_unknown
+    assert {r.split: (r.windows, r.tuple5s, r.label_captures, r.captures, r.unknown_ratio) for r in exact.collect()} == {k: (w[0], len(w[1]), len(w[2]), len(w[3]), w[4] / w[0]) for k, w in want.items()}
+    assert "Expand" not in exact._jdf.queryExecution().executedPlan().toString()
+    halves = [Q.split_sketches(df.where(F.col("tuple5") < "t2"), ["split"]), Q.split_sketches(df.where(F.col("tuple5") >= "t2"), ["split"])]
+    for r in Q.estimate_splits(Q.merge_sketches(halves[0].unionByName(halves[1]), ["split"]), ["split"]).collect():
+        w = want[r.split]
+        assert r.windows == w[0] and abs(r.unknown_ratio - w[4] / w[0]) < 1e-12
+        for got, true in ((r.tuple5s, len(w[1])), (r.label_captures, len(w[2])), (r.captures, len(w[3]))):
+            assert abs(got - true) <= 0.02 * true
+    assert Q.describe_splits(df.limit(0)).count() == 0

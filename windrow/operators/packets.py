@@ -17,17 +17,27 @@ def clean_packets(df: DataFrame) -> DataFrame:
     return df.na.fill(0, ["src_port", "dst_port", "pkt_len", "tcp_window", *FLAGS]).na.fill("", ["payload_hex", "capture_id"])
 
 
-def merge_payload(packets: DataFrame, payload: DataFrame | None = None) -> DataFrame:
+def clean_payload(payload: DataFrame) -> DataFrame:
+    """Empty texts for null ones, keys included, and 0 for a null length."""
+    if "frame_number" not in payload.columns:
+        raise ValueError("the payload table has no frame_number")
+    return payload.na.fill("", [c for c, t in payload.dtypes if t == "string"]).na.fill(0, ["rich_payload_len"])
+
+
+#: What packets and payload rows are joined on, and their tables are bucketed by.
+FRAME = ("capture_id", "frame_number")
+
+
+def merge_payload(packets: DataFrame, payload: DataFrame | None = None, cleaned: bool = False) -> DataFrame:
     """Packets with payload_len, and with the payload row's hex where the frame has such a row, even an empty one.
 
-    Both sides are equi-joined on (capture_id, frame_number), so tables bucketed by them join without a shuffle.
+    Both sides are equi-joined on FRAME. Tables that write_bucketed() made of clean_packets() and clean_payload() are
+    joined bucket by bucket, without a shuffle; `cleaned` says that the payload is such a table, whose keys stay as they are.
     """
     if payload is None:
         return packets.withColumn("payload_len", F.expr("length(payload_hex) div 2").cast("int"))
-    if "frame_number" not in payload.columns:
-        raise ValueError("the payload table has no frame_number")
-    rich = payload.na.fill("", [c for c, t in payload.dtypes if t == "string"]).na.fill(0, ["rich_payload_len"]).withColumn("_there", F.lit(True))
-    out = packets.join(rich, ["capture_id", "frame_number"], "left")
+    rich = (payload if cleaned else clean_payload(payload)).withColumn("_there", F.lit(True))
+    out = packets.join(rich, list(FRAME), "left")
     out = out.withColumn("payload_hex", F.when(F.col("_there"), F.col("rich_payload_hex")).otherwise(F.col("payload_hex")))
     length = F.when(F.col("rich_payload_len") > 0, F.col("rich_payload_len")).otherwise(F.expr("length(payload_hex) div 2"))
     return out.withColumn("payload_len", length.cast("int")).drop("_there")

@@ -211,6 +211,7 @@ ORACLES = {
 b AS (SELECT *, row_number() OVER (PARTITION BY {KCOLS}, win ORDER BY CASE WHEN pos = 1 OR pos = n THEN 0 ELSE 1 END, CASE WHEN pos = 1 OR pos = n THEN 0 ELSE -payload_len END, pos) AS rank FROM a)
 SELECT {KCOLS}, win, frame_number, CAST(payload_len AS INT) AS payload_len, row_number() OVER (PARTITION BY {KCOLS}, win ORDER BY pos) AS place FROM b WHERE rank <= {WINDOWS.max_events}""",
     "payload_merge": f"WITH {CANON}, {RICH} SELECT capture_id, frame_number, payload_hex, payload_len FROM k3",
+    "payload_merge_bucketed": f"WITH {CANON}, {RICH} SELECT capture_id, frame_number, payload_hex, payload_len FROM k3",
     "payload_stats": f"""{MEMBERS_RICH}, x AS (SELECT {KCOLS}, win, unnest(regexp_extract_all(payload_hex, '..')) AS b FROM m), c AS (SELECT {KCOLS}, win, b, count(*) AS n FROM x GROUP BY ALL),
 s AS (SELECT {KCOLS}, win, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS ent, sum(CASE WHEN b BETWEEN '20' AND '7e' OR b BETWEEN '09' AND '0d' THEN n ELSE 0 END) / sum(n) AS asc_ratio FROM c GROUP BY ALL)
 SELECT {KCOLS}, win, round(greatest(0, coalesce(ent, 0)), 5) AS payload_entropy, round(coalesce(asc_ratio, 0), 5)::DOUBLE AS payload_ascii_ratio FROM (SELECT DISTINCT {KCOLS}, win FROM m) LEFT JOIN s USING ({KCOLS}, win)""",
@@ -245,6 +246,7 @@ src_port, dst_port, proto, 5 AS parts, win_start_us // 1000000 AS start, win_end
     "validate_records": f"""{NUMBERED} SELECT path, message, count(*) AS n FROM (SELECT flow_id % 10 AS i FROM num) JOIN (VALUES (0, 'flow_id', 'an integer of at least 1'), (1, 'label', 'required'), (2, '', 'not a JSON object'), (3, '', 'not allowed: more'),
 (4, 'tuple5', 'two texts and three integers'), (5, 'features.pkt_cnt_fwd', 'a required number')) v(i, path, message) USING (i) GROUP BY ALL""",
     "qc_splits": f"{SPLIT} SELECT split, count(*) AS windows, count(DISTINCT tuple5) AS tuple5s, count(DISTINCT '') AS label_captures, count(DISTINCT capture_id) AS captures, round(avg(label_is_unknown::INT), 9) AS unknown_ratio FROM split GROUP BY split",
+    "qc_split_sketches": f"{SPLIT} SELECT split, count(*) AS windows, true AS tuple5s_close, true AS label_captures_close, true AS captures_close, round(avg(label_is_unknown::INT), 9) AS unknown_ratio FROM split GROUP BY split",
     "qc_labels": f"""{SPLIT}, c AS (SELECT split, label, count(*) AS count FROM split GROUP BY ALL UNION ALL SELECT 'all', label, count(*) FROM split GROUP BY label)
 SELECT split, label, count, round(count / sum(count) OVER (PARTITION BY split), 6)::DOUBLE AS share, round(log10(greatest(count, 1)), 6) AS log_count FROM c""",
     "qc_protocols": f"""{LABELLED}, c AS (SELECT proto, count(*) AS windows, count(DISTINCT tuple5) AS tuple5s, count(*) FILTER ({ATTACK}) AS attack_windows, count(DISTINCT tuple5) FILTER ({ATTACK}) AS attack_tuple5s FROM lab GROUP BY proto)

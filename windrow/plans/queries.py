@@ -18,11 +18,12 @@ from windrow.operators import reports as Q
 from windrow.operators import sampling as S
 from windrow.operators import splits as X
 from windrow.operators import windows as W
+from windrow.operators.packets import FRAME, canonicalize, clean_payload, merge_payload
 from windrow.operators.responses import parse_responses
 from windrow.plans import fixtures as V
 from windrow.schemas import ENRICHED, EVENT, KW, PACKET, RECORD
 from windrow.sources import tables as T
-from windrow.storage import shared_folder
+from windrow.storage import shared_folder, stored
 
 QUERIES = {}
 
@@ -98,6 +99,16 @@ def payload_merge(spark: SparkSession, d: str) -> DataFrame:
     return V.canonical(spark, d, rich=True).select("capture_id", "frame_number", "payload_hex", "payload_len")
 
 
+@query
+def payload_merge_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """Packets and payload rows as bucketed tables, joined without a shuffle."""
+    folder = _folder(spark)
+    name = f"windrow_{uuid.uuid4().hex}"
+    packets = T.write_bucketed(V.packets(spark, d), f"{name}_packets", FRAME, 8, f"{folder}/packets")
+    payload = T.write_bucketed(clean_payload(V.payload(spark, d)), f"{name}_payload", FRAME, 8, f"{folder}/payload")
+    return canonicalize(merge_payload(packets, payload, cleaned=True)).select(*FRAME, "payload_hex", "payload_len")
+
+
 @query
 def payload_stats(spark: SparkSession, d: str) -> DataFrame:
     got = E.payload_stats(V.placed_packets(spark, d), V.WINDOWS)
@@ -257,6 +268,16 @@ def qc_splits(spark: SparkSession, d: str) -> DataFrame:
     return Q.describe_splits(_split(spark, d)).withColumn("unknown_ratio", F.round("unknown_ratio", 9))
 
 
+@query
+def qc_split_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches by split and capture, merged by split without the rows; estimates within 2 % of the exact counts, as numbers of hits."""
+    rows = stored(_split(spark, d))
+    merged = Q.estimate_splits(Q.merge_sketches(Q.split_sketches(rows, ["split", "capture_id"]), ["split"]), ["split"])
+    exact = Q.describe_splits(rows).select("split", *[F.col(c).alias(f"exact_{c}") for c in ("windows", "tuple5s", "label_captures", "captures")])
+    close = lambda c: F.abs(F.col(c) - F.col(f"exact_{c}")) <= 0.02 * F.col(f"exact_{c}")
+    return merged.join(exact, "split").select("split", "windows", *[close(c).alias(f"{c}_close") for c in ("tuple5s", "label_captures", "captures")], F.round("unknown_ratio", 9).alias("unknown_ratio"))
+
+
 @query
 def qc_labels(spark: SparkSession, d: str) -> DataFrame:
     return Q.label_distribution(_split(spark, d)).select("split", "label", "count", *r6("share", "log_count"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -134,7 +136,35 @@ def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
 
 
 def write_splits(df: DataFrame, folder: str, names: tuple[str, ...] = ("train", "val", "test"), enriched: bool = False) -> None:
-    write_tables({f"features_{'enriched_' if enriched else ''}{name}": df.where(F.col("split") == name).drop("split") for name in names}, folder)
+    """Each split as features_{split} or features_enriched_{split}, over old ones; rows of other splits are left out.
+
+    df is evaluated once: its rows are written by split into a folder beside, whose parts are then renamed. A split
+    without rows becomes an empty table.
+    """
+    spark = df.sparkSession
+    beside = f"{folder}/_splits-{uuid.uuid4().hex}"
+    df.where(F.col("split").isin(*names)).withColumn("_split", F.element_at(F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]), F.col("split"))).drop("split").write.partitionBy("_split").parquet(beside)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(beside).getFileSystem(spark._jsc.hadoopConfiguration())
+    for i, name in enumerate(names):
+        part, target = path(f"{beside}/_split={i}"), f"{folder}/features_{'enriched_' if enriched else ''}{name}.parquet"
+        files.delete(path(target), True)
+        if files.exists(part):
+            files.rename(part, path(target))
+        else:
+            spark.createDataFrame([], df.drop("split").schema).write.parquet(target)
+    files.delete(path(beside), True)
+
+
+def write_bucketed(df: DataFrame, name: str, keys: tuple[str, ...], buckets: int, path: str | None = None) -> DataFrame:
+    """df as a table of the catalog in `buckets` buckets by the keys, sorted by them, over an old one; returns the table.
+
+    Tables of as many buckets by the same keys are joined on them, or grouped by them, without a shuffle. With a path
+    the files go there, else into the warehouse. Rows are dealt out by bucket first, so each bucket is one file.
+    """
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def write_lines(df: DataFrame, json_text: Column, path: str) -> None:
