@@ -146,6 +146,24 @@ def test_key_events_by_definition(spark, most):
         assert [f for _, f in sorted(got[key])] == [p[1] for p in chosen]
 
 
+def test_key_events_of_one_large_window(spark):
+    """Small batches: the window's packets come in many parts and are cut down in each."""
+    n = 5_000
+    rows = spark.range(n).select(
+        F.lit("a").alias("capture_id"), F.lit("x").alias("src_ip"), F.lit(1).alias("src_port"), F.lit("y").alias("dst_ip"), F.lit(2).alias("dst_port"), F.lit(6).alias("proto"), F.lit(0).cast("long").alias("win"),
+        (F.col("id") * 7919 % n).alias("ts_us"), F.col("id").alias("frame_number"), (F.col("id") * 31 % 997).cast("int").alias("payload_len"),
+    )
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = sorted(map(tuple, E.key_events(rows.repartition(5), WindowParams(max_events=6)).select("place", "rank", "ts_us", "payload_len").collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    packets = sorted((i * 7919 % n, i, i * 31 % 997) for i in range(n))
+    chosen = [packets[0], packets[-1], *sorted(packets[1:-1], key=lambda p: (-p[2], p[0], p[1]))[:4]]
+    order = sorted(chosen)
+    assert got == [(order.index(p) + 1, chosen.index(p) + 1, p[0], p[2]) for p in order]
+
+
 def test_payload_numbers_and_ends(spark, monkeypatch):
     rows = packet_rows(8, 60, 5_000_000)
     params = WindowParams(head_bytes=4, tail_bytes=5)

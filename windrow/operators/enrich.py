@@ -7,8 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from windrow.config import WindowParams
 from windrow.functions.columns import display_text, human_bytes, proto_name
@@ -16,8 +18,6 @@ from windrow.operators.windows import flow_windows, in_order, in_windows, placed
 from windrow.schemas import KW, K
 from windrow.storage import stored
 
-#: Parts of a window that are sorted by themselves first.
-PARTS = 32
 #: Packets that a task counts at once.
 COUNTED = 2048
 
@@ -168,18 +168,39 @@ def application_text(col=F.col) -> Column:
     return F.concat_ws(" | ", http, dns, tls)
 
 
-def _may_be_chosen(members: DataFrame, params: WindowParams) -> DataFrame:
-    """The packets that are first, last or among the largest of one of the PARTS parts of their window.
+def _numbers(group: np.ndarray, *order: np.ndarray) -> np.ndarray:
+    """Each row's number, from 1, in its group in the given order."""
+    at = np.lexsort((*order[::-1], group))
+    g = group[at]
+    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    out = np.empty(len(g), np.int64)
+    out[at] = np.arange(len(g)) - np.repeat(starts, np.diff(np.r_[starts, len(g)])) + 1
+    return out
 
-    Parts are by frame number, so that a window with most packets is many tasks; what is chosen of the whole is chosen here.
-    """
-    part = Window.partitionBy(*KW, "_part")
-    rows = members.withColumn("_part", F.pmod("frame_number", F.lit(PARTS)))
-    rows = rows.withColumns({
-        "_a": F.row_number().over(part.orderBy("ts_us", "frame_number")), "_b": F.row_number().over(part.orderBy(F.desc("ts_us"), F.desc("frame_number"))),
-        "_c": F.row_number().over(part.orderBy(F.desc("payload_len"), "ts_us", "frame_number")),
-    })
-    return rows.where((F.col("_a") == 1) | (F.col("_b") == 1) | (F.col("_c") <= params.max_events + 2)).drop("_part", "_a", "_b", "_c")
+
+class Choice:
+    """Packets of some windows, and which of them are events."""
+
+    def __init__(self, rows: pa.Table, most: int) -> None:
+        self.rows, self.most = rows, most
+        self.window = rows.select(list(KW)).to_pandas().groupby(list(KW), sort=False, dropna=False).ngroup().to_numpy()
+        self.ts, self.frame, self.payload = (rows.column(c).to_numpy() for c in ("ts_us", "frame_number", "payload_len"))
+        self.edge = (_numbers(self.window, self.ts, self.frame) == 1) | (_numbers(self.window, -self.ts, -self.frame) == 1)
+        self.largest = _numbers(self.window, -self.payload.astype(np.int64), self.ts, self.frame)
+
+    def possible(self) -> pa.Table:
+        """The rows that may be events, whatever other rows their windows have: at most `most` + 4 of each."""
+        return self.rows.take(np.flatnonzero(self.edge | (self.largest <= self.most + 2)))
+
+    def events(self) -> pa.Table:
+        """The events of whole windows, with rank and place."""
+        size = np.where(self.edge, 0, -self.payload.astype(np.int64))
+        rank = _numbers(self.window, ~self.edge, size, self.ts, self.frame)
+        chosen = np.flatnonzero(rank <= self.most if self.most > 2 else self.edge | (self.largest == 1))
+        place = _numbers(self.window[chosen], self.ts[chosen], self.frame[chosen])
+        kept = place <= self.most
+        out = self.rows.take(chosen[kept])
+        return out.append_column("rank", pa.array(rank[chosen[kept]], pa.int32())).append_column("place", pa.array(place[kept], pa.int32()))
 
 
 def key_events(members: DataFrame, params: WindowParams) -> DataFrame:
@@ -187,17 +208,34 @@ def key_events(members: DataFrame, params: WindowParams) -> DataFrame:
 
     First and last packet, then the largest payloads (ties: the earlier). Of one event it is the first packet; of two,
     the first and the largest one that is neither first nor last, else the last.
+
+    Each task keeps, of the packets of a window that it reads, the few that may be chosen; these are shuffled by window
+    once and chosen from as they come in, so no task holds more of a window than a batch and those few.
     """
-    order = Window.partitionBy(*KW).orderBy("ts_us", "frame_number")
-    back = Window.partitionBy(*KW).orderBy(F.desc("ts_us"), F.desc("frame_number"))
-    rows = _may_be_chosen(members, params).withColumns({"_at": F.row_number().over(order), "_from_end": F.row_number().over(back)})
-    edge = (F.col("_at") == 1) | (F.col("_from_end") == 1)
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*KW).orderBy(F.when(edge, 0).otherwise(1), F.when(edge, F.lit(0)).otherwise(-F.col("payload_len")), "ts_us", "frame_number")))
-    if params.max_events <= 2:
-        largest = F.row_number().over(Window.partitionBy(*KW).orderBy(F.desc("payload_len"), "ts_us", "frame_number"))
-        chosen = rows.withColumn("_largest", largest).where(edge | (F.col("_largest") == 1)).withColumn("place", F.row_number().over(order))
-        return chosen.where(F.col("place") <= params.max_events).drop("_at", "_from_end", "_largest")
-    return rows.where(F.col("rank") <= params.max_events).withColumn("place", F.row_number().over(order)).drop("_at", "_from_end")
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from Choice(pa.Table.from_batches([batch]), params.max_events).possible().combine_chunks().to_batches()
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_window = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if open_window is None else pa.concat_tables([open_window, rows]).combine_chunks()
+            window = Choice(rows, params.max_events).window
+            last = int(np.flatnonzero(window == window[-1])[0])  # rows of a window follow each other
+            if last:
+                yield from Choice(rows.slice(0, last), params.max_events).events().combine_chunks().to_batches()
+            open_window = Choice(rows.slice(last), params.max_events).possible()
+        if open_window is not None:
+            yield from Choice(open_window, params.max_events).events().combine_chunks().to_batches()
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = members.mapInArrow(possible, members.schema).repartition(n, *KW).sortWithinPartitions(*KW)
+    return few.mapInArrow(choose, T.StructType(list(members.schema.fields)).add("rank", T.IntegerType()).add("place", T.IntegerType()))
 
 
 def event_struct(params: WindowParams) -> Column:

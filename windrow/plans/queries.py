@@ -80,7 +80,7 @@ def structured_columns(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def key_events(spark: SparkSession, d: str) -> DataFrame:
-    return E.key_events(V.members(spark, d), V.WINDOWS).select("capture_id", "src_ip", "src_port", "dst_ip", "dst_port", "proto", "win", "frame_number", "payload_len", "place")
+    return E.key_events(V.members(spark, d).select(*KW, "ts_us", "frame_number", "payload_len"), V.WINDOWS).select("capture_id", "src_ip", "src_port", "dst_ip", "dst_port", "proto", "win", "frame_number", "payload_len", "place")
 
 
 @query
