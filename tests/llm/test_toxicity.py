@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from windrow.llm import toxicity as X
 
@@ -74,17 +75,68 @@ def test_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     got = X.query(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
     false_alarms = sum(r.predicted and not r.toxic for r in got)
-    assert false_alarms <= 0.02 * len(got) and sum(r.predicted and r.toxic for r in got) >= 0.55 * sum(r.toxic for r in got)
+    assert false_alarms <= 0.02 * len(got) and sum(r.predicted and r.toxic for r in got) >= 0.9 * sum(r.toxic for r in got)
 
 
 def test_every_sentence_counts():
     at = {"gay": 0, "straight": 1, "man": 2}
-    value = lambda c: {at[f]: float(np.log1p(n)) for f, n in c.items() if f in at}
     text = "One gay man. " * 100 + "Then nothing! " + "The last gay? The last gay?"
-    got = X.changes(text, value, (("gay", "straight"),))
+    got = X.changes(text, at, (("gay", "straight"),))
     step = (0, float(np.log1p(102) - np.log1p(101))), (1, -float(np.log1p(1)))
     assert list(got.values()) == [102] and np.allclose(list(got), [step])
-    assert not X.changes(None, value, (("gay", "straight"),))
+    assert not X.changes(None, at, (("gay", "straight"),))
+
+
+def test_penalty_is_the_mean_square_change(spark):
+    groups = (("gay", "straight"), ("old", "young"))
+    features = ["gay", "man", "old", "stra~", "straight", "young"]
+    texts = ["A gay man. An old gay man! So old.", None, "", "nothing here", "straight young straight", "A gay man. An old gay man! So old."]
+    columns, p, swaps = X.penalty(spark.createDataFrame([(t,) for t in texts], "text string"), features, groups)
+    rng = np.random.default_rng(1)
+    at = {f: i for i, f in enumerate(features)}
+    for _ in range(5):
+        w = rng.normal(size=len(features))
+        score = lambda counts: sum(w[at[f]] * np.log1p(n) for f, n in counts.items() if f in at)  # noqa: E731,B023
+        squares = []
+        for t in texts:
+            whole = X.features_of(X.words_of(t))
+            for s in X.SENTENCE.split(t or ""):
+                for new in X.swapped(X.words_of(s), groups):
+                    moved = whole.copy()
+                    moved.subtract(X.features_of(X.words_of(s)))
+                    moved.update(X.features_of(new))
+                    squares.append((score(whole) - score(moved)) ** 2)
+        assert swaps == len(squares)
+        assert abs(w[columns] @ p @ w[columns] - np.mean(squares)) < 1e-9
+        pairs = X._as_pairs(columns, p, len(features))
+        assert abs(np.mean(pairs.dot(w) ** 2) - np.mean(squares)) < 1e-6
+
+
+def test_words_used_alike(spark):
+    rng = random.Random(3)
+    rows = [("the " + rng.choice(["cat", "dog"]) + " sat on a " + rng.choice(["red", "blue"]) + " mat near it",) for _ in range(200)]
+    texts = spark.createDataFrame([(t, i % 2) for i, (t,) in enumerate(rows)], "text string, toxic int")
+    assert set(X.used_alike(texts, X.feature_counts(texts), len(rows))) == {("cat", "dog"), ("blue", "red")}
+    assert X.used_alike(texts, X.feature_counts(texts), len(rows), common=2.0) == ()
+
+
+def test_swaps_of_the_given_table_change_scores_less(spark):
+    """The fit has swaps on the given table, and the penalty brings the scores of swapped held-out sentences together."""
+    d = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic")
+    held = X.fold(F.col("doc_id"), X.FOLDS) == X.HELD_OUT
+    models = [X.fit(docs, labels.where(~held), pair_weight=w) for w in (X.PAIR_WEIGHT, 0.0)]
+    assert models[0].swaps > 10_000 and models[0].groups == models[1].groups
+    texts = [r.text for r in docs.where(held).limit(300).collect() if r.text]
+    gaps = []
+    for m in models:
+        at, w = {f: i for i, f in enumerate(m.weights)}, np.array([*m.weights.values()])
+        gaps.append(np.mean([sum(v * w[c] for c, v in change) ** 2 for t in texts for change in X.changes(t, at, m.groups)]))
+    assert gaps[0] < 0.5 * gaps[1]
+    got = X.predict(docs.where(held).join(labels, "doc_id"), models[0]).collect()
+    assert sum(r.predicted and r.toxic for r in got) >= 0.9 * sum(r.toxic for r in got)
+    assert sum(r.predicted and not r.toxic for r in got) <= 0.02 * len(got)
 
 
 def test_fit_against_plain_descent():
