@@ -292,6 +292,36 @@ def test_samples(spark):
     assert S.validation_sample(df.where("label = 'BENIGN'"), ["k"], 0, 0.0).count() == 0
 
 
+def test_samples_are_the_first_in_hash_order(spark):
+    """Strata of one to 3,000 rows, a null one and repeated rows, against a sort of each whole stratum; the counting pass is the only other one."""
+    rows = [(i // 2 if i < 40 else i, None if i % 50 == 7 else "big" if i % 5 else f"s{i % 15}") for i in range(4000)] + [(9999, "one")]
+    df = spark.createDataFrame(rows, "k long, label string")
+    quotas = {"big": 700, "s0": 0, "s5": 10**6, "s10": 13, None: 5, "one": 1}
+    quota = F.coalesce(F.create_map(*[F.lit(x) for kv in quotas.items() if kv[0] for x in kv])[F.col("stratum")], F.lit(quotas[None]))
+    bins = S.hash_bins(df, F.col("label"), ["k"], 3)
+    got = S.first_by_hash(df, bins, F.col("label"), quota, ["k"], 3)
+    hashed = {r.k: r.h for r in df.select("k", C.hash_key(3, F.col("k")).alias("h")).distinct().collect()}
+    want = []
+    for label, n in quotas.items():
+        own = sorted((x for x in rows if x[1] == label), key=lambda x: (hashed[x[0]], x[0]))
+        want += own[:n]
+    text = lambda xs: sorted((k, str(label)) for k, label in xs)
+    assert text(map(tuple, got.collect())) == text(want)
+    assert {r.stratum: r.total for r in bins.collect()} == {x: sum(y[1] == x for y in rows) for x in quotas}
+    order = [hashed[r.k] for r in S.sample_n(df, 300, ["k"], 3).collect()]
+    assert order == sorted(order) == sorted(hashed[k] for k, _ in rows)[:300]
+    assert S.sample_n(df.limit(0), 5, ["k"], 3).count() == S.balanced_sample(df.limit(0), ["k"]).count() == 0
+
+
+def test_lines_that_are_no_strict_json(spark):
+    odd = ['{"flow_id": 1, "label": NaN}', '{"label": "a"} trailing', "[1]", "5", "null", '{"flow_id": null, "tuple5": {}, "window": [1, null], "features": 3, "label": null}', "{}"]
+    lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(odd)], "file string, line int, value string")
+    found = {(r.line, r.path): r.message for r in R.validate(lines).collect()}
+    assert {i for (i, p), m in found.items() if p == "" and m == "not a JSON object"} >= {2, 3, 4} and (6, "") not in found and (0, "") not in found
+    assert {p for i, p in found if i == 5} == {"flow_id", "tuple5", "window", "features", "label", *(f"features.{c}" for c in R.ESSENTIAL)}
+    assert {(p, m) for (i, p), m in found.items() if i == 6} == {(k, "required") for k in R.RECORD_KEYS}
+
+
 def test_metrics_by_definition(spark):
     pairs = [("a", "a")] * 3 + [("a", "b"), ("b", ""), ("b", "b"), ("c", "a")]
     df = spark.createDataFrame(pairs, "reference_label string, predicted_label string")

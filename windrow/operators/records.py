@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,29 +98,86 @@ EVENT_KINDS = {"offset_ms": "number", "direction": "side", "proto": "text", "len
 EVENT_EXTRAS = {"tcp_window": "count", "preview": "text", "application": "text", "text": "text"}
 MESSAGES = {
     "text": "a text", "list": "a list", "object": "an object", "count": "an integer of at least 0", "amount": "a number of at least 0", "share": "within 0 and 1", "flag": "true or false",
-    "number": "a number", "texts": "a list of texts", "side": "FWD or BWD", "numbers": "a list of numbers",
+    "number": "a number", "texts": "a list of texts", "side": "FWD or BWD", "numbers": "a list of numbers", "id": "an integer of at least 1", "pair": "two numbers",
+    "ends": "two texts and three integers", "feature": "a required number",
 }
+#: The kind that a value must have, by its path; paths without one may hold anything.
+RECORD_RULES = {
+    "flow_id": "id", "tuple5": "ends", "window": "pair", "label": "text", "features": "object", **{f"features.{c}": "feature" for c in ESSENTIAL},
+    "features.pkt_size_hist": "numbers", "features.iat_hist": "numbers",
+}
+ENRICHED_RULES = {"enriched": "object", **{f"enriched.{c}": k for c, k in ENRICHED_KINDS.items()}, **{f"enriched.payload.{c}": k for c, k in PAYLOAD_KINDS.items()}}
+EVENT_RULES = {f"enriched.events.{c}": k for c, k in (EVENT_KINDS | EVENT_EXTRAS).items()}
 INTEGERS, NUMBERS = r"^(BIGINT|DECIMAL\(\d+,0\))$", r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
 
-def _is(kind: str, x: Column) -> Column:
-    """Whether a variant is of a kind; false for null."""
-    name = F.schema_of_variant(x)
-    value = F.try_variant_get(x, "$", "double")
-    every = lambda test: F.forall(F.try_variant_get(x, "$", "array<variant>"), lambda y: F.coalesce(test(F.schema_of_variant(y)), F.lit(False)))
-    test = {
-        "text": lambda: name == "STRING", "flag": lambda: name == "BOOLEAN", "object": lambda: name.startswith("OBJECT"), "list": lambda: name.startswith("ARRAY"),
-        "number": lambda: name.rlike(NUMBERS), "integer": lambda: name.rlike(INTEGERS), "count": lambda: name.rlike(INTEGERS) & (value >= 0), "amount": lambda: name.rlike(NUMBERS) & (value >= 0),
-        "share": lambda: name.rlike(NUMBERS) & value.between(0, 1), "side": lambda: F.try_variant_get(x, "$", "string").isin("FWD", "BWD"),
-        "texts": lambda: name.startswith("ARRAY") & every(lambda n: n == "STRING"), "numbers": lambda: name.startswith("ARRAY") & every(lambda n: n.rlike(NUMBERS)),
-    }[kind]()
-    return F.coalesce(test, F.lit(False))
+def _is(kind: Column, x: Column) -> Column:
+    """Whether a variant is of the kind that the column names; false for null."""
+    name, value, items = F.schema_of_variant(x), F.try_variant_get(x, "$", "double"), F.try_variant_get(x, "$", "array<variant>")
+    every = lambda test: name.startswith("ARRAY") & F.forall(items, lambda y: F.coalesce(test(F.schema_of_variant(y)), F.lit(False)))
+    number, integer = lambda n: n.rlike(NUMBERS), lambda n: n.rlike(INTEGERS)
+    ends = F.transform(items, lambda y, i: F.when(i < 2, F.schema_of_variant(y) == "STRING").otherwise(integer(F.schema_of_variant(y))))
+    tests = {
+        "text": name == "STRING", "flag": name == "BOOLEAN", "object": name.startswith("OBJECT"), "list": name.startswith("ARRAY"), "number": number(name), "feature": number(name),
+        "count": integer(name) & (value >= 0), "id": integer(name) & (value >= 1), "amount": number(name) & (value >= 0), "share": number(name) & value.between(0, 1),
+        "side": F.try_variant_get(x, "$", "string").isin("FWD", "BWD"), "texts": every(lambda n: n == "STRING"), "numbers": every(number), "pair": (F.size(items) == 2) & every(number),
+        "ends": (F.size(items) == 5) & F.forall(ends, lambda ok: F.coalesce(ok, F.lit(False))),
+    }
+    found = F.lit(False)
+    for one, test in tests.items():
+        found = F.when(kind == one, test).otherwise(found)
+    return F.coalesce(found, F.lit(False))
+
+
+FAULT = "array<struct<path: string, message: string>>"
+
+
+def _fault(path: Column, message: Column) -> Column:
+    return F.struct(path.alias("path"), message.alias("message"))
+
+
+def _faults_if(cond: Column, path: str, message: Column | str) -> Column:
+    """A list of one fault where the condition holds, else an empty one."""
+    message = message if isinstance(message, Column) else F.lit(message)
+    return F.when(cond, F.array(_fault(F.lit(path), message))).otherwise(F.lit(None).cast(FAULT))
+
+
+def _literals(names: list[str]) -> Column:
+    return F.array(*map(F.lit, names)).cast("array<string>")
 
 
-def _event_tests(name: str, kind: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
-    """Whether an event lacks a field, and whether it has one of another kind."""
-    own = lambda x: F.try_variant_get(x, f"$.{name}", "variant")
-    return lambda x: _is("object", x) & own(x).isNull(), lambda x: own(x).isNotNull() & ~_is(kind, own(x))
+def _absent(names: Column, required: list[str], path: str, message: str) -> Column:
+    """A fault for each required name that is not among the names."""
+    return F.transform(F.array_except(_literals(required), names), lambda k: _fault(F.concat(F.lit(path), k), F.lit(message)))
+
+
+def _extra(names: Column, allowed: list[str]) -> Column:
+    return F.array_except(names, _literals(allowed))
+
+
+def _wrong(fields: Column, path: str, rules: dict[str, str]) -> Column:
+    """A fault for each field of the object, a map of variants, that is not of the kind that the rules give its path."""
+    own = {k.removeprefix(path): v for k, v in rules.items() if k.startswith(path) and "." not in k.removeprefix(path)}
+    table = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    kinds, messages = table(own), table({k: MESSAGES[k] for k in {*own.values()}})
+    bad = F.map_filter(fields, lambda k, x: kinds[k].isNotNull() & ~_is(kinds[k], x))
+    return F.transform(F.map_keys(bad), lambda k: _fault(F.concat(F.lit(path), k), messages[kinds[k]]))
+
+
+def _event_faults(events: Column) -> Column:
+    """The faults of all events, each path and message once."""
+
+    def of(event: Column) -> Column:
+        fields = F.try_variant_get(event, "$", "map<string,variant>")
+        names = F.map_keys(fields)
+        return F.when(fields.isNull(), F.array(_fault(F.lit("enriched.events"), F.lit("objects")))).otherwise(
+            F.concat(
+                F.coalesce(_faults_if(F.size(_extra(names, [*EVENT_KINDS, *EVENT_EXTRAS])) > 0, "enriched.events", "keys that are not allowed"), F.array().cast(FAULT)),
+                _absent(names, [*EVENT_KINDS], "enriched.events.", "required"), _wrong(fields, "enriched.events.", EVENT_RULES),
+            )
+        )
+
+    return F.array_distinct(F.flatten(F.transform(events, of)))
 
 
 def validate(lines: DataFrame, enriched: bool = False, limit: int | None = None) -> DataFrame:
@@ -131,58 +187,32 @@ def validate(lines: DataFrame, enriched: bool = False, limit: int | None = None)
     readable JSON object; required and no other keys; kinds of all values; flow_id >= 1; lengths of tuple5 and window;
     required numeric features and no nested ones, histograms of numbers; for enriched records also the keys and kinds of
     events and payload, at most ten events, and no negative numbers. A rule on events names their common path once.
+
+    A line is parsed once, to a variant; its objects become maps whose fields are held against the tables of rules. Only
+    the keys of a line that is no strict JSON (such as one with NaN) are read by the laxer parser.
     """
     rows = lines.where(F.trim("value") != "")
     if limit is not None:
         rows = rows.where(F.col("line") <= limit)
-    rows = rows.withColumns({"m": F.from_json("value", "map<string,string>"), "v": F.try_parse_json("value")})
+    object_at = lambda path: F.try_variant_get("v", path, "map<string,variant>")
+    there = lambda path: F.try_variant_get("v", path, "variant").isNotNull()
     keys = [*RECORD_KEYS, *(["enriched"] if enriched else [])]
-    bad: list[tuple[Column, Column, Column]] = []
-    rule = lambda cond, path, message: bad.append((cond, F.lit(path), message if isinstance(message, Column) else F.lit(message)))
-    at = lambda path: F.try_variant_get("v", f"$.{path}", "variant")
-    there = lambda path: at(path).isNotNull()
-    typed = lambda path, kind: rule(there(path) & ~_is(kind, at(path)), path, MESSAGES[kind])
-
-    def keyed(names: Column, required: list[str], allowed: list[str], path: str, held: Column) -> None:
-        for k in required:
-            rule(held & ~F.array_contains(names, k), f"{path}.{k}".lstrip("."), "required")
-        extra = F.array_except(names, F.array(*map(F.lit, allowed)))
-        rule(held & (F.size(extra) > 0), path, F.concat(F.lit("not allowed: "), F.array_join(F.array_sort(extra), ",")))
-
-    inside = lambda path: F.map_keys(F.try_variant_get("v", f"$.{path}", "map<string,variant>"))
-    rule(F.col("m").isNull(), "", "not a JSON object")
-    keyed(F.map_keys("m"), keys, keys, "", F.col("m").isNotNull())
-    rule(there("flow_id") & ~(_is("integer", at("flow_id")) & (F.try_variant_get("v", "$.flow_id", "double") >= 1)), "flow_id", "an integer of at least 1")
-    five = [_is("text" if i < 2 else "integer", at(f"tuple5[{i}]")) for i in range(5)]
-    whole = lambda path, n: F.coalesce(F.size(F.try_variant_get("v", f"$.{path}", "array<variant>")), F.lit(-1)) == n
-    rule(there("tuple5") & ~(whole("tuple5", 5) & five[0] & five[1] & five[2] & five[3] & five[4]), "tuple5", "two texts and three integers")
-    rule(there("window") & ~(whole("window", 2) & _is("numbers", at("window"))), "window", "two numbers")
-    typed("label", "text")
-    typed("features", "object")
-    for name in ESSENTIAL:
-        rule(there("features") & ~_is("number", at(f"features.{name}")), f"features.{name}", "a required number")
-    for name in ("pkt_size_hist", "iat_hist"):
-        typed(f"features.{name}", "numbers")
-    nested = F.exists(F.map_values(F.try_variant_get("v", "$.features", "map<string,variant>")), lambda x: _is("object", x))
-    rule(F.coalesce(nested, F.lit(False)), "features", "no nested objects")
+    listed = lambda names: F.concat(F.lit("not allowed: "), F.array_join(F.array_sort(names), ","))
+    rules = RECORD_RULES | (ENRICHED_RULES if enriched else {})
+    rows = rows.select("file", "line", "value", F.try_parse_json("value").alias("v"))
+    rows = rows.select("file", "line", "v", F.when(F.col("v").isNull(), F.map_keys(F.from_json("value", "map<string,string>"))).otherwise(F.map_keys(object_at("$"))).alias("names"), object_at("$").alias("top"), object_at("$.features").alias("features"))
+    nested = F.exists(F.map_values("features"), lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    faults = [
+        _faults_if(F.col("names").isNull(), "", "not a JSON object"), _absent(F.col("names"), keys, "", "required"), _faults_if(F.size(_extra(F.col("names"), keys)) > 0, "", listed(_extra(F.col("names"), keys))),
+        _wrong(F.col("top"), "", rules), F.when(there("$.features"), _absent(F.coalesce(F.map_keys("features"), _literals([])), [*ESSENTIAL], "features.", MESSAGES["feature"])),
+        _wrong(F.col("features"), "features.", rules), _faults_if(nested, "features", "no nested objects"),
+    ]
     if enriched:
-        typed("enriched", "object")
-        keyed(inside("enriched"), [*ENRICHED_KINDS], [*ENRICHED_KINDS], "enriched", _is("object", at("enriched")))
-        keyed(inside("enriched.payload"), [*PAYLOAD_KINDS], [*PAYLOAD_KINDS], "enriched.payload", _is("object", at("enriched.payload")))
         for path, kinds in (("enriched", ENRICHED_KINDS), ("enriched.payload", PAYLOAD_KINDS)):
-            for name, kind in kinds.items():
-                typed(f"{path}.{name}", kind)
+            fields = object_at(f"$.{path}")
+            names = F.map_keys(fields)
+            faults += [_absent(names, [*kinds], f"{path}.", "required"), _faults_if(F.size(_extra(names, [*kinds])) > 0, path, listed(_extra(names, [*kinds]))), _wrong(fields, f"{path}.", rules)]
         events = F.try_variant_get("v", "$.enriched.events", "array<variant>")
-        some = lambda test, path, message: rule(F.coalesce(F.exists(events, test), F.lit(False)), path, message)
-        rule(F.size(events) > 10, "enriched.events", "at most 10")
-        some(lambda x: ~_is("object", x), "enriched.events", "objects")
-        names_of = lambda x: F.map_keys(F.try_variant_get(x, "$", "map<string,variant>"))
-        allowed = F.array(*map(F.lit, EVENT_KINDS | EVENT_EXTRAS))
-        some(lambda x: F.size(F.array_except(names_of(x), allowed)) > 0, "enriched.events", "keys that are not allowed")
-        for name, kind in (EVENT_KINDS | EVENT_EXTRAS).items():
-            lacks, differs = _event_tests(name, kind)
-            if name in EVENT_KINDS:
-                some(lacks, f"enriched.events.{name}", "required")
-            some(differs, f"enriched.events.{name}", MESSAGES[kind])
-    found = F.array_compact(F.array(*[F.when(c, F.struct(p.alias("path"), msg.alias("message"))) for c, p, msg in bad]))
+        faults += [_faults_if(F.size(events) > 10, "enriched.events", "at most 10"), _event_faults(events)]
+    found = F.concat(*[F.coalesce(f, F.array().cast(FAULT)) for f in faults])
     return rows.select("file", "line", F.explode(found).alias("e")).select("file", "line", "e.path", "e.message")

@@ -10,6 +10,7 @@ PACKET = (
 PACKET_REQUIRED = ("frame_number", "ts", "proto", "src_ip", "dst_ip")
 FLAGS = ("tcp_syn", "tcp_ack", "tcp_fin", "tcp_rst", "tcp_psh")
 
+#: Column and field names of the file formats.
 RICH_TEXT = (
     "rich_frame_protocols", "rich_http_method", "rich_http_uri", "rich_http_host", "rich_http_user_agent", "rich_http_status_code", "rich_http_status_phrase",
     "rich_dns_query", "rich_dns_qtype", "rich_dns_answers", "rich_tls_server_name", "rich_tls_handshake_type", "rich_tls_content_type", "rich_tls_version",
@@ -20,13 +21,15 @@ PAYLOAD = "capture_id string, frame_number bigint, rich_payload_hex string, rich
 K = ("capture_id", "src_ip", "src_port", "dst_ip", "dst_port", "proto")
 KW = (*K, "win")
 
+#: Column and field names of the file formats.
 EVENT = (
     "offset_ms double, direction string, proto string, len int, payload_len int, flags array<string>, tcp_window int, preview string, application string, text string"
 )
+#: Column and field names of the file formats.
 PAYLOAD_INFO = (
     "total_len bigint, entropy double, ascii_ratio double, head_ascii string, head_hex string, tail_ascii string, tail_hex string, truncated boolean"
 )
 ENRICHED = f"context_summary string, events array<struct<{EVENT}>>, event_count int, payload struct<{PAYLOAD_INFO}>, protocols array<string>, proto_name string"
-#: Numbers in tuple5 arrive as text; features keep any extra scalar as text.
+#: Fixed values, as above. Numbers in tuple5 arrive as text; features keep any extra scalar as text.
 RECORD = "flow_id bigint, tuple5 array<string>, window array<double>, features map<string,string>, label string"
 ENRICHED_RECORD = f"{RECORD}, enriched struct<{ENRICHED}>"
