@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import stored, table
+from windrow.llm.common import packed, stored, table, unpacked
 
 TOKEN = re.compile(r"[^\W_]+")
 SPAN = 13
@@ -46,6 +46,8 @@ MIN_BITS, MAX_BITS = 16, 27
 #: Tokens of training texts hashed at once; distinct tokens whose hashes a task keeps.
 CHUNK_TOKENS = 200_000
 HELD_TOKENS = 300_000
+#: Seeds of items that a task hands on at once.
+HELD_SEEDS = 10_000
 HIT = "mask int, seed long, place int, around array<long>"
 
 
@@ -102,6 +104,8 @@ def item_seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((item, item_id, n), (mask, seed, place, around, item, n)): the items of at least one token, and a row for each seed."""
     numbered = stored(benchmark.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"))
 
+    names = ["mask", "seed", "place", "around", "item", "n"]
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
         for batch in batches:
@@ -113,8 +117,12 @@ def item_seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
                 around = _around(hashes, -2)
                 for mask in masks_of(len(hashes)):
                     number = EVERY_MASK.index(mask)
-                    out += [(number, s, i, around[i], item, len(hashes)) for i, s in enumerate(seeds_of(hashes, mask).view(np.int64).tolist())]
-            yield pd.DataFrame(out, columns=["mask", "seed", "place", "around", "item", "n"])
+                    for i, s in enumerate(seeds_of(hashes, mask).view(np.int64).tolist()):
+                        out.append((number, s, i, around[i], item, len(hashes)))
+                        if len(out) >= HELD_SEEDS:
+                            yield pd.DataFrame(out, columns=names)
+                            out = []
+            yield pd.DataFrame(out, columns=names)
 
     seeds = stored(numbered.select("item", "text").mapInPandas(cut, f"{HIT}, item long, n int"))
     return numbered.join(seeds.select("item", "n").distinct(), "item").select("item", "item_id", "n"), seeds
@@ -158,8 +166,8 @@ def text_hits(hashes: np.ndarray, ends: np.ndarray, size: int, words: dict[int,
     return out
 
 
-def with_hits(docs: DataFrame, size: int, words: dict[int, np.ndarray], text_col: str) -> DataFrame:
-    """docs with _hits: the seeds of the text that may be an item's."""
+def with_hits(docs: DataFrame, size: int, words: dict[int, np.ndarray], text_col: str, kept: list[str]) -> DataFrame:
+    """(callers_columns, _hits, _row) for each row of docs: its kept columns, the seeds of its text that may be an item's, a number."""
     shared = docs.sparkSession.sparkContext.broadcast((size, words))  # 2 ^ MAX_BITS bits for each mask at most
 
     @F.pandas_udf(f"array<struct<{', '.join(f'{c}: {t}' for c, t in (x.split() for x in HIT.split(', ')))}>>")
@@ -186,7 +194,7 @@ def with_hits(docs: DataFrame, size: int, words: dict[int, np.ndarray], text_col
             flush()
             yield pd.Series(out, dtype=object)
 
-    return docs.withColumn("_hits", hits.asNondeterministic()(F.col(text_col)))  # or else a filter would work it out again
+    return docs.select(packed(docs, kept), hits.asNondeterministic()(F.col(text_col)).alias("_hits"), F.monotonically_increasing_id().alias("_row"))  # or else a filter would work it out again
 
 
 def verified(pairs: DataFrame) -> DataFrame:
@@ -236,14 +244,13 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep_tex
     """
     docs = docs.drop(*NAMES)
     items, seeds = item_seeds(benchmark)
-    hit = with_hits(docs, *bit_map(seeds), text_col)
     kept = [c for c in docs.columns if keep_text or c != text_col]
-    rows = stored(hit.select(*kept, "_hits", F.monotonically_increasing_id().alias("_row")))
+    rows = stored(with_hits(docs, *bit_map(seeds), text_col, kept))
     rank = F.struct((-F.col("matched")).alias("less"), F.col("item_id").isNull().alias("last"), F.col("item_id").alias("item_id"), F.col("matched").alias("matched"), (F.col("matched") / F.col("n")).alias("coverage"))
     best = found_items(rows, seeds).join(items, "item").groupBy("row").agg(F.count("*").cast("int").alias("n_items"), F.min(rank).alias("top"))
     joined = rows.join(best, rows["_row"] == best["row"], "left")
     return joined.select(
-        *kept, F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("top.item_id").alias("item_id"),
+        *unpacked(kept), F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("top.item_id").alias("item_id"),
         F.coalesce("top.matched", F.lit(0)).alias("matched"), F.coalesce("top.coverage", F.lit(0.0)).alias("coverage"),
     )
 
@@ -256,6 +263,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item is found, with their own columns."""
     _, seeds = item_seeds(benchmark)
-    rows = stored(with_hits(docs, *bit_map(seeds), "text").withColumn("_row", F.monotonically_increasing_id()))
+    rows = stored(with_hits(docs, *bit_map(seeds), "text", docs.columns))
     found = stored(found_items(rows, seeds).select(F.col("row").alias("_row")).distinct(), rows.count())
-    return rows.join(found, "_row", "left_anti").select(*docs.columns)
+    return rows.join(found, "_row", "left_anti").select(*unpacked(docs.columns))

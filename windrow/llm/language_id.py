@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import fold, table
+from windrow.llm.common import fold, packed, table, unpacked
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -230,9 +230,9 @@ def fit(labelled: DataFrame, vocabulary: str = VOCABULARY) -> Model | None:
 
 
 def _with_guess(docs: DataFrame, model: Model | None, text_col: str) -> DataFrame:
-    """docs with _guess: struct(lang_pred, score)."""
+    """(callers_columns, guess) for each row of docs, guess being struct(lang_pred, score)."""
     if model is None:
-        return docs.withColumn("_guess", F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score")))
+        return docs.select(packed(docs), F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score")).alias("guess"))
     parts = (model.languages, model.log_prior, model.pieces, model.probability)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -266,7 +266,7 @@ def _with_guess(docs: DataFrame, model: Model | None, text_col: str) -> DataFram
                     scores.append(float(1 / np.exp(total - total[best]).sum()))
             yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": scores})
 
-    return docs.withColumn("_guess", guess.asNondeterministic()(F.col(text_col)))  # or else a filter would work it out again
+    return docs.select(packed(docs), guess.asNondeterministic()(F.col(text_col)).alias("guess"))  # or else a filter would work it out again
 
 
 def _runs(texts: Iterator[list[str]]) -> Iterator[list[list[str]]]:
@@ -289,7 +289,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     Null texts and texts without a letter get `und` and 0, as do all texts where there was nothing to learn from.
     Columns of docs that bear one of the two names are replaced.
     """
-    return _with_guess(docs.drop("lang_pred", "score"), model, text_col).select("*", "_guess.*").drop("_guess")
+    docs = docs.drop("lang_pred", "score")
+    return _with_guess(docs, model, text_col).select(*unpacked(docs.columns), "guess.*")
 
 
 HELD_OUT = 1
@@ -315,4 +316,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
     """The rows of docs whose language is determined with a posterior of at least `least`, with their own columns."""
     found = _with_guess(docs, model, "text")
-    return found.where((F.col("_guess.lang_pred") != UNDETERMINED) & (F.col("_guess.score") >= least)).drop("_guess")
+    return found.where((F.col("guess.lang_pred") != UNDETERMINED) & (F.col("guess.score") >= least)).select(*unpacked(docs.columns))

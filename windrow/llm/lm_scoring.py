@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windrow.llm.common import fold, stored, table
+from windrow.llm.common import fold, packed, stored, table, unpacked
 
 ORDER = 5
 DISCOUNT = 0.35
@@ -39,9 +39,12 @@ SYMBOLS = 256
 SHARED = 2.0**-23
 HEAD_GRAMS = 1 << 20
 HEAD = 100_000
+#: Longer tokens are not shared, however frequent.
+SHARED_BYTES = 64
 #: Bytes that a task turns into contexts at once; distinct tokens and contexts it counts before handing them on.
 CHUNK_BYTES = 1_000_000
 HELD = 200_000
+HELD_BYTES = 16_000_000
 HELD_GRAMS = 400_000
 #: Tables of the lowest orders have 256 ^ (order + 1) rows at most; up to this order they are broadcast.
 SMALL_ORDER = 1
@@ -115,14 +118,18 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
+        size = 0
         frame = lambda: pd.DataFrame({"token": pd.Series([w.decode("utf-8", "surrogatepass") for w in held], dtype=object), "n": list(held.values())})
         for batch in batches:
             for text in batch["text"]:
-                held.update(lowered(text).split())
+                fresh = Counter(lowered(text).split())
+                size += sum(len(w) for w in fresh if w not in held)
+                held.update(fresh)
                 held[b""] += 1
-                if len(held) > HELD:
+                if len(held) > HELD or size > HELD_BYTES:
                     yield frame()
                     held.clear()
+                    size = 0
         if held:
             yield frame()
 
@@ -258,7 +265,7 @@ def score(docs: DataFrame, train: DataFrame, order: int = ORDER, share: float =
     orders = trie(train, order)
     counts = stored(token_counts(train))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    first = counts.orderBy(F.desc("n"), "token").limit(head).toArrow()  # HEAD rows at most
+    first = counts.where(F.octet_length("token") <= SHARED_BYTES).orderBy(F.desc("n"), "token").limit(head).toArrow()  # HEAD rows of SHARED_BYTES at most
     space = total + ADDED * (distinct + 1)
     logs = np.log10((first["n"].to_numpy() + ADDED) / space).tolist()
     known = {t.encode("utf-8", "surrogatepass"): p for t, p in zip(first["token"].to_pylist(), logs, strict=True)}
@@ -288,7 +295,7 @@ def score(docs: DataFrame, train: DataFrame, order: int = ORDER, share: float =
             yield pd.DataFrame(rows, columns=SCORED.names)
 
     kept = [c for c in docs.columns if c != "text"]
-    rows = stored(docs.select(*kept, scored(F.col("text")).alias("_s"), F.monotonically_increasing_id().alias("_row")))
+    rows = stored(docs.select(packed(docs, kept), scored(F.col("text")).alias("_s"), F.monotonically_increasing_id().alias("_row")))
     pairs = lambda a, b, name: rows.select("_row", F.inline(F.arrays_zip(F.col(f"_s.{a}").alias(name), F.col(f"_s.{b}").alias("times"))))
     tokens = pairs("tokens", "token_times", "token").join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     nothing = F.lit(None).cast("double")
@@ -299,7 +306,7 @@ def score(docs: DataFrame, train: DataFrame, order: int = ORDER, share: float =
     rest = base.unionByName(ppm).groupBy("_row").agg(F.sum("known").alias("_known"), F.sum("base").alias("_base"), F.sum("ppm").alias("_ppm"))
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return rows.join(rest, "_row", "left").select(
-        *kept, F.col("_s.n_tokens").alias("n_tokens"), plus("_s.n_known", "_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        *unpacked(kept), F.col("_s.n_tokens").alias("n_tokens"), plus("_s.n_known", "_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         plus("_s.base", "_base").alias("base_score"), plus("_s.score", "_ppm").alias("score"),
     )
 

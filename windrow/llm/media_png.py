@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windrow.llm.common import table
+from windrow.llm.common import packed, table, unpacked
 
 #: Fixed values of the PNG format: signature; bytes of length, type and checksum in a chunk; filter types.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -195,15 +195,19 @@ def decode(stored: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def with_media(df: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
     """df with a binary column of PNG files that hold the UTF-8 bytes of text_col.
 
-    Null and empty texts give a row of zero bytes; equal texts give equal files; other columns stay.
+    Null and empty texts give a row of zero bytes; equal texts give equal files; other columns stay, but one of the name
+    media_col is replaced; an empty table gives an empty one.
     """
     return df.withColumn(media_col, encode(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
 
 def media_features(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """df with payload_bytes, payload_sha256, tail_crc32 and feature, read back from the stored files."""
-    got = df.withColumn("_read", decode(F.col(media_col)))
-    return got.select("*", "_read.*").drop("_read")
+    """df with payload_bytes, payload_sha256, tail_crc32 and feature, read back from the stored files.
+
+    Rows stay as many as they are; an empty table gives an empty one; columns of df that bear one of the names are replaced.
+    """
+    kept = [c for c in df.columns if c.lower() not in READ.names]
+    return df.select(packed(df, kept), decode(F.col(media_col)).alias("got")).select(*unpacked(kept), "got.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import stored, table
+from windrow.llm.common import packed, stored, table, unpacked
 from windrow.llm.logistic import Sparse, fit_sparse
 
 #: Labelled rows of the fit at most, about; bounds of a prior's strength in documents; bound of a text's evidence.
@@ -197,12 +197,18 @@ def site_rates(scored: DataFrame, rate: float) -> tuple[DataFrame, float, float,
     return stored(joined, paths.count()), mean, k_host, k_path
 
 
-def _joined(scored: DataFrame, rate: float, host_col: str, path_col: str) -> DataFrame:
-    """scored, which has _evidence, with _host_rate, _path_rate and _score."""
+def _scored(docs: DataFrame, model: Evidence, host_col: str, path_col: str, kept: list[str]) -> DataFrame:
+    """(callers_columns, own_host, own_path, _evidence) for each row of docs, written down."""
+    rows = docs.select(packed(docs, kept), F.col("text"), F.col(host_col).alias("own_host"), F.col(path_col).alias("own_path"))
+    return stored(with_evidence(rows, model, out="_evidence").drop("text"))
+
+
+def _joined(scored: DataFrame, rate: float) -> DataFrame:
+    """Rows of _scored with _host_rate, _path_rate and _score."""
     own = 1 / (1 + F.exp(-(F.col("_evidence") + float(np.log(rate / (1 - rate))))))
-    sites, mean, k_host, k_path = site_rates(scored.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col("_evidence").alias("evidence")), rate)
+    sites, mean, k_host, k_path = site_rates(scored.select(F.col("own_host").alias("host"), F.col("own_path").alias("path"), F.col("_evidence").alias("evidence")), rate)
     sites = sites.select(*[F.col(c).alias(f"_{c}") for c in sites.columns])
-    here = F.col(host_col).eqNullSafe(F.col("_host")) & F.col(path_col).eqNullSafe(F.col("_path"))
+    here = F.col("own_host").eqNullSafe(F.col("_host")) & F.col("own_path").eqNullSafe(F.col("_path"))
     host_rate = (k_host * mean + F.col("_host_s") - own) / (k_host + F.col("_host_n") - 1)
     path_rate = (k_path * F.col("_host_rate") + F.col("_s") - own) / (k_path + F.col("_n") - 1)
     bounded = lambda c: F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), c))
@@ -219,10 +225,10 @@ def posterior(docs: DataFrame, labels: DataFrame, host_col: str = "source", path
     """
     docs = docs.drop(*NAMES)
     model, rate = fit(docs, labels)
-    scored = stored(with_evidence(docs, model, out="_evidence").drop("text"))
-    found = _joined(scored, rate, host_col, path_col)
+    kept = [c for c in docs.columns if c != "text"]
+    found = _joined(_scored(docs, model, host_col, path_col, kept), rate)
     own = [F.col(f"_{c}").alias(c) for c in NAMES[:-1]]
-    return found.select(*[c for c in docs.columns if c != "text"], *own, (F.col("_score") >= KEEP_AT).alias("keep"))
+    return found.select(*unpacked(kept), *own, (F.col("_score") >= KEEP_AT).alias("keep"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,5 +239,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose posterior is at least KEEP_AT, with their own columns."""
     model, rate = fit(docs, labels)
-    scored = stored(with_evidence(docs, model, out="_evidence"))
-    return _joined(scored, rate, "source", "lang").where(F.col("_score") >= KEEP_AT).select(*docs.columns)
+    found = _joined(_scored(docs, model, "source", "lang", docs.columns), rate)
+    return found.where(F.col("_score") >= KEEP_AT).select(*unpacked(docs.columns))

@@ -17,11 +17,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windrow.llm.common import stored, table
+from windrow.llm.common import named, packed, stored, table, unpacked
 
 SHINGLE = 3
 SEED = 42
@@ -100,8 +100,9 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """All pairs (a, b), a < b, of the distinct values of column fp that differ in one or two bits."""
-    n = F.count("*").over(Window.partitionBy("key"))
-    shared = stored(_variants(fps, _half_keys(F.col("fp"))).withColumn("n", n).where("n > 1"), 64 * fps.count())
+    rows = _variants(fps, _half_keys(F.col("fp")))
+    sizes = rows.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1")  # partial sums: a crowded key is no task's alone
+    shared = stored(rows.join(sizes.hint("merge"), F.col("key") == F.col("_key")).select("fp", "key", "n"), 64 * fps.count())
     found = _pairs(shared.where(F.col("n") <= CROWDED))
     crowded = shared.where(F.col("n") > CROWDED).select("fp").distinct()
     return found.unionByName(_pairs(_variants(crowded, _whole_keys(F.col("fp"))))).distinct()
@@ -151,13 +152,14 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs with exactly one row for each component: that of the smallest doc_id, null ids last, ties by a hash of the row."""
-    whole = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])  # hashes skip nulls
+    whole = F.xxhash64(*map(named, docs.columns), *[named(c).isNull() for c in docs.columns])  # hashes skip nulls
     rows = stored(docs.select("doc_id", whole.alias("_hash"), fingerprints(F.col("text")).alias("fp")))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("_d"), F.col("_hash").alias("_h"))
     rooted = _rooted(stored(rows.groupBy("fp").agg(F.min(rank).alias("first")), rows.count()))
     keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first._d", "first._h")
-    found = docs.withColumn("_hash", whole).join(keep.hint("merge"), (F.col("_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    return found.dropDuplicates(["_hash", "doc_id"]).select(*docs.columns)  # rows alike in both are alike in all columns
+    all_rows = docs.select(packed(docs), whole.alias("_hash"), F.col("doc_id"))
+    found = all_rows.join(keep.hint("merge"), (F.col("_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    return found.dropDuplicates(["_hash", "doc_id"]).select(*unpacked(docs.columns))  # rows alike in both are alike in all columns
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import ascii_lower, table
+from windrow.llm.common import ascii_lower, packed, table, unpacked
 
 
 @dataclass(frozen=True)
@@ -86,21 +86,23 @@ def url_parts(url: Column) -> tuple[Column, Column, Column]:
 
 
 def _tokens(target: Column) -> Column:
-    """Distinct lower-case tokens, and the empty one that fetches rules without a literal token."""
-    return F.array_distinct(F.concat(F.array(F.lit("")), F.split(ascii_lower(target), "[^a-z0-9]+")))
+    """Distinct lower-case tokens."""
+    return F.array_remove(F.array_distinct(F.split(ascii_lower(target), "[^a-z0-9]+")), "")
+
+
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    rows = [(i, r.name, r.verdict, bool(r.host), len(r.name), r.regex, r.tokens) for i, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "rule_id long, rule string, verdict string, is_site boolean, length int, regex string, tokens array<string>")
 
 
 def index_rules(spark: SparkSession, rules: list[Rule], tokens: DataFrame) -> DataFrame:
-    """One row per rule: key (its token that the fewest URLs hold; empty if it has none), regex, rank columns."""
-    made = spark.createDataFrame(
-        [(i, r.name, r.verdict, bool(r.host), len(r.name), r.regex, r.tokens) for i, r in enumerate(rules)],
-        "rule_id long, rule string, verdict string, is_site boolean, length int, regex string, tokens array<string>",
-    )
+    """One row per rule that has a token: token (of its tokens that which the fewest URLs hold), regex, rank columns."""
+    made = rule_table(spark, rules)
     literal = made.select("rule_id", F.explode("tokens").alias("token"))
     wanted = literal.select("token").distinct()
     counts = tokens.join(_small(wanted, len(rules)), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     ranked = literal.join(counts, "token", "left").groupBy("rule_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("key"))
-    return made.join(ranked, "rule_id", "left").select(F.coalesce("key", F.lit("")).alias("token"), "rule", "verdict", "is_site", "length", "regex")
+    return made.join(ranked, "rule_id").select(F.col("key").alias("token"), "rule", "verdict", "is_site", "length", "regex")
 
 
 def _small(df: DataFrame, rules: int) -> DataFrame:
@@ -116,17 +118,23 @@ def judge(df: DataFrame, rules: list[Rule], url_col: str = "url", default: str =
     five names are replaced.
     """
     spark = df.sparkSession
-    df = df.drop("host", "path", "rule", "pattern", "verdict")
+    kept = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "pattern", "verdict")]
     host, path, target = url_parts(F.col("_url"))
-    urls = df.select(F.col(url_col).alias("_url")).where(F.col("_url").isNotNull()).distinct().select("_url", target.alias("target"))
-    tokens = urls.where(F.col("target") != "").select("_url", "target", F.explode(_tokens(F.col("target"))).alias("token"))
-    index = index_rules(spark, rules, tokens.select("token"))
-    hits = tokens.join(_small(index, len(rules)), "token").where(F.expr("target RLIKE regex"))
+    urls = df.select(F.col(url_col).alias("_url")).where(F.col("_url").isNotNull()).distinct().select("_url", target.alias("target")).where(F.col("target") != "")
+    tokens = urls.select("_url", "target", F.explode(_tokens(F.col("target"))).alias("token"))
+    indexed, free = [r for r in rules if r.tokens], [r for r in rules if not r.tokens]
+    index = index_rules(spark, indexed, tokens.select("token"))
+    fits = F.expr("target RLIKE regex")
+    ranks = ("_url", "is_site", "length", "rule", "verdict")
+    hits = tokens.join(_small(index, len(indexed)), "token").where(fits).select(*ranks)
+    for i in range(0, len(free), MAX_BROADCAST_RULES):  # rules without a token run on every URL, which stays where it is
+        block = rule_table(spark, free[i : i + MAX_BROADCAST_RULES]).withColumn("token", F.lit(""))
+        hits = hits.unionByName(urls.withColumn("token", F.lit("")).join(F.broadcast(block), "token").where(fits).select(*ranks))
     rank = F.struct("is_site", "length", (F.col("verdict") == "block").alias("blocks"), "rule", "verdict")
     best = hits.groupBy("_url").agg(F.max(rank).alias("best"))
-    found = df.withColumn("_url", F.col(url_col)).join(best, "_url", "left")
+    found = df.select(packed(df, kept), F.col(url_col).alias("_url")).join(best, "_url", "left")
     return found.select(
-        *df.columns, host.alias("host"), path.alias("path"),
+        *unpacked(kept), host.alias("host"), path.alias("path"),
         F.when(F.col("best.is_site"), F.col("best.rule")).alias("rule"),
         F.when(~F.col("best.is_site"), F.col("best.rule")).alias("pattern"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
