@@ -100,3 +100,25 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id int, text string")
     assert B.decode(B.encode(empty)).count() == 0
     assert B.decode(spark.createDataFrame([(None,)], "ids array<int>")).select(F.col("text")).first()[0] == ""
+
+
+def test_one_python_pass_a_stage(spark, tmp_path):
+    """Each Python operator costs a worker a running task: texts with and without repeated chunks have one each, however often results are used."""
+    every = [t for t in texts(random.Random(6)) if t is None or len(t) < 20_000]
+    spark.createDataFrame(list(enumerate(every)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = B.query(spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
+    assert got.count() == len(every)
+
+
+def test_decoded_text_in_the_same_pass(spark):
+    every = [t for t in texts(random.Random(8)) if t is None or len(t) < 20_000]
+    docs = spark.createDataFrame([(i, t, f"own {i}", "old") for i, t in enumerate(every)], "doc_id int, text string, out string, back string").repartition(3)
+    got = B.encode(docs, decoded_col="back")
+    assert got.columns == ["doc_id", "out", "ids", "back"]
+    rows, want = got.collect(), {r["doc_id"]: r for r in B.decode(B.encode(docs)).collect()}
+    assert len(rows) == len(every)
+    for r in rows:
+        assert r["ids"] == want[r["doc_id"]]["ids"]
+        assert r["back"] == want[r["doc_id"]]["text"] == (every[r["doc_id"]] or "")
+        assert r["out"] == f"own {r['doc_id']}"

@@ -14,6 +14,10 @@ Plan: one pass counts chunks by their hashes; those that repeat are put into a b
 goes to all tasks. Texts without a chunk in the map are encoded where they are read. Chunks in the map are gathered and
 encoded once; texts that have some keep references to them and the tokens of what lies between, are joined with the
 chunks' tokens, and put together. A full map sends more chunks to the join, and changes no result.
+
+Memory: each Python operator of a stage has a worker of its own in each running task, with its own codec (150 to 190 MB).
+So a stage has one at most: ids and, where asked for, the text decoded from them come from one pass, marked as not
+deterministic, as Spark would else repeat it for each use of its result.
 """
 
 from __future__ import annotations
@@ -316,16 +320,16 @@ def _slices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             yield batch.iloc[i : i + ROWS]
 
 
-IDS = T.ArrayType(T.IntegerType())
+RESULT = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("text", "string")
 PARTS = T.ArrayType(T.StructType().add("h1", "long").add("h2", "long").add("ids", "binary"))
 
 
-def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", tokenizer: str = TOKENIZER, ranks: str = RANKS) -> DataFrame:
-    """docs with ids_col, the token ids of text_col, in place of text_col.
+def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", tokenizer: str = TOKENIZER, ranks: str = RANKS, decoded_col: str | None = None) -> DataFrame:
+    """docs with ids_col, the token ids of text_col, in place of text_col; decoded_col, if named, is the text that decode() reads from these ids.
 
     Null texts count as empty ones, which have no tokens. Every row is encoded by itself: repeated rows and null ids
     stay, an empty table gives an empty one. Columns of the caller keep their names and values, whatever these are; one
-    named ids_col is replaced. Special tokens that a text spells out are taken as such, as the tokenizer does by default.
+    named ids_col or decoded_col is replaced. Special tokens that a text spells out are taken as such, as the tokenizer does by default.
     """
     spark, vocabulary = docs.sparkSession, Vocabulary.of(tokenizer, ranks)
     repeats = Repeats(spark, stored(repeated(docs, text_col)))
@@ -349,13 +353,18 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", tokeni
         for batch in batches:
             yield pd.DataFrame({"n1": batch["h1"], "n2": batch["h2"], "tokens": [own.encode(bytes(c)).tobytes() for c in batch["chunk"]]})
 
-    @F.pandas_udf(IDS)
-    def alone(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        """Token ids of texts without repeated chunks; null for the others."""
+    def results(own: Codec, ids: list[np.ndarray | None]) -> pd.DataFrame:
+        """RESULT of each row; null for null ids."""
+        texts = [None if x is None or decoded_col is None else own.decode(x) for x in ids]
+        return pd.DataFrame({"ids": pd.Series([None if x is None else x.astype(np.int32) for x in ids], dtype=object), "text": pd.Series(texts, dtype=object)})
+
+    @F.pandas_udf(RESULT)
+    def alone(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        """Results of texts without repeated chunks; null ids for the others."""
         own = codec(vocabulary)
         for batch in _slices(texts):
             split = map(repeats.split, batch)
-            yield pd.Series([None if any(n is not None for n, _ in parts) else own.encode(parts[0][1]).astype(np.int32) if parts else np.zeros(0, np.int32) for parts in split], dtype=object)
+            yield results(own, [None if any(n is not None for n, _ in parts) else own.encode(parts[0][1] if parts else b"") for parts in split])
 
     @F.pandas_udf(PARTS)
     def references(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -368,25 +377,26 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", tokeni
                 out.append([(*n, None) if n else (None, None, own.encode(raw).tobytes()) for n, raw in parts] if some else None)
             yield pd.Series([x and [dict(zip(("h1", "h2", "ids"), p, strict=True)) for p in x] for x in out], dtype=object)
 
-    @F.pandas_udf(IDS)
-    def joined(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(RESULT)
+    def joined(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(vocabulary)
         for batch in _slices(parts):
-            yield pd.Series([own.joined([np.frombuffer(p, own.dtype) for p in row]).astype(np.int32) for row in batch], dtype=object)
+            yield results(own, [own.joined([np.frombuffer(p, own.dtype) for p in row]) for row in batch])
 
     texts = docs.select(F.col(text_col).alias("text")).mapInPandas(gather, "h1 bigint, h2 bigint, chunk binary").groupBy("h1", "h2").agg(F.first("chunk").alias("chunk"))
     tokens = stored(texts.mapInPandas(encoded, "n1 bigint, n2 bigint, tokens binary"))
-    names = [c for c in docs.columns if c not in (text_col, ids_col)]
+    names = [c for c in docs.columns if c not in (text_col, ids_col, decoded_col)]
     rows = docs.select(F.struct(*[F.col(c) for c in names] or [F.lit(None).alias("nothing")]).alias("own"), F.col(text_col).alias("text"))
-    done = rows.select("own", alone.asNondeterministic()("text").alias("ids")).where("ids is not null")  # or else the filter would work it out again
+    done = rows.select("own", alone.asNondeterministic()("text").alias("out")).where("out.ids is not null")  # or else the filter would work it out again
     open_rows = rows.select("own", references.asNondeterministic()("text").alias("parts")).where("parts is not null")
     open_rows = stored(open_rows.withColumn("row", F.monotonically_increasing_id()))
     pieces = open_rows.select("row", "own", F.posexplode("parts").alias("seq", "p")).select("row", F.when(F.col("seq") == 0, F.col("own")).alias("own"), "seq", "p.*")
     met = pieces.where("h1 is not null").join(tokens.hint("merge"), (F.col("h1") == F.col("n1")) & (F.col("h2") == F.col("n2"))).select("row", "own", "seq", F.col("tokens").alias("ids"))
     every = met.unionByName(pieces.where("h1 is null").select("row", "own", "seq", "ids"))
     whole = every.groupBy("row").agg(F.first("own", ignorenulls=True).alias("own"), F.sort_array(F.collect_list(F.struct("seq", "ids"))).alias("parts"))  # of one text
-    rest = whole.select("own", joined(F.col("parts.ids")).alias("ids"))
-    return done.unionByName(rest).select(*[F.col("own")[c].alias(c) for c in names], F.col("ids").alias(ids_col))
+    rest = whole.select("own", joined.asNondeterministic()(F.col("parts.ids")).alias("out"))  # or else once for each use of its result
+    made = {ids_col: "out.ids"} | ({decoded_col: "out.text"} if decoded_col is not None else {})
+    return done.unionByName(rest).select(*[F.col("own")[c].alias(c) for c in names], *[F.col(v).alias(k) for k, v in made.items()])
 
 
 def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "text", tokenizer: str = TOKENIZER, ranks: str = RANKS) -> DataFrame:
@@ -404,6 +414,6 @@ def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "text", tokenize
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    digest = F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), 256)
-    return decode(ids).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded_col="decoded")
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
