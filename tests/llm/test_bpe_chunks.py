@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,11 @@ def test_decoded_text_in_the_same_pass(spark):
         assert r["ids"] == want[r["doc_id"]]["ids"]
         assert r["back"] == want[r["doc_id"]]["text"] == (every[r["doc_id"]] or "")
         assert r["out"] == f"own {r['doc_id']}"
+
+
+def test_long_rows_are_handed_on_by_few():
+    rows = ["a", None, "b" * (B.HANDED - 1), "c", "d" * (2 * B.HANDED), "", *["e"] * (B.ROWS + 1)]
+    parts = [p.tolist() for p in B._slices(iter([pd.Series(rows, dtype=object), pd.Series([], dtype=object)]))]
+    assert sum(parts, []) == rows
+    assert all(len(p) == 1 or len(p) <= B.ROWS and sum(len(r or "") for r in p) <= B.HANDED for p in parts)
+    assert len(parts) == 5

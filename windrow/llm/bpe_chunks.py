@@ -26,7 +26,7 @@ import base64
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -50,8 +50,9 @@ HELD = 200_000
 WINDOWS = 50_000
 #: Texts over this many characters are encoded in pieces that end at firm places.
 PIECE = 100_000
-#: Rows whose results a task hands on at once.
+#: Rows whose results a task hands on at once, and their characters, bytes of parts, or ids, if these are more than one row's.
 ROWS = 200
+HANDED = 1 << 20
 #: Vocabulary files: the tokenizer, and the same vocabulary as byte strings with their ranks.
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Characters that all regular expression engines class alike, whatever their Unicode version.
@@ -313,11 +314,18 @@ class Repeats:
         return [*out, (None, b"".join(between))] if between else out
 
 
-def _slices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The rows in small batches, so that results of few rows are held at once."""
+def _slices(batches: Iterator[pd.Series], size: Callable = len) -> Iterator[pd.Series]:
+    """The rows in small batches, so that results of few and, where rows are long, of few long rows are held at once."""
     for batch in batches:
-        for i in range(0, len(batch), ROWS):
-            yield batch.iloc[i : i + ROWS]
+        start = held = 0
+        for i, row in enumerate(batch):
+            more = 0 if row is None else size(row)
+            if i - start == ROWS or i > start and held + more > HANDED:
+                yield batch.iloc[start:i]
+                start, held = i, 0
+            held += more
+        if start < len(batch):
+            yield batch.iloc[start:]
 
 
 RESULT = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("text", "string")
@@ -380,7 +388,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", tokeni
     @F.pandas_udf(RESULT)
     def joined(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(vocabulary)
-        for batch in _slices(parts):
+        for batch in _slices(parts, lambda row: sum(map(len, row))):
             yield results(own, [own.joined([np.frombuffer(p, own.dtype) for p in row]) for row in batch])
 
     texts = docs.select(F.col(text_col).alias("text")).mapInPandas(gather, "h1 bigint, h2 bigint, chunk binary").groupBy("h1", "h2").agg(F.first("chunk").alias("chunk"))
