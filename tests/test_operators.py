@@ -449,6 +449,22 @@ def test_candidates_of_any_length_against_all_pairs(spark):
     assert all(abs(r.iou - want[r.win, r.l_label_row]) < 1e-12 for r in got)
 
 
+def test_candidates_without_length_against_all_pairs(spark):
+    """Times before 1970 and the ends of windows too; left out unless asked for."""
+    rng = random.Random(13)
+    flow = ("x", 1, "y", 2, 6)
+    wins = [(i, *flow, s, s + rng.choice([1, 2, 7, 2_000_000])) for i in range(200) for s in [rng.randrange(-3_000_000, 3_000_000)]]
+    at = [rng.choice(wins)[k] + d for k in (6, 7) for d in (-1, 0, 1) for _ in range(30)]
+    labels = [(i, *flow, s, s + rng.choice([0, 0, 1, 500]), 0) for i, s in enumerate(at)]
+    five = "src_ip string, src_port int, dst_ip string, dst_port int, proto int"
+    entries = spark.createDataFrame([(*x[:8], x[7] - x[6]) for x in labels], f"label_row long, {five}, start_us long, end_us long, dur_us long")
+    windows = spark.createDataFrame(wins, f"win long, {five}, win_start_us long, win_end_us long")
+    want = {(w[0], x[0]): (min(w[7], x[7]) - max(w[6], x[6])) / (w[7] - w[6] + x[7] - x[6] - min(w[7], x[7]) + max(w[6], x[6])) for w in wins for x in labels if w[6] < x[7] and x[6] < w[7]}
+    got = L.candidates(windows, entries, points=True).select("win", "l_label_row", "iou").collect()
+    assert len(got) == len(want) and all(abs(r.iou - want[r.win, r.l_label_row]) < 1e-12 for r in got)
+    assert 0 < L.candidates(windows, entries).count() == sum(iou > 0 for iou in want.values()) < len(want)
+
+
 def test_best_entry_of_a_window_with_a_million_candidates(spark):
     n = 1_000_000
     found = spark.range(n).select(

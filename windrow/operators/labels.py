@@ -92,8 +92,8 @@ def _in_cells(df: DataFrame, start: str, end: str, others: list[int]) -> DataFra
     return df.withColumn("_level", F.explode(levels)).withColumn("_cell", F.explode(F.sequence(cell(F.col(start)), cell(F.col(end) - 1))))
 
 
-def candidates(windows: DataFrame, entries: DataFrame) -> DataFrame:
-    """Windows joined with the label entries that they overlap by more than nothing, with iou.
+def candidates(windows: DataFrame, entries: DataFrame, points: bool = False) -> DataFrame:
+    """Windows joined with the label entries that they overlap by more than nothing, with iou; with `points` also those without length that lie inside them, with iou 0.
 
     Time is cut into cells of 2^k microseconds. An interval lies in at most two cells of its own level, and is shorter
     than the cells of all higher ones, so a pair is looked for at the higher of its two levels. Each side has rows at its
@@ -102,22 +102,24 @@ def candidates(windows: DataFrame, entries: DataFrame) -> DataFrame:
     """
     left = windows.where("win_end_us > win_start_us").withColumn("_own", _level("win_start_us", "win_end_us"))
     right = entries.select(*K5, *[F.col(c).alias(f"l_{c}") for c in entries.columns if c not in K5])
-    right = right.where("l_end_us > l_start_us").withColumn("_own", _level("l_start_us", "l_end_us"))
+    right = right.where("l_end_us > l_start_us" if not points else "l_end_us >= l_start_us").withColumn("_reach", F.greatest(F.col("l_end_us"), F.col("l_start_us") + 1))
+    right = right.withColumn("_own", _level("l_start_us", "_reach"))
     of_windows, of_entries = _levels_of(left), _levels_of(right)
     left = _in_cells(left, "win_start_us", "win_end_us", of_entries).withColumnRenamed("_own", "_own_w")
-    right = _in_cells(right, "l_start_us", "l_end_us", of_windows).withColumnRenamed("_own", "_own_l")
+    right = _in_cells(right, "l_start_us", "_reach", of_windows).withColumnRenamed("_own", "_own_l")
     both = left.join(right, [*K5, "_level", "_cell"]).where(F.col("_level") == F.greatest("_own_w", "_own_l"))
     begin = F.greatest("win_start_us", "l_start_us")
-    both = both.withColumn("_inter", F.least("win_end_us", "l_end_us") - begin).where((F.col("_inter") > 0) & (F.col("_cell") == F.call_function("shiftright", begin, F.col("_level"))))
+    both = both.where("win_start_us < l_end_us AND l_start_us < win_end_us").where(F.col("_cell") == F.call_function("shiftright", begin, F.col("_level")))
+    both = both.withColumn("_inter", F.least("win_end_us", "l_end_us") - begin)
     union = (F.col("win_end_us") - F.col("win_start_us")) + F.col("l_dur_us") - F.col("_inter")
-    return both.withColumn("iou", F.when(union > 0, F.col("_inter") / union).otherwise(F.lit(0.0))).drop("_level", "_cell", "_own_w", "_own_l", "_inter")
+    return both.withColumn("iou", F.when(union > 0, F.col("_inter") / union).otherwise(F.lit(0.0))).drop("_level", "_cell", "_own_w", "_own_l", "_reach", "_inter")
 
 
 #: What is known of the entry that a window takes.
 BEST = {"best_iou": "double", "best_priority": "int", "best_label": "string", "best_capture_id": "string", "best_flow_id": "string"}
 
 
-def best_entries(found: DataFrame, key: list[str]) -> DataFrame:
+def best_entries(found: DataFrame, key: list[str], tolerance: float = TOLERANCE) -> DataFrame:
     """(key, *BEST, n_candidates) of candidates with iou: which entry each window takes.
 
     Entries are gone through in start order: a larger IoU wins, within the tolerance the higher priority, else the
@@ -143,7 +145,7 @@ def best_entries(found: DataFrame, key: list[str]) -> DataFrame:
                         out.append((*at, *best, count))
                     at, best, count = own, (0.0, -1, None, None, None), 0
                 count += 1
-                if iou > best[0] + TOLERANCE or (abs(iou - best[0]) <= TOLERANCE and priority > best[1]):
+                if iou > best[0] + tolerance or (abs(iou - best[0]) <= tolerance and priority > best[1]):
                     best = (iou, priority, *rest)
             yield pd.DataFrame(out, columns=names)
         if at is not None:
@@ -152,22 +154,23 @@ def best_entries(found: DataFrame, key: list[str]) -> DataFrame:
     return rows.mapInPandas(fold, ", ".join(f"`{k}` {types[k]}" for k in key) + ", " + ", ".join(f"{c} {t}" for c, t in BEST.items()) + ", n_candidates int")
 
 
-def align(windows: DataFrame, entries: DataFrame, key: list[str], benign: str = "BENIGN") -> DataFrame:
+def align(windows: DataFrame, entries: DataFrame, key: list[str], benign: str = "BENIGN", points: bool = False, tolerance: float = TOLERANCE) -> DataFrame:
     """Windows with label, label_iou, label_capture_id, label_flow_id, label_priority, label_is_unknown, n_candidates.
 
     entries are prepared labels, shifted, with label_row; they are written down, as levels, overlaps and flows go over
     them. A window without overlap is benign if all entries of its flow are (with the ids of the earliest), else
     `unknown`. `key` names the columns that make a window unique; none of them is null. Windows are read several times,
-    so they should be a written table.
+    so they should be a written table. `points` makes labels without length candidates of the windows that they lie in;
+    IoUs that differ by no more than `tolerance` are alike, with 0 only equal ones.
     """
     for c in ("label_capture_id", "label_flow_id"):
         if c not in entries.columns:
             entries = entries.withColumn(c, F.lit(""))
     entries = stored(entries)
-    found = candidates(windows.select(*key, *[c for c in (*K5, "win_start_us", "win_end_us") if c not in key]), entries)
+    found = candidates(windows.select(*key, *[c for c in (*K5, "win_start_us", "win_end_us") if c not in key]), entries, points)
     first = F.min(F.struct("start_us", "label_row", "label_capture_id", "label_flow_id"))
     flows = entries.groupBy(*K5).agg((F.max("priority") == 0).alias("all_benign"), first.alias("first"))
-    out = windows.join(best_entries(found, key), key, "left").join(flows, list(K5), "left")
+    out = windows.join(best_entries(found, key, tolerance), key, "left").join(flows, list(K5), "left")
     hit, calm = F.col("best_label").isNotNull(), F.coalesce("all_benign", F.lit(False))
     pick = lambda name: F.when(hit, F.col(f"best_{name}")).when(calm, F.col(f"first.label_{name}")).otherwise("")
     return out.withColumns({
